@@ -41,7 +41,7 @@ def _count(batches):
     raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
 
     def add(batch: pa.RecordBatch):
-        bucket, row = _grams(Words(batch.column("text").to_pylist(), lower=False))
+        bucket, row = _grams(Words(batch.column("text").to_pylist(), table=None))
         np.add(raw, np.bincount(bucket, minlength=BUCKETS), out=raw)
         chosen = batch.column("trusted").to_numpy(zero_copy_only=False).astype(bool)[row]
         np.add(target, np.bincount(bucket[chosen], minlength=BUCKETS), out=target)
@@ -98,7 +98,7 @@ RULES = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines
 
 def _judge(ratios: np.ndarray, min_ratio: float):
     def work(batch: pa.RecordBatch):
-        words = Words(batch.column("text").to_pylist(), lower=False)
+        words = Words(batch.column("text").to_pylist(), table=None)
         size = batch.num_rows
         base = base_counts(words)
         bucket, row = _grams(words)
@@ -120,7 +120,8 @@ def apply_rules(docs: DataFrame, trusted: DataFrame, min_ratio: float = MIN_RATI
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     named = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("trusted", F.lit(True))
-    marked = rows.join(named, "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+    # merged at every size: a list of trusted rows grows with the corpus, so it is never broadcast
+    marked = rows.join(named.hint("merge"), "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for b, r, t in marked.mapInArrow(_count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target")).toLocalIterator():
         raw[b], target[b] = r, t
