@@ -69,14 +69,14 @@ def steps(sizes: list[int], limit: int = STEP_BYTES) -> Iterator[tuple[int, int]
         yield at, len(sizes)
 
 
-def per_step(work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], column: str = "text") -> Callable:
-    """mapInArrow function that hands ``work`` pieces of each Arrow batch of about STEP_BYTES of ``column``."""
+def per_step(work: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], *columns: str) -> Callable:
+    """mapInArrow function that hands ``work`` pieces of each Arrow batch of about STEP_BYTES of ``columns`` (or of text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute as pc
 
         for batch in batches:
-            sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+            sizes = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False) for c in columns or ("text",))
             for i, j in steps([int(x) + 16 for x in sizes]):
                 yield from work(batch.slice(i, j - i))
 

@@ -13,6 +13,9 @@ SPACES = np.zeros(256, bool)
 SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: lower case, and a space for ASCII punctuation
+PLAIN = LOWER.copy()
+PLAIN[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 0x20
 
 _MASK = (1 << 64) - 1
 
@@ -82,20 +85,20 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(have[: len(have) - rest], have[rest:]) if rest else have
 
 
-def layout(texts: list, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, starts, ends) of a batch; null texts are empty."""
+def layout(texts: list, table: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts, ends) of a batch, bytes replaced by ``table``; null texts are empty."""
     raw = [b"" if t is None else t if isinstance(t, bytes) else t.encode("utf-8", "surrogatepass") for t in texts]
     sizes = np.fromiter(map(len, raw), np.int64, len(raw))
     data = np.frombuffer(b" ".join(raw) + b" ", np.uint8) if raw else np.zeros(0, np.uint8)
     starts = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1].astype(np.int64)
-    return (LOWER[data] if lower else data), starts, starts + sizes
+    return (data if table is None else table[data]), starts, starts + sizes
 
 
 class Words:
     """Words of a batch: where they start and end, whose they are, and a 64-bit hash of each."""
 
-    def __init__(self, texts: list, lower: bool = True, hashed: bool = True):
-        self.data, self.starts, self.ends = layout(texts, lower)
+    def __init__(self, texts: list, table: np.ndarray | None = LOWER):
+        self.data, self.starts, self.ends = layout(texts, table)
         gap = SPACES[self.data]
         edge = np.flatnonzero(np.diff(np.concatenate([[True], gap, [True]]).astype(np.int8)))
         self.begin, self.end = edge[0::2], edge[1::2]
@@ -103,7 +106,7 @@ class Words:
         self.n = len(self.begin)
         #: first word of each text, and one more at the end
         self.first = np.searchsorted(self.doc, np.arange(len(texts) + 1))
-        self.hash = Rolling(self.data, 1).of(self.begin, self.end) if hashed and self.n else np.zeros(0, np.uint64)
+        self.hash = Rolling(self.data, 1).of(self.begin, self.end) if self.n else np.zeros(0, np.uint64)
 
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(first word, hash) of every n words in a row inside one text."""

@@ -113,12 +113,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: i
     return model
 
 
-def scorer(model: Model, keep: list[str]):
-    """mapInArrow function: the columns ``keep``, and the score."""
+def scorer(model: Model, keep: list[str], name: str = "score"):
+    """mapInArrow function: the columns ``keep``, and the score as ``name``."""
 
     def work(batch: pa.RecordBatch):
         score = model.score(batch.column("text").to_pylist())
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(score)], names=[*keep, "score"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(score)], names=[*keep, name])
 
     return frames.per_step(work)
 

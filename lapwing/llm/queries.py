@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import html_extract, lm_scoring, quality_classifier, quality_rules, warc
+from . import decontamination, html_extract, jaccard_join, lm_scoring, packing, quality_classifier, quality_rules, secret_scan, warc
 from .frames import table
 from .suffix_dedup import repeated_bytes
 
@@ -32,6 +32,14 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components_of(table(spark, sf_dir, "documents"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("did", "rid")
+
+
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
@@ -40,6 +48,15 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secret_scan.scan(docs, secret_scan.train(secret_scan.labelled_findings(docs)))
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 #: of equal payloads the smallest page is the response; base 32 takes 5 bits at a time from 5 hexadecimal digits
 OP8_SQL = """
 WITH p AS (
@@ -60,8 +77,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality_rules": op2_quality_rules,
         "op3_quality_classifier": op3_quality_classifier,
         "op4_lm_scoring": op4_lm_scoring,
+        "op5_jaccard_join": op5_jaccard_join,
+        "op6_decontamination": op6_decontamination,
         "op7_html_extraction": op7_html_extraction,
         "op8_warc": op8_warc,
+        "op9_secret_scan": op9_secret_scan,
+        "op10_best_fit_packing": op10_best_fit_packing,
     }
 
 
