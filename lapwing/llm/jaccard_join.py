@@ -8,15 +8,17 @@ sets share is kept as (token, set) rows.
 
 Links are then found in two steps, and no link between different components is missed:
 
-1. Every set is compared with the one that most of its tokens name as their least holder.  Equal
-   groups collapse here with one comparison a member.
+1. Every set is compared with the one that most of its tokens name as their least holder, if a good
+   share of its prefix does.  Groups of near copies collapse here with one comparison a member.
 2. Tokens whose holders are still in different components go to *signature trees*, one per token and
    range of sizes (very large groups in blocks, each pair of blocks once).  A leaf is a set's bitmap
    of hashed tokens; a node holds the OR of its members' bitmaps, their range of sizes and how many
    tokens bitmaps hide.  A dual traversal drops pairs of nodes whose greatest possible overlap is too
    small, whose sizes are too far apart, or that lie in one component already.
 
-Pairs that are left are compared exactly, with the texts sent to meet by plain joins.
+Pairs that are left are compared exactly, with the texts sent to meet by plain joins.  Texts are
+fetched for those pairs only: with a broadcast of their row numbers while these are at most
+BROADCAST_ROWS, and with a merge join beyond.
 """
 
 from __future__ import annotations
@@ -42,6 +44,13 @@ FREQUENT = 64
 BUCKET_BYTES = 4_000_000
 CELL = 2000
 LEAF = 8
+#: Cells of at most so many sets are one node: their leaves are compared without a tree.
+SMALL_CELL = 32
+#: Rows of cells that one group takes together.
+GROUP_ROWS = 20_000
+#: Share (percent) of a set's prefix that must name one holder before the two are compared in step 1.
+STRONG = 40
+BROADCAST_ROWS = 200_000
 
 
 def token_sets(texts: list, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,15 +89,50 @@ def _row_steps(work):
     return frames.per_step(cut)
 
 
-SETS = "did long, rid long, doc_id long, n long, cid long"
+SETS = "did long, rid long, doc_id long, n long, cid long, bitmap binary, token long"
+
+
+def _bitmap_words(n: int) -> int:
+    """64-bit words of a bitmap for a set of n tokens: two to four bits a token, up to 64 kbit."""
+    return 1 << min(max(math.ceil(math.log2(max(n, 1) / 32)), 0), 10)
+
+
+def bitmap(tokens: np.ndarray) -> bytes:
+    """The bitmap of a set of tokens, by their lowest bits."""
+    size = _bitmap_words(len(tokens)) * 64
+    bits = np.zeros(size, bool)
+    bits[(tokens & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
 
 
 def _sets(width: int):
-    def work(batch: pa.RecordBatch):
-        first, tokens = token_sets(batch.column("text").to_pylist(), width)
-        yield pa.RecordBatch.from_pydict({k: batch.column(k) for k in ("did", "rid", "doc_id")} | {"n": np.diff(first), "cid": set_ids(first, tokens)})
+    """A row for each text, and a row (token, n) for each token that several texts of a task hold."""
+
+    def run(batches):
+        gathered: list[np.ndarray] = []
 
-    return _row_steps(work)
+        def counts():
+            tokens, n = np.unique(np.concatenate(gathered), return_counts=True)
+            tokens, n = tokens[n > 1].view(np.int64), n[n > 1]
+            gathered.clear()
+            none = pa.nulls(len(n), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(n), none, pa.nulls(len(n), pa.binary()), pa.array(tokens)], names=names)
+
+        def step(batch: pa.RecordBatch):
+            first, tokens = token_sets(batch.column("text").to_pylist(), width)
+            gathered.append(tokens)
+            maps = pa.array([bitmap(tokens[first[i] : first[i + 1]]) for i in range(batch.num_rows)], pa.binary())
+            columns = [*(batch.column(k) for k in ("did", "rid", "doc_id")), pa.array(np.diff(first)), pa.array(set_ids(first, tokens)), maps, pa.nulls(batch.num_rows, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+            if sum(map(len, gathered)) > GATHER:
+                yield from counts()
+
+        yield from _row_steps(step)(batches)
+        if gathered:
+            yield from counts()
+
+    names = [x.split()[0] for x in SETS.split(", ")]
+    return run
 
 
 def _flushed(work, width: int):
@@ -119,12 +163,6 @@ def _flushed(work, width: int):
     return run
 
 
-def _local_counts(kept: list):
-    """Tokens that several texts of a task hold."""
-    tokens, n = np.unique(np.concatenate([t for _, t in kept]), return_counts=True)
-    yield pa.RecordBatch.from_pydict({"token": tokens[n > 1].view(np.int64), "n": n[n > 1]})
-
-
 def prefixes(first: np.ndarray, tokens: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """(index of the text, token) of each text's prefix in the common order."""
     n = np.diff(first)
@@ -217,36 +255,23 @@ def _linked(width: int, percent: int):
     return frames.per_step(work, "ta", "tb")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of set numbers whose exact similarity is at least ``percent``; texts: (cid, n, text)."""
-    met = pairs.join(texts.select(F.col("cid").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("cid").alias("a"), F.col("text").alias("ta")), "a")
-    return frames.materialise(met.select("a", "b", "ta", "tb").mapInArrow(_linked(width, percent), "a long, b long"), "links")
-
-
-def _near_in_size(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    sizes = texts.select("cid", "n").distinct()
-    met = pairs.join(sizes.select(F.col("cid").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("cid").alias("b"), F.col("n").alias("nb")), "b")
-    return met.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).drop("na", "nb")
-
+def texts_of(keyed: DataFrame, shown: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(cid, text) of the set numbers ``nodes`` (cid); shown: (did, rid, cid), one row of each set."""
+    wanted = frames.materialise(shown.join(nodes, "cid", "left_semi"), "wanted")
+    small = wanted.count() <= BROADCAST_ROWS
+    return frames.materialise(keyed.select("did", "rid", "text").join(F.broadcast(wanted) if small else wanted.hint("merge"), ["did", "rid"]).select("cid", "text"), "texts")
 
-def _bitmap_words(n: int) -> int:
-    """64-bit words of a bitmap for a set of n tokens: about eight bits a token, up to 64 kbit."""
-    return 1 << min(max(math.ceil(math.log2(max(n, 1) / 8)), 0), 10)
 
+def verified(pairs: DataFrame, keyed: DataFrame, shown: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of set numbers whose exact similarity is at least ``percent``."""
+    nodes = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
+    texts = texts_of(keyed, shown, nodes)
+    met = pairs.join(texts.select(F.col("cid").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("cid").alias("a"), F.col("text").alias("ta")), "a")
+    return frames.materialise(met.select("a", "b", "ta", "tb").mapInArrow(_linked(width, percent), "a long, b long"), "links")
 
-def _signatures(width: int):
-    def work(batch: pa.RecordBatch):
-        first, tokens = token_sets(batch.column("text").to_pylist(), width)
-        out = []
-        for i in range(batch.num_rows):
-            mine = tokens[first[i] : first[i + 1]]
-            size = _bitmap_words(len(mine))
-            bits = np.zeros(size * 64, bool)
-            bits[(mine % np.uint64(size * 64)).astype(np.int64)] = True
-            out.append(np.packbits(bits, bitorder="little").tobytes())
-        yield pa.RecordBatch.from_pydict({"cid": batch.column("cid"), "n": np.diff(first), "bitmap": pa.array(out, pa.binary())})
 
-    return _row_steps(work)
+def prefix_size(n: F.Column, percent: int) -> F.Column:
+    return n - F.ceil(percent * n / 100) + 1
 
 
 class Tree:
@@ -317,89 +342,129 @@ def _fold(raw: list[bytes]) -> np.ndarray:
     return np.stack([np.bitwise_or.reduce(x.reshape(-1, least), 0) for x in rows])
 
 
+def _small_pairs(heads: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, row) of every two rows inside each of some small cells, which begin at ``heads``."""
+    left = np.repeat(heads, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    rest = np.repeat(heads + size, size) - left - 1  # rows of the cell behind this one
+    i = np.repeat(left, rest)
+    return i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(rest) - rest, rest)
+
+
 def _candidates(percent: int):
-    def work(key, cell):
-        same = key[2].as_py() == key[3].as_py()
-        cid = cell.column("cid").to_numpy()
-        bits, size, comp = _fold([x.as_py() for x in cell.column("bitmap")]), cell.column("n").to_numpy(), cell.column("comp").to_numpy()
-        home, block = cell.column("home").to_numpy(), cell.column("block").to_numpy()
-        out_a, out_b = [], []
-
-        def meet(left: np.ndarray, right: np.ndarray) -> None:
-            if not len(left) or not len(right):
-                return
-            p = Tree(bits[left], size[left], comp[left])
-            q = p if left is right else Tree(bits[right], size[right], comp[right])
-            i, j = dual_traversal(p, q, percent)
-            a, b = cid[left[i]], cid[right[j]]
-            out_a.append(np.minimum(a, b))
-            out_b.append(np.maximum(a, b))
+    """Pairs of the cells (token, band, i, j) of a group of cells."""
 
+    def big(rows: np.ndarray, same: bool, i: int, j: int, column: dict):
+        home, block = column["home"][rows], column["block"][rows]
+        bits = _fold([column["bitmap"][r] for r in rows])
+        size, comp = column["n"][rows], column["comp"][rows]
         at = lambda h, b: np.flatnonzero((home == h) & (block == b))
-        i, j = key[2].as_py(), key[3].as_py()
-        here = at(True, i)
-        if same:
-            meet(here, here)
-            meet(here, at(False, i))
-        else:
-            there = at(True, j)
-            meet(here, there)
-            meet(here, at(False, j))
-            meet(there, at(False, i))
-        a = np.concatenate([*out_a, np.zeros(0, np.int64)])
-        b = np.concatenate([*out_b, np.zeros(0, np.int64)])
-        return pa.Table.from_pydict({"a": a, "b": b})
+        here, there = at(True, i), at(True, j)
+        meetings = [(here, here), (here, at(False, i))] if same else [(here, there), (here, at(False, j)), (there, at(False, i))]
+        for left, right in meetings:
+            if len(left) and len(right):
+                p = Tree(bits[left], size[left], comp[left])
+                q = p if left is right else Tree(bits[right], size[right], comp[right])
+                x, y = dual_traversal(p, q, percent)
+                yield rows[left[x]], rows[right[y]]
+
+    def leaves(i: np.ndarray, j: np.ndarray, column: dict) -> np.ndarray:
+        """Which pairs of single sets may be links: the bound of two leaves."""
+        keep = np.zeros(len(i), bool)
+        width = np.array([len(x) for x in column["bitmap"]])
+        narrow = np.minimum(width[i], width[j])
+        for w in np.unique(narrow):
+            pair = np.flatnonzero(narrow == w)
+            rows, at = np.unique(np.concatenate([i[pair], j[pair]]), return_inverse=True)
+            bits = np.stack([np.bitwise_or.reduce(np.frombuffer(column["bitmap"][r], np.uint64).reshape(-1, w // 8), 0) for r in rows])
+            n = column["n"][rows]
+            level = {"bits": bits, "lo": n, "hi": n, "hidden": n - np.bitwise_count(bits).sum(1).astype(np.int64), "comp": column["comp"][rows], "one": np.ones(len(rows), bool)}
+            a, b = at[: len(pair)], at[len(pair) :]
+            for s in range(0, len(pair), 1 << 15):
+                part = slice(s, s + (1 << 15))
+                keep[pair[part]] = _possible(level, level, a[part], b[part], percent)
+        return keep
+
+    def work(key, cells):
+        cells = cells.sort_by([(k, "ascending") for k in ("token", "band", "i", "j")])
+        column = {k: cells.column(k).to_numpy() for k in ("token", "band", "i", "j", "home", "block", "n", "comp", "cid")}
+        column["bitmap"] = [x.as_py() for x in cells.column("bitmap")]
+        fresh = np.zeros(cells.num_rows, bool)
+        fresh[:1] = True
+        for k in ("token", "band", "i", "j"):
+            fresh[1:] |= column[k][1:] != column[k][:-1]
+        heads = np.flatnonzero(fresh)
+        size = np.diff(np.append(heads, cells.num_rows))
+        one_node = (size <= SMALL_CELL) & (column["i"][heads] == column["j"][heads])
+        i, j = _small_pairs(heads[one_node], size[one_node])
+        some = column["home"][i] | column["home"][j]
+        i, j = i[some], j[some]
+        keep = leaves(i, j, column)
+        found = [(i[keep], j[keep])]
+        for h, n in zip(heads[~one_node].tolist(), size[~one_node].tolist()):
+            ci, cj = int(column["i"][h]), int(column["j"][h])
+            found.extend(big(np.arange(h, h + n), ci == cj, ci, cj, column))
+        x, y = (column["cid"][np.concatenate([f[k] for f in found])] for k in (0, 1))
+        pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
+        return pa.Table.from_pydict({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return work
 
 
-def _tree_pairs(holders: DataFrame, labels: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs of sets in different components that share a token and that the trees do not rule out."""
+def _tree_pairs(holders: DataFrame, labels: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
+    """Pairs of sets in different components that share a token and that the trees do not rule out; signed:
+    (cid, n, bitmap)."""
     comp = holders.join(labels.select(F.col("node").alias("cid"), "root"), "cid", "left").select("token", "cid", F.coalesce("root", "cid").alias("comp"))
     comp = frames.materialise(comp, "holders")
     mixed = comp.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k"), F.sum(F.xxhash64("cid") % (1 << 40)).alias("who")).where("lo < hi")
     once = mixed.groupBy("k", "who").agg(F.min("token").alias("token")).select("token")  # equal groups of holders meet once
-    rows = frames.materialise(comp.join(once, "token", "left_semi"), "mixed")
-    needed = rows.select("cid").distinct()
-    signed = texts.join(needed, "cid", "left_semi").select("cid", "text").mapInArrow(_signatures(width), "cid long, n long, bitmap binary").dropDuplicates(["cid"])
+    sizes = signed.select("cid", "n")
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9).cast("int")
-    rows = frames.materialise(rows.join(signed, "cid").withColumn("band", band), "signed")
-    cells = rows.select("token", "cid", "comp", "n", "bitmap", F.explode(F.array(F.struct(F.lit(True).alias("home"), F.col("band")), F.struct(F.lit(False).alias("home"), (F.col("band") + 1).alias("band")))).alias("x"))
-    cells = cells.select("token", "cid", "comp", "n", "bitmap", "x.home", "x.band")
-    size = rows.select("token", F.explode(F.array("band", F.col("band") + 1)).alias("band")).groupBy("token", "band").agg(F.ceil(F.count("*") / CELL).cast("int").alias("blocks"))
-    homes = rows.select("token", "band").distinct()
-    cells = cells.join(size.join(homes, ["token", "band"], "left_semi"), ["token", "band"])
+    rows = frames.materialise(comp.join(once, "token", "left_semi").join(sizes, "cid").withColumn("band", band), "mixed")
+    spread = rows.select("token", "cid", "comp", "n", F.explode(F.array(F.struct(F.lit(True).alias("home"), F.col("band")), F.struct(F.lit(False).alias("home"), (F.col("band") + 1).alias("band")))).alias("x"))
+    spread = spread.select("token", "cid", "comp", "n", "x.home", "x.band")
+    # ranges of one component, or without a home, have nothing to find
+    size = spread.groupBy("token", "band").agg(F.ceil(F.count("*") / CELL).cast("int").alias("blocks"), F.bool_or("home").alias("homes"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    cells = spread.join(size.where("homes and lo < hi").select("token", "band", "blocks"), ["token", "band"]).join(signed.select("cid", "bitmap"), "cid")
     cells = cells.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     cells = cells.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     cells = cells.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    pairs = cells.groupBy("token", "band", "i", "j").applyInArrow(_candidates(percent), "a long, b long")
+    groups = max(1, -(-2 * rows.count() // GROUP_ROWS))
+    cells = cells.withColumn("group", F.pmod(F.xxhash64("token", "band", "i", "j"), F.lit(groups)).cast("int"))
+    pairs = cells.groupBy("group").applyInArrow(_candidates(percent), "a long, b long")
     return frames.materialise(pairs.distinct(), "candidates")
 
 
 def linked_sets(docs: DataFrame, width: int = 5, percent: int = 75) -> tuple[DataFrame, DataFrame]:
     """((did, rid, doc_id, n, cid) of each row, (node, root) of each linked set number)."""
     keyed = frames.row_keys(docs)
-    sets = frames.materialise(keyed.mapInArrow(_sets(width), SETS), "sets")
-    text = keyed.select("text")
+    passed = frames.materialise(keyed.mapInArrow(_sets(width), SETS), "sets")
+    sets = passed.where("token is null").select("did", "rid", "doc_id", "n", "cid")
     total = sets.agg(F.sum("n")).first()[0] or 0
     # at most 2**20 tokens can be as frequent as this
     often = max(FREQUENT, total >> 20)
-    counts = text.mapInArrow(_flushed(_local_counts, width), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= often)
+    counts = passed.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= often)
     frequent = np.sort(np.array([r.token for r in counts.select("token").toLocalIterator()], np.int64)).view(np.uint64)
     buckets = max(1, -(-(total * 12) // (4 * BUCKET_BYTES)))
-    messages = text.mapInArrow(_messages(width, percent, frequent, buckets), MESSAGE)
+    messages = keyed.select("text").mapInArrow(_messages(width, percent, frequent, buckets), MESSAGE)
     holders = frames.materialise(messages.groupBy("bucket").applyInArrow(_holders, "token long, cid long"), "holders")
 
-    # texts of the sets that share a token with another, one of each set
-    shown = sets.groupBy("cid").agg(F.min(F.struct("did", "rid")).alias("one"), F.max("n").alias("n")).join(holders.select("cid").distinct(), "cid", "left_semi").select("one.did", "one.rid", "cid", "n")
-    texts = frames.materialise(keyed.select("did", "rid", "text").join(shown, ["did", "rid"]).select("cid", "n", "text"), "texts")
+    # one row of each set that shares a token with another
+    one = F.min(F.struct("did", "rid", "n", "bitmap")).alias("one")
+    shown = passed.where("token is null").groupBy("cid").agg(one).join(holders.select("cid").distinct(), "cid", "left_semi").select("one.*", "cid")
+    shown = frames.materialise(shown, "shown")
+    signed = shown.select("cid", "n", "bitmap")
 
     least = holders.groupBy("token").agg(F.min("cid").alias("a"))
     named = holders.join(least, "token").where("cid <> a").groupBy("a", F.col("cid").alias("b")).agg(F.count("*").alias("k"))
-    nearest = _near_in_size(named, texts, percent).groupBy("b").agg(F.max(F.struct("k", "a")).alias("best")).select("best.a", "b")
-    links = verified(nearest, texts, width, percent)
+    sizes = signed.select("cid", "n")
+    named = named.join(sizes.select(F.col("cid").alias("b"), F.col("n").alias("nb")), "b").where(100 * F.col("k") >= STRONG * prefix_size(F.col("nb"), percent))
+    named = named.join(sizes.select(F.col("cid").alias("a"), F.col("n").alias("na")), "a").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    nearest = frames.materialise(named.groupBy("b").agg(F.max(F.struct("k", "a")).alias("best")).select("best.a", "b"), "nearest")
+    ids = shown.select("did", "rid", "cid")
+    links = verified(nearest, keyed, ids, width, percent)
     labels = frames.materialise(components(links), "labels")
-    more = verified(_tree_pairs(holders, labels, texts, width, percent), texts, width, percent)
+    candidates = _tree_pairs(holders, labels, signed, percent)
+    more = verified(candidates, keyed, ids, width, percent)
     if more.isEmpty():
         return sets, labels
     return sets, components(links.unionByName(more))
