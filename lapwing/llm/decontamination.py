@@ -1,12 +1,12 @@
 """Benchmark decontamination: training passages that hold a test item.
 
 Test items make a BM25 inverted index with block-max postings.  Every text is cut into overlapping
-passages, long enough that any item lies wholly inside one, and every passage is a query.  A bound
-that sums, over a passage's words, the greatest weight that any item gives them is computed for all
-passages of a batch at once; passages that stay under the lowest threshold are done, the others go
-through block-max WAND, which returns every item whose score reaches the item's threshold (a share of
-its score against itself).  A hit counts when question and answer are both found in the passage, by
-shares of their word triples.
+passages, long enough that any item lies wholly inside one, and every passage is a query.  The short
+postings lists (words in few items) are gone through for all passages of a batch at once: an item
+whose short lists give a passage too little to reach its threshold, even with all that the item's
+long lists could add, is out of it.  Passages with an item left go through block-max WAND, which
+returns every item whose score reaches the item's threshold (a share of its score against itself).
+A hit counts when question and answer are both found in the passage, by shares of their word triples.
 
 The index is shipped to tasks only in parts of at most ``part_bytes`` of item text, checked before;
 a larger benchmark takes several passes.  Texts are never shuffled.
@@ -77,13 +77,11 @@ class Index:
         self.greatest = np.maximum.reduceat(weight, self.start[:-1]) if len(weight) else np.zeros(0)
         own = np.bincount(item, weight, len(items))
         self.threshold = retrieve * own
-        # what an item's frequent words (in several items) can give it at most, and so what the others must
-        frequent = df > max(2, len(items) // 50)
-        common = np.bincount(item, np.where(frequent[term], weight, 0), len(items))
-        self.rare = np.where(frequent, 0.0, self.greatest)
         has = own > 0
         self.lowest = float(self.threshold[has].min()) if has.any() else np.inf
-        self.rare_needed = float((self.threshold - common)[has].min()) if has.any() else np.inf
+        # what short lists must give an item at least: its threshold without all that long lists can add
+        self.short = df <= max(2, len(items) // 50)
+        self.needed = np.where(has, self.threshold - np.bincount(item, np.where(self.short[term], 0, weight), len(items)), np.inf)
         self.span = 2 * max(64, int(size.max(initial=0)))
         halves = [split_item(t) for _, t in items]
         asked, told = Words([h[0] for h in halves], table=PLAIN), Words([h[1] for h in halves], table=PLAIN)
@@ -99,6 +97,33 @@ class Index:
         at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
         return np.where(self.vocabulary[at] == hashes, at, -1)
 
+    def open_passages(self, term: np.ndarray, row: np.ndarray, piece: np.ndarray, base: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Numbers of the passages in which some item may reach its threshold.  A word in piece b of its text is
+        in passages b - 1 and b, as far as there are any; base and count: first passage and number of each text."""
+        items = len(self.ids)
+        always = bool((self.needed <= 1e-9).any())
+        if always or not items:  # an item of frequent words only: no passage can be ruled out
+            return np.arange(int(count.sum())) if items else np.zeros(0, np.int64)
+        at = np.flatnonzero((term >= 0) & self.short[np.maximum(term, 0)])
+        size = self.start[term[at] + 1] - self.start[term[at]]
+        entry = np.repeat(self.start[term[at]], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        word = np.repeat(at, size)
+        keys, weights = [], []
+        for back in (0, 1):
+            passage = piece[word] - back
+            inside = (passage >= 0) & (passage < count[row[word]])
+            keys.append((base[row[word]] + passage)[inside] * items + self.item[entry][inside])
+            weights.append(self.weight[entry][inside])
+        key, weight = np.concatenate(keys), np.concatenate(weights)
+        if int(count.sum()) * items <= 1 << 24:
+            total = np.bincount(key, weight, int(count.sum()) * items)
+            key = np.flatnonzero(total)
+            total = total[key]
+        else:
+            key, where = np.unique(key, return_inverse=True)
+            total = np.bincount(where, weight)
+        return np.unique(key[total >= self.needed[key % items] - 1e-6] // items)
+
     def wand(self, terms: list[int]) -> list[tuple[int, float]]:
         """Items whose score for the distinct ``terms`` reaches their threshold."""
         n_items, low = len(self.ids), self.lowest - 1e-9
@@ -162,19 +187,16 @@ def _search(index: Index, verify: float):
         if not words.n:
             return
         term = index.look_up(words.hash)
-        known = term >= 0
-        best, rare = np.where(known, index.greatest[term], 0.0), np.where(known, index.rare[term], 0.0)
         # passages start every ``step`` words of a text and are twice as long
         n = np.diff(words.first)
         count = np.maximum(-(-n // step) - 1, (n > 0).astype(np.int64))
         row = np.repeat(np.arange(len(n)), count)
-        lo = words.first[row] + (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)) * step
+        base = np.cumsum(count) - count
+        lo = words.first[row] + (np.arange(len(row)) - base[row]) * step
         hi = np.minimum(lo + index.span, words.first[row + 1])
-        add = lambda v: np.concatenate([[0.0], np.cumsum(v)])
-        total, scarce = add(best), add(rare)
-        open_ = (total[hi] - total[lo] >= index.lowest - 1e-6) & (scarce[hi] - scarce[lo] >= index.rare_needed - 1e-6)
+        open_ = index.open_passages(term, words.doc, (np.arange(words.n) - words.first[words.doc]) // step, base, count)
         found: dict[tuple[int, int], list] = {}
-        for k in np.flatnonzero(open_).tolist():
+        for k in open_.tolist():
             mine = term[lo[k] : hi[k]]
             for item, score in index.wand(np.unique(mine[mine >= 0]).tolist()):
                 asked, told = index.verify(item, words.hash[lo[k] : hi[k]])
