@@ -14,8 +14,8 @@ ORACLES: dict[str, str] = {}
 
 
 def _ties_up(sql: str) -> str:
-    """Spark rounds a decimal tie away from zero and DuckDB its binary value: nudge the latter, round(x, n) to
-    round(x + sign(x) * 1e-9, n)."""
+    """Sums that differ in their last bit must not fall on two sides of a tie: both engines round values that
+    are nudged away from zero, round(x, n) as round(x + sign(x) * 1e-9, n)."""
     out, at = "", 0
     while (start := sql.find("round(", at)) >= 0:
         depth, end, comma = 1, start + 6, 0
@@ -49,7 +49,8 @@ def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
     for name, kind in df.dtypes:
         c = F.col(name)
         if kind in ("double", "float"):
-            c = F.round(c.cast("double"), digits) + F.lit(0.0)
+            c = c.cast("double")
+            c = F.round(c + F.signum(c) * 1e-9, digits) + F.lit(0.0)
         elif kind in ("int", "smallint", "tinyint"):
             c = c.cast("long")
         out.append(c.alias(name))
