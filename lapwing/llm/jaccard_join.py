@@ -1,16 +1,17 @@
 """Exact Jaccard self-join on word shingles, for the classes of texts that it links.
 
-Equal sets are one class from the start.  Two sets of similarity t or more share one of the first
-n - ceil(t n) + 1 of their tokens in any common order (frequent tokens last, then by hash); those
-prefixes are dealt out by token.  Tokens are packed per task, and a token's holders inside a task
+Equal sets are one class from the start.  Two sets of similarity t or more share l of the first
+n - ceil(t n) + l of their tokens in any common order (frequent tokens last, then by hash), with the
+smaller of their two l; here l grows with n.  Those prefixes are dealt out by token.  Tokens are packed per task, and a token's holders inside a task
 answer for one another through their least, so a frequent token is one entry a task.  What several
 sets share is kept as (token, set) rows.
 
 Links are then found in two steps, and no link between different components is missed:
 
-1. Every set is compared with the one that most of its tokens name as their least holder, if a good
-   share of its prefix does.  Groups of near copies collapse here with one comparison a member.
-2. Tokens whose holders are still in different components go to *signature trees*, one per token and
+1. In rounds, every set is compared with the one of another component that most of its tokens name as
+   their least holder, unless their bitmaps rule it out.  Groups of near copies collapse here, with a
+   comparison or a few a member.
+2. Tokens whose holders are still in different components, of sets that share l of them, go to *signature trees*, one per token and
    range of sizes (very large groups in blocks, each pair of blocks once).  A leaf is a set's bitmap
    of hashed tokens; a node holds the OR of its members' bitmaps, their range of sizes and how many
    tokens bitmaps hide.  A dual traversal drops pairs of nodes whose greatest possible overlap is too
@@ -38,7 +39,7 @@ TOKEN_BITS = 52
 #: Rows of one numpy step; their number shares a word with the token.
 STEP_ROWS = 1 << (64 - TOKEN_BITS)
 #: Prefix tokens that a task gathers before it sends them.
-GATHER = 3_000_000
+GATHER = 1_500_000
 #: A token is frequent if it is this often in the corpus, or more than one in 2**20 of all tokens.
 FREQUENT = 64
 BUCKET_BYTES = 4_000_000
@@ -48,8 +49,9 @@ LEAF = 8
 SMALL_CELL = 32
 #: Rows of cells that one group takes together.
 GROUP_ROWS = 20_000
-#: Share (percent) of a set's prefix that must name one holder before the two are compared in step 1.
-STRONG = 40
+ROUNDS = 8
+#: A set of n tokens has l = 1 + n // SHARED of them to share in prefixes.
+SHARED = 12
 BROADCAST_ROWS = 200_000
 
 
@@ -175,7 +177,7 @@ def prefixes(first: np.ndarray, tokens: np.ndarray, frequent: np.ndarray, percen
     before = rare[:-1] - rare[first[:-1]][doc]
     rares = (rare[first[1:]] - rare[first[:-1]])[doc]
     place = np.where(late, rares + (np.arange(len(tokens)) - first[:-1][doc] - before), before)
-    take = place < (n - -(-percent * n // 100) + 1)[doc]
+    take = place < (n - -(-percent * n // 100) + 1 + n // SHARED)[doc]
     return doc[take], tokens[take]
 
 
@@ -270,10 +272,6 @@ def verified(pairs: DataFrame, keyed: DataFrame, shown: DataFrame, width: int, p
     return frames.materialise(met.select("a", "b", "ta", "tb").mapInArrow(_linked(width, percent), "a long, b long"), "links")
 
 
-def prefix_size(n: F.Column, percent: int) -> F.Column:
-    return n - F.ceil(percent * n / 100) + 1
-
-
 class Tree:
     """Signature tree of some sets: levels from the leaves' items up, each node over LEAF of the level below."""
 
@@ -410,16 +408,62 @@ def _candidates(percent: int):
     return work
 
 
+def _labelled(holders: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(token, cid, comp): holders with the component of each set, at first itself."""
+    if labels is None:
+        return holders.withColumn("comp", F.col("cid"))
+    return frames.materialise(holders.join(labels.select(F.col("node").alias("cid"), "root"), "cid", "left").select("token", "cid", F.coalesce("root", "cid").alias("comp")), "labelled")
+
+
+def _nearest(holders: DataFrame, signed: DataFrame, tested: DataFrame | None, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(chosen, fitting): for each set b the pair (a, b) with the set a that most of its tokens name, the least
+    holder in the least component, if that is another; and those that their bitmaps do not rule out."""
+    least = holders.groupBy("token").agg(F.min(F.struct("comp", "cid")).alias("first")).select("token", F.col("first.comp").alias("ca"), F.col("first.cid").alias("a"))
+    named = holders.join(least, "token").where("comp <> ca").groupBy("a", F.col("cid").alias("b")).agg(F.count("*").alias("k"))
+    bits = lambda side: signed.select(F.col("cid").alias(side), F.col("n").alias(f"n{side}"), F.col("bitmap").alias(f"m{side}"))
+    if tested is not None:
+        named = named.join(tested, ["a", "b"], "left_anti")
+    best = frames.materialise(named.groupBy("b").agg(F.max(F.struct("k", "a")).alias("best")).select("best.a", "b"), "chosen")
+    met = best.join(bits("b"), "b").join(bits("a"), "a").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    return best, frames.materialise(met.mapInArrow(_fitting(percent), "a long, b long"), "nearest")
+
+
+def _fitting(percent: int):
+    """Pairs of sets whose bitmaps do not rule a link out."""
+
+    def narrow(raw: bytes, width: int) -> int:
+        out = 0
+        for at in range(0, len(raw), width):
+            out |= int.from_bytes(raw[at : at + width], "little")
+        return out
+
+    def work(batches):
+        for batch in batches:
+            keep = []
+            for na, ma, nb, mb in zip(*(batch.column(c).to_pylist() for c in ("na", "ma", "nb", "mb"))):
+                width = min(len(ma), len(mb))
+                x, y = narrow(ma, width), narrow(mb, width)
+                most = (x & y).bit_count() + min(na - x.bit_count(), nb - y.bit_count())
+                keep.append((100 + percent) * most >= percent * (na + nb))
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
+
+    return work
+
+
 def _tree_pairs(holders: DataFrame, labels: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
     """Pairs of sets in different components that share a token and that the trees do not rule out; signed:
     (cid, n, bitmap)."""
-    comp = holders.join(labels.select(F.col("node").alias("cid"), "root"), "cid", "left").select("token", "cid", F.coalesce("root", "cid").alias("comp"))
-    comp = frames.materialise(comp, "holders")
-    mixed = comp.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k"), F.sum(F.xxhash64("cid") % (1 << 40)).alias("who")).where("lo < hi")
-    once = mixed.groupBy("k", "who").agg(F.min("token").alias("token")).select("token")  # equal groups of holders meet once
+    comp = _labelled(holders, labels)
     sizes = signed.select("cid", "n")
+    mixed = lambda rows: rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k"), F.sum(F.xxhash64("cid") % (1 << 40)).alias("who")).where("lo < hi")
+    rows = frames.materialise(comp.join(mixed(comp).select("token"), "token", "left_semi").join(sizes, "cid"), "mixed")
+    # a partner has percent of the set's size at least, and so the two share at least the l of that size
+    enough = rows.groupBy("cid", "n").agg(F.count("*").alias("k")).where(F.col("k") >= 1 + F.floor(F.ceil(percent * F.col("n") / 100) / SHARED)).select("cid")
+    rows = rows.join(enough, "cid", "left_semi")
+    once = mixed(rows).groupBy("k", "who").agg(F.min("token").alias("token")).select("token")  # equal groups of holders meet once
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9).cast("int")
-    rows = frames.materialise(comp.join(once, "token", "left_semi").join(sizes, "cid").withColumn("band", band), "mixed")
+    rows = frames.materialise(rows.join(once, "token", "left_semi").withColumn("band", band), "mixed")
     spread = rows.select("token", "cid", "comp", "n", F.explode(F.array(F.struct(F.lit(True).alias("home"), F.col("band")), F.struct(F.lit(False).alias("home"), (F.col("band") + 1).alias("band")))).alias("x"))
     spread = spread.select("token", "cid", "comp", "n", "x.home", "x.band")
     # ranges of one component, or without a home, have nothing to find
@@ -454,14 +498,17 @@ def linked_sets(docs: DataFrame, width: int = 5, percent: int = 75) -> tuple[Dat
     shown = frames.materialise(shown, "shown")
     signed = shown.select("cid", "n", "bitmap")
 
-    least = holders.groupBy("token").agg(F.min("cid").alias("a"))
-    named = holders.join(least, "token").where("cid <> a").groupBy("a", F.col("cid").alias("b")).agg(F.count("*").alias("k"))
-    sizes = signed.select("cid", "n")
-    named = named.join(sizes.select(F.col("cid").alias("b"), F.col("n").alias("nb")), "b").where(100 * F.col("k") >= STRONG * prefix_size(F.col("nb"), percent))
-    named = named.join(sizes.select(F.col("cid").alias("a"), F.col("n").alias("na")), "a").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    nearest = frames.materialise(named.groupBy("b").agg(F.max(F.struct("k", "a")).alias("best")).select("best.a", "b"), "nearest")
     ids = shown.select("did", "rid", "cid")
-    links = verified(nearest, keyed, ids, width, percent)
+    links = labels = tested = None
+    for _ in range(ROUNDS):
+        chosen, pairs = _nearest(_labelled(holders, labels), signed, tested, percent)
+        tested = chosen if tested is None else tested.unionByName(chosen)
+        found = verified(pairs, keyed, ids, width, percent)
+        if found.count() * 50 <= pairs.count():  # hardly anything links any more: the trees take over
+            links = found if links is None else links.unionByName(found)
+            break
+        links = found if links is None else links.unionByName(found)
+        labels = frames.materialise(components(links), "labels")
     labels = frames.materialise(components(links), "labels")
     candidates = _tree_pairs(holders, labels, signed, percent)
     more = verified(candidates, keyed, ids, width, percent)

@@ -9,8 +9,8 @@ in the same plan as the scan, without a shuffle.
 
 ``labelled_findings`` makes the training rows from the documents themselves: candidates of formats
 that are secrets by construction, others that are not (numbers with a valid check digit, plain
-numbers), and decoys that are put together from the documents' own words (identifiers, paths,
-addresses, digests named as such).  At most ``max_findings`` of each kind are used.
+numbers), decoys that are put together from the documents' own words (identifiers, paths, digests
+named as such), and secrets put together from digests of their numbers.  Both labels weigh the same.  At most ``max_findings`` of each kind are used.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 #: fixed values: names of keys
 NAMES = "password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|credentials?"
 ASSIGNED = rf"(?i)(?:{NAMES})[\"']?[ \t]{{0,4}}[:=][ \t]{{0,4}}[\"']?([^\s\"',;]{{8,200}})"
-LONG = r"-----BEGIN (?:[A-Z]{2,10} ){0,3}PRIVATE KEY-----|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}={0,2}"
+LONG = r"-----BEGIN (?:[A-Z]{2,10} ){0,3}PRIVATE KEY-----|(?<![A-Za-z0-9+/_-])AKIA[0-9A-Z]{16}(?![A-Za-z0-9+/_-])|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}={0,2}"
 #: fixed values: formats that are secrets by construction
 KNOWN = r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{35}|sk_live_[0-9A-Za-z]{24,}|-----BEGIN .*PRIVATE KEY-----)$"
 #: fixed values: words that a harmless token is made of
@@ -100,7 +100,15 @@ def labelled_findings(docs: DataFrame, path: str = "source", max_findings: int =
         (digest, F.lit("commit "), F.lit(" by ")),
         (F.concat_ws("-", F.substring(digest, 1, 8), F.substring(digest, 9, 4), F.substring(digest, 13, 4), F.substring(digest, 17, 4), F.substring(digest, 21, 12)), F.lit("uuid "), F.lit(".")),
     ]
-    decoys = [heads.select("doc_id", F.lit(None).cast("string").alias("path"), F.struct(t.alias("token"), F.lit(1).alias("at"), b.alias("before"), a.alias("after")).alias("c"), F.lit(0.0).alias("label")) for t, b, a in kinds]
+    # and secrets of kinds that the documents may not have, from digests of their numbers
+    wide = F.sha2(F.col("doc_id").cast("string"), 256)
+    made = [
+        (F.substring(F.translate(F.base64(F.unhex(wide)), "+/=", "xyz"), 1, 24), F.lit("secret: "), F.lit(" ")),
+        (F.substring(F.translate(F.base64(F.unhex(wide)), "+/=", "xyz"), 9, 17), F.lit("api_key="), F.lit("\n")),
+        (F.substring(wide, 1, 32), F.lit('password = "'), F.lit('" ')),
+        (F.concat(F.lit("AKIA"), F.upper(F.translate(F.substring(wide, 11, 16), "0189", "GHJK"))), F.lit("the key "), F.lit(" is")),
+    ]
+    decoys = [heads.select("doc_id", F.lit(None).cast("string").alias("path"), F.struct(t.alias("token"), F.lit(1).alias("at"), b.alias("before"), a.alias("after")).alias("c"), F.lit(label).alias("label")) for label, some in ((0.0, kinds), (1.0, made)) for t, b, a in some]
     out = picked[0].unionByName(picked[1])
     for d in decoys:
         out = out.unionByName(d.where("length(c.token) >= 8"))
@@ -110,10 +118,12 @@ def labelled_findings(docs: DataFrame, path: str = "source", max_findings: int =
 def train(findings: DataFrame, trees: int = 15, depth: int = 6) -> RandomForestClassificationModel | None:
     """The forest, or None when findings of one kind are missing: then every candidate counts as a secret."""
     rows = findings.select(features(F.col("c"), F.col("path")).alias("f"), "label").select("f.*", "label")
-    if rows.select("label").distinct().count() < 2:
+    n = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if len(n) < 2:
         return None
-    forest = RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=trees, maxDepth=depth, seed=17, cacheNodeIds=False)
-    return forest.fit(VectorAssembler(inputCols=FEATURES, outputCol="x").transform(rows).select("x", "label"))
+    rows = rows.withColumn("weight", F.when(F.col("label") == 1, sum(n.values()) / (2 * n[1.0])).otherwise(sum(n.values()) / (2 * n[0.0])))
+    forest = RandomForestClassifier(featuresCol="x", labelCol="label", weightCol="weight", numTrees=trees, maxDepth=depth, seed=17, cacheNodeIds=False)
+    return forest.fit(VectorAssembler(inputCols=FEATURES, outputCol="x").transform(rows).select("x", "label", "weight"))
 
 
 _NODE = re.compile(r"^\s*(If|Else) \(feature (\d+) (<=|>) ([-0-9.Ee]+)\)$|^\s*Predict: ([0-9.]+)$")
