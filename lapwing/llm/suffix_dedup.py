@@ -270,7 +270,8 @@ def repeated_bytes(docs: DataFrame, threshold: int = 400) -> DataFrame:
     runs = frames.materialise(keyed.select("did", "rid", "text").mapInArrow(_runs(threshold), RUNS), "runs")
     anchors = runs.groupBy("akey").agg(F.count("*").alias("n")).where("n > 1").select("akey")
     met = runs.join(anchors, "akey", "left_semi")
-    groups = met.groupBy("akey", *key).agg(F.count("*").alias("n"), F.min(F.struct("did", "rid", "p0", "geom")).alias("one"))
+    # grouped by the whole text alone: a common anchor must not bring all its runs to one task
+    groups = met.groupBy(*key).agg(F.min("akey").alias("akey"), F.count("*").alias("n"), F.min(F.struct("did", "rid", "p0", "geom")).alias("one"))
     groups = frames.materialise(groups, "groups")
     members = met.join(groups.where("n > 1").select(*key), key, "left_semi").select("did", "rid", "p0", "geom", F.lit(1).alias("what"))
     mixed = groups.groupBy("akey").agg(F.count("*").alias("m")).where("m > 1").select("akey")
@@ -285,7 +286,7 @@ def repeated_bytes(docs: DataFrame, threshold: int = 400) -> DataFrame:
     blocks = frames.materialise(pieces.mapInArrow(_blocks(threshold), BLOCKS), "blocks")
     cores = blocks.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
     met = blocks.join(cores, "core", "left_semi")
-    groups = frames.materialise(met.groupBy("core", *key).agg(F.count("*").alias("n"), F.min(F.struct("did", "rid", "p0", "b", "undecided")).alias("one")), "block-groups")
+    groups = frames.materialise(met.groupBy(*key).agg(F.min("core").alias("core"), F.count("*").alias("n"), F.min(F.struct("did", "rid", "p0", "b", "undecided")).alias("one")), "block-groups")
     whole = met.where("undecided").join(groups.where("n > 1").select(*key), key, "left_semi")
     pieces_at = pieces.select("did", "rid", "p0", "geom")
     # the windows of a block that the piece has: those at distance b * BLOCK .. b * BLOCK + BLOCK - 1 before the anchor
