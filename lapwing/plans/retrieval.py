@@ -150,7 +150,7 @@ def relative_days(ev):
 
 @query(
     "r06_r07_j13_j16_cases",
-    f"""WITH {B.EV}, {B.PROMPTS}, {DAYS} SELECT prompt_id, 'value ' || printf('%.1f', value) || CASE WHEN available = 'yes' THEN ', available' ELSE ', not available' END || '; ' ||
+    f"""WITH {B.EV}, {B.PROMPTS}, {DAYS} SELECT prompt_id, 'value ' || CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) || CASE WHEN available = 'yes' THEN ', available' ELSE ', not available' END || '; ' ||
       CASE WHEN d.click IS NULL AND d.view IS NULL THEN 'no data' ELSE concat_ws('; ', CASE WHEN d.click IS NOT NULL THEN 'click ' || CAST(CAST(floor(d.click) AS BIGINT) AS VARCHAR) END, CASE WHEN d.view IS NOT NULL THEN 'view ' || CAST(CAST(floor(d.view) AS BIGINT) AS VARCHAR) END) END AS line
     FROM pr LEFT JOIN dy d ON d.user_id = pr.user_id AND d.day = pr.ms // 86400000 - 1""",
 )
@@ -161,7 +161,7 @@ def cases(ev):
     prompts = B.prompts(ev).withColumn("day", T.day_of(F.col("ms"))).join(days, ["user_id", "day"], "left")
     whole = lambda c: F.floor(c).cast("long")
     sensed = X.rendered({"click": ("click %d", whole(F.col("click"))), "view": ("view %d", whole(F.col("view")))})
-    head = F.concat(F.lit("value "), F.format_string("%.1f", F.col("value")), F.when(F.col("available") == "yes", ", available").otherwise(", not available"), F.lit("; "))
+    head = F.concat(F.lit("value "), whole(F.col("value")).cast("string"), F.when(F.col("available") == "yes", ", available").otherwise(", not available"), F.lit("; "))
     return prompts.select("prompt_id", F.concat(head, sensed).alias("line"))
 
 
