@@ -22,6 +22,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import frames
+
 #: fixed values: names of keys
 NAMES = "password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|credentials?"
 ASSIGNED = rf"(?i)(?:{NAMES})[\"']?[ \t]{{0,4}}[:=][ \t]{{0,4}}[\"']?([^\s\"',;]{{8,200}})"
@@ -86,7 +88,7 @@ def labelled_findings(docs: DataFrame, path: str = "source", max_findings: int =
     named = features(F.col("c"), F.col("path"))
     secret = token.rlike(KNOWN) | ((named["named"] == 1) & (named["assigned"] == 1) & (named["digits"] >= 3) & (named["covered"] < 0.5) & (named["changes"] >= 4))
     plain = token.rlike("^[0-9]+$") | _check_digit(token)
-    known = rows.withColumn("label", F.when(secret, 1.0).when(plain, 0.0)).where("label is not null")
+    known = frames.materialise(rows.withColumn("label", F.when(secret, 1.0).when(plain, 0.0)).where("label is not null"), "known-findings")
     picked = [known.where(F.col("label") == k).orderBy(turn, "doc_id").limit(max_findings) for k in (0.0, 1.0)]
     # decoys from the first words of documents in the order of a hash
     heads = docs.where(F.length("text") > 60).orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id").limit(max_findings // 4)
@@ -117,7 +119,7 @@ def labelled_findings(docs: DataFrame, path: str = "source", max_findings: int =
 
 def train(findings: DataFrame, trees: int = 15, depth: int = 6) -> RandomForestClassificationModel | None:
     """The forest, or None when findings of one kind are missing: then every candidate counts as a secret."""
-    rows = findings.select(features(F.col("c"), F.col("path")).alias("f"), "label").select("f.*", "label")
+    rows = frames.materialise(findings.select(features(F.col("c"), F.col("path")).alias("f"), "label").select("f.*", "label"), "findings")  # MLlib reads them many times
     n = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:
         return None
