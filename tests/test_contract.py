@@ -1,6 +1,7 @@
 """Every registered query against its oracle, at the smallest scale, for a few cheap ones; and the guards."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -16,7 +17,8 @@ def test_oracle(spark, sf_dir, name):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
     want, got = con.execute(entry.oracle_sql()[name]).df(), entry.queries()[name](spark, sf_dir).toPandas()
     assert sorted(want.columns) == sorted(got.columns) and len(want) == len(got)
-    norm = lambda d: sorted(str([None if x is None or x != x else float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x) for x in r]) for r in d[sorted(d.columns)].astype(object).itertuples(index=False))
+    plain = lambda x: None if pd.isna(x) else float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
+    norm = lambda d: sorted(str([plain(x) for x in r]) for r in d[sorted(d.columns)].astype(object).itertuples(index=False))
     assert norm(want) == norm(got)
 
 
