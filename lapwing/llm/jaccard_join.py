@@ -39,7 +39,7 @@ TOKEN_BITS = 52
 #: Rows of one numpy step; their number shares a word with the token.
 STEP_ROWS = 1 << (64 - TOKEN_BITS)
 #: Prefix tokens that a task gathers before it sends them.
-GATHER = 1_500_000
+GATHER = 1_000_000
 #: A token is frequent if it is this often in the corpus, or more than one in 2**20 of all tokens.
 FREQUENT = 64
 BUCKET_BYTES = 4_000_000
@@ -49,7 +49,7 @@ LEAF = 8
 SMALL_CELL = 32
 #: Rows of cells that one group takes together.
 GROUP_ROWS = 20_000
-ROUNDS = 8
+ROUNDS = 5
 #: A set of n tokens has l = 1 + n // SHARED of them to share in prefixes.
 SHARED = 12
 BROADCAST_ROWS = 200_000
