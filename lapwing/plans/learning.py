@@ -19,6 +19,8 @@ from .pit import BASE, clicks
 
 HOURS = 6
 FEATURES = ["n", "total"]
+#: what bindings deal rows to; each is held out once
+FOLDS = [1, 2, 3, 4, 5]
 
 
 def _prompts(ev):
@@ -125,15 +127,15 @@ def sensor_models(ev):
     """Models on sensing, one fold held out at a time (an inner grid for the logistic one)."""
     rows = _sensor_rows(ev).persist()
     stages = L.sensor_stages(["hours", "total", "volume", "desire_rate", "joint_rate"])
-    return _scores([L.cross_validate(rows, stages, m, [1, 2], grid=m == "logistic") for m in L.MODELS])
+    return _scores([L.cross_validate(rows, stages, m, FOLDS, grid=m == "logistic") for m in L.MODELS])
 
 
 @query("m05_text_models")
 def text_models(spark, sf_dir):
     """Tf-idf and plain counts of diary texts."""
     rows = B.diary(spark, sf_dir).where("quality is not null").select(F.col("doc_id").alias("id"), "fold", "text", F.col("quality").cast("double").alias("label")).persist()
-    tfidf = L.cross_validate(rows, L.text_stages(300), "logistic", [1, 2])
-    counts = L.cross_validate(rows, L.text_stages(200, idf=False), "ridge", [1, 2])
+    tfidf = L.cross_validate(rows, L.text_stages(500), "logistic", FOLDS)
+    counts = L.cross_validate(rows, L.text_stages(300, idf=False), "ridge", FOLDS)
     return _scores([tfidf, counts])
 
 
@@ -143,11 +145,11 @@ def fused_models(spark, sf_dir):
     rows = B.diary(spark, sf_dir).where("quality is not null").select(F.col("doc_id").alias("id"), "fold", F.coalesce("text", F.lit("")).alias("text"), F.col("quality").cast("double").alias("label"), F.col("n_chars").cast("double").alias("size")).persist()
     numbers = [VectorAssembler(inputCols=["size"], outputCol="raw"), StandardScaler(inputCol="raw", outputCol="sensed", withMean=True)]
     stages = numbers + L.text_stages(200, out="said") + [VectorAssembler(inputCols=["sensed", "said"], outputCol="x")]
-    return _scores([L.cross_validate(rows, stages, "logistic", [1, 2])])
+    return _scores([L.cross_validate(rows, stages, "logistic", FOLDS)])
 
 
 @query("m07_vector_models")
 def vector_models(spark, sf_dir):
     """Precomputed vectors."""
     rows = B.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), (F.col("vec_id") % 5 + 1).alias("fold"), (F.col("label") < 5).cast("double").alias("label"), array_to_vector(F.col("embedding").cast("array<double>")).alias("x"))
-    return _scores([L.cross_validate(rows.persist(), [], "logistic", [1, 2])])
+    return _scores([L.cross_validate(rows.persist(), [], "logistic", FOLDS)])
