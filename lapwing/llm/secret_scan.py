@@ -1,7 +1,7 @@
 """Secret scans: regular expressions find candidates, a random forest removes false positives.
 
 All of it is DataFrame and SQL functions.  A candidate is a token after a key name and an assignment, a
-long token with digits, or the head of a private key.  Its features are its length, counts and changes
+long token with digits, or a private key from its BEGIN to its END line.  Its features are its length, counts and changes
 of character classes, coverage by dictionary words, words of the path it was found in, and the words
 before and after it.  The forest is MLlib's, trained on labelled findings; its trees are then written
 out as SQL conditions, so scoring (also inside an array of candidates, where redaction needs it) stays
@@ -26,10 +26,19 @@ from . import frames
 
 #: fixed values: names of keys
 NAMES = "password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|credentials?"
-ASSIGNED = rf"(?i)(?:{NAMES})[\"']?[ \t]{{0,4}}[:=][ \t]{{0,4}}[\"']?([^\s\"',;]{{8,200}})"
-LONG = r"-----BEGIN (?:[A-Z]{2,10} ){0,3}PRIVATE KEY-----|(?<![A-Za-z0-9+/_-])AKIA[0-9A-Z]{16}(?![A-Za-z0-9+/_-])|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}={0,2}"
+ASSIGNED = rf"(?i)(?:{NAMES})[\"']?[ \t]{{0,4}}[:=][ \t]{{0,4}}[\"']?([^\s\"',;]{{8,}})"
+KEY_LINE = "(?:[A-Z]{2,10} ){0,3}PRIVATE KEY-----"
+#: a private key up to its END line, or without one (or with another BEGIN or END before it) up to the end of its lines;
+#: atomic and possessive, so that it takes neither the square of a text's length nor a stack that grows with it
+_EOL = r"(?:\r?\n|\\r\\n|\\n)"
+PRIVATE_KEY = (
+    rf"-----BEGIN {KEY_LINE}(?:(?>(?s:.*?)(?=-----(?:BEGIN|END) ))-----END {KEY_LINE}"
+    rf"|(?:{_EOL}(?:Proc-Type|DEK-Info):[^\n\\]*+)*+(?:{_EOL}[ \t]*+(?={_EOL}))?+"
+    rf"(?:\s*+[A-Za-z0-9+/]{{16,}}+={{0,2}}|{_EOL}[ \t]*+[A-Za-z0-9+/]++={{0,2}}[ \t]*+(?={_EOL}|[\"']|\z)|{_EOL}[ \t]*+[A-Za-z0-9+/]{{16,}}+={{0,2}})*+)"
+)
+LONG = PRIVATE_KEY + r"|(?<![A-Za-z0-9+/_-])AKIA[0-9A-Z]{16}(?![A-Za-z0-9+/_-])|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}={0,2}"
 #: fixed values: formats that are secrets by construction
-KNOWN = r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{35}|sk_live_[0-9A-Za-z]{24,}|-----BEGIN .*PRIVATE KEY-----)$"
+KNOWN = r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{35}|sk_live_[0-9A-Za-z]{24,}|-----BEGIN (?:[A-Z]{2,10} ){0,3}PRIVATE KEY-----[\s\S]*)$"
 #: fixed values: words that a harmless token is made of
 WORDS = "example|sample|test|dummy|demo|placeholder|changeme|your|foo|bar|http|https|www|com|org|net|html|json|index|page|image|file|name|path|user|value|data|default|version|config|license|copyright|number|order|invoice|document|section|chapter|table|figure"
 HARMLESS_NEAR = r"(?i)\b(?:sha1|sha256|md5|commit|revision|checksum|digest|hash|uuid|guid|isbn|issn|doi|phone|tel|fax|card|visa|iban|order|invoice|serial|version)\b"
@@ -104,7 +113,11 @@ def labelled_findings(docs: DataFrame, path: str = "source", max_findings: int =
     ]
     # and secrets of kinds that the documents may not have, from digests of their numbers
     wide = F.sha2(F.col("doc_id").cast("string"), 256)
+    long = F.concat_ws(".", *(F.translate(F.base64(F.unhex(F.sha2(F.concat_ws("-", F.col("doc_id").cast("string"), F.lit(i)), 512))), "+/=", "-_x") for i in range(8)))
+    long = F.substring(long, F.lit(1), (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(600)) + 80).cast("int"))
     made = [
+        (long, F.lit("token: "), F.lit(" ")),
+        (F.translate(long, "_-xyz", ".!$%@"), F.lit('password = "'), F.lit('" ')),
         (F.substring(F.translate(F.base64(F.unhex(wide)), "+/=", "xyz"), 1, 24), F.lit("secret: "), F.lit(" ")),
         (F.substring(F.translate(F.base64(F.unhex(wide)), "+/=", "xyz"), 9, 17), F.lit("api_key="), F.lit("\n")),
         (F.substring(wide, 1, 32), F.lit('password = "'), F.lit('" ')),
@@ -152,11 +165,16 @@ def vote(model: RandomForestClassificationModel | None, f: Column) -> Column:
     return total / len(model.trees)
 
 
+def _score(model: RandomForestClassificationModel | None, token: Column, f: Column) -> Column:
+    """The forest's vote; a private key is one by its format."""
+    return F.when(token.rlike("^-----BEGIN"), 1.0).otherwise(vote(model, f))
+
+
 def _scored(docs: DataFrame, model: RandomForestClassificationModel | None, path: str) -> Column:
     where = F.col(path).cast("string") if path in docs.columns else F.lit(None).cast("string")
     return F.transform(
         candidates(F.coalesce(F.col("text"), F.lit(""))),
-        lambda c: F.struct(c["token"].alias("token"), c["at"].alias("at"), c["before"].alias("before"), vote(model, features(c, where)).alias("score")),
+        lambda c: F.struct(c["token"].alias("token"), c["at"].alias("at"), c["before"].alias("before"), _score(model, c["token"], features(c, where)).alias("score")),
     )
 
 
@@ -171,7 +189,7 @@ def scan(docs: DataFrame, model: RandomForestClassificationModel | None, path: s
     where = F.col(path).cast("string") if path in docs.columns else F.lit(None).cast("string")
     # one row a candidate before scoring, so that conditions compile
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), where.alias("path"), F.explode(candidates(F.col("text"))).alias("c"))
-    rows = rows.select("doc_id", "c", features(F.col("c"), F.col("path")).alias("f")).select("doc_id", "c", "f", vote(model, F.col("f")).alias("score"))
+    rows = rows.select("doc_id", "c", features(F.col("c"), F.col("path")).alias("f")).select("doc_id", "c", "f", _score(model, F.col("c.token"), F.col("f")).alias("score"))
     token = F.col("c.token")
     rule = F.when(token.rlike("^-----BEGIN"), "private key").when(token.rlike(KNOWN), "known format").when(F.col("f.named") == 1, "assigned to a key name").otherwise("long token")
     return rows.select("doc_id", F.col("c.at").alias("at"), F.length(token).alias("length"), rule.alias("rule"), "score", (F.col("score") >= threshold).alias("is_secret"), F.sha2(token, 256).alias("token_sha256"))

@@ -1,0 +1,60 @@
+"""Whole secrets: long values and private keys."""
+
+import base64
+import hashlib
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from lapwing.llm import secret_scan
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def forest(spark):
+    return secret_scan.train(secret_scan.labelled_findings(spark.read.parquet(f"{SF}/documents.parquet")))
+
+
+def redacted(spark, forest, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("source", F.lit("src"))
+    return [r.text for r in secret_scan.redact(docs, forest).orderBy("doc_id").collect()]
+
+
+def pieces(secret, n=12):
+    return [secret[i : i + n] for i in range(0, len(secret) - n + 1)]
+
+
+def test_no_part_of_a_long_value_survives(spark, forest):
+    coded = lambda seed, n: base64.urlsafe_b64encode(random.Random(seed).randbytes(n)).decode().rstrip("=")
+    jwt = f"{coded(1, 27)}.{coded(2, 290)}.{coded(3, 64)}"[:500]
+    other = "".join(random.Random(4).choices("abcdefXYZ0123456789.!$%:@", k=700))
+    for secret, text in zip((jwt, other), redacted(spark, forest, [f"set token: {jwt} and go", f"password = \"{other}\" in the file"])):
+        assert not any(p in text for p in pieces(secret)), text
+    docs = spark.createDataFrame([(1, f"token: {jwt} x")], "doc_id long, text string")
+    found = {(r.at, r.length, r.token_sha256) for r in secret_scan.scan(docs, forest).collect()}
+    assert (8, len(jwt), hashlib.sha256(jwt.encode()).hexdigest()) in found
+
+
+def pem(lines, end=True, eol="\n", label="RSA "):
+    return eol.join([f"-----BEGIN {label}PRIVATE KEY-----", *lines, *([f"-----END {label}PRIVATE KEY-----"] if end else [])])
+
+
+def test_no_part_of_a_private_key_survives(spark, forest):
+    body = base64.b64encode(random.Random(5).randbytes(1190)).decode()
+    lines = [body[i : i + 64] for i in range(0, len(body), 64)]
+    head = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0123456789ABCDEF", ""]
+    keys = [pem(lines), pem(lines, eol="\\n", label=""), pem(lines, end=False), pem(head + lines, end=False), pem(lines, end=False) + "\n" + pem(lines), pem(head + lines), pem(lines, eol=" ")]
+    texts = redacted(spark, forest, [f"It was here.\n{k}\nThe text goes on, and on." for k in keys])
+    for text in texts:
+        assert not any(p in text for x in lines for p in pieces(x, 8)), text
+        assert text.startswith("It was here.\n") and text.endswith("\nThe text goes on, and on.")
+    docs = spark.createDataFrame([(1, "A key: " + keys[0] + " ends")], "doc_id long, text string")
+    (key,) = [r for r in secret_scan.scan(docs, forest).collect() if r.rule == "private key"]
+    assert (key.at, key.length, key.is_secret) == (8, len(keys[0]), True)
+
+
+def test_many_begin_lines_without_end(spark, forest):
+    text = "-----BEGIN PRIVATE KEY-----\n" * 20000 + "word - " * 50000
+    assert "PRIVATE KEY" not in redacted(spark, forest, [text])[0]
