@@ -16,6 +16,7 @@ named as such), and secrets put together from digests of their numbers.  Both la
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -50,16 +51,43 @@ FEATURES = [
 ]
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _matches(text: Column, pattern: str, token: Callable[[Column], Column]) -> Column:
+    """array<struct<token, at, before, after>> of a pattern's matches; a token ends where its match does.
+    Places are the summed lengths of the matches and of the gaps between them, and what stands around a
+    token is taken from those, so that no match walks the text again."""
+    none = F.array().cast("array<struct<token:string,at:int,before:string,after:string>>")
+
+    def step(so_far: Column, x: Column) -> Column:
+        t, past = x["token"], F.concat(so_far["tail"], F.right(x["gap"], F.lit(BEFORE)), F.left(x["match"], F.length(x["match"]) - F.length(x["token"])))
+        end = so_far["end"] + F.length(x["gap"]) + F.length(x["match"])
+        one = F.struct(t.alias("token"), (end - F.length(t)).alias("at"), F.right(past, F.lit(BEFORE)).alias("before"), x["after"].alias("after"))
+        return F.struct(end.alias("end"), F.right(F.concat(past, t), F.lit(BEFORE)).alias("tail"), F.concat(so_far["out"], F.array(one)).alias("out"))
+
+    def walk(found: Column) -> Column:
+        def steps(gaps: Column) -> Column:
+            # two matches are longer than AFTER
+            ahead = lambda i: F.concat(*(F.left(F.coalesce(F.get(part, i + k), F.lit("")), F.lit(AFTER)) for k in (1, 2) for part in (gaps, found)))
+            return F.transform(found, lambda m, i: F.struct(F.get(gaps, i).alias("gap"), m.alias("match"), token(m).alias("token"), F.left(ahead(i), F.lit(AFTER)).alias("after")))
+
+        start = F.struct(F.lit(1).alias("end"), F.lit("").alias("tail"), none.alias("out"))
+        return F.when(F.size(found) == 0, none).otherwise(F.aggregate(_let(F.split(text, pattern, -1), steps), start, step)["out"])
+
+    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), walk)
+
+
 def candidates(text: Column) -> Column:
-    """array<struct<token, at, before, after>> of a text's distinct candidates; ``at`` counts characters from 1."""
-    found = F.array_distinct(F.concat(F.regexp_extract_all(text, F.lit(ASSIGNED), F.lit(1)), F.regexp_extract_all(text, F.lit(LONG), F.lit(0))))
+    """array<struct<token, at, before, after>> of a text's candidates, one for each place; ``at`` counts characters from 1."""
 
-    def placed(token: Column) -> Column:
-        at = F.instr(text, token)
-        start = F.greatest(at - BEFORE, F.lit(1))
-        return F.struct(token.alias("token"), at.alias("at"), F.substring(text, start, at - start).alias("before"), F.substring(text, at + F.length(token), F.lit(AFTER)).alias("after"))
+    def both(assigned: Column) -> Column:
+        new = lambda c: ~F.exists(assigned, lambda a: (a["at"] == c["at"]) & (a["token"] == c["token"]))
+        return F.concat(assigned, F.filter(_matches(text, LONG, lambda m: m), new))
 
-    return F.transform(found, placed)
+    return _let(_matches(text, ASSIGNED, lambda m: F.regexp_extract(m, ASSIGNED, 1)), both)
 
 
 def features(c: Column, path: Column) -> Column:
@@ -90,7 +118,7 @@ def _check_digit(token: Column) -> Column:
 
 def labelled_findings(docs: DataFrame, path: str = "source", max_findings: int = 4000) -> DataFrame:
     """(c, path, label): labelled candidates for training; see the module's head."""
-    turn = F.xxhash64("doc_id", "c.token", F.lit(5))
+    turn = F.xxhash64("doc_id", "c.token", "c.at", F.lit(5))
     where = F.col(path).cast("string") if path in docs.columns else F.lit(None).cast("string")
     rows = docs.select("doc_id", where.alias("path"), F.explode(candidates(F.col("text"))).alias("c"))
     token = F.col("c.token")
@@ -98,7 +126,7 @@ def labelled_findings(docs: DataFrame, path: str = "source", max_findings: int =
     secret = token.rlike(KNOWN) | ((named["named"] == 1) & (named["assigned"] == 1) & (named["digits"] >= 3) & (named["covered"] < 0.5) & (named["changes"] >= 4))
     plain = token.rlike("^[0-9]+$") | _check_digit(token)
     known = frames.materialise(rows.withColumn("label", F.when(secret, 1.0).when(plain, 0.0)).where("label is not null"), "known-findings")
-    picked = [known.where(F.col("label") == k).orderBy(turn, "doc_id").limit(max_findings) for k in (0.0, 1.0)]
+    picked = [known.where(F.col("label") == k).orderBy(turn, "doc_id", "c.at").limit(max_findings) for k in (0.0, 1.0)]
     # decoys from the first words of documents in the order of a hash
     heads = docs.where(F.length("text") > 60).orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id").limit(max_findings // 4)
     word = lambda i: F.lower(F.regexp_replace(F.split_part(F.substring("text", 1, 400), F.lit(" "), F.lit(i)), r"[^A-Za-z]", ""))
@@ -171,33 +199,59 @@ def _score(model: RandomForestClassificationModel | None, token: Column, f: Colu
 
 
 def _scored(docs: DataFrame, model: RandomForestClassificationModel | None, path: str) -> Column:
+    """array<struct<token, at, score, named>> of all candidates of ``text``, each judged where it stands."""
     where = F.col(path).cast("string") if path in docs.columns else F.lit(None).cast("string")
-    return F.transform(
-        candidates(F.coalesce(F.col("text"), F.lit(""))),
-        lambda c: F.struct(c["token"].alias("token"), c["at"].alias("at"), c["before"].alias("before"), _score(model, c["token"], features(c, where)).alias("score")),
-    )
+
+    def scored(c: Column) -> Column:
+        one = lambda f: F.struct(c["token"].alias("token"), c["at"].alias("at"), _score(model, c["token"], f).alias("score"), f["named"].alias("named"))
+        return _let(features(c, where), one)
+
+    return F.transform(candidates(F.coalesce(F.col("text"), F.lit(""))), scored)
 
 
 def scan(docs: DataFrame, model: RandomForestClassificationModel | None, path: str = "source", threshold: float = THRESHOLD) -> DataFrame:
     """One row for each distinct candidate of each row of ``docs``: doc_id, at (code point of its first
-    occurrence, from 1), length, rule, score, is_secret, token_sha256.
+    occurrence, from 1), length, rule, score, is_secret, token_sha256, occurrences (at, score and
+    is_secret of each, in order).  Each occurrence is judged where it stands; rule, score and is_secret
+    of the row are those of the occurrence with the highest score.
 
     The token itself is not shown.  Null and empty texts have no candidates; repeated rows report theirs
     each; without a path column the path says nothing; other columns are ignored; an empty table gives
     an empty result.
     """
-    where = F.col(path).cast("string") if path in docs.columns else F.lit(None).cast("string")
-    # one row a candidate before scoring, so that conditions compile
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), where.alias("path"), F.explode(candidates(F.col("text"))).alias("c"))
-    rows = rows.select("doc_id", "c", features(F.col("c"), F.col("path")).alias("f")).select("doc_id", "c", "f", _score(model, F.col("c.token"), F.col("f")).alias("score"))
-    token = F.col("c.token")
-    rule = F.when(token.rlike("^-----BEGIN"), "private key").when(token.rlike(KNOWN), "known format").when(F.col("f.named") == 1, "assigned to a key name").otherwise("long token")
-    return rows.select("doc_id", F.col("c.at").alias("at"), F.length(token).alias("length"), rule.alias("rule"), "score", (F.col("score") >= threshold).alias("is_secret"), F.sha2(token, 256).alias("token_sha256"))
+
+    def by_token(found: Column) -> Column:
+        tokens = F.array_distinct(F.transform(found, lambda c: c["token"]))
+        return F.transform(tokens, lambda t: F.struct(t.alias("token"), F.array_sort(F.transform(F.filter(found, lambda c: c["token"] == t), lambda c: F.struct(c["at"].alias("at"), c["score"].alias("score"), c["named"].alias("named")))).alias("places")))
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(_let(_scored(docs, model, path), by_token)).alias("c"))
+    token, places = F.col("c.token"), F.col("c.places")
+    best = F.array_max(F.transform(places, lambda p: F.struct(p["score"].alias("score"), p["named"].alias("named"))))
+    rule = F.when(token.rlike("^-----BEGIN"), "private key").when(token.rlike(KNOWN), "known format").when(best["named"] == 1, "assigned to a key name").otherwise("long token")
+    each = F.transform(places, lambda p: F.struct(p["at"].alias("at"), p["score"].alias("score"), (p["score"] >= threshold).alias("is_secret")))
+    return rows.select("doc_id", places[0]["at"].alias("at"), F.length(token).alias("length"), rule.alias("rule"), best["score"].alias("score"), (best["score"] >= threshold).alias("is_secret"), F.sha2(token, 256).alias("token_sha256"), each.alias("occurrences"))
 
 
 def redact(docs: DataFrame, model: RandomForestClassificationModel | None, path: str = "source", threshold: float = THRESHOLD, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every secret of ``text`` replaced by ``mark``; all rows and columns stay, a null text stays null."""
-    secrets = F.filter(_scored(docs, model, path), lambda c: c["score"] >= threshold)
-    longest_first = F.array_sort(F.transform(secrets, lambda c: c["token"]), lambda a, b: F.length(b) - F.length(a))
-    text = F.when(F.col("text").isNotNull(), F.aggregate(longest_first, F.col("text"), lambda t, s: F.replace(t, s, F.lit(mark))))
-    return docs.withColumn("text", text)
+    """``docs`` with every secret of ``text`` replaced by ``mark``; all rows and columns stay, a null text stays null.
+
+    A token that is a secret at one of its occurrences is replaced at all.  Occurrences that overlap get
+    one mark together; after them, what is left of the text is searched for the same characters."""
+    text = F.col("text")
+
+    def masked(found: Column) -> Column:
+        return _let(F.array_distinct(F.transform(F.filter(found, lambda c: c["score"] >= threshold), lambda c: c["token"])), lambda tokens: F.when(F.size(tokens) == 0, text).otherwise(_without(found, tokens)))
+
+    def _without(found: Column, tokens: Column) -> Column:
+        spans = F.array_sort(F.transform(F.filter(found, lambda c: F.array_contains(tokens, c["token"])), lambda c: F.struct(c["at"].alias("at"), (c["at"] + F.length(c["token"])).alias("end"))))
+        start = F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("kept"))
+
+        def step(so_far: Column, s: Column) -> Column:
+            kept = F.when(s["at"] >= so_far["at"], F.concat(so_far["kept"], F.array(F.substring(text, so_far["at"], s["at"] - so_far["at"])))).otherwise(so_far["kept"])
+            return F.struct(F.greatest(so_far["at"], s["end"]).alias("at"), kept.alias("kept"))
+
+        join = lambda s: F.array_join(F.concat(s["kept"], F.array(F.substring(text, s["at"], F.length(text)))), mark)
+        longest_first = F.array_sort(tokens, lambda a, b: F.length(b) - F.length(a))
+        return F.aggregate(longest_first, F.aggregate(spans, start, step, join), lambda t, s: F.replace(t, s, F.lit(mark)))
+
+    return docs.withColumn("text", F.when(text.isNotNull(), _let(_scored(docs, model, path), masked)))

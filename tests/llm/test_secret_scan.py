@@ -58,3 +58,27 @@ def test_no_part_of_a_private_key_survives(spark, forest):
 def test_many_begin_lines_without_end(spark, forest):
     text = "-----BEGIN PRIVATE KEY-----\n" * 20000 + "word - " * 50000
     assert "PRIVATE KEY" not in redacted(spark, forest, [text])[0]
+
+
+def test_every_occurrence_is_judged_where_it_stands(spark, forest):
+    digest = hashlib.sha1(b"3").hexdigest()
+    texts = [
+        f"See commit {digest} by him.\npassword = \"{digest}\" is set.",
+        "they call it sunshine99 there.\npassword: sunshine99\nthe end",
+        f"é {digest}ff then password={digest} and commit {digest} by",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("source", F.lit("src"))
+    out = [r.asDict(recursive=True) for r in secret_scan.scan(docs, forest).collect()]
+    of = lambda d, token: next(r for r in out if r["doc_id"] == d and r["token_sha256"] == hashlib.sha256(token.encode()).hexdigest())
+    first = of(0, digest)
+    assert [o["at"] for o in first["occurrences"]] == [12, texts[0].rindex(digest) + 1] and first["at"] == 12
+    assert [o["is_secret"] for o in first["occurrences"]] == [False, True] and first["is_secret"] and first["rule"] == "assigned to a key name"
+    assert [o["at"] for o in of(1, "sunshine99")["occurrences"]] == [texts[1].rindex("sunshine99") + 1]
+    assert [o["at"] for o in of(2, digest)["occurrences"]] == [texts[2].index("=") + 2, texts[2].rindex(digest) + 1]
+    red = redacted(spark, forest, texts)
+    assert digest not in red[0] and digest not in red[2], red
+
+
+def test_overlapping_secrets_leave_nothing(spark):
+    value, long = "=Zx81kq93LmPw", "my0000000000_token=="
+    assert redacted(spark, None, [f"so {long}{value[1:]} on"]) == ["so [SECRET] on"]
