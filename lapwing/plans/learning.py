@@ -124,7 +124,7 @@ def _scores(predictions: list[DataFrame]) -> DataFrame:
 @query("m04_m08_sensor_models")
 @events_of
 def sensor_models(ev):
-    """Models on sensing, one fold held out at a time (an inner grid for the logistic one)."""
+    """M01, M04 in part (README, Not built): models on sensing for one binary target, one fold held out at a time (an inner grid for the logistic one)."""
     rows = _sensor_rows(ev).persist()
     stages = L.sensor_stages(["hours", "total", "volume", "desire_rate", "joint_rate"])
     return _scores([L.cross_validate(rows, stages, m, FOLDS, grid=m == "logistic") for m in L.MODELS])
