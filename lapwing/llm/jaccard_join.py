@@ -2,24 +2,26 @@
 
 Equal sets are one class from the start.  Two sets of similarity t or more share l of the first
 n - ceil(t n) + l of their tokens in any common order (frequent tokens last, then by hash), with the
-smaller of their two l; here l grows with n.  Those prefixes are dealt out by token.  Tokens are packed per task, and a token's holders inside a task
-answer for one another through their least, so a frequent token is one entry a task.  What several
-sets share is kept as (token, set) rows.
-
-Links are then found in two steps, and no link between different components is missed:
-
-1. In rounds, every set is compared with the one of another component that most of its tokens name as
-   their least holder, unless their bitmaps rule it out.  Groups of near copies collapse here, with a
-   comparison or a few a member.
-2. Tokens whose holders are still in different components, of sets that share l of them, go to *signature trees*, one per token and
-   range of sizes (very large groups in blocks, each pair of blocks once).  A leaf is a set's bitmap
-   of hashed tokens; a node holds the OR of its members' bitmaps, their range of sizes and how many
-   tokens bitmaps hide.  A dual traversal drops pairs of nodes whose greatest possible overlap is too
-   small, whose sizes are too far apart, or that lie in one component already.
-
-Pairs that are left are compared exactly, with the texts sent to meet by plain joins.  Texts are
-fetched for those pairs only: with a broadcast of their row numbers while these are at most
-BROADCAST_ROWS, and with a merge join beyond.
+smaller of their two l; here l grows with n.  Those prefixes are dealt out by token, packed per task
+and bucket of tokens.  A token that several sets hold stands for the *star* of its least holder: two
+sets that share a token are both in that star, so (star, set) rows take the place of (token, set)
+rows, and tokens that near copies share fall together.
+
+A linked pair shares at least l tokens, so a set may leave out stars that stand for l - 1 of its tokens
+in all, if every set leaves them out in the same order; the largest stars go first.  Passages that very
+many documents hold leave the join here.
+
+What is left goes to *signature trees*, one per star (stars over CELL sets or CELL_BYTES of tokens in
+blocks).  A leaf is a set's bitmap of hashed tokens; a node holds the OR of its members' bitmaps, their
+range of sizes and how many tokens bitmaps hide.  A dual traversal drops pairs of nodes whose greatest
+possible overlap is too small, whose sizes are too far apart, or that lie in one component already.
+The pairs of sets that remain are compared exactly at once, on the tokens that came along, and only a
+link between two components of the cell goes out: at most members - 1 rows a cell.  Links inside
+blocks come first; stars of several blocks that still hold several components after them then meet
+block by block, in ranges of sizes.
+
+Tokens are sent only for the sets that are in a star.  Their texts are fetched with a broadcast of their
+row numbers while these are at most BROADCAST_ROWS, and with a merge join beyond.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import frames
@@ -42,17 +44,19 @@ STEP_ROWS = 1 << (64 - TOKEN_BITS)
 GATHER = 1_000_000
 #: A token is frequent if it is this often in the corpus, or more than one in 2**20 of all tokens.
 FREQUENT = 64
-BUCKET_BYTES = 4_000_000
-CELL = 2000
+BUCKET_BYTES = 8_000_000
+#: Sets, and bytes of their tokens, that one block of a star takes at most.
+CELL, CELL_BYTES = 4000, 8_000_000
 LEAF = 8
 #: Cells of at most so many sets are one node: their leaves are compared without a tree.
 SMALL_CELL = 32
-#: Rows of cells that one group takes together.
-GROUP_ROWS = 20_000
-ROUNDS = 5
+#: Bytes of cells that one group takes together.
+GROUP_BYTES = 8_000_000
 #: A set of n tokens has l = 1 + n // SHARED of them to share in prefixes.
 SHARED = 12
 BROADCAST_ROWS = 200_000
+#: Bytes of a token in a cell: the low 48 bits.
+TOKEN_BYTES = 6
 
 
 def token_sets(texts: list, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +95,7 @@ def _row_steps(work):
     return frames.per_step(cut)
 
 
-SETS = "did long, rid long, doc_id long, n long, cid long, bitmap binary, token long"
+SETS = "did long, rid long, doc_id long, n long, cid long, token long"
 
 
 def _bitmap_words(n: int) -> int:
@@ -99,14 +103,6 @@ def _bitmap_words(n: int) -> int:
     return 1 << min(max(math.ceil(math.log2(max(n, 1) / 32)), 0), 10)
 
 
-def bitmap(tokens: np.ndarray) -> bytes:
-    """The bitmap of a set of tokens, by their lowest bits."""
-    size = _bitmap_words(len(tokens)) * 64
-    bits = np.zeros(size, bool)
-    bits[(tokens & np.uint64(size - 1)).astype(np.int64)] = True
-    return np.packbits(bits, bitorder="little").tobytes()
-
-
 def _sets(width: int):
     """A row for each text, and a row (token, n) for each token that several texts of a task hold."""
 
@@ -118,13 +114,12 @@ def _sets(width: int):
             tokens, n = tokens[n > 1].view(np.int64), n[n > 1]
             gathered.clear()
             none = pa.nulls(len(n), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(n), none, pa.nulls(len(n), pa.binary()), pa.array(tokens)], names=names)
+            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(n), none, pa.array(tokens)], names=names)
 
         def step(batch: pa.RecordBatch):
             first, tokens = token_sets(batch.column("text").to_pylist(), width)
             gathered.append(tokens)
-            maps = pa.array([bitmap(tokens[first[i] : first[i + 1]]) for i in range(batch.num_rows)], pa.binary())
-            columns = [*(batch.column(k) for k in ("did", "rid", "doc_id")), pa.array(np.diff(first)), pa.array(set_ids(first, tokens)), maps, pa.nulls(batch.num_rows, pa.int64())]
+            columns = [*(batch.column(k) for k in ("did", "rid", "doc_id")), pa.array(np.diff(first)), pa.array(set_ids(first, tokens)), pa.nulls(batch.num_rows, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=names)
             if sum(map(len, gathered)) > GATHER:
                 yield from counts()
@@ -181,6 +176,16 @@ def prefixes(first: np.ndarray, tokens: np.ndarray, frequent: np.ndarray, percen
     return doc[take], tokens[take]
 
 
+def _low48(x: np.ndarray) -> bytes:
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES]).tobytes()
+
+
+def _from48(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // TOKEN_BYTES, 8), np.uint8)
+    out[:, :TOKEN_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, TOKEN_BYTES)
+    return out.view(np.uint64).ravel()
+
+
 MESSAGE = "bucket int, tokens binary, least binary, held binary, holders binary"
 
 
@@ -199,12 +204,13 @@ def _messages(width: int, percent: int, frequent: np.ndarray, buckets: int):
         heads = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
         size = np.diff(np.append(heads, len(token)))
         held = np.repeat(size > 1, size)
-        cuts = lambda t: np.searchsorted((t >> np.uint64(TOKEN_BITS - 32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
+        owner = lambda t: ((t >> np.uint64(TOKEN_BITS - 32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
         ht, hc, lt, lc = token[heads], cid[heads], token[held], cid[held]
-        a, b = cuts(ht), cuts(lt)
-        pack = lambda x: x.tobytes()
-        low = lambda x: np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-        rows = [(k, low(ht[a[k] : a[k + 1]]), pack(hc[a[k] : a[k + 1]]), pack(lt[b[k] : b[k + 1]]), pack(lc[b[k] : b[k + 1]])) for k in range(buckets) if a[k] < a[k + 1]]
+        # buckets that have something: never more messages than tokens, however many buckets there are
+        some, a = np.unique(owner(ht), return_index=True)
+        a = np.append(a, len(ht))
+        b = np.searchsorted(owner(lt), np.append(some, buckets))
+        rows = [(k, _low48(ht[a[x] : a[x + 1]]), hc[a[x] : a[x + 1]].tobytes(), lt[b[x] : b[x + 1]].tobytes(), lc[b[x] : b[x + 1]].tobytes()) for x, k in enumerate(some.tolist())]
         if rows:
             columns = list(zip(*rows))
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["bucket", "tokens", "least", "held", "holders"])
@@ -212,64 +218,46 @@ def _messages(width: int, percent: int, frequent: np.ndarray, buckets: int):
     return _flushed(work, width)
 
 
-def _holders(key, messages):
-    """(token, set) for tokens that several sets hold."""
-    raw = [np.frombuffer(x.as_py(), np.uint8).reshape(-1, 6) for x in messages.column("tokens")]
-    wide = np.zeros((sum(map(len, raw)), 8), np.uint8)
-    wide[:, :6] = np.concatenate(raw)
-    token = wide.view(np.uint64).ravel()
+STARS = "star long, cid long, k long"
+
+
+def _stars(key, messages):
+    """(star, set, number of tokens) for the tokens of a bucket that several sets hold."""
+    token = np.concatenate([_from48(x.as_py()) for x in messages.column("tokens")])
     cid = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in messages.column("least")])
+    # tasks name their least holder of each token, and all holders of those that several sets of the task hold
+    held = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in messages.column("held")]) & np.uint64((1 << 48) - 1)
+    token, cid = np.concatenate([token, held]), np.concatenate([cid, *(np.frombuffer(x.as_py(), np.int64) for x in messages.column("holders"))])
     order = np.lexsort((cid, token))
     token, cid = token[order], cid[order]
-    fresh = np.concatenate([[True], (token[1:] != token[:-1]) | (cid[1:] != cid[:-1])])
+    fresh = np.concatenate([[True], (token[1:] != token[:-1]) | (cid[1:] != cid[:-1])]) if len(token) else np.zeros(0, bool)
     token, cid = token[fresh], cid[fresh]
-    heads = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    heads = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
     size = np.diff(np.append(heads, len(token)))
     several = np.repeat(size > 1, size)
-    # the low 48 bits and the bucket tell tokens apart here; held tokens come in full
-    held = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in messages.column("held")]) & np.uint64((1 << 48) - 1)
-    who = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in messages.column("holders")])
-    token, cid = np.concatenate([token[several], held]), np.concatenate([cid[several], who])
-    order = np.lexsort((cid, token))
-    token, cid = token[order], cid[order]
-    fresh = np.concatenate([[True], (token[1:] != token[:-1]) | (cid[1:] != cid[:-1])]) if len(token) else np.zeros(0, bool)
-    bucket = np.uint64(key[0].as_py() % (1 << 15)) << np.uint64(48)
-    return pa.Table.from_pydict({"token": (token[fresh] | bucket).view(np.int64), "cid": cid[fresh]})
+    star, cid = np.repeat(cid[heads], size)[several], cid[several]
+    order = np.lexsort((cid, star))
+    star, cid = star[order], cid[order]
+    first = np.flatnonzero(np.concatenate([[True], (star[1:] != star[:-1]) | (cid[1:] != cid[:-1])])) if len(star) else np.zeros(0, np.int64)
+    return pa.Table.from_pydict({"star": star[first], "cid": cid[first], "k": np.diff(np.append(first, len(star)))})
 
 
-def _linked(width: int, percent: int):
-    """Pairs of a batch whose sets are similar enough."""
+def _bags(width: int):
+    """(cid, tokens) of texts."""
 
     def work(batch: pa.RecordBatch):
-        n = batch.num_rows
-        for at in range(0, n, STEP_ROWS // 2):
-            part = batch.slice(at, STEP_ROWS // 2)
-            k = part.num_rows
-            first, tokens = token_sets(part.column("ta").to_pylist() + part.column("tb").to_pylist(), width)
-            keep = []
-            for i in range(k):
-                x, y = tokens[first[i] : first[i + 1]], tokens[first[k + i] : first[k + i + 1]]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([part.column("a").filter(keep), part.column("b").filter(keep)], names=["a", "b"])
-
-    return frames.per_step(work, "ta", "tb")
-
-
-def texts_of(keyed: DataFrame, shown: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(cid, text) of the set numbers ``nodes`` (cid); shown: (did, rid, cid), one row of each set."""
-    wanted = frames.materialise(shown.join(nodes, "cid", "left_semi"), "wanted")
-    small = wanted.count() <= BROADCAST_ROWS
-    return frames.materialise(keyed.select("did", "rid", "text").join(F.broadcast(wanted) if small else wanted.hint("merge"), ["did", "rid"]).select("cid", "text"), "texts")
+        first, tokens = token_sets(batch.column("text").to_pylist(), width)
+        yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array([_low48(tokens[first[i] : first[i + 1]]) for i in range(batch.num_rows)], pa.binary())], names=["cid", "tokens"])
+
+    return _row_steps(work)
 
 
-def verified(pairs: DataFrame, keyed: DataFrame, shown: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of set numbers whose exact similarity is at least ``percent``."""
-    nodes = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
-    texts = texts_of(keyed, shown, nodes)
-    met = pairs.join(texts.select(F.col("cid").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("cid").alias("a"), F.col("text").alias("ta")), "a")
-    return frames.materialise(met.select("a", "b", "ta", "tb").mapInArrow(_linked(width, percent), "a long, b long"), "links")
+def bags_of(keyed: DataFrame, shown: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(cid, tokens) of the set numbers ``nodes`` (cid); shown: (did, rid, cid), one row of each set."""
+    wanted = frames.materialise(shown.join(nodes, "cid", "left_semi"), "wanted")
+    small = wanted.count() <= BROADCAST_ROWS
+    texts = keyed.select("did", "rid", "text").join(F.broadcast(wanted) if small else wanted.hint("merge"), ["did", "rid"]).select("cid", "text")
+    return frames.materialise(texts.mapInArrow(_bags(width), "cid long, tokens binary"), "bags")
 
 
 class Tree:
@@ -333,149 +321,136 @@ def dual_traversal(p: Tree, q: Tree, percent: int) -> tuple[np.ndarray, np.ndarr
     return p.item[i], q.item[j]
 
 
-def _fold(raw: list[bytes]) -> np.ndarray:
-    """Bitmaps at the least of their widths."""
-    rows = [np.frombuffer(x, np.uint64) for x in raw]
-    least = min(map(len, rows))
-    return np.stack([np.bitwise_or.reduce(x.reshape(-1, least), 0) for x in rows])
-
-
-def _small_pairs(heads: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, row) of every two rows inside each of some small cells, which begin at ``heads``."""
-    left = np.repeat(heads, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    rest = np.repeat(heads + size, size) - left - 1  # rows of the cell behind this one
-    i = np.repeat(left, rest)
-    return i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(rest) - rest, rest)
-
-
-def _candidates(percent: int):
-    """Pairs of the cells (token, band, i, j) of a group of cells."""
-
-    def big(rows: np.ndarray, same: bool, i: int, j: int, column: dict):
-        home, block = column["home"][rows], column["block"][rows]
-        bits = _fold([column["bitmap"][r] for r in rows])
-        size, comp = column["n"][rows], column["comp"][rows]
+def bitmaps(bags: list[np.ndarray]) -> np.ndarray:
+    """Bitmaps of sets of tokens by their lowest bits, as wide as the smallest set asks for."""
+    size = min(_bitmap_words(len(x)) for x in bags) * 64
+    bits = np.zeros((len(bags), size), bool)
+    for row, tokens in zip(bits, bags):
+        row[(tokens & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+
+
+def cell_links(bags: list[np.ndarray], comp: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links among the pairs (i, j) of sets that join two components, each found by exact comparison; a pair
+    whose ends are joined by then is passed over."""
+    size = np.array([len(x) for x in bags])
+    start = np.concatenate([[0], np.cumsum(size)])
+    words, ids = np.unique(np.concatenate(bags), return_inverse=True)
+    label = np.unique(comp, return_inverse=True)[1]
+    marked = np.zeros(len(words), np.int64)
+    out = []
+    order = np.lexsort((np.abs(size[i] - size[j]), i))  # likely links first
+    i, j = i[order], j[order]
+    heads = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]])) if len(i) else i
+    for a, left, right in zip(i[heads].tolist(), heads.tolist(), np.append(heads[1:], len(i)).tolist()):
+        mine, step = ids[start[a] : start[a + 1]], 1
+        marked[mine] = 1
+        rest = j[left:right]
+        while len(rest := rest[label[rest] != label[a]]):
+            some, rest, step = rest[:step], rest[step:], step * 4
+            n = size[some]
+            end = np.cumsum(n)
+            at = np.repeat(start[some] - (end - n), n) + np.arange(end[-1])
+            both = np.add.reduceat(marked[ids[at]], end - n)
+            for b in some[100 * both >= percent * (size[a] + n - both)].tolist():
+                if label[a] != label[b]:
+                    label[label == label[b]] = label[a]
+                    out.append((a, b))
+        marked[mine] = 0
+    return out
+
+
+def _links(percent: int):
+    """Links of the cells (star, band, i, j) of a group of cells, as pairs of set numbers."""
+
+    def meetings(home: np.ndarray, block: np.ndarray, i: int, j: int):
         at = lambda h, b: np.flatnonzero((home == h) & (block == b))
         here, there = at(True, i), at(True, j)
-        meetings = [(here, here), (here, at(False, i))] if same else [(here, there), (here, at(False, j)), (there, at(False, i))]
-        for left, right in meetings:
+        return [(here, here), (here, at(False, i))] if i == j else [(here, there), (here, at(False, j)), (there, at(False, i))]
+
+    def pairs(bags: list, column: dict, at: slice) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a cell's rows that no bound rules out."""
+        size, comp, home, block = (column[k][at] for k in ("n", "comp", "home", "block"))
+        i, j = int(column["i"][at.start]), int(column["j"][at.start])
+        if len(size) <= SMALL_CELL and i == j:
+            x, y = np.triu_indices(len(size), 1)
+            keep = (home[x] | home[y]) & (comp[x] != comp[y]) & (100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y]))
+            return x[keep], y[keep]
+        bits, found = bitmaps(bags), []
+        for left, right in meetings(home, block, i, j):
             if len(left) and len(right):
                 p = Tree(bits[left], size[left], comp[left])
                 q = p if left is right else Tree(bits[right], size[right], comp[right])
                 x, y = dual_traversal(p, q, percent)
-                yield rows[left[x]], rows[right[y]]
-
-    def leaves(i: np.ndarray, j: np.ndarray, column: dict) -> np.ndarray:
-        """Which pairs of single sets may be links: the bound of two leaves."""
-        keep = np.zeros(len(i), bool)
-        width = np.array([len(x) for x in column["bitmap"]])
-        narrow = np.minimum(width[i], width[j])
-        for w in np.unique(narrow):
-            pair = np.flatnonzero(narrow == w)
-            rows, at = np.unique(np.concatenate([i[pair], j[pair]]), return_inverse=True)
-            bits = np.stack([np.bitwise_or.reduce(np.frombuffer(column["bitmap"][r], np.uint64).reshape(-1, w // 8), 0) for r in rows])
-            n = column["n"][rows]
-            level = {"bits": bits, "lo": n, "hi": n, "hidden": n - np.bitwise_count(bits).sum(1).astype(np.int64), "comp": column["comp"][rows], "one": np.ones(len(rows), bool)}
-            a, b = at[: len(pair)], at[len(pair) :]
-            for s in range(0, len(pair), 1 << 15):
-                part = slice(s, s + (1 << 15))
-                keep[pair[part]] = _possible(level, level, a[part], b[part], percent)
-        return keep
+                found.append((left[x], right[y]))
+        none = np.zeros(0, np.int64)
+        return tuple(np.concatenate([none, *(f[k] for f in found)]) for k in (0, 1))
 
     def work(key, cells):
-        cells = cells.sort_by([(k, "ascending") for k in ("token", "band", "i", "j")])
-        column = {k: cells.column(k).to_numpy() for k in ("token", "band", "i", "j", "home", "block", "n", "comp", "cid")}
-        column["bitmap"] = [x.as_py() for x in cells.column("bitmap")]
-        fresh = np.zeros(cells.num_rows, bool)
-        fresh[:1] = True
-        for k in ("token", "band", "i", "j"):
-            fresh[1:] |= column[k][1:] != column[k][:-1]
-        heads = np.flatnonzero(fresh)
-        size = np.diff(np.append(heads, cells.num_rows))
-        one_node = (size <= SMALL_CELL) & (column["i"][heads] == column["j"][heads])
-        i, j = _small_pairs(heads[one_node], size[one_node])
-        some = column["home"][i] | column["home"][j]
-        i, j = i[some], j[some]
-        keep = leaves(i, j, column)
-        found = [(i[keep], j[keep])]
-        for h, n in zip(heads[~one_node].tolist(), size[~one_node].tolist()):
-            ci, cj = int(column["i"][h]), int(column["j"][h])
-            found.extend(big(np.arange(h, h + n), ci == cj, ci, cj, column))
-        x, y = (column["cid"][np.concatenate([f[k] for f in found])] for k in (0, 1))
-        pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
-        return pa.Table.from_pydict({"a": pairs[:, 0], "b": pairs[:, 1]})
+        names = ("star", "band", "i", "j")
+        cells = cells.sort_by([(k, "ascending") for k in (*names, "cid")])
+        column = {k: cells.column(k).to_numpy() for k in (*names, "home", "block", "n", "comp", "cid")}
+        fresh = np.ones(cells.num_rows, bool)
+        fresh[1:] = np.logical_or.reduce([column[k][1:] != column[k][:-1] for k in names])
+        heads = np.flatnonzero(fresh).tolist()
+        a, b = [], []
+        for at in map(slice, heads, [*heads[1:], cells.num_rows]):
+            if at.stop - at.start > 1:
+                bags = [_from48(x.as_py()) for x in cells.column("tokens")[at]]
+                i, j = pairs(bags, column, at)
+                for x, y in cell_links(bags, column["comp"][at], i, j, percent) if len(i) else ():
+                    a.append(column["cid"][at.start + x])
+                    b.append(column["cid"][at.start + y])
+        return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return work
 
 
-def _labelled(holders: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """(token, cid, comp): holders with the component of each set, at first itself."""
-    if labels is None:
-        return holders.withColumn("comp", F.col("cid"))
-    return frames.materialise(holders.join(labels.select(F.col("node").alias("cid"), "root"), "cid", "left").select("token", "cid", F.coalesce("root", "cid").alias("comp")), "labelled")
-
-
-def _nearest(holders: DataFrame, signed: DataFrame, tested: DataFrame | None, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(chosen, fitting): for each set b the pair (a, b) with the set a that most of its tokens name, the least
-    holder in the least component, if that is another; and those that their bitmaps do not rule out."""
-    least = holders.groupBy("token").agg(F.min(F.struct("comp", "cid")).alias("first")).select("token", F.col("first.comp").alias("ca"), F.col("first.cid").alias("a"))
-    named = holders.join(least, "token").where("comp <> ca").groupBy("a", F.col("cid").alias("b")).agg(F.count("*").alias("k"))
-    bits = lambda side: signed.select(F.col("cid").alias(side), F.col("n").alias(f"n{side}"), F.col("bitmap").alias(f"m{side}"))
-    if tested is not None:
-        named = named.join(tested, ["a", "b"], "left_anti")
-    best = frames.materialise(named.groupBy("b").agg(F.max(F.struct("k", "a")).alias("best")).select("best.a", "b"), "chosen")
-    met = best.join(bits("b"), "b").join(bits("a"), "a").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    return best, frames.materialise(met.mapInArrow(_fitting(percent), "a long, b long"), "nearest")
-
-
-def _fitting(percent: int):
-    """Pairs of sets whose bitmaps do not rule a link out."""
-
-    def narrow(raw: bytes, width: int) -> int:
-        out = 0
-        for at in range(0, len(raw), width):
-            out |= int.from_bytes(raw[at : at + width], "little")
-        return out
-
-    def work(batches):
-        for batch in batches:
-            keep = []
-            for na, ma, nb, mb in zip(*(batch.column(c).to_pylist() for c in ("na", "ma", "nb", "mb"))):
-                width = min(len(ma), len(mb))
-                x, y = narrow(ma, width), narrow(mb, width)
-                most = (x & y).bit_count() + min(na - x.bit_count(), nb - y.bit_count())
-                keep.append((100 + percent) * most >= percent * (na + nb))
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
-
-    return work
+def _blocks(rows: DataFrame, *keys: str) -> DataFrame:
+    """keys, blocks, members, lo and hi component of each cell."""
+    most = F.greatest(F.ceil(F.count("*") / CELL), F.ceil(F.sum("n") * TOKEN_BYTES / CELL_BYTES))
+    return rows.groupBy(*keys).agg(most.cast("int").alias("blocks"), F.count("*").alias("members"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bool_or("home").alias("homes"))
+
+
+def _found(cells: DataFrame, bags: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the links that cells find; cells: star, band, i, j, home, block, n, comp, cid."""
+    cells = frames.materialise(cells, "cells")
+    size = cells.agg(F.sum(F.col("n") * TOKEN_BYTES + 64)).first()[0] or 0
+    groups = max(1, -(-size // GROUP_BYTES))
+    dealt = cells.withColumn("group", F.pmod(F.xxhash64("star", "band", "i", "j"), F.lit(groups)).cast("int"))
+    met = dealt.join(bags.dropDuplicates(["cid"]), "cid")
+    return frames.materialise(met.groupBy("group").applyInArrow(_links(percent), "a long, b long"), "links")
+
+
+def star_links(stars: DataFrame, bags: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between the sets of the stars, enough to join what is linked; stars: star, cid, n."""
+    # inside the blocks of every star
+    rows = stars.select("star", "cid", "n", F.col("cid").alias("comp"), F.lit(True).alias("home"))
+    size = _blocks(rows, "star").where("members > 1").select("star", "blocks")
+    cells = rows.join(size, "star").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    links = _found(cells.withColumn("band", F.lit(0)).withColumn("i", F.col("block")).withColumn("j", F.col("block")).drop("blocks"), bags, percent)
+    wide = frames.materialise(size.where("blocks > 1").select("star"), "wide")
+    if wide.isEmpty():
+        return links
+    # and across blocks where a star has several components left, by ranges of sizes
+    labels = components(links)
+    rows = stars.join(wide, "star", "left_semi").join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("star", "cid", "n", F.coalesce("root", "cid").alias("comp"))
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9).cast("int")
+    rows = rows.select("*", F.explode(F.array(F.struct(F.lit(True).alias("home"), band.alias("band")), F.struct(F.lit(False).alias("home"), (band + 1).alias("band")))).alias("x")).select("star", "cid", "n", "comp", "x.*")
+    rows = frames.materialise(rows, "wide-rows")
+    size = _blocks(rows, "star", "band").where("homes and lo < hi").select("star", "band", "blocks")
+    cells = rows.join(size, ["star", "band"]).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    cells = cells.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("blocks", "other")
+    return links.unionByName(_found(cells, bags, percent))
 
 
-def _tree_pairs(holders: DataFrame, labels: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
-    """Pairs of sets in different components that share a token and that the trees do not rule out; signed:
-    (cid, n, bitmap)."""
-    comp = _labelled(holders, labels)
-    sizes = signed.select("cid", "n")
-    mixed = lambda rows: rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("k"), F.sum(F.xxhash64("cid") % (1 << 40)).alias("who")).where("lo < hi")
-    rows = frames.materialise(comp.join(mixed(comp).select("token"), "token", "left_semi").join(sizes, "cid"), "mixed")
-    # a partner has percent of the set's size at least, and so the two share at least the l of that size
-    enough = rows.groupBy("cid", "n").agg(F.count("*").alias("k")).where(F.col("k") >= 1 + F.floor(F.ceil(percent * F.col("n") / 100) / SHARED)).select("cid")
-    rows = rows.join(enough, "cid", "left_semi")
-    once = mixed(rows).groupBy("k", "who").agg(F.min("token").alias("token")).select("token")  # equal groups of holders meet once
-    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent) + 1e-9).cast("int")
-    rows = frames.materialise(rows.join(once, "token", "left_semi").withColumn("band", band), "mixed")
-    spread = rows.select("token", "cid", "comp", "n", F.explode(F.array(F.struct(F.lit(True).alias("home"), F.col("band")), F.struct(F.lit(False).alias("home"), (F.col("band") + 1).alias("band")))).alias("x"))
-    spread = spread.select("token", "cid", "comp", "n", "x.home", "x.band")
-    # ranges of one component, or without a home, have nothing to find
-    size = spread.groupBy("token", "band").agg(F.ceil(F.count("*") / CELL).cast("int").alias("blocks"), F.bool_or("home").alias("homes"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    cells = spread.join(size.where("homes and lo < hi").select("token", "band", "blocks"), ["token", "band"]).join(signed.select("cid", "bitmap"), "cid")
-    cells = cells.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    cells = cells.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    cells = cells.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    groups = max(1, -(-2 * rows.count() // GROUP_ROWS))
-    cells = cells.withColumn("group", F.pmod(F.xxhash64("token", "band", "i", "j"), F.lit(groups)).cast("int"))
-    pairs = cells.groupBy("group").applyInArrow(_candidates(percent), "a long, b long")
-    return frames.materialise(pairs.distinct(), "candidates")
+def kept_stars(named: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """(star, cid, n): the stars in which a set has to look for partners.  A partner has ``percent`` of the set's
+    size at least, and so the two share at least the l of that size; largest stars are left out first."""
+    members = named.groupBy("star").agg(F.count("*").alias("members"))
+    left_out = Window.partitionBy("cid").orderBy(F.col("members").desc(), F.col("star").desc())
+    least = 1 + F.floor(F.ceil(percent * F.col("n") / 100) / SHARED)
+    return named.join(members, "star").join(sizes, "cid").withColumn("sum", F.sum("k").over(left_out)).where(F.col("sum") >= least).select("star", "cid", "n")
 
 
 def linked_sets(docs: DataFrame, width: int = 5, percent: int = 75) -> tuple[DataFrame, DataFrame]:
@@ -490,31 +465,16 @@ def linked_sets(docs: DataFrame, width: int = 5, percent: int = 75) -> tuple[Dat
     frequent = np.sort(np.array([r.token for r in counts.select("token").toLocalIterator()], np.int64)).view(np.uint64)
     buckets = max(1, -(-(total * 12) // (4 * BUCKET_BYTES)))
     messages = keyed.select("text").mapInArrow(_messages(width, percent, frequent, buckets), MESSAGE)
-    holders = frames.materialise(messages.groupBy("bucket").applyInArrow(_holders, "token long, cid long"), "holders")
-
-    # one row of each set that shares a token with another
-    one = F.min(F.struct("did", "rid", "n", "bitmap")).alias("one")
-    shown = passed.where("token is null").groupBy("cid").agg(one).join(holders.select("cid").distinct(), "cid", "left_semi").select("one.*", "cid")
-    shown = frames.materialise(shown, "shown")
-    signed = shown.select("cid", "n", "bitmap")
-
-    ids = shown.select("did", "rid", "cid")
-    links = labels = tested = None
-    for _ in range(ROUNDS):
-        chosen, pairs = _nearest(_labelled(holders, labels), signed, tested, percent)
-        tested = chosen if tested is None else tested.unionByName(chosen)
-        found = verified(pairs, keyed, ids, width, percent)
-        if found.count() * 50 <= pairs.count():  # hardly anything links any more: the trees take over
-            links = found if links is None else links.unionByName(found)
-            break
-        links = found if links is None else links.unionByName(found)
-        labels = frames.materialise(components(links), "labels")
-    labels = frames.materialise(components(links), "labels")
-    candidates = _tree_pairs(holders, labels, signed, percent)
-    more = verified(candidates, keyed, ids, width, percent)
-    if more.isEmpty():
-        return sets, labels
-    return sets, components(links.unionByName(more))
+    named = messages.groupBy("bucket").applyInArrow(_stars, STARS).groupBy("star", "cid").agg(F.sum("k").alias("k"))
+    named = frames.materialise(named, "stars")
+
+    # one row of each set
+    shown = sets.where("n > 0").groupBy("cid").agg(F.min(F.struct("did", "rid", "n")).alias("one")).select("cid", "one.*")
+    stars = frames.materialise(kept_stars(named, shown.select("cid", "n"), percent), "kept-stars")
+    stars = stars.join(stars.groupBy("star").agg(F.count("*").alias("members")).where("members > 1").select("star"), "star", "left_semi")
+    stars = frames.materialise(stars, "kept-stars")
+    bags = bags_of(keyed, shown.select("did", "rid", "cid"), stars.select("cid").distinct(), width)
+    return sets, components(star_links(stars, bags, percent))
 
 
 def components_of(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:

@@ -96,3 +96,34 @@ def test_trees_find_what_all_pairs_find():
                 assert (j, i) in found
                 assert (j < 75) == (i < 75) or (j, i) in across
     assert len(half) == 75
+
+
+def near_misses(rng, n, copies, share):
+    """Copies of one text in which each word is its own with a given share, so that many pairs are just too far apart."""
+    base = [f"b{i}" for i in range(n)]
+    return [" ".join(w if rng.random() > share else f"z{rng.randrange(10**8)}" for w in base) for _ in range(copies)]
+
+
+def test_stars_of_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jj, "CELL", 10)
+    monkeypatch.setattr(jj, "GROUP_BYTES", 20_000)
+    rng = random.Random(8)
+    texts = [t for n, share in ((60, 0.01), (60, 0.03), (150, 0.015), (40, 0.02)) for t in near_misses(rng, n, 45, share)]
+    rows = list(enumerate(texts))
+    assert run(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
+def test_links_of_a_cell_are_fewer_than_its_sets():
+    rng = random.Random(4)
+    bags = [jj.token_sets([t], 5)[1] for t in near_misses(rng, 120, 90, 0.005)]
+    i, j = np.triu_indices(len(bags), 1)
+    links = jj.cell_links(bags, np.arange(len(bags)), i, j, 75)
+    alike = [len(np.intersect1d(bags[a], bags[b])) * 7 >= 3 * (len(bags[a]) + len(bags[b])) for a, b in links]
+    assert all(alike) and len(links) < len(bags)
+
+
+def test_many_copies_of_one_row(spark):
+    rng = random.Random(6)
+    a, b = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(300)) for _ in range(2))
+    rows = [(1, a)] * 1000 + [(2, a + " more words behind it")] * 1000 + [(3, b), (4, b)]
+    assert run(spark.createDataFrame(rows, "doc_id long, text string")) == [(1, 296, 1)] * 1000 + [(2, 300, 1)] * 1000 + [(3, 296, 3), (4, 296, 3)]
