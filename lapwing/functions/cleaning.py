@@ -40,8 +40,9 @@ def truth(c: Column) -> Column:
 
 
 def padded_id(c: Column, width: int = 3) -> Column:
-    """Digits of an id (quotes and spaces dropped), padded with zeros."""
-    return F.lpad(F.regexp_replace(c.cast("string"), "[\\s\"']", ""), width, "0")
+    """Digits of an id (quotes and spaces dropped), padded with zeros; longer ids stay as they are."""
+    plain = F.regexp_replace(c.cast("string"), "[\\s\"']", "")
+    return F.when(F.length(plain) >= width, plain).otherwise(F.lpad(plain, width, "0"))
 
 
 def platform_of_device(device: Column) -> Column:
@@ -94,6 +95,7 @@ def good_fix(lat: Column, lon: Column, accuracy: Column, limit: float = 500.0, n
 def z_phrase(z: Column) -> Column:
     """Words for a z-score."""
     up = z > 0
+    # fixed values: bounds and phrases
     share = (
         F.when(z > 2.5, "top 1% of your hours").when(z > 2.0, "top 3% of your hours").when(z > 1.5, "top 7% of your hours").when(z > 1.0, "top 16% of your hours")
         .when(z < -2.0, "bottom 3% of your hours").when(z < -1.5, "bottom 7% of your hours").otherwise("")

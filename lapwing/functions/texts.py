@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: fixed values: words of positive and negative tone
@@ -22,7 +22,7 @@ CATEGORIES = {
 
 def tokens(text: Column) -> Column:
     """Lower-case words; everything but word characters and apostrophes separates."""
-    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^A-Za-z0-9_'À-￿]", " "), r"\s+"), lambda w: w != "")
+    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_\s']", " "), r"\s+"), lambda w: w != "")
 
 
 def words(text: Column) -> Column:
@@ -35,21 +35,21 @@ def count_in(token_array: Column, lexicon: list[str]) -> Column:
     return F.size(F.filter(token_array, lambda w: F.array_contains(listed, w)))
 
 
-def count_prefixed(token_array: Column, prefixes: str) -> Column:
-    """Words that begin with one of the space-separated ``prefixes``."""
-    pattern = f"^(?:{'|'.join(prefixes.split())})"
-    return F.size(F.filter(token_array, lambda w: w.rlike(pattern)))
+def count_prefixed(text: Column, prefixes: str) -> Column:
+    """Words between white space that begin with one of the space-separated ``prefixes``; text in lower case."""
+    return F.regexp_count(text, F.lit(rf"(?<!\S)(?:{'|'.join(prefixes.split())})"))
 
 
-def lexicon_profile(text: Column) -> dict[str, Column]:
-    """word_count, a count and a share for each category, and the tone ratio."""
-    w = words(F.coalesce(text, F.lit("")))
-    total = F.greatest(F.size(w), F.lit(1))
-    counts = {name: count_prefixed(w, prefixes) for name, prefixes in CATEGORIES.items()}
-    out = {"word_count": total.cast("long")}
-    out |= {f"{name}_count": n.cast("long") for name, n in counts.items()}
-    out |= {f"{name}_prop": n / total for name, n in counts.items()}
-    return out | {"pos_neg_ratio": (counts["posemo"] + 1) / (counts["negemo"] + 1)}
+def lexicon_profile(rows: DataFrame, text: str = "text") -> DataFrame:
+    """``rows`` without ``text``, with word_count, a count and a share for each category, and the tone ratio:
+    counts first, so that shares do not count again."""
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    total = F.greatest(F.regexp_count(low, F.lit(r"\S+")), F.lit(1))
+    counts = {name: count_prefixed(low, prefixes) for name, prefixes in CATEGORIES.items()}
+    kept = [c for c in rows.columns if c != text]
+    counted = rows.select(*kept, total.cast("long").alias("word_count"), *(n.cast("long").alias(f"{name}_count") for name, n in counts.items()))
+    shares = [(F.col(f"{name}_count") / F.col("word_count")).alias(f"{name}_prop") for name in CATEGORIES]
+    return counted.select("*", *shares, ((F.col("posemo_count") + 1) / (F.col("negemo_count") + 1)).alias("pos_neg_ratio"))
 
 
 def embedded_json(text: Column, schema: str) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cleaning as C
+from ..sources.scratch import written
 from .intervals import first_by
 
 
@@ -53,23 +54,28 @@ def density_clusters(points: DataFrame, eps_m: float = 150.0, least: int = 4, ro
 
     A point with ``least`` points within ``eps_m`` (itself included, copies counted) is a core; cores near
     each other are one cluster, named after its least core; other points near a core join the least such
-    cluster; the rest are noise and not returned.  Labels spread by least-label steps over the pairs.
+    cluster; the rest are noise and not returned.  Labels spread by least-label steps over the pairs, each
+    written down, and halve the way that is left; they raise if that does not settle.
     """
-    pairs = neighbours(points, eps_m).persist()
+    pairs = written(neighbours(points, eps_m), "pairs")
     weights = points.select("pid", F.col("a").alias("b"), "weight")
     cores = pairs.join(weights, ["pid", "b"]).groupBy("pid", "a").agg(F.sum("weight").alias("n")).where(F.col("n") >= least).select("pid", "a")
-    links = pairs.join(cores, ["pid", "a"], "left_semi").join(cores.select("pid", F.col("a").alias("b")), ["pid", "b"], "left_semi").persist()
+    cores = written(cores, "cores")
+    links = pairs.join(cores, ["pid", "a"], "left_semi").join(cores.select("pid", F.col("a").alias("b")), ["pid", "b"], "left_semi")
+    links = written(links, "core-pairs")
     labels = cores.select("pid", "a", F.col("a").alias("cluster"))
     before = None
     for _ in range(rounds):
         spread = links.join(labels.select("pid", F.col("a").alias("b"), "cluster"), ["pid", "b"]).groupBy("pid", "a").agg(F.min("cluster").alias("cluster"))
         # and to the label of that label
         jump = spread.join(spread.select("pid", F.col("a").alias("cluster"), F.col("cluster").alias("further")), ["pid", "cluster"])
-        labels = jump.select("pid", "a", F.least("cluster", "further").alias("cluster")).persist()
+        labels = written(jump.select("pid", "a", F.least("cluster", "further").alias("cluster")), "clusters")
         state = labels.agg(F.sum("cluster"), F.count("*")).first()
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError(f"clusters have not settled in {rounds} rounds")
     border = pairs.join(labels.select("pid", F.col("a").alias("b"), "cluster"), ["pid", "b"]).join(cores, ["pid", "a"], "left_anti").groupBy("pid", "a").agg(F.min("cluster").alias("cluster"))
     return labels.unionByName(border)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import times as T
+from .intervals import first_by
 
 
 def visible(hour: Column, ms: Column) -> Column:
@@ -104,14 +105,15 @@ def profile(prompts: DataFrame) -> DataFrame:
     )
 
 
-def running_personal(prompts: DataFrame) -> DataFrame:
-    """Deviation from the user's own past (three rows at least, else from all rows of the fold), and rates of
-    the last ten."""
+def running_personal(prompts: DataFrame, folds: int = 5) -> DataFrame:
+    """Deviation from the user's own past (three rows at least, else from all rows of the other folds, which are
+    the training rows where this fold is the test), and rates of the last ten."""
     order = Window.partitionBy("user_id").orderBy("ms", "prompt_id")
     past, ten = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(-10, -1)
     x = F.col("value")
-    people = prompts.groupBy("fold").agg(F.avg("value").alias("_mean"), F.stddev_pop("value").alias("_sd"))
-    rows = prompts.join(F.broadcast(people), "fold")
+    train = prompts.select("fold", "value").withColumn("_test", F.explode(F.sequence(F.lit(1), F.lit(folds)))).where(F.col("fold") != F.col("_test"))
+    people = train.groupBy("_test").agg(F.avg("value").alias("_mean"), F.stddev_pop("value").alias("_sd"))
+    rows = prompts.join(F.broadcast(people), F.col("fold") == F.col("_test"), "left")  # one row a fold
     n = F.count("*").over(past)
     z = F.when(n >= 3, (x - F.avg(x).over(past)) / (F.stddev_pop(x).over(past) + 1e-8)).otherwise((x - F.col("_mean")) / (F.col("_sd") + 1e-8))
     rate = lambda c: F.coalesce(F.avg(c.cast("double")).over(ten), F.lit(0.0))
@@ -121,6 +123,23 @@ def running_personal(prompts: DataFrame) -> DataFrame:
     )
 
 
+def last_of_day(prompts: DataFrame, columns: list[str]) -> DataFrame:
+    """(user_id, day, last_<column>): the last prompt of each user and day."""
+    last = F.max_by(F.struct(*columns), F.struct("ms", "prompt_id")).alias("last")
+    rows = prompts.groupBy("user_id", T.day_of(F.col("ms")).alias("day")).agg(last)
+    return rows.select("user_id", "day", *(F.col(f"last.{c}").alias(f"last_{c}") for c in columns))
+
+
+def narratives_for(prompts: DataFrame, narratives: DataFrame) -> DataFrame:
+    """prompt_id, narrative: that of the prompt's own day and time, or where there is none that of the day alone (one
+    without a time); of several the first by tie; blank ones are null.  narratives: user_id, day, ms, tie, narrative."""
+    text = F.when(F.trim("narrative") != "", F.col("narrative"))
+    exact = first_by(narratives.where("ms is not null"), ["user_id", "day", "ms"], F.col("tie")).select("user_id", "day", "ms", text.alias("own"), F.lit(True).alias("hit"))
+    whole = first_by(narratives.where("ms is null"), ["user_id", "day"], F.col("tie")).select("user_id", "day", text.alias("daily"))
+    rows = prompts.select("prompt_id", "user_id", "ms", T.day_of(F.col("ms")).alias("day")).join(exact, ["user_id", "day", "ms"], "left").join(whole, ["user_id", "day"], "left")
+    return rows.select("prompt_id", F.when(F.col("hit"), F.col("own")).otherwise(F.col("daily")).alias("narrative"))
+
+
 def last_prompts(prompts: DataFrame, asks: DataFrame, n: int = 5) -> DataFrame:
     """For each ask (user_id, ask_day), the last ``n`` prompts of earlier days, newest first, with states raised."""
     day = T.day_of(F.col("ms"))

@@ -35,7 +35,7 @@ def local_times(ev):
     "p05_p06_ids_and_devices",
     """WITH u AS (SELECT DISTINCT user_id FROM events), d AS (SELECT user_id, md5(CAST(user_id AS VARCHAR)) AS h FROM u),
     e AS (SELECT user_id, CASE user_id % 3 WHEN 0 THEN substr(h, 1, 16) WHEN 1 THEN substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) ELSE 'device' END AS device FROM d)
-    SELECT user_id, CASE WHEN user_id > 999 THEN substr(CAST(user_id AS VARCHAR), 1, 3) ELSE lpad(CAST(user_id AS VARCHAR), 3, '0') END AS padded,
+    SELECT user_id, CASE WHEN length(CAST(user_id AS VARCHAR)) >= 3 THEN CAST(user_id AS VARCHAR) ELSE lpad(CAST(user_id AS VARCHAR), 3, '0') END AS padded,
       CASE user_id % 3 WHEN 0 THEN 'android' WHEN 1 THEN 'ios' ELSE 'unknown' END AS platform FROM e""",
 )
 @events_of

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import cleaning as C
 from ..sources import bindings as B
 from ..sources import files as S
+from ..sources.scratch import shared_path
 from .base import events_of, query
 
 DATE = "strftime(CAST(to_timestamp(ms // 1000) AS TIMESTAMP), '%Y-%m-%d')"
@@ -15,7 +16,7 @@ DATE = "strftime(CAST(to_timestamp(ms // 1000) AS TIMESTAMP), '%Y-%m-%d')"
 @query(
     "s06_a11_file_roster",
     f"""WITH {B.EV}, n AS (SELECT DISTINCT pid, k % 4 AS kind, strftime(make_timestamp(ms * 1000), '%Y-%m-%d') AS d FROM ev)
-    SELECT CASE kind WHEN 0 THEN 'gps' WHEN 1 THEN 'accel' ELSE 'screen' END AS modality, lpad(CAST(pid AS VARCHAR), 3, '0') AS pid, CASE kind WHEN 0 THEN 'ab12' END AS device, CAST(d AS DATE) AS day FROM n WHERE kind < 3""",
+    SELECT CASE kind WHEN 0 THEN 'gps' WHEN 1 THEN 'accel' ELSE 'screen' END AS modality, CASE WHEN length(CAST(pid AS VARCHAR)) >= 3 THEN CAST(pid AS VARCHAR) ELSE lpad(CAST(pid AS VARCHAR), 3, '0') END AS pid, CASE kind WHEN 0 THEN 'ab12' END AS device, CAST(d AS DATE) AS day FROM n WHERE kind < 3""",
 )
 @events_of
 def file_roster(ev):
@@ -42,10 +43,6 @@ def flattened(spark, sf_dir):
 @query("s07_s12_hourly_store", f"WITH {B.EV}, {B.SIGNALS} SELECT user_id, hour, n FROM sg WHERE modality = 'view'")
 def hourly_store(spark, sf_dir):
     """Write the partitioned store, read one modality of it."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lapwing-")
-    path = f"{base}/hourly-{uuid.uuid4().hex}"
+    path = shared_path(spark, "hourly")
     S.write_hourly(B.signals(B.events(spark, sf_dir)), path)
     return S.read_hourly(spark, path, "view").select("user_id", "hour", "n")

@@ -152,7 +152,7 @@ def _listed(words: list[str]) -> str:
 
 @query(
     "a07_x01_x02_typing",
-    f"""WITH t AS (SELECT conv_id AS user_id, text, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^A-Za-z0-9_''À-￿]', ' ', 'g'), '\\s+'), lambda w: w <> '') AS w FROM conversations WHERE role <> 'system')
+    f"""WITH t AS (SELECT conv_id AS user_id, text, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}_\\s'']', ' ', 'g'), '\\s+'), lambda w: w <> '') AS w FROM conversations WHERE role <> 'system')
     SELECT user_id, count(*) AS n_sessions, CAST(sum(length(text)) AS BIGINT) AS n_chars, CAST(sum(len(w)) AS BIGINT) AS n_words,
       round(sum(len(list_filter(w, lambda x: list_contains({_listed(X.POSITIVE)}, x))) / nullif(1.0, 0)) / nullif(sum(len(w)), 0), 6) AS positive_share, round(sum(len(list_filter(w, lambda x: list_contains({_listed(X.NEGATIVE)}, x)))) / nullif(sum(len(w)), 0), 6) AS negative_share
     FROM t GROUP BY user_id""",
@@ -233,12 +233,12 @@ def app_sessions(ev):
 
 @query(
     "e04_x04_typing_sessions",
-    """SELECT conv_id AS user_id, turn AS ord, CAST(len(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '')) AS BIGINT) AS n_words, substr(trim(text), 1, 40) AS preview FROM conversations WHERE role <> 'system'""",
+    """SELECT conv_id AS user_id, turn AS ord, CAST(len(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '')) AS BIGINT) AS n_words, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM conversations WHERE role <> 'system'""",
 )
 def typing_sessions(spark, sf_dir):
-    """E04, X04, P27."""
+    """Whole texts, stripped."""
     rows = B.typing(spark, sf_dir).where("not password")
-    return rows.select("user_id", "ord", F.size(X.words(F.col("text"))).cast("long").alias("n_words"), F.substring(F.trim("text"), 1, 40).alias("preview"))
+    return rows.select("user_id", "ord", F.size(X.words(F.col("text"))).cast("long").alias("n_words"), F.regexp_replace("text", r"^\s+|\s+$", "").alias("text"))
 
 
 @query("e05_track_plays", f"WITH {B.EV} SELECT pid, ms + {OFFSET} * 60000 AS local_ms, k % 4 = 0 AS advert, event_id FROM ev WHERE event_type = 'signup' AND k % 19 <> 0")

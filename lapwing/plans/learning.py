@@ -17,7 +17,7 @@ from ..sources import bindings as B
 from .base import events_of, query, rounded
 from .pit import BASE, clicks
 
-HOURS = 6
+HOURS, SWEEP = 24, 6
 FEATURES = ["n", "total"]
 #: what bindings deal rows to; each is held out once
 FOLDS = [1, 2, 3, 4, 5]
@@ -55,7 +55,7 @@ LONG = f"""lf AS (SELECT p.prompt_id, p.fold, s.hour - p.ms // 3600000 + {HOURS}
 
 @query(
     "a23_sequence_statistics",
-    f"""{BASE}, {LONG} SELECT prompt_id, 'total' AS feature, round(avg(x), 3) AS mean, round(stddev_pop(x), 3) AS sd, round(min(x), 3) AS least, round(max(x), 3) AS most, round(arg_max(x, h), 3) AS last, round(avg(x) FILTER (h >= 3) - avg(x) FILTER (h < 3), 3) AS trend FROM lf GROUP BY prompt_id""",
+    f"""{BASE}, {LONG} SELECT prompt_id, 'total' AS feature, round(avg(x), 3) AS mean, round(stddev_pop(x), 3) AS sd, round(min(x), 3) AS least, round(max(x), 3) AS most, round(arg_max(x, h), 3) AS last, round(avg(x) FILTER (h >= 12) - avg(x) FILTER (h < 12), 3) AS trend FROM lf GROUP BY prompt_id""",
 )
 @events_of
 def sequence_statistics(ev):
@@ -93,8 +93,8 @@ def imputed(ev):
 @events_of
 def lookback_sweep(ev):
     """One frame for all lookbacks of one to six hours."""
-    slots = P.lookback(_prompts(ev), clicks(ev), HOURS)
-    rows = slots.withColumn("lookback", F.explode(F.sequence(HOURS - F.col("h"), F.lit(HOURS))))
+    slots = P.lookback(_prompts(ev), clicks(ev), SWEEP)
+    rows = slots.withColumn("lookback", F.explode(F.sequence(SWEEP - F.col("h"), F.lit(SWEEP))))
     return rounded(rows.groupBy("lookback").agg(F.count_distinct("prompt_id").alias("n"), F.count("n").alias("hours_seen"), F.sum("total").alias("total")), 2)
 
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import times as T
 from ..sources import bindings as B
+from ..sources.scratch import shared_path
 from ..streaming import live as S
 from .base import query, rounded
 
@@ -40,6 +42,19 @@ def sessions(spark, sf_dir):
     return _local(S.sessions(_events(spark, sf_dir)), "start", "end")
 
 
+@query(
+    "t04_paired_sessions",
+    f"""WITH {B.EV}, sc AS (SELECT user_id, ms, event_type = 'click' AS opens, event_id FROM ev WHERE event_type IN ('click', 'view')), l AS (SELECT *, lag(opens) OVER w AS before, lag(ms) OVER w AS start_ms FROM sc WINDOW w AS (PARTITION BY user_id ORDER BY ms, event_id))
+    SELECT user_id, start_ms, ms AS end_ms FROM l WHERE NOT opens AND before AND ms > start_ms AND ms - start_ms <= 10800000""",
+)
+def paired(spark, sf_dir):
+    """A stream over the events, run to its end, with the open unlock of each user as state."""
+    ev = S.source(spark, f"{sf_dir}/events.parque[t]")  # a pattern: a stream's plain path would have to be a folder
+    states = ev.where(F.col("event_type").isin("click", "view")).select("user_id", "ts", T.epoch_ms(F.col("ts")).alias("ms"), F.when(F.col("event_type") == "click", "unlocked").otherwise("locked").alias("state"), "event_id")
+    with S.with_state_store(spark):
+        return S.run_to_table(S.paired_sessions(states), shared_path(spark, "paired"), shared_path(spark, "paired-checkpoint"))
+
+
 @query("t05_prompt_signal_join", "SELECT p.event_id AS prompt_id, p.user_id, s.event_id FROM (SELECT * FROM events WHERE event_type = 'purchase') p LEFT JOIN (SELECT * FROM events WHERE event_type <> 'purchase') s ON s.user_id = p.user_id AND s.ts >= p.ts - INTERVAL 4 HOUR AND s.ts < p.ts")
 def prompt_signals(spark, sf_dir):
     """T05, J02."""

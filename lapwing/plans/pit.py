@@ -110,7 +110,7 @@ def profiles(ev):
 
 @query(
     "w10_running_features",
-    f"""WITH {B.EV}, {B.PROMPTS}, g AS (SELECT fold, avg(value) AS m, stddev_pop(value) AS s FROM pr GROUP BY fold), r AS (SELECT *, count(*) OVER p AS n, avg(value) OVER p AS pm, stddev_pop(value) OVER p AS ps, coalesce(avg(CAST(desire >= 5 AS INT)) OVER t, 0) AS d10, coalesce(avg(CAST(available = 'yes' AS INT)) OVER t, 0) AS a10, coalesce(avg({YES}) OVER t, 0) AS j10
+    f"""WITH {B.EV}, {B.PROMPTS}, g AS (SELECT t.f AS fold, avg(value) AS m, stddev_pop(value) AS s FROM pr JOIN (SELECT unnest(range(1, 6)) AS f) t ON pr.fold <> t.f GROUP BY t.f), r AS (SELECT *, count(*) OVER p AS n, avg(value) OVER p AS pm, stddev_pop(value) OVER p AS ps, coalesce(avg(CAST(desire >= 5 AS INT)) OVER t, 0) AS d10, coalesce(avg(CAST(available = 'yes' AS INT)) OVER t, 0) AS a10, coalesce(avg({YES}) OVER t, 0) AS j10
       FROM pr WINDOW p AS (PARTITION BY user_id ORDER BY ms, prompt_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), t AS (PARTITION BY user_id ORDER BY ms, prompt_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING))
     SELECT prompt_id, round(CASE WHEN n >= 3 THEN (value - pm) / (ps + 1e-8) ELSE (value - m) / (s + 1e-8) END, 4) AS deviation, round(least(n / 20.0, 1), 4) AS volume, round(d10, 4) AS desire_rate, round(a10, 4) AS available_rate, round(j10, 4) AS joint_rate FROM r JOIN g USING (fold)""",
 )

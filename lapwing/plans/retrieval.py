@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import texts as X
 from ..functions import times as T
+from ..operators import pit as P
 from ..operators import similar as S
 from ..sources import bindings as B
 from .base import events_of, query, rounded
@@ -22,7 +23,7 @@ _n = {name: f"len(list_filter(w, lambda x: regexp_matches(x, '^(?:{'|'.join(p.sp
 def lexicon_profile(spark, sf_dir):
     """Sixteen columns."""
     docs = B.read(spark, sf_dir, "documents")
-    return rounded(docs.select("doc_id", *(c.alias(n) for n, c in X.lexicon_profile(F.col("text")).items())), 6)
+    return rounded(X.lexicon_profile(docs.select("doc_id", "text")), 6)
 
 
 SHAPE = "CASE k % 4 WHEN 0 THEN '{\"a\": ' || k || ', \"yes\": true}' WHEN 1 THEN 'Here it is: ```json\n{\"a\": ' || k || ', \"yes\": false}\n``` done' WHEN 2 THEN 'so {\"a\": ' || k || ', \"yes\": true} then' ELSE '{\"result\": {\"a\": ' || k || ', \"yes\": true}}' END"
@@ -63,26 +64,36 @@ def records(ev):
 @query(
     "x10_conversation_log",
     """WITH u AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'), a AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'), l AS (SELECT conv_id, arg_max(text, turn) AS last_text FROM a GROUP BY conv_id)
-    SELECT u.conv_id, u.turn, substr(u.text, 1, 30) AS asked, substr(a.text, 1, 30) AS answered, substr(last_text, 1, 30) AS last_answer FROM u LEFT JOIN a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 LEFT JOIN l ON l.conv_id = u.conv_id""",
+    SELECT u.conv_id, u.turn, u.text AS asked, a.text AS answered, last_text AS last_answer FROM u LEFT JOIN a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 LEFT JOIN l ON l.conv_id = u.conv_id""",
 )
 def conversation_log(spark, sf_dir):
-    """Calls joined with their answers, and each log's last answer."""
+    """Calls joined with their answers, and each log's last answer, in full."""
     rows = B.read(spark, sf_dir, "conversations")
-    cut = lambda c, name: F.substring(c, 1, 30).alias(name)
-    asked = rows.where("role = 'user'").select("conv_id", "turn", cut("text", "asked"))
+    asked = rows.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("asked"))
     answers = rows.where("role = 'assistant'")
-    last = answers.groupBy("conv_id").agg(cut(F.max_by("text", "turn"), "last_answer"))
-    return asked.join(answers.select("conv_id", (F.col("turn") - 1).alias("turn"), cut("text", "answered")), ["conv_id", "turn"], "left").join(last, "conv_id", "left")
+    last = answers.groupBy("conv_id").agg(F.max_by("text", "turn").alias("last_answer"))
+    return asked.join(answers.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answered")), ["conv_id", "turn"], "left").join(last, "conv_id", "left")
 
 
-@query("r01_r02_similar_texts")
-def similar_texts(spark, sf_dir):
-    """The ten nearest diary texts of other users, for texts whose number divides by 20
-    (the term limit and the number of neighbours are the operator's; tests compare with brute force)."""
+def _peers(spark, sf_dir, k: int, **terms):
     rows = B.diary(spark, sf_dir).where("lang = 'en'").select("doc_id", "user", "text")
-    weights = S.term_weights(rows, "doc_id", "text")
+    weights = S.term_weights(rows, "doc_id", "text", **terms)
     queries = rows.where("doc_id % 20 = 0").select("doc_id")
-    return rounded(S.nearest_texts(weights, rows.select("doc_id", F.col("user").alias("owner")), "doc_id", queries, 10), 6)
+    return rounded(S.nearest_texts(weights, rows.select("doc_id", F.col("user").alias("owner")), "doc_id", queries, k), 6)
+
+
+@query("r01_r02_similar_texts")
+def similar_texts(spark, sf_dir):
+    """The ten nearest diary texts of other users, for texts whose number divides by 20 (terms in two
+    texts or more, the limit of terms and the number of neighbours are the operator's).  The stop words are
+    English, so the texts are."""
+    return _peers(spark, sf_dir, 10)
+
+
+@query("r02_text_peers")
+def text_peers(spark, sf_dir):
+    """The same over all terms, those of one text included, with five neighbours."""
+    return _peers(spark, sf_dir, 5, min_df=1, max_terms=None)
 
 
 _dot = "list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2]))"
@@ -123,14 +134,37 @@ _norm = lambda p: "sqrt(" + " + ".join(f"pow({_c(p, f)}, 2)" for f in FEATURES)
 @query(
     "r04_similar_days",
     f"""WITH {B.EV}, {DAYS}, c AS (SELECT a.user_id, a.day AS ask_day, b.day, ({' + '.join(f"{_c('a', f)} * {_c('b', f)}" for f in FEATURES)}) / ({_norm('a')} * {_norm('b')}) AS similarity FROM aq a JOIN aq b ON a.user_id = b.user_id AND b.day < a.day WHERE {_two('a')} >= 2 AND {_two('b')} >= 2),
-    r AS (SELECT *, row_number() OVER (PARTITION BY user_id, ask_day ORDER BY round(similarity, 9) DESC, day) AS place FROM c) SELECT user_id, ask_day, day, round(similarity, 5) AS similarity, place FROM r WHERE place <= 5""",
+    r AS (SELECT *, row_number() OVER (PARTITION BY user_id, ask_day ORDER BY round(similarity, 9) DESC, day) AS place FROM c), {B.PROMPTS},
+    lp AS (SELECT user_id, ms // 86400000 AS day, arg_max(desire, (ms, prompt_id)) AS last_desire, arg_max(available, (ms, prompt_id)) AS last_available FROM pr GROUP BY ALL)
+    SELECT user_id, ask_day, day, round(similarity, 5) AS similarity, place, last_desire, last_available FROM r LEFT JOIN lp USING (user_id, day) WHERE place <= 5""",
 )
 @events_of
 def similar_days(ev):
-    """Earlier days with a prompt, by cosine."""
+    """Earlier days with a prompt, by cosine, each with what its last prompt said."""
     days = days_of(ev)
     asks = asks_of(ev, days)
-    return rounded(S.similar_days(asks, asks, list(FEATURES)), 5)
+    found = S.similar_days(asks, asks, list(FEATURES))
+    return rounded(found.join(P.last_of_day(B.prompts(ev), ["desire", "available"]), ["user_id", "day"], "left"), 5)
+
+
+NARRATIVES = """na AS (SELECT user_id, ms // 86400000 AS day, ms, event_id AS tie, CASE WHEN k % 10 = 0 THEN ' ' ELSE 'own ' || CAST(k AS VARCHAR) END AS narrative FROM ev WHERE event_type = 'purchase' AND k % 2 = 0
+    UNION ALL SELECT user_id, ms // 86400000, NULL, event_id, CASE WHEN k % 10 = 5 THEN '' ELSE 'day ' || CAST(k AS VARCHAR) END FROM ev WHERE event_type = 'error')"""
+
+
+@query(
+    "j16_narratives",
+    f"""WITH {B.EV}, {B.PROMPTS}, {NARRATIVES}, f AS (SELECT *, row_number() OVER (PARTITION BY user_id, day, ms ORDER BY tie) AS t FROM na)
+    SELECT prompt_id, CASE WHEN e.tie IS NOT NULL THEN CASE WHEN trim(e.narrative) <> '' THEN e.narrative END ELSE CASE WHEN trim(d.narrative) <> '' THEN d.narrative END END AS narrative
+    FROM pr LEFT JOIN f e ON e.t = 1 AND e.user_id = pr.user_id AND e.ms = pr.ms LEFT JOIN f d ON d.t = 1 AND d.ms IS NULL AND d.user_id = pr.user_id AND d.day = pr.ms // 86400000""",
+)
+@events_of
+def narratives(ev):
+    """A prompt's narrative by its time, or by its day alone."""
+    text = lambda head, blank: F.when(blank, F.lit(" ")).otherwise(F.concat(F.lit(head), F.col("k").cast("string"))).alias("narrative")
+    day = T.day_of(F.col("ms")).alias("day")
+    own = ev.where("event_type = 'purchase' and k % 2 = 0").select("user_id", day, "ms", F.col("event_id").alias("tie"), text("own ", F.col("k") % 10 == 0))
+    daily = ev.where("event_type = 'error'").select("user_id", day, F.lit(None).cast("long").alias("ms"), F.col("event_id").alias("tie"), text("day ", F.col("k") % 10 == 5))
+    return P.narratives_for(B.prompts(ev), own.unionByName(daily))
 
 
 _terms = [f"pow((a.{f} - b.{f}) / greatest(abs(a.{f}), 1.0) + 0 * a.{f}, 2)" for f in FEATURES]
@@ -156,7 +190,7 @@ def relative_days(ev):
 )
 @events_of
 def cases(ev):
-    """A case and what was sensed the day before, as a line."""
+    """A case and what was sensed the day before, as a line."""
     days = days_of(ev).withColumn("day", F.col("day") + 1)
     prompts = B.prompts(ev).withColumn("day", T.day_of(F.col("ms"))).join(days, ["user_id", "day"], "left")
     whole = lambda c: F.floor(c).cast("long")
@@ -174,8 +208,6 @@ def cases(ev):
 @events_of
 def day_segments(ev):
     """The day up to the prompt in segments of six hours, with labels of behaviour."""
-    from ..operators import pit as P
-
     slots = P.lookback(B.prompts(ev).select("prompt_id", "user_id", "ms"), B.signals(ev)).where((F.floor(F.col("hour") / 24) == T.day_of(F.col("ms"))) & F.col("n").isNotNull())
     part = lambda kind: F.coalesce(F.sum(F.when(F.col("modality") == kind, F.col("total"))), F.lit(0.0))
     rows = slots.groupBy("prompt_id", F.floor(F.pmod("hour", F.lit(24)) / 6).cast("long").alias("segment")).agg(part("click").alias("walk"), part("view").alias("screen"), F.sum("n").alias("n"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,11 +31,30 @@ FILE_NAMES = {
 
 
 def sensor_csv(spark: SparkSession, path: str, schema: str, pattern: str | None = None) -> DataFrame:
-    """Raw sensor files: a header, lenient rows, unreadable files skipped, and each row's file name."""
-    reader = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("ignoreCorruptFiles", True)
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
-    return reader.csv(path).withColumn("file", F.col("_metadata.file_name"))
+    """Raw sensor files: a header, lenient rows (what does not parse is null), and each row's file name.
+
+    Columns go by their names in each file's header, in whatever order; a file whose header lacks one of the schema's
+    is left out whole, as are those whose name does not fit ``pattern``.  A header line has no comma inside quotes.
+    Files that cannot be read raise.
+    """
+    lines = (spark.read.option("pathGlobFilter", pattern) if pattern else spark.read).text(path)
+    lines = lines.select("value", F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("path"), F.col("_metadata.file_block_start").alias("start"))
+    names = [x.split()[0] for x in schema.split(",")]
+    clean = lambda line: F.transform(F.split(F.regexp_replace(line, "[\\uFEFF\"\\r]", ""), ","), F.trim)
+    # only a file's first line can name all columns, and there are as many header lines as files
+    heads = lines.where((F.col("start") == 0) & F.forall(F.array(*map(F.lit, names)), lambda n: F.array_contains(clean(F.col("value")), n)))
+    heads = heads.groupBy("path").agg(F.min("value").alias("head"))
+    orders = heads.groupBy("head").agg(F.collect_list("path").alias("paths")).toLocalIterator()  # one row a form of header
+    parts = []
+    for form in orders:
+        have = [x.strip() for x in form["head"].replace("\ufeff", "").replace('"', "").replace("\r", "").split(",")]
+        kinds = dict(x.split() for x in schema.split(","))
+        whole = ", ".join(f"`{n}` {kinds.get(n, 'string')}" for n in have)
+        read = spark.read.schema(whole).option("header", True).option("mode", "PERMISSIVE").csv(form["paths"])
+        parts.append(read.select(*names, F.col("_metadata.file_name").alias("file")))
+    if not parts:
+        return spark.createDataFrame([], f"{schema}, file string")
+    return reduce(DataFrame.unionByName, parts)
 
 
 def prompt_folds(spark: SparkSession, base: str, split: str = "test", folds: range = range(1, 6)) -> DataFrame:
@@ -72,7 +93,7 @@ def listed_files(spark: SparkSession, path: str) -> DataFrame:
 
 def texts_by_priority(spark: SparkSession, path: str, suffixes: list[str]) -> DataFrame:
     """(user, text): each user's whole document, from the first suffix there is; names are <user><suffix>."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.col("value").alias("text"), F.col("_metadata.file_name").alias("file"))
+    rows = spark.read.text(path, wholetext=True).select(F.col("value").alias("text"), F.col("_metadata.file_name").alias("file"))
     rank, user = None, F.col("file")
     for i, s in enumerate(suffixes):
         rank = F.when(F.col("file").endswith(s), i) if rank is None else rank.when(F.col("file").endswith(s), i)
@@ -87,8 +108,8 @@ def records_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def write_hourly(rows: DataFrame, path: str, by: str = "modality") -> None:
-    """The hourly store: partitioned by modality, so that a reader prunes."""
-    rows.repartition(by).sortWithinPartitions("user_id", "hour").write.mode("overwrite").partitionBy(by).parquet(path)
+    """The hourly store: partitioned by modality, so that a reader prunes; a modality is many tasks, by ranges of users."""
+    rows.repartitionByRange(by, "user_id", "hour").sortWithinPartitions(by, "user_id", "hour").write.mode("overwrite").partitionBy(by).parquet(path)
 
 
 def read_hourly(spark: SparkSession, path: str, modality: str) -> DataFrame:
@@ -106,5 +127,11 @@ def write_predictions_csv(rows: DataFrame, path: str, structs: list[str]) -> Non
     flattened(rows, structs).write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_metrics_json(rows: DataFrame, path: str) -> None:
+    """Metrics as JSON lines, in place of what is there."""
+    rows.write.mode("overwrite").json(path)
+
+
 def append_records(rows: DataFrame, path: str) -> None:
+    """Records as JSON lines behind those that are there."""
     rows.write.mode("append").json(path)

@@ -6,11 +6,16 @@ Frames have user_id, ts (a timestamp), event_type, value, event_id.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+#: Longest session, in milliseconds.
+CAP_MS = 3 * 3_600_000
 SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
@@ -51,12 +56,14 @@ def prompts_with_signals(events: DataFrame, hours: int = 4) -> DataFrame:
 
 
 class Pairing(StatefulProcessor):
-    """Keeps a user's last unlock and pairs it with the next lock; sessions over three hours do not count."""
+    """Keeps a user's last unlock and pairs it with the next lock; sessions over three hours do not count, and a
+    timer at their end frees an unlock that was given up."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.open = handle.getValueState("open", "ms long", ttlDurationMs=None)
 
-    def handleInputRows(self, key, rows, timer_values):
+    def handleInputRows(self, key, rows, timerValues):
         out = []
         frame = pd.concat(list(rows)).sort_values(["ms", "event_id"])
         last = self.open.get()[0] if self.open.exists() else None
@@ -64,24 +71,43 @@ class Pairing(StatefulProcessor):
             if state == "unlocked":
                 last = int(ms)
             elif last is not None:
-                if 0 < ms - last <= 3 * 3_600_000:
+                if 0 < ms - last <= CAP_MS:
                     out.append((key[0], last, int(ms)))
                 last = None
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
         if last is None:
             self.open.clear()
         else:
             self.open.update((last,))
+            self.handle.registerTimer(last + CAP_MS + 1)
         if out:
             yield pd.DataFrame(out, columns=["user_id", "start_ms", "end_ms"])
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.open.clear()
+        return iter([])
+
     def close(self) -> None:
         pass
 
 
 def paired_sessions(states: DataFrame) -> DataFrame:
-    """Unlock to lock sessions with state across batches; states: user_id, ms, state, event_id.  Needs the
-    RocksDB state store."""
-    return states.groupBy("user_id").transformWithStateInPandas(statefulProcessor=Pairing(), outputStructType="user_id long, start_ms long, end_ms long", outputMode="append", timeMode="none")
+    """Unlock to lock sessions with state across batches; states: user_id, ms, state, event_id, and ts with its
+    watermark, which moves the timers.  Needs the RocksDB state store (``with_state_store``)."""
+    return states.groupBy("user_id").transformWithStateInPandas(statefulProcessor=Pairing(), outputStructType="user_id long, start_ms long, end_ms long", outputMode="append", timeMode="EventTime")
+
+
+@contextmanager
+def with_state_store(spark: SparkSession) -> Iterator[None]:
+    """The session with the state store that processors need."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:

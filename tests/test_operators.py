@@ -127,3 +127,43 @@ def test_zone_free_inputs_everywhere(spark):
 
     df = spark.sql("SELECT TIMESTAMP_NTZ'2024-01-01 00:00:07.179' AS ts, '-05:30' AS zone")
     assert tuple(df.select(T.epoch_ms(F.col("ts")), T.offset_minutes(F.col("zone")), T.offset_minutes(F.lit("bad"), 0)).first()) == (1704067207179, -330, 0)
+
+
+def test_ids_are_padded_but_never_cut(spark):
+    df = spark.createDataFrame([("7",), (' "42" ',), ("100",), ("1000",), ("10001",), (None,)], "c string")
+    assert [r[0] for r in df.select(C.padded_id(F.col("c"))).collect()] == ["007", "042", "100", "1000", "10001", None]
+
+
+def test_tokens_part_at_typographic_signs(spark):
+    df = spark.createDataFrame([("Good—bad “happy” days… don't naïve_1  x",)], "t string")
+    assert df.select(X.tokens(F.col("t"))).first()[0] == ["good", "bad", "happy", "days", "don't", "naïve_1", "x"]
+
+
+def test_lexicon_profile(spark):
+    df = spark.createDataFrame([(1, "Happy unhappy HAPPILY: sad\nworkshop walks"), (2, None), (3, "")], "doc_id int, text string")
+    a, b, c = X.lexicon_profile(df).orderBy("doc_id").collect()
+    assert (a.word_count, a.posemo_count, a.negemo_count, a.work_count, a.leisure_count) == (6, 1, 1, 1, 1) and a.posemo_prop == pytest.approx(1 / 6) and a.pos_neg_ratio == 1.0
+    assert (b.word_count, c.word_count, b.posemo_count) == (1, 1, 0)
+
+
+def test_running_features_know_only_other_folds(spark):
+    """A prompt without a past is told the level of the other folds: nothing of its own, later ones included."""
+    made = lambda own: spark.createDataFrame([(1, 10, 0, 1, own), (2, 10, 5, 1, own * 3), (3, 20, 1, 2, 2.0), (4, 21, 2, 2, 4.0)], "prompt_id long, user_id int, ms long, fold int, value double").withColumn("desire", F.lit(5)).withColumn("available", F.lit("yes"))
+    get = lambda own: {r.prompt_id: r.deviation for r in P.running_personal(made(own)).collect()}
+    assert get(7.0)[1] == pytest.approx((7.0 - 3.0) / 1.0) and get(7.0)[2] == pytest.approx(21.0 - 3.0)
+    assert get(7.0)[3] == pytest.approx((2.0 - 14.0) / 7.0)
+
+
+def test_unsettled_clusters_raise(spark):
+    points = spark.createDataFrame([(1, i, 40.0 + i / 1000, -74.0, 5) for i in range(12)], "pid int, a long, lat double, lon double, weight int")
+    assert {r.cluster for r in D.density_clusters(points).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        D.density_clusters(points, rounds=1)
+
+
+def test_narratives(spark):
+    day = 24 * HOUR
+    prompts = spark.createDataFrame([(1, 1, day + 5), (2, 1, day + 6), (3, 1, 2 * day), (4, 2, day), (5, 1, day + 7)], "prompt_id long, user_id int, ms long")
+    told = [(1, 1, day + 5, 0, "own"), (1, 1, None, 1, "daily"), (1, 1, None, 0, "first"), (2, 1, None, 0, " "), (1, 1, day + 7, 0, ""), (1, 1, day + 7, 1, "late")]
+    narratives = spark.createDataFrame(told, "user_id int, day long, ms long, tie int, narrative string")
+    assert rows(P.narratives_for(prompts, narratives), "prompt_id") == [(1, "own"), (2, "first"), (3, None), (4, None), (5, None)]
