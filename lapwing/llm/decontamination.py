@@ -9,12 +9,16 @@ returns every item whose score reaches the item's threshold (a share of its scor
 A hit counts when question and answer are both found in the passage, by shares of their word triples.
 
 The index is shipped to tasks only in parts of at most ``part_bytes`` of item text, checked before;
-a larger benchmark takes several passes.  Texts are never shuffled.
+a larger benchmark takes several passes.  Item frequencies of words, the number of items and their
+lengths are counted over all items, so scores, thresholds and passages are the same in however many
+parts the benchmark comes.  Texts are never shuffled.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -59,9 +63,12 @@ def _runs(hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 class Index:
-    """BM25 postings of some items, in the order of their numbers, with a maximum for each block."""
+    """BM25 postings of some items, in the order of their numbers, with a maximum for each block.
 
-    def __init__(self, items: list[tuple[int, str]], retrieve: float):
+    ``over_all``: (number, mean length and greatest length of all items, word hashes in order, in how many items
+    each is), where these are not all."""
+
+    def __init__(self, items: list[tuple[int, str]], retrieve: float, over_all: tuple[int, float, int, np.ndarray, np.ndarray] | None = None):
         self.ids = [i for i, _ in items]
         words = Words([t for _, t in items], table=PLAIN)
         size = np.diff(words.first)
@@ -69,8 +76,10 @@ class Index:
         pair, tf = np.unique(term * len(items) + words.doc, return_counts=True)
         term, item = pair // max(len(items), 1), pair % max(len(items), 1)
         df = np.bincount(term, minlength=len(vocabulary))
-        idf = np.log(1 + (len(items) - df + 0.5) / (df + 0.5))
-        mean = max(float(size.mean()), 1.0) if len(size) else 1.0
+        n, mean, longest, known, often = over_all or (len(items), float(size.mean()) if len(size) else 1.0, int(size.max(initial=0)), vocabulary, df)
+        often = often[np.searchsorted(known, vocabulary)]
+        idf = np.log(1 + (n - often + 0.5) / (often + 0.5))
+        mean = max(mean, 1.0)
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[item] / mean))
         self.vocabulary, self.item, self.weight = vocabulary, item, weight
         self.start = np.searchsorted(term, np.arange(len(vocabulary) + 1))
@@ -82,7 +91,7 @@ class Index:
         # what short lists must give an item at least: its threshold without all that long lists can add
         self.short = df <= max(2, len(items) // 50)
         self.needed = np.where(has, self.threshold - np.bincount(item, np.where(self.short[term], 0, weight), len(items)), np.inf)
-        self.span = 2 * max(64, int(size.max(initial=0)))
+        self.span = 2 * max(64, longest)
         halves = [split_item(t) for _, t in items]
         asked, told = Words([h[0] for h in halves], table=PLAIN), Words([h[1] for h in halves], table=PLAIN)
         self.question = [_triples(asked, i) for i in range(len(items))]
@@ -179,30 +188,35 @@ class Index:
 HITS = "did long, rid long, doc_id long, item_id long, score double, question_share double, answer_share double, n_passages long"
 
 
-def _search(index: Index, verify: float):
+def _hits(index: Index, verify: float, texts: list) -> dict[tuple[int, int], list]:
+    """(row, item) -> [score, question share, answer share, passages] of the items that texts hold."""
+    found: dict[tuple[int, int], list] = {}
     step = index.span // 2
+    words = Words(texts, table=PLAIN)
+    if not words.n:
+        return found
+    term = index.look_up(words.hash)
+    # passages start every ``step`` words of a text and are twice as long
+    n = np.diff(words.first)
+    count = np.maximum(-(-n // step) - 1, (n > 0).astype(np.int64))
+    row = np.repeat(np.arange(len(n)), count)
+    base = np.cumsum(count) - count
+    lo = words.first[row] + (np.arange(len(row)) - base[row]) * step
+    hi = np.minimum(lo + index.span, words.first[row + 1])
+    open_ = index.open_passages(term, words.doc, (np.arange(words.n) - words.first[words.doc]) // step, base, count)
+    for k in open_.tolist():
+        mine = term[lo[k] : hi[k]]
+        for item, score in index.wand(np.unique(mine[mine >= 0]).tolist()):
+            asked, told = index.verify(item, words.hash[lo[k] : hi[k]])
+            if asked >= verify and told >= verify:
+                have = found.setdefault((int(row[k]), item), [0.0, 0.0, 0.0, 0])
+                have[:] = [max(have[0], score), max(have[1], asked), max(have[2], told), have[3] + 1]
+    return found
 
+
+def _search(index: Index, verify: float):
     def work(batch: pa.RecordBatch):
-        words = Words(batch.column("text").to_pylist(), table=PLAIN)
-        if not words.n:
-            return
-        term = index.look_up(words.hash)
-        # passages start every ``step`` words of a text and are twice as long
-        n = np.diff(words.first)
-        count = np.maximum(-(-n // step) - 1, (n > 0).astype(np.int64))
-        row = np.repeat(np.arange(len(n)), count)
-        base = np.cumsum(count) - count
-        lo = words.first[row] + (np.arange(len(row)) - base[row]) * step
-        hi = np.minimum(lo + index.span, words.first[row + 1])
-        open_ = index.open_passages(term, words.doc, (np.arange(words.n) - words.first[words.doc]) // step, base, count)
-        found: dict[tuple[int, int], list] = {}
-        for k in open_.tolist():
-            mine = term[lo[k] : hi[k]]
-            for item, score in index.wand(np.unique(mine[mine >= 0]).tolist()):
-                asked, told = index.verify(item, words.hash[lo[k] : hi[k]])
-                if asked >= verify and told >= verify:
-                    have = found.setdefault((int(row[k]), item), [0.0, 0.0, 0.0, 0])
-                    have[:] = [max(have[0], score), max(have[1], asked), max(have[2], told), have[3] + 1]
+        found = _hits(index, verify, batch.column("text").to_pylist())
         if found:
             keep = np.array([r for r, _ in found])
             columns = {c: batch.column(c).to_numpy(zero_copy_only=False)[keep] for c in ("did", "rid")}
@@ -214,6 +228,49 @@ def _search(index: Index, verify: float):
     return frames.per_step(work)
 
 
+def _without(index: Index, verify: float):
+    """The rows that hold no item."""
+
+    def work(batch: pa.RecordBatch):
+        keep = np.ones(batch.num_rows, bool)
+        keep[[r for r, _ in _hits(index, verify, batch.column("text").to_pylist())]] = False
+        yield batch.filter(pa.array(keep))
+
+    return frames.per_step(work)
+
+
+def _terms(batches):
+    """(term, part, words): the distinct words of each item, and a row without a term for its length."""
+    for batch in batches:
+        words = Words(batch.column("text").to_pylist(), table=PLAIN)
+        part = batch.column("part").to_numpy()
+        pair = np.unique(np.stack([words.doc.astype(np.uint64), words.hash], 1), axis=0) if words.n else np.zeros((0, 2), np.uint64)
+        owner = pair[:, 0].astype(np.int64)
+        term = pa.array(np.concatenate([pair[:, 1], np.zeros(len(part), np.uint64)]).view(np.int64), mask=np.arange(len(pair) + len(part)) >= len(pair))
+        yield pa.RecordBatch.from_arrays([term, pa.array(np.concatenate([part[owner], part]), pa.int32()), pa.array(np.concatenate([np.zeros(len(owner), np.int64), np.diff(words.first)]))], names=["term", "part", "words"])
+
+
+def indexes(benchmark: DataFrame, retrieve: float, part_bytes: int) -> Iterator[Index]:
+    """The index of each part of the benchmark."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+    size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+    parts = max(1, -(-size // part_bytes))
+    items = items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)).cast("int"))
+    over_all = None
+    if parts > 1:
+        terms = frames.materialise(items.mapInArrow(_terms, "term long, part int, words long"), "item-terms")
+        n, mean, longest = terms.where("term is null").agg(F.count("*"), F.avg("words"), F.max("words")).first()
+        often = frames.materialise(terms.where("term is not null").groupBy("term").agg(F.count("*").alias("df")), "item-frequencies")
+    for part in range(parts):
+        rows = items.where(F.col("part") == part).collect()  # at most about part_bytes
+        if parts > 1:
+            mine = often.join(terms.where((F.col("part") == part) & F.col("term").isNotNull()).select("term").distinct(), "term").collect()
+            known, df = (np.array([r[k] for r in mine], np.int64) for k in ("term", "df"))
+            order = np.argsort(known.view(np.uint64))
+            over_all = n, mean, longest, known.view(np.uint64)[order], df[order]
+        yield Index(sorted(((r.item_id, r.text) for r in rows), key=lambda x: (x[0] is None, x[0] or 0, x[1])), retrieve, over_all)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, retrieve: float = RETRIEVE, verify: float = VERIFY, part_bytes: int = PART_BYTES) -> DataFrame:
     """did, rid, doc_id, item_id, score, question_share, answer_share, n_passages: one row for each row
     of ``docs`` and item that it holds.
@@ -222,21 +279,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, retrieve: float = RETRIE
     are each found, repeated items are each reported; other columns are ignored; with either table
     empty the result is empty.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    size = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    parts = max(1, -(-size // part_bytes))
     keyed = frames.row_keys(docs)
-    out = None
-    for part in range(parts):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()  # at most about part_bytes
-        index = Index(sorted(((r.item_id, r.text) for r in rows), key=lambda x: (x[0] is None, x[0] or 0, x[1])), retrieve)
-        hits = keyed.mapInArrow(_search(index, verify), HITS)
-        out = hits if out is None else out.unionByName(hits)
-    return out
-
-
-def clean(docs: DataFrame, benchmark: DataFrame, **limits) -> DataFrame:
-    """The rows of ``docs`` that hold no item, with all their columns."""
-    bad = contaminated(docs, benchmark, **limits).select("did", "rid").distinct()
-    marked = docs.withColumn("_did", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63) + 1))).withColumn("_rid", F.xxhash64(F.col("doc_id"), F.col("text")))
-    return marked.join(bad, (marked["_did"] == bad["did"]) & (marked["_rid"] == bad["rid"]), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return reduce(DataFrame.unionByName, (keyed.mapInArrow(_search(index, verify), HITS) for index in indexes(benchmark, retrieve, part_bytes)))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, retrieve: float = RETRIEVE, verify: float = VERIFY, part_bytes: int = PART_BYTES) -> DataFrame:
+    """The rows of ``docs`` that hold no item, with all their columns, whatever their names; null and empty texts
+    stay, repeated rows stay or go together.  One pass a part of the benchmark hands on what has none of it."""
+    return reduce(lambda rows, index: rows.mapInArrow(_without(index, verify), docs.schema), indexes(benchmark, retrieve, part_bytes), docs)

@@ -29,6 +29,21 @@ def test_leaks_equal_brute_force(spark):
     assert kept == set(texts) - {d for d, _ in want}
 
 
+def test_partial_copies_do_not_depend_on_the_parts(spark):
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    rng, rows = random.Random(2), []
+    for r in items.collect():
+        words = r.text.split()
+        for share in (0.02, 0.05, 0.1, 0.2):
+            rows.append((len(rows), "so he said " + " ".join(w if rng.random() > share else "other" for w in words) + " and then " * 40))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = lambda **k: sorted((r.doc_id, r.item_id, round(r.score, 9), r.n_passages) for r in decontamination.contaminated(docs, items, **k).collect())
+    want = found()
+    assert 0 < len({d for d, *_ in want}) < len(rows)
+    assert found(part_bytes=2000) == want
+    assert decontamination.clean(docs, items, part_bytes=2000).count() == len(rows) - len({d for d, *_ in want})
+
+
 def test_wand_returns_all_above_threshold():
     rng = random.Random(4)
     words = [f"w{i}" for i in range(60)]
@@ -51,6 +66,10 @@ def test_leak_edges(spark):
     out = decontamination.contaminated(docs, items).collect()
     assert {r.doc_id for r in out} == {3, None} and {r.item_id for r in out} == {7}
     assert decontamination.clean(docs, items).count() == 3
+    named = docs.withColumn("_did", F.lit("d")).withColumn("_rid", F.lit("r"))
+    kept = decontamination.clean(named, items)
+    assert kept.columns == named.columns and {(r["_did"], r["_rid"]) for r in kept.collect()} == {("d", "r")}
+    assert decontamination.clean(docs.limit(0), items).count() == 0 and decontamination.clean(docs, items.limit(0)).count() == 6
     assert decontamination.contaminated(docs.limit(0), items).count() == 0 and decontamination.contaminated(docs, items.limit(0)).count() == 0
 
 
