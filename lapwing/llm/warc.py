@@ -2,7 +2,9 @@
 
 An archive is written by Spark's text writer, one record a row; the two line ends that close a record
 are the writer's line separator, so files go to whatever store Spark writes to, compressed as a
-whole.  It is read back as binary files of bounded record number and cut by Content-Length.
+whole at the fastest level.  A file holds what one task has, and FILE_RECORDS records at most.  It is
+read back as a binary file, inflated as a stream and cut by Content-Length, so what a reader holds is
+the compressed file and one batch of records.
 
 Revisit resolution reads headers only and shuffles them by payload digest: of equal payloads, the
 record with the smallest page number stays a response and the others become revisits of it.  The
@@ -16,7 +18,10 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import uuid
+from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -58,20 +63,25 @@ def render(row: dict) -> str:
     )
 
 
-def parse(raw: bytes):
-    """(header fields, payload) of each record of an archive's bytes."""
+def parse(archive: BinaryIO, with_payload: bool = True) -> Iterator[tuple[dict, int, bytes | None]]:
+    """(header fields, length of the payload, payload if asked for) of each record of an archive, one at a time."""
     at = 0
-    while at < len(raw):
-        stop = raw.index(b"\r\n\r\n", at)
-        lines = raw[at:stop].decode("utf-8").split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        fields = dict(x.split(": ", 1) for x in lines[1:])
-        block = raw[stop + 4 : stop + 4 + int(fields["Content-Length"])]
-        head, _, payload = block.partition(b"\r\n\r\n")
-        length = next(int(x.split(b":")[1]) for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:"))
+    while line := archive.readline():
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record at record {at}")
+        fields = dict(x.decode("utf-8").rstrip("\r\n").split(": ", 1) for x in iter(archive.readline, b"\r\n"))
+        rest, length = int(fields["Content-Length"]), 0
+        while (line := archive.readline()) != b"\r\n":
+            rest -= len(line)
+            if line[:15].lower() == b"content-length:":
+                length = int(line[15:])
+        rest -= 2
+        payload = archive.read(rest) if with_payload else None
+        skip = 4 if with_payload else rest + 4
+        while skip > 0:
+            skip -= len(archive.read(min(skip, 1 << 20))) or skip
         yield fields, length, payload
-        at = stop + 4 + int(fields["Content-Length"]) + 4
+        at += 1
 
 
 def _render(batch: pa.RecordBatch):
@@ -81,10 +91,10 @@ def _render(batch: pa.RecordBatch):
 def write_archives(records: DataFrame, path: str) -> None:
     """Write records (columns of HEAD, and payload as a string) as gzip-compressed archives."""
     lines = records.mapInArrow(frames.per_step(_render, "payload"), "value string")
-    lines.write.option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    lines.write.option("lineSep", RECORD_END).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
-def _read(with_payload: bool):
+def _read(with_payload: bool, verify: bool):
     names = [x.split()[0] for x in HEAD.split(", ")]
     schema = pa.schema([(x.split()[0], pa.int64() if x.endswith("long") else pa.string()) for x in HEAD.split(", ")] + [("payload", pa.string())] * with_payload)
 
@@ -92,12 +102,13 @@ def _read(with_payload: bool):
         for batch in batches:
             for raw in batch.column("content"):
                 rows, have = [], 0
-                for fields, length, payload in parse(gzip.decompress(raw.as_py())):
+                stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(raw.as_py())), 1 << 17)
+                for fields, length, payload in parse(stream, with_payload or verify):
                     row = dict.fromkeys(names) | {_FIELDS[k]: v for k, v in fields.items() if k in _FIELDS}
                     for k in ("record_id", "refers_to_id"):
                         row[k] = row[k] and row[k].removeprefix("<urn:uuid:").removesuffix(">")
                     row["payload_digest"] = row["payload_digest"].removeprefix("sha1:")
-                    if row["record_type"] == "response" and digest(payload) != row["payload_digest"]:
+                    if verify and row["record_type"] == "response" and digest(payload) != row["payload_digest"]:
                         raise ValueError(f"record {row['record_id']} does not match its digest")
                     for k in ("page_id", "refers_to"):
                         row[k] = row[k] and int(row[k])
@@ -115,10 +126,10 @@ def _read(with_payload: bool):
     return work
 
 
-def read_archives(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """Records of the archives under ``path``: columns of HEAD, and payload if asked for.  Payload digests are verified."""
+def read_archives(spark: SparkSession, path: str, with_payload: bool = True, verify: bool = True) -> DataFrame:
+    """Records of the archives under ``path``: columns of HEAD, and payload if asked for; digests of payloads are verified if asked for."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    return files.mapInArrow(_read(with_payload), HEAD + ", payload string" * with_payload)
+    return files.mapInArrow(_read(with_payload, verify), HEAD + ", payload string" * with_payload)
 
 
 def _as_responses(batch: pa.RecordBatch):
@@ -156,7 +167,7 @@ def resolve_revisits(heads: DataFrame, min_bytes: int = 0) -> DataFrame:
 
 def deduplicate_archives(spark: SparkSession, source: str, target: str, min_bytes: int = 0) -> None:
     """Read the archives under ``source`` and write them, repeated payloads replaced by revisit records, under ``target``."""
-    verdicts = resolve_revisits(read_archives(spark, source, with_payload=False), min_bytes)
+    verdicts = resolve_revisits(read_archives(spark, source, with_payload=False, verify=False), min_bytes)
     records = read_archives(spark, source).drop("record_type", "refers_to_id", "refers_to_url", "refers_to")
     write_archives(records.join(verdicts, "record_id").select(*[x.split()[0] for x in HEAD.split(", ")], "payload"), target)
 
