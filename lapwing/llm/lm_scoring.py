@@ -9,18 +9,22 @@ context's frequency (its binary logarithm).  The weights come from expectation-m
 held-out counts: each row of the estimation fold is held out in turn, its own counts being deleted
 from the totals before its tokens are looked up.
 
-How it runs.  Rows are dealt to *shards* of about SHARD_BYTES by a hash.  A shard sends each of its
-distinct unigrams and bigrams once, packed and sorted, with its training count, to the *bucket* that
-owns the key's hash range; the bucket adds the counts of all shards up and answers each message with
-the totals in the order asked, so keys do not travel back.  A frequent word is one entry per shard,
-whatever its count; shards and buckets grow in number, not in size, with the corpus.  The driver
-sees N, V and a histogram of bounded size for the weights.
+How it runs.  Texts are packed, compressed, in chunks of about CHUNK_BYTES, which are written once and
+dealt to *shards* of about SHARD_BYTES.  A shard sends each of its distinct unigrams and bigrams once,
+packed and sorted, with its training count, to the *bucket* that owns the key's hash range; the bucket
+adds the counts of all shards up and answers each message with the totals in the order asked, so keys
+do not travel back.  A frequent word is one entry per shard, whatever its count; shards and buckets
+grow in number, not in size, with the corpus.  A message has at least one key, so there are never more
+messages than there are distinct keys in shards, and what is sent grows in proportion to the text.
+Inside a bucket 48 bits tell bigrams apart: of 10**6 distinct ones, two agree with probability 0.002.
+The driver sees N, V and a histogram of bounded size for the weights.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +32,10 @@ from . import frames
 from .kernels import Words, mix
 
 SHARD_BYTES = 16_000_000
-BUCKET_BYTES = 4_000_000
+BUCKET_BYTES = 8_000_000
+CHUNK_BYTES = 256_000
+#: Bytes of a bigram's hash in a message.
+PAIR_BYTES = 6
 END = np.uint64(0x6A09E667F3BCC909)
 START = np.uint64(0xBB67AE8584CAA73B)
 LEVELS = 24
@@ -60,10 +67,9 @@ def _pairs(tok: np.ndarray, ctx: np.ndarray) -> np.ndarray:
     return mix(mix(ctx) + tok * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket's range of sorted keys begins; one more at the end."""
-    owner = (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-    return np.searchsorted(owner, np.arange(buckets + 1, dtype=np.uint64))
+def _owners(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each of some sorted keys."""
+    return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
 def _pack(counts: np.ndarray) -> tuple[bytes, bytes]:
@@ -78,16 +84,73 @@ def _unpack(small: bytes, large: bytes) -> np.ndarray:
     return out
 
 
-def _low40(keys: np.ndarray) -> bytes:
-    return np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+def _low(keys: np.ndarray) -> bytes:
+    return np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, :PAIR_BYTES]).tobytes()
 
 
-def _from40(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+def _from_low(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // PAIR_BYTES, 8), np.uint8)
+    out[:, :PAIR_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, PAIR_BYTES)
     return out.view(np.uint64).ravel()
 
 
+CHUNK = "shard int, ids binary, flags binary, sizes binary, texts binary"
+#: Flags of a row in a chunk.
+HELD, NAMELESS = 1, 2
+
+
+def _chunks(shards: int, fitted: int):
+    """Rows (doc_id, text, held_out, fits, turn) packed into chunks, the fitting ones apart."""
+
+    def run(batches):
+        press = zstandard.ZstdCompressor(level=3)
+        kept: dict[bool, list] = {False: [], True: []}
+        have = {False: 0, True: 0}
+
+        def close(fits: bool):
+            ids, held, texts, turns = zip(*kept[fits])
+            flags = np.array([HELD * h | NAMELESS * (d is None) for d, h in zip(ids, held)], np.uint8)
+            turn = turns[0]
+            shard = shards + turn % fitted if fits else turn % shards
+            columns = [[shard], [np.array([d or 0 for d in ids], np.int64).tobytes()], [flags.tobytes()], [np.array([len(t) for t in texts], np.int64).tobytes()], [press.compress(b"".join(texts))]]
+            kept[fits].clear()
+            have[fits] = 0
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+        schema = _schema(CHUNK)
+        for batch in batches:
+            for d, text, held, fits, turn in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "held_out", "fits", "turn"))):
+                raw = text.encode("utf-8", "surrogatepass")
+                kept[fits].append((d, held, raw, turn))
+                have[fits] += len(raw) + 16
+                if have[fits] >= CHUNK_BYTES:
+                    yield from close(fits)
+        for fits in (False, True):
+            if kept[fits]:
+                yield from close(fits)
+
+    return run
+
+
+class _Rows:
+    """The rows of a shard's chunks."""
+
+    def __init__(self, chunks: pa.Table):
+        whole = lambda name, kind: np.concatenate([np.zeros(0, kind), *(np.frombuffer(x.as_py(), kind) for x in chunks.column(name))])
+        flags = whole("flags", np.uint8)
+        self.held, self.ids = flags & HELD > 0, pa.array(whole("ids", np.int64), mask=flags & NAMELESS > 0)
+        self.texts: list[bytes] = []
+        open_ = zstandard.ZstdDecompressor()
+        for sizes, packed in zip(chunks.column("sizes"), chunks.column("texts")):
+            raw, at = open_.decompress(packed.as_py()), 0
+            for n in np.frombuffer(sizes.as_py(), np.int64).tolist():
+                self.texts.append(raw[at : at + n])
+                at += n
+
+    def __len__(self) -> int:
+        return len(self.texts)
+
+
 MESSAGE = "shard int, bucket int, words binary, wn binary, wbig binary, pairs binary, pn binary, pbig binary"
 REPLY = "shard int, bucket int, wn binary, wbig binary, pn binary, pbig binary, tokens long, types long"
 
@@ -100,22 +163,24 @@ def _schema(text: str) -> pa.Schema:
 def _ask(buckets: int):
     """A shard's messages: its distinct keys with the counts in its training rows."""
 
-    def work(key, rows):
-        tok, ctx, row = _tokens(rows.column("text").to_pylist())
-        train = ~rows.column("held_out").to_numpy()[row]
+    def work(key, chunks):
+        rows = _Rows(chunks)
+        tok, ctx, row = _tokens(rows.texts)
+        train = ~rows.held[row]
         shard = key[0].as_py()
         words, at = np.unique(tok, return_inverse=True)
         wn = np.bincount(at[train], minlength=len(words))
         del at
         pairs, at = np.unique(_pairs(tok, ctx), return_inverse=True)
         pn = np.bincount(at[train], minlength=len(pairs))
-        wc, pc = _cuts(words, buckets), _cuts(pairs, buckets)
+        del at, tok, ctx, row
+        ow, op = _owners(words, buckets), _owners(pairs, buckets)
+        some = np.union1d(ow, op)
+        wc, pc = (np.searchsorted(o, np.append(some, buckets)) for o in (ow, op))
         out = []
-        for b in range(buckets):
-            if wc[b] == wc[b + 1] and pc[b] == pc[b + 1]:
-                continue
-            w, p = slice(wc[b], wc[b + 1]), slice(pc[b], pc[b + 1])
-            out.append((shard, b, words[w].tobytes(), *_pack(wn[w]), _low40(pairs[p]), *_pack(pn[p])))
+        for k, b in enumerate(some.tolist()):
+            w, p = slice(wc[k], wc[k + 1]), slice(pc[k], pc[k + 1])
+            out.append((shard, b, words[w].tobytes(), *_pack(wn[w]), _low(pairs[p]), *_pack(pn[p])))
         schema = _schema(MESSAGE)
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
@@ -126,7 +191,7 @@ def _answer(key, messages):
     """Totals over all shards, for each message in its own order."""
     m = messages.to_pylist()
     out = {"shard": [x["shard"] for x in m], "bucket": [x["bucket"] for x in m], "tokens": [None] * len(m), "types": [None] * len(m)}
-    for name, keys, raw in (("w", "words", lambda x: np.frombuffer(x, np.uint64)), ("p", "pairs", _from40)):
+    for name, keys, raw in (("w", "words", lambda x: np.frombuffer(x, np.uint64)), ("p", "pairs", _from_low)):
         each = [raw(x[keys]) for x in m]
         counts = np.concatenate([_unpack(x[f"{name}n"], x[f"{name}big"]) for x in m])
         known, at = np.unique(np.concatenate(each), return_inverse=True)
@@ -163,18 +228,19 @@ HISTOGRAM = "level int, i int, j int, n long, p2 double, p1 double"
 def _histogram(total: int):
     """Held-out estimates of the rows of a shard, each row's own counts deleted."""
 
-    def work(key, rows, replies):
+    def work(key, chunks, replies):
         schema = _schema(HISTOGRAM)
-        if not rows.num_rows:
+        rows = _Rows(chunks)
+        if not len(rows):
             return schema.empty_table()
-        x = _Looked(rows.column("text").to_pylist(), replies)
+        x = _Looked(rows.texts, replies)
 
         def own(ids: np.ndarray) -> np.ndarray:
             """How often a token's key occurs in its own row."""
             _, at, n = np.unique(x.row * (ids.max() + 1) + ids, return_inverse=True, return_counts=True)
             return n[at]
 
-        length = np.bincount(x.row, minlength=rows.num_rows)[x.row]
+        length = np.bincount(x.row, minlength=len(rows))[x.row]
         pair, word = x.pair - own(x.p), x.word - own(x.w)
         # as a context a key occurs in the row wherever a pair begins with it
         span = max(int(x.h.max()), 0) + 1
@@ -224,18 +290,19 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 
 def _score(weights: np.ndarray, total: int, types: int):
-    def work(key, rows, replies):
+    def work(key, chunks, replies):
         schema = _schema(SCORES)
-        n = rows.num_rows
+        rows = _Rows(chunks)
+        n = len(rows)
         if not n:
             return schema.empty_table()
-        x = _Looked(rows.column("text").to_pylist(), replies)
+        x = _Looked(rows.texts, replies)
         lam = weights[_level(x.context)]
         p = lam[:, 0] * x.pair / np.maximum(x.context, 1) + lam[:, 1] * x.word / max(total, 1) + lam[:, 2] / (types + 1)
         add = lambda v: np.bincount(x.row, v, n)
         return pa.Table.from_pydict(
             {
-                "doc_id": rows.column("doc_id"), "held_out": rows.column("held_out"), "n_tokens": np.bincount(x.row, minlength=n), "n_known": add(x.word > 0).astype(np.int64),
+                "doc_id": rows.ids, "held_out": rows.held, "n_tokens": np.bincount(x.row, minlength=n), "n_known": add(x.word > 0).astype(np.int64),
                 "train_tokens": np.full(n, total), "base_score": add(np.log10((x.word + 1) / (total + types + 1))), "score": add(np.log10(p)),
             },
             schema=schema,
@@ -259,9 +326,9 @@ def score(docs: DataFrame, modulus: int = 7, held: int = 2, estimation: int = 10
     picked = F.xxhash64("doc_id", "text", F.lit(7))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), (fold % modulus == held).alias("held_out"),
-        ((fold % modulus != held) & (F.floor(fold / modulus) % estimation == 0)).alias("fits"), F.pmod(picked, F.lit(1 << 40)).alias("_h"),
+        ((fold % modulus != held) & (F.floor(fold / modulus) % estimation == 0)).alias("fits"), F.pmod(picked, F.lit(1 << 40)).alias("turn"),
     )
-    rows = rows.select("doc_id", "text", "held_out", F.when(F.col("fits"), shards + F.col("_h") % fitted).otherwise(F.col("_h") % shards).cast("int").alias("shard"))
+    rows = frames.materialise(rows.mapInArrow(_chunks(shards, fitted), CHUNK), "lm-chunks")
 
     asked = rows.groupBy("shard").applyInArrow(_ask(buckets), MESSAGE)
     replies = frames.materialise(asked.groupBy("bucket").applyInArrow(_answer, REPLY), "lm-replies")

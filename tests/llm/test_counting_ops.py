@@ -94,6 +94,53 @@ def brute_lm(rows, modulus=7, held=2):
     return sorted(out, key=key)
 
 
+def brute_scores(rows, modulus=7, held=2, estimation=10):
+    """The interpolated model in plain Python: counts by dictionaries, the row's own counts deleted one by one."""
+    crc = lambda d: zlib.crc32(("" if d is None else str(d)).encode())
+    low = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+    tokens = [[*WORD.findall(low(t)), None] for _, t in rows]
+    grams = lambda t: list(zip([None, *t], t))
+    word, pair = Counter(), Counter()
+    for (d, _), t in zip(rows, tokens):
+        if crc(d) % modulus != held:
+            word.update(t)
+            pair.update(grams(t))
+    n, v = sum(word.values()), len(word)
+    level = lambda c: min(int(math.log2(c + 1)), lm_scoring.LEVELS - 1)
+    cell = lambda p: min(int(-math.log10(p) * 12), lm_scoring.BINS - 2) if p > 0 else lm_scoring.BINS - 1
+    cells = {}
+    for (d, _), t in zip(rows, tokens):
+        if crc(d) % modulus != held and crc(d) // modulus % estimation == 0:
+            w, g = Counter(t), Counter(grams(t))
+            first = Counter(h for h, _ in grams(t))
+            for h, x in grams(t):
+                c = word[h] - first[h]
+                p2, p1 = (pair[h, x] - g[h, x]) / c if c > 0 else 0.0, (word[x] - w[x]) / max(n - len(t), 1)
+                have = cells.setdefault((level(max(c, 0)), cell(p2), cell(p1)), [0, 0.0, 0.0])
+                have[:] = [have[0] + 1, have[1] + p2, have[2] + p1]
+    lam = lm_scoring.learn_weights([(k[0], m, p2 / m, p1 / m) for k, (m, p2, p1) in cells.items()], v)
+    out = []
+    for (d, _), t in zip(rows, tokens):
+        total = 0.0
+        for h, x in grams(t):
+            a, b, c = lam[level(word[h])]
+            total += math.log10(a * pair[h, x] / max(word[h], 1) + b * word[x] / max(n, 1) + c / (v + 1))
+        out.append((d, round(total, 4)))
+    return sorted(out, key=key)
+
+
+@pytest.mark.parametrize("shard_bytes", [16_000_000, 40_000])
+def test_lm_scores_equal_brute_force(spark, sf_dir, odd, monkeypatch, shard_bytes):
+    monkeypatch.setattr(lm_scoring, "SHARD_BYTES", shard_bytes)
+    monkeypatch.setattr(lm_scoring, "BUCKET_BYTES", shard_bytes // 2)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for df, rows in ((docs, [(r.doc_id, r.text) for r in docs.collect()]), (odd, ODD)):
+        got = sorted(((r.doc_id, round(r.score, 4)) for r in lm_scoring.score(df).collect()), key=key)
+        want = brute_scores(rows)
+        assert [d for d, _ in got] == [d for d, _ in want]
+        assert np.allclose([x for _, x in got], [x for _, x in want], atol=2e-3)
+
+
 def lm(df):
     rows = lm_scoring.score(df).collect()
     assert all(r.score < 0 or r.train_tokens == 0 for r in rows)
