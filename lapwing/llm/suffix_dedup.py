@@ -17,8 +17,8 @@ windows.  Three radix passes refine groups of suffixes; a group of one leaves th
 At each pass one row of every group that is already known to repeat goes on as a witness, so
 suffixes further down can still meet it.  Groups are compared by 96-bit hashes and counted with
 partial aggregation, so a passage that a third of all documents hold is one row per task; no pairs
-are made.  Joins back to the members are plain equi-joins against unique keys, which adaptive
-execution splits when one key is hot.
+are made.  Joins back to the members are plain equi-joins against unique keys; those keys are written
+down first, so that both sides are shuffles of their own and adaptive execution splits a hot key.
 """
 
 from __future__ import annotations
@@ -255,28 +255,28 @@ _DONE = pa.schema([(x.split()[0], pa.string() if x.endswith("string") else pa.in
 
 
 def repeated_bytes(docs: DataFrame, threshold: int = 400) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+    """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, has_repeats.
 
     A byte goes if some ``threshold``-byte string that covers it also starts anywhere else, in this
     text or another.  Null and empty texts, and texts shorter than the threshold, lose nothing.
-    Rows that repeat (same id and text) are copies of each other and lose all windows.  Other
+    Rows that repeat (same id and text) are copies of each other and lose all windows; what is found
+    for them is kept once for all copies.  ``has_repeats`` says whether anything was removed.  Other
     columns of ``docs`` are ignored; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
     keyed = frames.row_keys(docs)
     key = ["k1", "k2"]
+    several = lambda rows, of: frames.materialise(rows.groupBy(of).agg(F.count("*").alias("n")).where("n > 1").select(of), f"{of}-several")
 
     # first digit
     runs = frames.materialise(keyed.select("did", "rid", "text").mapInArrow(_runs(threshold), RUNS), "runs")
-    anchors = runs.groupBy("akey").agg(F.count("*").alias("n")).where("n > 1").select("akey")
-    met = runs.join(anchors, "akey", "left_semi")
+    met = runs.join(several(runs, "akey"), "akey", "left_semi")
     # grouped by the whole text alone: a common anchor must not bring all its runs to one task
     groups = met.groupBy(*key).agg(F.min("akey").alias("akey"), F.count("*").alias("n"), F.min(F.struct("did", "rid", "p0", "geom")).alias("one"))
     groups = frames.materialise(groups, "groups")
     members = met.join(groups.where("n > 1").select(*key), key, "left_semi").select("did", "rid", "p0", "geom", F.lit(1).alias("what"))
-    mixed = groups.groupBy("akey").agg(F.count("*").alias("m")).where("m > 1").select("akey")
-    onward = groups.join(mixed, "akey", "left_semi").select("one.*", F.when(F.col("n") > 1, 2).otherwise(3).alias("what"))
-    per_doc = members.unionByName(onward).groupBy("did", "rid").agg(F.collect_list(F.struct("p0", "geom", "what")).alias("found"))
+    onward = groups.join(several(groups, "akey"), "akey", "left_semi").select("one.*", F.when(F.col("n") > 1, 2).otherwise(3).alias("what"))
+    per_doc = members.unionByName(onward).groupBy("did", "rid").agg(F.collect_set(F.struct("p0", "geom", "what")).alias("found"))
+    per_doc = frames.materialise(per_doc, "found-runs")
 
     found = frames.materialise(keyed.join(per_doc, ["did", "rid"], "left").mapInArrow(_locate(threshold), FOUND), "found")
     # repeated rows send a witness several times; that is harmless, since only undecided pieces get verdicts
@@ -284,8 +284,7 @@ def repeated_bytes(docs: DataFrame, threshold: int = 400) -> DataFrame:
 
     # second digit
     blocks = frames.materialise(pieces.mapInArrow(_blocks(threshold), BLOCKS), "blocks")
-    cores = blocks.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
-    met = blocks.join(cores, "core", "left_semi")
+    met = blocks.join(several(blocks, "core"), "core", "left_semi")
     groups = frames.materialise(met.groupBy(*key).agg(F.min("core").alias("core"), F.count("*").alias("n"), F.min(F.struct("did", "rid", "p0", "b", "undecided")).alias("one")), "block-groups")
     whole = met.where("undecided").join(groups.where("n > 1").select(*key), key, "left_semi")
     pieces_at = pieces.select("did", "rid", "p0", "geom")
@@ -296,16 +295,15 @@ def repeated_bytes(docs: DataFrame, threshold: int = 400) -> DataFrame:
         (F.col("p0") + F.greatest(F.lit(0), off - F.col("b") * BLOCK - (BLOCK - 1))).alias("lo"),
         (F.col("p0") + F.least(span, off - F.col("b") * BLOCK) + threshold).alias("hi"),
     )
-    mixed = groups.groupBy("core").agg(F.count("*").alias("m")).where("m > 1").select("core")
-    onward = groups.join(mixed, "core", "left_semi").select("one.did", "one.rid", "one.p0", "one.b", (F.col("one.undecided") & (F.col("n") == 1)).alias("undecided"))
-    wanted = onward.groupBy("did", "rid", "p0").agg(F.collect_list(F.struct("b", "undecided")).alias("blocks"))
+    onward = groups.join(several(groups, "core"), "core", "left_semi").select("one.did", "one.rid", "one.p0", "one.b", (F.col("one.undecided") & (F.col("n") == 1)).alias("undecided"))
+    wanted = onward.groupBy("did", "rid", "p0").agg(F.collect_set(F.struct("b", "undecided")).alias("blocks"))
 
     # last digit
     windows = frames.materialise(pieces.drop("undecided").join(wanted, ["did", "rid", "p0"]).mapInArrow(_windows(threshold), WINDOWS), "windows")
     twice = windows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key)
     single = windows.where("undecided").join(twice, key, "left_semi").select("did", "rid", F.col("at").alias("lo"), (F.col("at") + threshold).alias("hi"))
 
-    more = decided.unionByName(single).groupBy("did", "rid").agg(F.collect_list(F.struct("lo", "hi")).alias("more"))
+    more = decided.unionByName(single).groupBy("did", "rid").agg(F.collect_set(F.struct("lo", "hi")).alias("more"))
     rest = found.where("kind = 1").select("did", "rid", "doc_id", "text", "spans").join(more, ["did", "rid"], "left").mapInArrow(_finish(threshold), DONE)
     names = [x.split()[0] for x in DONE.split(", ")][2:]
-    return found.where("kind = 0").select(*names).unionByName(rest.select(*names))
+    return found.where("kind = 0").select(*names).unionByName(rest.select(*names)).withColumn("has_repeats", F.col("n_removed") > 0)
