@@ -8,15 +8,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path under ``spark.checkpoint.dir``; where that is unset, in a local session, under a temporary folder."""
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where that is unset, in a local session, a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.lapwing.scratch", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         base = tempfile.mkdtemp(prefix="lapwing-")
         spark.conf.set("spark.lapwing.scratch", base)
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    return base
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
