@@ -1,18 +1,26 @@
 """Main text of web pages by two-pass block rules.
 
-A page is cut into blocks at block-level tags.  Blocks inside menus, headers, footers, sidebars,
-forms, scripts, styles, notices, adverts and comment sections (by element, role, or a word of the
-class or id) are out.  The first pass decides the others by length, link density and stop-word
-density: good, bad, or short (undecided).  The second pass gives each undecided block the label of
-its nearest decided neighbours (good only if both sides agree or the nearer one is good).  Where the
-page marks its article, blocks outside are bad; inside, stop words have no say, since the markup has
-spoken, and only blocks made of links are bad.
+A page is cut into blocks at block-level tags.  Text inside menus, headers, footers, sidebars, forms,
+scripts, styles, notices, adverts and comment sections (by element, role, or a word of the class or id)
+is no block of the article and has no say about others.
+
+The first pass decides each block by its length, the share of its characters in links and its density of
+stop words: blocks made of links are bad; of those long enough to tell, blocks with many stop words are
+good, and blocks that mix few stop words with links are bad.  The others (short, or few stop words and
+no links) are undecided.  The second pass gives each undecided block the label of its nearest decided
+neighbours; between a good and a bad one as near, it is good.
+
+Where the page marks its article, that is one more feature: blocks outside it are bad and do not vote,
+and inside it a block of link text that reads like a sentence is left to its neighbours, while a heading
+or paragraph without links is not judged by link lists next to it.  A block with no
+decided neighbour at all is good inside a marked article, or as a heading or paragraph without links.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,11 +40,12 @@ BLOCK = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: fixed values: words of a class, id or role that mark what surrounds an article
 OUTSIDE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|sidebar|aside|complementary|contentinfo|"
-    r"cookies?|consent|gdpr|notices?|alert|popup|modal|newsletter|subscri\w*|signup|login|search|form|comments?|disqus|respon(?:d|ses)|replies|share|sharing|social|"
-    r"related|recommended|pagination|pager|toolbar|widget|hidden)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|masthead|footer|sidebar|aside|complementary|contentinfo|"
+    r"cookies?|consent|gdpr|notices?|alert|popup|modal|newsletter|subscri\w*|signup|login|comments?|disqus|respon(?:d|ses)|replies|pagination|pager|hidden)(?:$|[\s_-])",
     re.I,
 )
+#: fixed values: words that mark it outside an article only
+OUTSIDE_WEAK = re.compile(r"(?:^|[\s_-])(?:header|search|form|share|sharing|social|related|recommended|toolbar|widget)(?:$|[\s_-])", re.I)
 MARK = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 #: fixed values: frequent function words of the four languages of the corpus
@@ -48,12 +57,24 @@ STOP = frozenset(
 )
 SHORT, LONG = 70, 200
 LINKS_MAX, STOP_LOW, STOP_HIGH = 0.33, 0.12, 0.24
+#: Share of link text from which few stop words count against a block.
+LINKS_SOME = 0.1
 WORD = re.compile(r"\w+")
+SENTENCE = re.compile(r"[.!?:;\u2026]['\")\]\u00bb\u201c\u201d\u2019]*$")
+#: fixed values: elements that hold running text
+RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 
 
-def blocks_of(page: str) -> tuple[list[tuple[str, float, bool]], bool]:
-    """((text, share of its characters in links, inside the article), ...) and whether the page marks its article."""
-    out: list[tuple[str, float, bool]] = []
+class Block(NamedTuple):
+    text: str
+    links: float  # share of its characters in links
+    inside: bool  # inside the marked article
+    running: bool  # in an element of running text
+
+
+def blocks_of(page: str) -> tuple[list[Block], bool]:
+    """The blocks that no markup rules out, and whether the page marks its article."""
+    out: list[Block] = []
     pieces: list[str] = []
     linked = depth_a = 0
     stack: list[tuple[str, bool, bool]] = []  # element, out, article
@@ -65,7 +86,7 @@ def blocks_of(page: str) -> tuple[list[tuple[str, float, bool]], bool]:
         if pieces:
             text = " ".join("".join(pieces).split())
             if text and not skip:
-                out.append((text, min(linked / len(text), 1.0), inside))
+                out.append(Block(text, min(linked / len(text), 1.0), inside, bool(stack) and stack[-1][0] in RUNNING))
             pieces.clear()
         linked = 0
 
@@ -118,7 +139,7 @@ def blocks_of(page: str) -> tuple[list[tuple[str, float, bool]], bool]:
                 skip, inside = stack[-1][1:] if stack else (False, False)
             article = name in ("article", "main") or bool(re.search(r"role\s*=\s*[\"']?main\b", m[3], re.I))
             words = " ".join(x for g in MARK.findall(m[3]) for x in g if x) if "=" in m[3] else ""
-            barred = name in ASIDE and not (name == "header" and inside) or name not in ("html", "body", "article", "main") and bool(words and OUTSIDE.search(words))
+            barred = name in ASIDE and not (name == "header" and inside) or name not in ("html", "body", "article", "main") and bool(words and (OUTSIDE.search(words) or not inside and OUTSIDE_WEAK.search(words)))
             marked |= article and not skip and not barred
             skip, inside = skip or barred, inside or article
             stack.append((name, skip, inside))
@@ -126,43 +147,44 @@ def blocks_of(page: str) -> tuple[list[tuple[str, float, bool]], bool]:
     return out, marked
 
 
-def labels_of(blocks: list[tuple[str, float, bool]], marked: bool) -> list[bool]:
+def first_label(block: Block, marked: bool) -> int:
+    """1 good, -1 bad, 0 undecided."""
+    if marked and not block.inside:
+        return -1
+    words = WORD.findall(block.text.lower())
+    density = sum(w in STOP for w in words) / max(len(words), 1)
+    if block.links > LINKS_MAX:
+        reads = block.inside and (density >= STOP_LOW or bool(SENTENCE.search(block.text)))
+        return 0 if reads else -1
+    if len(block.text) < SHORT:
+        return 0
+    if density >= (STOP_LOW if len(block.text) > LONG else STOP_HIGH):
+        return 1
+    return -1 if density < STOP_LOW and block.links > LINKS_SOME else 0
+
+
+def labels_of(blocks: list[Block], marked: bool) -> list[bool]:
     """Which blocks are text of the article."""
-    first: list[int] = []  # 1 good, -1 bad, 0 undecided
-    for text, links, inside in blocks:
-        if marked and not inside or links > LINKS_MAX and (not marked or links > 0.5):
-            first.append(-1)
-        elif len(text) < SHORT:
-            first.append(0)
-        elif marked:
-            first.append(1)
-        else:
-            words = WORD.findall(text.lower())
-            density = sum(w in STOP for w in words) / max(len(words), 1)
-            first.append(1 if density >= (STOP_LOW if len(text) > LONG else STOP_HIGH) else 0 if density >= STOP_LOW else -1)
-    n, far = len(first), 1 << 30
-    before, after = [(far, 0)] * n, [(far, 0)] * n
-    last = (far, 0)
-    for i in range(n):
-        last = (0, first[i]) if first[i] else (last[0] + 1, last[1]) if last[1] else last
-        before[i] = last
-    last = (far, 0)
-    for i in range(n - 1, -1, -1):
-        last = (0, first[i]) if first[i] else (last[0] + 1, last[1]) if last[1] else last
-        after[i] = last
-    out = []
-    for i in range(n):
-        if marked:  # inside an article, what is not bad by itself stays
-            out.append(first[i] >= 0)
+    first = [first_label(b, marked) for b in blocks]
+    votes = [(i, x) for i, x in enumerate(first) if x and (blocks[i].inside or not marked)]
+    out, k = [], 0
+    for i, (block, label) in enumerate(zip(blocks, first)):
+        while k < len(votes) and votes[k][0] < i:
+            k += 1
+        if label or block.inside and block.running and not block.links:
+            out.append(label >= 0)
+            continue
+        near = votes[max(k - 1, 0) : k + 1]  # the last decided one before, and the first behind
+        if near:
+            out.append(min(near, key=lambda v: (abs(v[0] - i), -v[1]))[1] > 0)
         else:
-            near = [x for x in (before[i], after[i]) if x[1]]
-            out.append(bool(near) and (min(near, key=lambda x: (x[0], -x[1]))[1] > 0 if len({x[1] for x in near}) > 1 else near[0][1] > 0))
+            out.append(block.inside or block.running and not block.links)
     return out
 
 
 def main_text(page: str | None) -> str:
     blocks, marked = blocks_of(page or "")
-    return "\n".join(b[0] for b, good in zip(blocks, labels_of(blocks, marked)) if good)
+    return "\n".join(b.text for b, good in zip(blocks, labels_of(blocks, marked)) if good)
 
 
 def _extract(batch: pa.RecordBatch):
