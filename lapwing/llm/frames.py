@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import shared_folder as shared_dir  # noqa: F401
+from ..sources.scratch import written as materialise  # noqa: F401
+
 #: Bytes of text that one numpy step works on; bounds a worker's memory.
 STEP_BYTES = 1_000_000
 
@@ -18,28 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that all machines see: the cluster's ``spark.checkpoint.dir``, or (tests) a temporary one."""
-    have = spark.conf.get("spark.checkpoint.dir", None)
-    if have:
-        return have
-    own = spark.conf.get("spark.lapwing.scratch", None)
-    if not own:
-        own = tempfile.mkdtemp(prefix="lapwing-")
-        spark.conf.set("spark.lapwing.scratch", own)
-    return own
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, so that later plans start from files
-    that outlive the executors which made them."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
 def row_keys(docs: DataFrame) -> DataFrame:
     """(did, rid, doc_id, text): did and rid tell rows apart when ids repeat or are null.  Rows that
     agree in id and text share both, which is harmless: every operator gives them the same result."""
@@ -51,12 +30,6 @@ def row_keys(docs: DataFrame) -> DataFrame:
     )
 
 
-def rows_like(keyed: DataFrame, result: DataFrame) -> DataFrame:
-    """Give repeated rows (same id and text) their result once each again."""
-    times = keyed.groupBy("did", "rid").agg(F.count("*").alias("_times"))
-    return result.join(times, ["did", "rid"])
-
-
 def steps(sizes: list[int], limit: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
     """Cut rows 0..n into runs whose sizes sum to about ``limit``."""
     at = have = 0
