@@ -9,7 +9,8 @@ and products) turns them into the probability of label 1.
 
 Dictionaries and curve come from a bounded sample of labelled rows, ``per_kind`` a kind for the
 dictionaries and ``for_curve`` others for the curve, taken in the order of a hash; texts of over
-``max_bytes`` are left out of the sample.  Scoring is one pass over all rows without a shuffle.
+``max_bytes`` are left out of the sample, of a repeated doc_id one text is taken, and the texts of each
+use end at ``use_bytes`` together.  Scoring is one pass over all rows without a shuffle.
 """
 
 from __future__ import annotations
@@ -55,10 +56,9 @@ class Model:
         least, dense = (b - g) / n, g / n
         if len(raw) > CHUNK:
             for at in range(0, len(raw), CHUNK):
-                part = raw[at : at + CHUNK]
-                if len(part) >= CHUNK // 2:
-                    pg, pb = (len(c.compress(part)) for c in self.compressors)
-                    least, dense = min(least, (pb - pg) / len(part)), min(dense, pg / len(part))
+                part = raw[min(at, len(raw) - CHUNK) :][:CHUNK]  # the last one reaches back, so that it is whole
+                pg, pb = (len(c.compress(part)) for c in self.compressors)
+                least, dense = min(least, (pb - pg) / CHUNK), min(dense, pg / CHUNK)
         return [(b - g) / n, (b - g) / max(g + b, 1), g / n, float(np.log(n)), least, dense]
 
     def _terms(self, x: np.ndarray) -> np.ndarray:
@@ -92,8 +92,9 @@ def _dictionary(texts: list[str]) -> bytes:
         return b"\n".join(samples)[:DICTIONARY_BYTES]
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 5, held: int = 0, per_kind: int = 1500, for_curve: int = 4000, max_bytes: int = 200_000) -> Model:
-    """Learn from rows of ``labels`` outside fold ``held``; at most 2 * per_kind + for_curve rows are gathered."""
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 5, held: int = 0, per_kind: int = 1500, for_curve: int = 4000, max_bytes: int = 200_000, use_bytes: int = 24_000_000) -> Model:
+    """Learn from rows of ``labels`` outside fold ``held``; at most 2 * per_kind + for_curve rows, and 3 * use_bytes of
+    text, are gathered."""
     usable = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (frames.crc_fold(modulus) != held))
     usable = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(label).cast("int").alias("kind"))
     turn = F.xxhash64("doc_id", F.lit(3))
@@ -101,7 +102,17 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: i
     picked = [curve] + [usable.where((F.pmod(turn, F.lit(2)) == 1) & (F.col("kind") == k)).orderBy(turn, "doc_id").limit(per_kind).withColumn("use", F.lit("words")) for k in (0, 1)]
     # at most 2 * per_kind + for_curve rows of three small columns
     sample = F.broadcast(picked[0].unionByName(picked[1]).unionByName(picked[2]))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.coalesce(F.octet_length("text"), F.lit(0)).between(1, max_bytes)).join(sample, "doc_id").collect()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.coalesce(F.octet_length("text"), F.lit(0)).between(1, max_bytes)).join(sample, "doc_id")
+    rows = frames.materialise(rows.groupBy("doc_id", "kind", "use").agg(F.min("text").alias("text")), "sample")
+    sizes = sorted(rows.select("use", "kind", F.xxhash64("doc_id", F.lit(3)).alias("turn"), "doc_id", F.octet_length("text").alias("size")).collect())
+    have: dict[tuple, int] = {}
+    chosen = []
+    for r in sizes:
+        use = (r.use, r.kind if r.use == "words" else None)
+        have[use] = have.get(use, 0) + r.size
+        if have[use] <= use_bytes:
+            chosen.append(r.doc_id)
+    rows = rows.where(F.col("doc_id").isin(chosen)).collect() if len(chosen) < len(sizes) else rows.collect()
     rows.sort(key=lambda r: (r.doc_id, r.text))
     texts = {k: [r.text for r in rows if r.use == "words" and r.kind == k] for k in (0, 1)}
     y = np.array([r.kind for r in rows if r.use == "curve"], float)

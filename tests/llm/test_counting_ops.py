@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lapwing.llm import lm_scoring, quality_classifier, quality_rules
+from lapwing.llm.kernels import Words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = [
@@ -59,6 +60,48 @@ def test_rules_verdict_follows_labels(spark, sf_dir):
     assert share[1] > 0.97 and share[0] < 0.25
 
 
+def test_rules_ratio_and_verdict_equal_brute_force(spark, sf_dir, odd):
+    """Counts of hashed words and pairs by dictionaries, and the ratio of every text summed one n-gram at a time."""
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1")
+    good = {r.doc_id for r in labels.collect()}
+    docs = docs.select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    grams = {}
+    for i, (_, t) in enumerate(rows):
+        words = Words([t], table=None)
+        hashes = words.hash.tolist()
+        pairs = words.grams(2)[1].tolist()
+        assert len(hashes) == len(WORD.findall(t or "")) and len(pairs) == max(len(hashes) - 1, 0)
+        grams[i] = [h % quality_rules.BUCKETS for h in hashes + pairs]
+    raw, target = Counter(), Counter()
+    for i, (d, _) in enumerate(rows):
+        raw.update(grams[i])
+        target.update(grams[i] if d in good else ())
+    n, m, size = sum(raw.values()), sum(target.values()), quality_rules.BUCKETS
+    p_raw = lambda b: (raw[b] + 1) / (n + size)
+    pulled = [p_raw(b) * (target[b] + quality_rules.PRIOR) / (m * p_raw(b) + quality_rules.PRIOR) for b in range(size)]
+    total = sum(pulled)
+    want = []
+    for i, (d, t) in enumerate(rows):
+        ratio = sum(math.log(pulled[b] / total) - math.log(p_raw(b)) for b in grams[i]) / max(len(grams[i]), 1)
+        want.append((d, round(ratio, 6), not base_of(t)[-1] and ratio >= quality_rules.MIN_RATIO))
+    got = [(r.doc_id, round(r.ratio, 6), r.kept) for r in quality_rules.apply_rules(docs, labels).collect()]
+    assert sorted(got, key=key) == sorted(want, key=key)
+
+
+def test_classifier_sees_the_tail_and_bounds_its_sample(spark, sf_dir):
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality_classifier.train(docs, labels)
+    clean = "The house of the man was in the middle of the town and it had a door. " * 40
+    clean = clean[: 2048 - 1]
+    for tail in (" #### 9981 $$$$ zzzz qqqq" * 4, "x"):
+        assert model.features(clean + tail)[4:] != model.features(clean)[4:]
+    again = quality_classifier.train(docs.unionByName(docs).unionByName(docs), labels)
+    assert np.allclose(again.weights, model.weights) and again.dictionaries == model.dictionaries
+    small = quality_classifier.train(docs, labels, use_bytes=60_000)
+    assert small.weights is not None and small.dictionaries != model.dictionaries
+
+
 def test_classifier_held_out(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     out = quality_classifier.score(docs, quality_classifier.train(docs, labels))
