@@ -7,8 +7,9 @@ is least: cost(c) / (piece + rate * (c - piece)), with the share ``rate`` of fre
 the shard have come to fill so far.  At the end every bin shrinks to the least permitted capacity
 that holds its contents.
 
-Pieces are dealt at random to shards of about SHARD_PIECES, each packed by itself; only a shard's last
-bins stay loose, so the loss does not grow with the corpus.  Texts do not move: a row carries numbers.
+Pieces are dealt by a hash of doc_id, text and the number of the copy to shards of about SHARD_PIECES,
+each packed by itself, so bins do not depend on how files are split; only a shard's last bins stay loose,
+so the loss does not grow with the corpus.  Texts do not move: a row carries numbers.
 """
 
 from __future__ import annotations
@@ -82,10 +83,13 @@ def pack_documents(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, ov
     count = docs.count()
     shards = max(1, -(-count // SHARD_PIECES))
     n = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long") + 1
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), n.alias("n"), F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(shards)).alias("turn"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), n.alias("n"), F.xxhash64("doc_id", "text").alias("which"))
+    # repeated rows are counted, and each copy is dealt by itself
+    rows = rows.groupBy("doc_id", "n", "which").agg(F.count("*").alias("copies")).withColumn("copy", F.explode(F.expr("sequence(1L, copies)")))
+    rows = rows.select("doc_id", "n", F.pmod(F.xxhash64("which", "copy"), F.lit(shards)).alias("turn"))
     pieces = rows.select("doc_id", "n", "turn", F.explode(F.expr(f"sequence(0L, (n - 1) div {largest})")).alias("k"))
     pieces = pieces.select(
         "doc_id", F.col("k").cast("int").alias("piece"), (F.col("k") * largest).alias("start"), F.least(F.lit(largest), F.col("n") - F.col("k") * largest).cast("long").alias("n_tokens"),
         F.pmod(F.col("turn") + F.col("k"), F.lit(shards)).cast("int").alias("shard"),
     )
-    return pieces.groupBy("shard").applyInArrow(_shard(tuple(capacities), overhead), PACKED)
+    return pieces.repartition(shards, "shard").groupBy("shard").applyInArrow(_shard(tuple(capacities), overhead), PACKED)

@@ -75,7 +75,7 @@ def test_leak_edges(spark):
 
 @pytest.fixture(scope="module")
 def forest(spark):
-    return secret_scan.train(secret_scan.labelled_findings(spark.read.parquet(f"{SF}/documents.parquet")))
+    return secret_scan.fit(spark.read.parquet(f"{SF}/documents.parquet"))
 
 
 PLANTED = re.compile(r'AKIA[0-9A-Z]{16}|(?<=password=)[0-9a-f]{18}|(?<=token = ")[0-9a-f]{40}')
@@ -102,7 +102,9 @@ def test_secret_edges(spark, forest):
     red = {(r.doc_id, r.text) for r in secret_scan.redact(docs, forest).collect()}
     assert (1, None) in red and (3, "token: [SECRET] " * 3) in red
     assert secret_scan.scan(docs.limit(0), forest).count() == 0
-    assert secret_scan.scan(docs.drop("source"), None).where("is_secret").count() == 3
+    # without a model only published formats are secrets, and with a threshold of 0 every candidate
+    assert secret_scan.scan(docs.drop("source"), None).where("is_secret").count() == 0
+    assert secret_scan.scan(docs.drop("source"), None, threshold=0.0).where("is_secret").count() == 3
 
 
 def brute_check(rows, docs, capacities):
@@ -129,6 +131,42 @@ def test_packing(spark):
     assert fill > 0.97
 
 
+def plain_best_fit(sizes, capacities, overhead):
+    """Best fit by looking at every open bin; bins as [capacity, used]."""
+    bins, filled, offered = [], 1.0, 1.0
+    for size in sorted(sizes, reverse=True):
+        fitting = [b for b in bins if b[0] - b[1] >= size]
+        if fitting:
+            min(fitting, key=lambda b: b[0] - b[1])[1] += size
+            filled += size
+        else:
+            rate = filled / offered
+            capacity = min((c for c in capacities if c >= size), key=lambda c: ((c + overhead) / (size + rate * (c - size)), c))
+            bins.append([capacity, size])
+            offered += capacity - size
+    return sorted((min(c for c in capacities if c >= used), used) for _, used in bins)
+
+
+def test_packing_equals_plain_best_fit():
+    rng = random.Random(7)
+    for capacities, n in (((4, 8), 60), ((512, 1024, 2048, 4096), 400), ((16,), 100)):
+        sizes = [rng.randrange(1, max(capacities) + 1) if rng.random() < 0.5 else rng.randrange(1, 6) for _ in range(n)]
+        which, offsets, closed = packing.pack(sizes, capacities, 2)
+        used = [0] * len(closed)
+        for piece, b in enumerate(which):
+            used[b] += sizes[piece]
+        # of bins with the same room either may be taken, so only rooms are compared
+        assert sorted(zip(closed, used)) == plain_best_fit(sizes, capacities, 2)
+
+
+def test_bins_do_not_depend_on_the_files(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_PIECES", 100)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = docs.unionByName(docs.where("doc_id < 50")).unionByName(docs.where("doc_id < 50"))
+    bins = lambda df: sorted(tuple(r) for r in packing.pack_documents(df).collect())
+    assert bins(docs.repartition(7)) == bins(docs.coalesce(1).orderBy("n_chars"))
+
+
 def test_packing_edges(spark):
     rows = [(1, None), (2, ""), (3, "a " * 25), (4, "b"), (5, " ")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit("x")).withColumn("piece", F.lit(9)).withColumn("turn", F.lit(0))
@@ -149,5 +187,30 @@ def test_pipeline_stages(spark, sf_dir, tmp_path):
         assert len(ids) == len(set(ids)) and set(ids) <= before and len(ids) > 0.5 * len(before), name
     out = corpus_pipeline.run(spark, sf_dir)
     assert {r.doc_id for r in out.collect()} == set(ids)
-    empty = corpus_pipeline.STAGES[1][1](spark, docs.limit(0), sf_dir)
-    assert empty.count() == 0 and empty.columns == docs.columns
+
+
+def test_pipeline_on_odd_and_empty_tables(spark, sf_dir, tmp_path):
+    """Nulls in every column, blank, long and repeated texts, and columns whose names the stages use."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    long = " ".join(f"word{i % 977} of" for i in range(60000))
+    odd = [(None, None, None, None, None), (1, None, "en", "s", 0), (2, "", "en", None, None), (3, " \n", None, "s", 2), (4, long, "en", "s", None), (5, "password: " + "a8F3kd92Lq0Zx7Tt1 " * 3, "en", "s", 1), (6, long + " one more", "en", "s", 1)]
+    odd = spark.createDataFrame(odd * 2, "doc_id long, text string, lang string, source string, n_chars long").select(*[F.col(c).cast(t) for c, t in docs.dtypes])
+    extra = docs.unionByName(odd).withColumn("_lw_score", F.lit("a")).withColumn("did", F.lit("b")).withColumn("rid", F.lit("c")).withColumn("score", F.lit("d"))
+    kept = extra
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, kept, sf_dir).write.parquet(str(tmp_path / name))
+        kept = spark.read.parquet(str(tmp_path / name))
+        assert kept.columns == extra.columns and {(r["_lw_score"], r.did, r.rid, r.score) for r in kept.collect()} <= {("a", "b", "c", "d")}, name
+    assert kept.where("text like '%a8F3kd92%'").count() == 0
+    out = corpus_pipeline.STAGES[-1][1](spark, kept, sf_dir)
+    assert {r.doc_id for r in out.collect()} == {r.doc_id for r in kept.collect()}
+
+
+def test_pipeline_on_an_empty_table(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        empty = stage(spark, docs, sf_dir)
+        assert empty.count() == 0 and empty.dtypes == docs.dtypes, name
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
