@@ -2,7 +2,7 @@
 
 An archive is written by Spark's text writer, one record a row; the two line ends that close a record
 are the writer's line separator, so files go to whatever store Spark writes to, compressed as a
-whole at the fastest level.  A file holds what one task has, and FILE_RECORDS records at most.  It is
+whole at a fast level.  A file holds what one task has, and FILE_RECORDS records at most.  It is
 read back as a binary file, inflated as a stream and cut by Content-Length, so what a reader holds is
 the compressed file and one batch of records.
 
@@ -91,7 +91,7 @@ def _render(batch: pa.RecordBatch):
 def write_archives(records: DataFrame, path: str) -> None:
     """Write records (columns of HEAD, and payload as a string) as gzip-compressed archives."""
     lines = records.mapInArrow(frames.per_step(_render, "payload"), "value string")
-    lines.write.option("lineSep", RECORD_END).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    lines.write.option("lineSep", RECORD_END).option("compression", "gzip").option("zlib.compress.level", "THREE").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 def _read(with_payload: bool, verify: bool):
