@@ -44,14 +44,14 @@ STEP_ROWS = 1 << (64 - TOKEN_BITS)
 GATHER = 1_000_000
 #: A token is frequent if it is this often in the corpus, or more than one in 2**20 of all tokens.
 FREQUENT = 64
-BUCKET_BYTES = 8_000_000
+BUCKET_BYTES = 4_000_000
 #: Sets, and bytes of their tokens, that one block of a star takes at most.
 CELL, CELL_BYTES = 4000, 8_000_000
 LEAF = 8
 #: Cells of at most so many sets are one node: their leaves are compared without a tree.
 SMALL_CELL = 32
 #: Bytes of cells that one group takes together.
-GROUP_BYTES = 8_000_000
+GROUP_BYTES = 2_000_000
 #: A set of n tokens has l = 1 + n // SHARED of them to share in prefixes.
 SHARED = 12
 BROADCAST_ROWS = 200_000
