@@ -50,7 +50,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return secret_scan.scan(docs, secret_scan.train(secret_scan.labelled_findings(docs)))
+    return secret_scan.scan(docs, secret_scan.fit(docs))
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
