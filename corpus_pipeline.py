@@ -36,8 +36,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their secrets redacted, and their lengths counted again."""
-    model = secret_scan.train(secret_scan.labelled_findings(docs))
-    return secret_scan.redact(docs, model).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return secret_scan.redact(docs, secret_scan.fit(docs)).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +57,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``; what they hand on lies in the shared folder."""
+    """All stages on ``documents``; what they hand on lies in the shared folder.
+
+    Null and empty texts are scored as texts of no bytes, are no one's copies, hold no item and no secret, and are
+    packed as one end each; of repeated rows with words one stays; an empty table gives an empty result; columns
+    beside those of ``documents`` go along until the last stage, whatever their names.
+    """
     base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
 
     def step(docs: DataFrame, stage: tuple[int, tuple]) -> DataFrame:
