@@ -44,3 +44,12 @@ def test_without_the_llm_subpackage(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), any(n.startswith('op') for n in e.queries()))"], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
     assert said.stdout.split()[1] == "False" and int(said.stdout.split()[0]) > 70, said.stderr
+
+
+def test_only_the_missing_subpackage_is_forgiven():
+    entry._unless_absent(ModuleNotFoundError("no", name="lapwing.llm"))
+    entry._unless_absent(ImportError("no", name="lapwing.llm.queries"))
+    entry._unless_absent(ModuleNotFoundError("no", name="corpus_pipeline"))
+    for name in ("zstandard", "lapwing.sources", "numpy"):
+        with pytest.raises(ImportError):
+            entry._unless_absent(ModuleNotFoundError("no", name=name))

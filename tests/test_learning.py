@@ -27,3 +27,31 @@ def test_every_vector_is_scored(spark, sf_dir):
     rows = Q.vector_models(spark, sf_dir).collect()
     assert {r.fold for r in rows} == {1, 2, 3, 4, 5}
     assert sum(r.n for r in rows) == spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
+
+
+def _points(spark):
+    rows = [(i, i % 5 + 1, float(i % 7), float((i * 3) % 11), float(2 * (i % 7) - (i * 3) % 11 + 1)) for i in range(60)]
+    return spark.createDataFrame(rows, "id long, fold int, a double, b double, label double")
+
+
+def test_regressions_predict_every_row_once(spark):
+    """A linear target is found again by the linear models, out of fold; folds with few rows are left out."""
+    points = _points(spark)
+    out = Q.L.cross_validate_continuous(points, Q.L.sensor_stages(["a", "b"]), "huber", Q.FOLDS).collect()
+    assert sorted(r.id for r in out) == list(range(60)) and max(abs(r.y - r.p) for r in out) < 0.5
+    few = Q.L.cross_validate_continuous(points.where("fold <> 2 or id < 10"), Q.L.sensor_stages(["a", "b"]), "ridge", Q.FOLDS)
+    assert {r.fold for r in few.collect()} == {1, 3, 4, 5}
+
+
+def test_best_features_are_chosen_inside(spark):
+    """Half of the features are noise: the inner validation may leave them out, and every row is predicted once."""
+    points = _points(spark).selectExpr("id", "fold", "a", "b", "double(id % 13) AS c", "double(id % 17) AS d", "double(label > 0) AS label")
+    out = Q.L.cross_validate(points, Q.L.sensor_stages(["a", "b", "c", "d"]), "logistic", [1, 2], grid=4).collect()
+    assert {r.fold for r in out} == {1, 2} and sum(r.y == r.p for r in out) >= 0.9 * len(out)
+
+
+def test_grid_has_every_combination(spark):
+    texts = [("the sun is warm and good", 1.0), ("rain and cold and dark", 0.0)] * 20 + [("the dark sun", 1.0), ("warm rain", 0.0)] * 5
+    rows = spark.createDataFrame(texts, "text string, label double")
+    out = Q.L.text_grid(rows, (1, 2), (False, True), (0.1,), (0.0, 1.0), folds=2)
+    assert len({r[:4] for r in out}) == 8 and max(r[4] for r in out) > 0.9 and all(0 <= r[4] <= 1 for r in out)
