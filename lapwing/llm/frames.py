@@ -30,6 +30,17 @@ def row_keys(docs: DataFrame) -> DataFrame:
     )
 
 
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, with underscores before them until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def steps(sizes: list[int], limit: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
     """Cut rows 0..n into runs whose sizes sum to about ``limit``."""
     at = have = 0

@@ -495,12 +495,13 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame
     """``docs`` with one row of each linked group: that with the smallest doc_id (null last), of equal ones
     one.  Rows without shingles all stay."""
     sets, labels = linked_sets(docs, width, percent)
+    d, r, blank = frames.fresh_names(docs, "_d", "_r", "_blank")
     rows = sets.where("n > 0").join(labels.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "did", "rid")
-    first = rows.groupBy("root").agg(F.min(order).alias("one")).select(F.col("one.did").alias("_lw_d"), F.col("one.rid").alias("_lw_r"), F.lit(False).alias("_lw_blank"))
-    blank = sets.where("n = 0").select(F.col("did").alias("_lw_d"), F.col("rid").alias("_lw_r"), F.lit(True).alias("_lw_blank")).distinct()
-    marked = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63) + 1)).alias("_lw_d"), F.xxhash64(F.col("doc_id"), F.col("text")).alias("_lw_r"))
-    met = marked.join(first.unionByName(blank), ["_lw_d", "_lw_r"])
+    first = rows.groupBy("root").agg(F.min(order).alias("one")).select(F.col("one.did").alias(d), F.col("one.rid").alias(r), F.lit(False).alias(blank))
+    blanks = sets.where("n = 0").select(F.col("did").alias(d), F.col("rid").alias(r), F.lit(True).alias(blank)).distinct()
+    marked = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63) + 1)).alias(d), F.xxhash64(F.col("doc_id"), F.col("text")).alias(r))
+    met = marked.join(first.unionByName(blanks), [d, r])
     # repeated rows share both numbers: one of them stays, unless they are blank
-    alone = met.where("not _lw_blank").dropDuplicates(["_lw_d", "_lw_r"])
-    return alone.unionByName(met.where("_lw_blank")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    alone = met.where(~F.col(blank)).dropDuplicates([d, r])
+    return alone.unionByName(met.where(F.col(blank))).select(*[F.col(f"`{c}`") for c in docs.columns])

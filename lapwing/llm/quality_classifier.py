@@ -134,6 +134,15 @@ def scorer(model: Model, keep: list[str], name: str = "score"):
     return frames.per_step(work)
 
 
+def accepted(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` with a score of ``threshold`` at least, with all their columns, whatever their names."""
+
+    def work(batch: pa.RecordBatch):
+        yield batch.filter(pa.array(model.score(batch.column("text").to_pylist()) >= threshold))
+
+    return docs.mapInArrow(frames.per_step(work), docs.schema)
+
+
 def score(docs: DataFrame, model: Model, modulus: int = 5, held: int = 0, threshold: float = 0.3) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted.
 

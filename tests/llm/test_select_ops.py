@@ -195,7 +195,7 @@ def test_pipeline_on_odd_and_empty_tables(spark, sf_dir, tmp_path):
     long = " ".join(f"word{i % 977} of" for i in range(60000))
     odd = [(None, None, None, None, None), (1, None, "en", "s", 0), (2, "", "en", None, None), (3, " \n", None, "s", 2), (4, long, "en", "s", None), (5, "password: " + "a8F3kd92Lq0Zx7Tt1 " * 3, "en", "s", 1), (6, long + " one more", "en", "s", 1)]
     odd = spark.createDataFrame(odd * 2, "doc_id long, text string, lang string, source string, n_chars long").select(*[F.col(c).cast(t) for c, t in docs.dtypes])
-    extra = docs.unionByName(odd).withColumn("_lw_score", F.lit("a")).withColumn("did", F.lit("b")).withColumn("rid", F.lit("c")).withColumn("score", F.lit("d"))
+    extra = docs.unionByName(odd).withColumn("_lw_score", F.lit("a")).withColumn("did", F.lit("b")).withColumn("rid", F.lit("c")).withColumn("score", F.lit("d")).withColumn("_d", F.lit(1)).withColumn("_r", F.lit(2)).withColumn("_blank", F.lit(3))
     kept = extra
     for name, stage in corpus_pipeline.STAGES[:-1]:
         stage(spark, kept, sf_dir).write.parquet(str(tmp_path / name))
