@@ -19,9 +19,7 @@ from lapwing.llm.frames import shared_dir, table
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier does not reject."""
     model = quality_classifier.train(docs, table(spark, sf_dir, "labels"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    scored = docs.mapInArrow(quality_classifier.scorer(model, docs.columns, "_lw_score"), f"{schema}, _lw_score double")
-    return scored.where("_lw_score >= 0.3").select(*docs.columns)
+    return quality_classifier.accepted(docs, model, 0.3)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
