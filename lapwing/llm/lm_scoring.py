@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from . import frames
 from .kernels import Words, mix
 
-SHARD_BYTES = 16_000_000
+SHARD_BYTES = 12_000_000
 BUCKET_BYTES = 8_000_000
 CHUNK_BYTES = 256_000
 #: Bytes of a bigram's hash in a message.
@@ -117,14 +117,16 @@ def _chunks(shards: int, fitted: int):
             have[fits] = 0
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
-        schema = _schema(CHUNK)
-        for batch in batches:
+        def add(batch: pa.RecordBatch):
             for d, text, held, fits, turn in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "held_out", "fits", "turn"))):
                 raw = text.encode("utf-8", "surrogatepass")
                 kept[fits].append((d, held, raw, turn))
                 have[fits] += len(raw) + 16
                 if have[fits] >= CHUNK_BYTES:
                     yield from close(fits)
+
+        schema = _schema(CHUNK)
+        yield from frames.per_step(add)(batches)
         for fits in (False, True):
             if kept[fits]:
                 yield from close(fits)
@@ -167,13 +169,15 @@ def _ask(buckets: int):
         rows = _Rows(chunks)
         tok, ctx, row = _tokens(rows.texts)
         train = ~rows.held[row]
+        hashed = _pairs(tok, ctx)
+        del ctx, row, rows
         shard = key[0].as_py()
         words, at = np.unique(tok, return_inverse=True)
         wn = np.bincount(at[train], minlength=len(words))
-        del at
-        pairs, at = np.unique(_pairs(tok, ctx), return_inverse=True)
+        del at, tok
+        pairs, at = np.unique(hashed, return_inverse=True)
         pn = np.bincount(at[train], minlength=len(pairs))
-        del at, tok, ctx, row
+        del at, hashed
         ow, op = _owners(words, buckets), _owners(pairs, buckets)
         some = np.union1d(ow, op)
         wc, pc = (np.searchsorted(o, np.append(some, buckets)) for o in (ow, op))
@@ -207,15 +211,23 @@ class _Looked:
     """A shard's tokens with their totals from the replies."""
 
     def __init__(self, texts: list, replies: pa.Table):
-        tok, ctx, self.row = _tokens(texts)
+        tok, ctx, row = _tokens(texts)
+        self.row = row.astype(np.int32)
         r = sorted(replies.to_pylist(), key=lambda x: x["bucket"])
-        words, self.w = np.unique(tok, return_inverse=True)
-        wn = np.concatenate([_unpack(x["wn"], x["wbig"]) for x in r])
-        pairs, self.p = np.unique(_pairs(tok, ctx), return_inverse=True)
-        pn = np.concatenate([_unpack(x["pn"], x["pbig"]) for x in r])
-        ctx = np.where(ctx == START, END, ctx)  # texts start as often as they end
-        self.h = np.searchsorted(words, ctx)
-        self.word, self.pair, self.context = wn[self.w], pn[self.p], wn[self.h]
+        totals = lambda name: np.concatenate([_unpack(x[f"{name}n"], x[f"{name}big"]) for x in r])
+        hashed = _pairs(tok, ctx)
+        words, at = np.unique(tok, return_inverse=True)
+        self.w = at.astype(np.int32)
+        del tok, at, row
+        ctx[ctx == START] = END  # texts start as often as they end
+        self.h = np.searchsorted(words, ctx).astype(np.int32)
+        del ctx
+        wn = totals("w")
+        self.word, self.context = wn[self.w], wn[self.h]
+        pairs, at = np.unique(hashed, return_inverse=True)
+        del hashed, pairs
+        self.p = at.astype(np.int32)
+        self.pair = totals("p")[at]
 
 
 def _level(context: np.ndarray) -> np.ndarray:
@@ -237,14 +249,14 @@ def _histogram(total: int):
 
         def own(ids: np.ndarray) -> np.ndarray:
             """How often a token's key occurs in its own row."""
-            _, at, n = np.unique(x.row * (ids.max() + 1) + ids, return_inverse=True, return_counts=True)
+            _, at, n = np.unique(x.row.astype(np.int64) * (int(ids.max()) + 1) + ids, return_inverse=True, return_counts=True)
             return n[at]
 
         length = np.bincount(x.row, minlength=len(rows))[x.row]
         pair, word = x.pair - own(x.p), x.word - own(x.w)
         # as a context a key occurs in the row wherever a pair begins with it
         span = max(int(x.h.max()), 0) + 1
-        _, at, n = np.unique(x.row * span + x.h, return_inverse=True, return_counts=True)
+        _, at, n = np.unique(x.row.astype(np.int64) * span + x.h, return_inverse=True, return_counts=True)
         context = x.context - n[at]
         p2 = np.where(context > 0, pair / np.maximum(context, 1), 0.0)
         p1 = word / np.maximum(total - length, 1)
@@ -297,8 +309,11 @@ def _score(weights: np.ndarray, total: int, types: int):
         if not n:
             return schema.empty_table()
         x = _Looked(rows.texts, replies)
-        lam = weights[_level(x.context)]
-        p = lam[:, 0] * x.pair / np.maximum(x.context, 1) + lam[:, 1] * x.word / max(total, 1) + lam[:, 2] / (types + 1)
+        level = _level(x.context)
+        p = weights[level, 0] * x.pair
+        p /= np.maximum(x.context, 1)
+        p += weights[level, 1] * x.word / max(total, 1)
+        p += weights[level, 2] / (types + 1)
         add = lambda v: np.bincount(x.row, v, n)
         return pa.Table.from_pydict(
             {
