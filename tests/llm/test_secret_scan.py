@@ -5,7 +5,6 @@ import hashlib
 import math
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from lapwing.llm import secret_scan
@@ -13,11 +12,6 @@ from lapwing.llm import secret_scan
 SF = "/root/testdata/sf0.01"
 
 
-@pytest.fixture(scope="module")
-def forest(spark):
-    return secret_scan.fit(spark.read.parquet(f"{SF}/documents.parquet"))
-
-
 def redacted(spark, forest, texts, **how):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("source", F.lit("src"))
     return [r.text for r in secret_scan.redact(docs, forest, **how).orderBy("doc_id").collect()]

@@ -3,7 +3,6 @@
 import random
 import re
 
-import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -73,11 +72,6 @@ def test_leak_edges(spark):
     assert decontamination.contaminated(docs.limit(0), items).count() == 0 and decontamination.contaminated(docs, items.limit(0)).count() == 0
 
 
-@pytest.fixture(scope="module")
-def forest(spark):
-    return secret_scan.fit(spark.read.parquet(f"{SF}/documents.parquet"))
-
-
 PLANTED = re.compile(r'AKIA[0-9A-Z]{16}|(?<=password=)[0-9a-f]{18}|(?<=token = ")[0-9a-f]{40}')
 
 
