@@ -46,6 +46,17 @@ def mentions(ev):
     return found.groupBy("user_id", "tool").agg(F.count("*").alias("n"))
 
 
+NAMED = "(password|token|license|copyright|commit|isbn)"
+
+
+@query("x06_text_mentions", f"SELECT source, name, count(*) AS n FROM (SELECT source, unnest(regexp_extract_all(lower(text), '{NAMED}')) AS name FROM documents) GROUP BY ALL")
+def text_mentions(spark, sf_dir):
+    """Names mentioned in the given texts, by source."""
+    docs = B.read(spark, sf_dir, "documents")
+    found = docs.select("source", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(NAMED), F.lit(1))).alias("name"))
+    return found.groupBy("source", "name").agg(F.count("*").alias("n"))
+
+
 @query(
     "x09_records_without_nulls",
     f"""WITH {B.EV}, d AS (SELECT user_id, sum(value) FILTER (event_type = 'click') AS click, sum(value) FILTER (event_type = 'view') AS view_, sum(value) FILTER (event_type = 'error' AND k = 3) AS error FROM ev GROUP BY user_id)
