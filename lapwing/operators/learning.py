@@ -21,7 +21,7 @@ MODELS = {
     "ridge": lambda: LinearRegression(featuresCol="x", labelCol="label", weightCol="weight", regParam=0.1, elasticNetParam=0.0, maxIter=20),
 }
 
-#: Models of a continuous target; huber stands for the reference's robust linear one.
+#: Models of a continuous target; huber is the robust linear one.
 REGRESSORS = {
     "forest": lambda: RandomForestRegressor(featuresCol="x", labelCol="label", numTrees=20, maxDepth=4, seed=7),
     "boosted": lambda: GBTRegressor(featuresCol="x", labelCol="label", maxIter=5, maxDepth=3, seed=7),

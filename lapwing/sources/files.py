@@ -35,7 +35,7 @@ def sensor_csv(spark: SparkSession, path: str, schema: str, pattern: str | None
 
     Columns go by their names in each file's header, in whatever order; a file whose header lacks one of the schema's
     is left out whole, as are those whose name does not fit ``pattern``.  A header line has no comma inside quotes.
-    Files that cannot be read raise.
+    Files that cannot be read raise.  The lines are gone through once more for the headers, without being parsed.
     """
     lines = (spark.read.option("pathGlobFilter", pattern) if pattern else spark.read).text(path)
     lines = lines.select("value", F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("path"), F.col("_metadata.file_block_start").alias("start"))
