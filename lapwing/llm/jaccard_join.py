@@ -426,7 +426,7 @@ def star_links(stars: DataFrame, bags: DataFrame, percent: int) -> DataFrame:
     """(a, b): links between the sets of the stars, enough to join what is linked; stars: star, cid, n."""
     # inside the blocks of every star
     rows = stars.select("star", "cid", "n", F.col("cid").alias("comp"), F.lit(True).alias("home"))
-    size = _blocks(rows, "star").where("members > 1").select("star", "blocks")
+    size = frames.materialise(_blocks(rows, "star").where("members > 1").select("star", "blocks"), "blocks")
     cells = rows.join(size, "star").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     links = _found(cells.withColumn("band", F.lit(0)).withColumn("i", F.col("block")).withColumn("j", F.col("block")).drop("blocks"), bags, percent)
     wide = frames.materialise(size.where("blocks > 1").select("star"), "wide")
@@ -447,7 +447,8 @@ def star_links(stars: DataFrame, bags: DataFrame, percent: int) -> DataFrame:
 def kept_stars(named: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """(star, cid, n): the stars in which a set has to look for partners.  A partner has ``percent`` of the set's
     size at least, and so the two share at least the l of that size; largest stars are left out first."""
-    members = named.groupBy("star").agg(F.count("*").alias("members"))
+    # written down, as both sides of the join have to be shuffles of their own for a hot star to be split
+    members = frames.materialise(named.groupBy("star").agg(F.count("*").alias("members")), "members")
     left_out = Window.partitionBy("cid").orderBy(F.col("members").desc(), F.col("star").desc())
     least = 1 + F.floor(F.ceil(percent * F.col("n") / 100) / SHARED)
     return named.join(members, "star").join(sizes, "cid").withColumn("sum", F.sum("k").over(left_out)).where(F.col("sum") >= least).select("star", "cid", "n")
@@ -471,8 +472,8 @@ def linked_sets(docs: DataFrame, width: int = 5, percent: int = 75) -> tuple[Dat
     # one row of each set
     shown = sets.where("n > 0").groupBy("cid").agg(F.min(F.struct("did", "rid", "n")).alias("one")).select("cid", "one.*")
     stars = frames.materialise(kept_stars(named, shown.select("cid", "n"), percent), "kept-stars")
-    stars = stars.join(stars.groupBy("star").agg(F.count("*").alias("members")).where("members > 1").select("star"), "star", "left_semi")
-    stars = frames.materialise(stars, "kept-stars")
+    several = frames.materialise(stars.groupBy("star").agg(F.count("*").alias("members")).where("members > 1").select("star"), "several")
+    stars = frames.materialise(stars.join(several, "star", "left_semi"), "kept-stars")
     bags = bags_of(keyed, shown.select("did", "rid", "cid"), stars.select("cid").distinct(), width)
     return sets, components(star_links(stars, bags, percent))
 
