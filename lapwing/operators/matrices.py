@@ -6,6 +6,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import pit as P
+from .daily import align_days
+
+
+#: fixed values: the twenty columns of the daily matrix, by the daily table that has them
+DAILY = {
+    "accel": ("accel_sleep_duration_min",), "sleep": ("sleep_duration_min",), "android_sleep": ("android_sleep_min",),
+    "gps": ("travel_km", "travel_minutes", "home_minutes", "max_distance_from_home_km", "location_variance"),
+    "screen": ("screen_sessions", "screen_minutes", "screen_max_session_min"),
+    "motion": ("stationary_min", "walking_min", "automotive_min", "running_min", "cycling_min"),
+    "typing": ("words_typed", "prop_positive", "prop_negative"), "apps": ("total_app_seconds",),
+}
+
+
+def daily_matrix(prompts: DataFrame, tables: dict[str, DataFrame], keep: list[str]) -> DataFrame:
+    """``keep`` and the twenty columns of DAILY for each prompt, from its own day's row of each table (of several the
+    first by tie); a table or row that is not there leaves nulls.  prompts: participant, day; tables: those and tie.
+    All joins are on one key, so prompts are shuffled once."""
+    out = prompts.select("participant", "day", *(c for c in keep if c not in ("participant", "day")))
+    for name, columns in DAILY.items():
+        if name in tables:
+            out = align_days(out, tables[name].select("participant", "day", "tie", *columns))
+    return out.select(*keep, *(F.col(c).cast("double").alias(c) if c in out.columns else F.lit(None).cast("double").alias(c) for cs in DAILY.values() for c in cs))
 
 
 def flat(prompts: DataFrame, bins: DataFrame, features: list[str], hours: int) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import times as T
 from ..operators import learning as L
 from ..operators import matrices as X
 from ..operators import metrics as M
@@ -29,6 +30,27 @@ def _prompts(ev):
     return B.prompts(ev).select("prompt_id", "user_id", "ms", "fold", "state", "value")
 
 
+DAILY = [c for columns in X.DAILY.values() for c in columns]
+KINDS = ("click", "view", "purchase", "error", "signup")
+
+
+@query(
+    "m01_daily_matrix",
+    f"""WITH {B.EV}, {B.PROMPTS}, d AS (SELECT user_id, ms // 86400000 AS day, {', '.join(f"sum(value) FILTER (event_type = '{KINDS[i % 5]}' AND k % 4 = {i // 5}) AS {c}" for i, c in enumerate(DAILY))} FROM ev GROUP BY ALL)
+    SELECT prompt_id, desire, state, {', '.join(f'round({c}, 3) AS {c}' for c in DAILY)} FROM pr LEFT JOIN d ON d.user_id = pr.user_id AND d.day = pr.ms // 86400000""",
+)
+@events_of
+def daily_matrix(ev):
+    """Twenty daily columns from eight tables, each a sum over one part of the day's events, with two targets."""
+    day = T.day_of(F.col("ms")).alias("day")
+    part = lambda i: (F.col("event_type") == KINDS[i % 5]) & (F.col("k") % 4 == i // 5)
+    sums = {c: F.sum(F.when(part(i), F.col("value"))).alias(c) for i, c in enumerate(DAILY)}
+    rows = ev.select(F.col("user_id").alias("participant"), day, "event_type", "k", "value")
+    tables = {name: rows.groupBy("participant", "day").agg(*(sums[c] for c in columns)).withColumn("tie", F.lit(0)) for name, columns in X.DAILY.items()}
+    prompts = B.prompts(ev).withColumnRenamed("user_id", "participant").withColumn("day", T.day_of(F.col("ms")))
+    return rounded(X.daily_matrix(prompts, tables, ["prompt_id", "desire", "state"]), 3)
+
+
 @query(
     "m02_flat_matrix",
     f"""{BASE}, s AS (SELECT p.prompt_id, b.hour - p.ms // 3600000 + {HOURS} AS h, n, total FROM pr p LEFT JOIN bi b ON b.user_id = p.user_id AND b.hour BETWEEN p.ms // 3600000 - {HOURS} AND p.ms // 3600000 - 1)

@@ -161,6 +161,16 @@ def test_unsettled_clusters_raise(spark):
         D.density_clusters(points, rounds=1)
 
 
+def test_daily_matrix(spark):
+    from lapwing.operators import matrices as X
+
+    prompts = spark.createDataFrame([(1, 7, 3), (2, 7, 4), (3, 8, 3)], "prompt_id long, participant int, day long")
+    sleep = spark.createDataFrame([(7, 3, 1, 400.0), (7, 3, 0, 300.0), (8, 9, 0, 1.0)], "participant int, day long, tie int, sleep_duration_min double")
+    apps = spark.createDataFrame([(8, 3, 0, 90)], "participant int, day long, tie int, total_app_seconds long")
+    out = X.daily_matrix(prompts, {"sleep": sleep, "apps": apps}, ["prompt_id"]).orderBy("prompt_id").collect()
+    assert len(out[0]) == 21 and [(r.sleep_duration_min, r.total_app_seconds, r.travel_km) for r in out] == [(300.0, None, None), (None, None, None), (None, 90.0, None)]
+
+
 def test_narratives(spark):
     day = 24 * HOUR
     prompts = spark.createDataFrame([(1, 1, day + 5), (2, 1, day + 6), (3, 1, 2 * day), (4, 2, day), (5, 1, day + 7)], "prompt_id long, user_id int, ms long")
