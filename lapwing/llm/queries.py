@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import decontamination, html_extract, jaccard_join, lm_scoring, packing, quality_classifier, quality_rules, secret_scan, warc
+from . import decontamination, html_extract, jaccard_join, lm_scoring, packing, piece_encoding, quality_classifier, quality_rules, secret_scan, token_alignment, warc, whitening
 from .frames import table
 from .suffix_dedup import repeated_bytes
 
@@ -57,6 +57,18 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(table(spark, sf_dir, "documents"))
+
+
+def op13_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_encoding.encode(table(spark, sf_dir, "documents"))
+
+
 #: of equal payloads the smallest page is the response; base 32 takes 5 bits at a time from 5 hexadecimal digits
 OP8_SQL = """
 WITH p AS (
@@ -83,6 +95,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc": op8_warc,
         "op9_secret_scan": op9_secret_scan,
         "op10_best_fit_packing": op10_best_fit_packing,
+        "op11_whitening": op11_whitening,
+        "op12_token_alignment": op12_token_alignment,
+        "op13_piece_encoding": op13_piece_encoding,
     }
 
 
