@@ -8,7 +8,7 @@ B tokens that it overlaps; pairs that also end together are the links.
 Texts are cut before a single space between two characters that are no space.  Neither vocabulary has a token
 that holds such a space behind another character (A's pattern begins a token there; B's pieces are looked
 through when the model is loaded), so tokens and groups break there as well, and the intervals of each
-different cut are coalesced once for a step of texts.
+different cut are coalesced once for a chunk of texts.
 
 How often a pair of ids is linked in the corpus is asked for by chunk, not by document: a chunk of some
 CHUNK_BYTES of texts, written once, asks for each of its different pairs.  Pairs are counted with partial
@@ -24,6 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,11 +34,13 @@ from . import frames
 from .piece_encoding import MARK, default_model, texts_of
 
 CHUNK_BYTES = 8_000_000
-#: Different cuts that a worker keeps encoded; beyond it starts anew.
-KEPT = 300_000
+#: Characters of cuts that are encoded as one text.
+RUN_CHARS = 30_000
 
 #: before a single space between ASCII signs, letters or digits of any script
 CUT = re.compile(r"(?<=[\w!-~])(?= [\w!-~])")
+#: a cut that may have others before and behind it
+JOINT = re.compile(r"^ [\w!-~](?:.*[\w!-~])?\Z", re.S)
 
 CHUNK = T.StructType(
     [T.StructField("chunk", T.LongType()), T.StructField("pairs", T.ArrayType(T.LongType())), T.StructField("times", T.ArrayType(T.LongType()))]
@@ -73,17 +76,18 @@ def overlapping(a_start: np.ndarray, a_end: np.ndarray, b_start: np.ndarray, b_e
     return a, np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
 
 
-class Cut:
-    """Tokens and links of one cut: counts, groups as text, pairs of linked ids; ``sound`` is whether both sides' bytes are the cut's."""
+class Cuts:
+    """Alignment of a list of cuts: counts of each (none where a side's bytes are not the cut's), groups as text, linked pairs in a row."""
 
-    __slots__ = ("n_a", "n_b", "n_groups", "said", "pairs", "sound")
-
-    def __init__(self, n_a: int, n_b: int, n_groups: int, said: str, pairs: bytes, sound: bool):
-        self.n_a, self.n_b, self.n_groups, self.said, self.pairs, self.sound = n_a, n_b, n_groups, said, pairs, sound
+    def __init__(self, parts: list[dict]):
+        none = {"n_a": np.zeros(0, np.int64), "n_b": np.zeros(0, np.int64), "n_groups": np.zeros(0, np.int64), "sound": np.zeros(0, bool), "pairs": np.zeros(0, np.int64), "said": []}
+        for c in ("n_a", "n_b", "n_groups", "sound", "pairs"):
+            setattr(self, c, np.concatenate([none[c], *(p[c] for p in parts)]))
+        self.said = [x for p in parts for x in p["said"]]
 
 
 class Aligner:
-    """Both tokenizers, and the cuts that they have encoded."""
+    """Both tokenizers."""
 
     def __init__(self, a_path: str, b_path: str):
         import os
@@ -104,65 +108,70 @@ class Aligner:
             self.a_bytes[i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
         self.b_bytes = [bytes([int(sp.id_to_piece(i)[3:5], 16)]) if sp.is_byte(i) else sp.id_to_piece(i).replace(MARK, " ").encode() for i in range(sp.vocab_size())]
         self.a_size, self.b_size = (np.array([len(x) for x in y], np.int64) for y in (self.a_bytes, self.b_bytes))
+        self.names = np.array([str(i) for i in range(max(len(self.a_bytes), len(self.b_bytes)))], object)
+        self.digits = np.array([len(x) for x in self.names], np.int64)
         self.cuttable = not any(MARK in sp.id_to_piece(i).lstrip(MARK) for i in range(sp.vocab_size()))
-        self.known: dict[str, Cut] = {}
 
     def cuts(self, text: str) -> list[str]:
         """The cuts of space + text; each begins with a space."""
         return CUT.split(f" {text}") if self.cuttable else [f" {text}"]
 
-    def encode(self, cuts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of A and of B of each cut (B puts the space before by itself)."""
-        return [e.ids for e in self.a.encode_batch(cuts, add_special_tokens=False)], self.b.encode([c[1:] for c in cuts], num_threads=1)
-
-    def aligned(self, cuts: list[str]) -> dict[str, Cut]:
-        """Each cut's alignment; the worker keeps those of its last cuts."""
-        out = {c: self.known.get(c) for c in cuts}
-        new = [c for c, cut in out.items() if cut is None]
-        if len(self.known) + len(new) > KEPT:
-            self.known.clear()
-        for i, j in frames.steps([len(c) for c in new], 300_000):
-            found = self._align(new[i:j])
-            out.update(found)
-            self.known.update((c, cut) for c, cut in found.items() if len(c) <= 64)
-        return out
-
-    def _align(self, cuts: list[str]) -> dict[str, Cut]:
-        a, b = self.encode(cuts)
-        raw = [c.encode("utf-8", "replace") for c in cuts]
-        sound = [b"".join([self.a_bytes[i] for i in x]) == r == b"".join([self.b_bytes[i] for i in y]) for x, y, r in zip(a, b, raw, strict=True)]
-        found = {c: Cut(0, 0, 0, "", b"", False) for c, ok in zip(cuts, sound, strict=True) if not ok}
-        good = [k for k, ok in enumerate(sound) if ok]
-        if not good:
-            return found
-        # one run of bytes for all: a cut's tokens end where the next one's begin
-        n_a, n_b = np.array([len(a[k]) for k in good]), np.array([len(b[k]) for k in good])
-        a_ids, b_ids = (np.fromiter((i for k in good for i in x[k]), np.int64) for x in (a, b))
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of A and of B of a text that begins with a space (B puts that before by itself)."""
+        return np.array(self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64), np.array(self.b.encode(text[1:], num_threads=1), np.int64)
+
+    def align(self, cuts: list[str]) -> Cuts:
+        """Alignment of each cut.  Cuts that another may follow are encoded in runs, the others one by one."""
+        joins = [self.cuttable and bool(JOINT.search(c)) for c in cuts]
+        parts: list = [None] * len(cuts)
+        runs = [(k, k + 1) for k, ok in enumerate(joins) if not ok]
+        at = 0
+        for k, _ in [*runs, (len(cuts), 0)]:
+            runs += [(at + i, at + j) for i, j in frames.steps([len(c) for c in cuts[at:k]], RUN_CHARS)]
+            at = k + 1
+        for i, j in runs:
+            parts[i] = self._run(cuts[i:j]) or Cuts([self._run(cuts[k : k + 1]) or self._unsound() for k in range(i, j)]).__dict__
+        return Cuts([p for p in parts if p])
+
+    @staticmethod
+    def _unsound() -> dict:
+        none = np.zeros(1, np.int64)
+        return {"n_a": none, "n_b": none, "n_groups": none, "sound": np.zeros(1, bool), "pairs": np.zeros(0, np.int64), "said": [""]}
+
+    def _run(self, cuts: list[str]) -> dict | None:
+        """Alignment of cuts that are encoded as one text; None if the tokens' bytes are not its bytes."""
+        text = "".join(cuts)
+        raw = text.encode("utf-8", "replace")
+        a_ids, b_ids = self.encode(text)
+        if not b"".join([self.a_bytes[i] for i in a_ids.tolist()]) == raw == b"".join([self.b_bytes[i] for i in b_ids.tolist()]):
+            return None
+        sizes = [len(c) for c in cuts] if len(raw) == len(text) else [len(c.encode("utf-8", "replace")) for c in cuts]
+        border = np.cumsum(sizes)
         a_end, b_end = np.cumsum(self.a_size[a_ids]), np.cumsum(self.b_size[b_ids])
         a_start, b_start = a_end - self.a_size[a_ids], b_end - self.b_size[b_ids]
-        order, group = coalesce(np.concatenate([a_start, b_start]), np.concatenate([a_end, b_end]), np.repeat([0, 1], [len(a_ids), len(b_ids)]))
+        side = np.repeat([0, 1], [len(a_ids), len(b_ids)])
+        order, group = coalesce(np.concatenate([a_start, b_start]), np.concatenate([a_end, b_end]), side)
         of = np.empty(len(order), np.int64)
         of[order] = group
         a_group, b_group = of[: len(a_ids)], of[len(a_ids) :]
         i, j = overlapping(a_start, a_end, b_start, b_end)
         link = a_end[i] == b_end[j]
-        pairs, pair_group = a_ids[i[link]] << 32 | b_ids[j[link]], a_group[i[link]]
-        # each cut's first group, and one more at the end
-        edge = np.concatenate([a_group[np.cumsum(n_a) - n_a], [group[-1] + 1]])
-        said = self._said(a_ids, a_group, b_ids, b_group, int(group[-1]) + 1)
-        pair_from = np.searchsorted(pair_group, edge)
-        for k, c in enumerate(good):
-            found[cuts[c]] = Cut(int(n_a[k]), int(n_b[k]), int(edge[k + 1] - edge[k]), ";".join(said[edge[k] : edge[k + 1]]), pairs[pair_from[k] : pair_from[k + 1]].tobytes(), True)
-        return found
-
-    @staticmethod
-    def _said(a_ids, a_group, b_ids, b_group, n: int) -> list[str]:
-        """Each group as text: A ids, a bar, B ids."""
-        sides = []
-        for ids, group in ((a_ids, a_group), (b_ids, b_group)):
-            words, start = list(map(str, ids.tolist())), np.searchsorted(group, np.arange(n + 1)).tolist()
-            sides.append([words[i] if j == i + 1 else ",".join(words[i:j]) for i, j in zip(start[:-1], start[1:], strict=True)])
-        return [f"{x}|{y}" for x, y in zip(*sides, strict=True)]
+        # tokens and groups up to the end of each cut, which is the end of a token of both
+        a_to, b_to = np.searchsorted(a_end, border, "right"), np.searchsorted(b_end, border, "right")
+        group_to = a_group[a_to - 1] + 1
+        count = lambda to: np.diff(to, prepend=0)
+        said = self._said(np.concatenate([a_ids, b_ids]), of, side, a_to + b_to)
+        return {"n_a": count(a_to), "n_b": count(b_to), "n_groups": count(group_to), "sound": np.ones(len(cuts), bool), "pairs": a_ids[i[link]] << 32 | b_ids[j[link]], "said": said}
+
+    def _said(self, ids: np.ndarray, group: np.ndarray, side: np.ndarray, to: np.ndarray) -> list[str]:
+        """Each cut's groups as text: A ids, a bar, B ids; groups between semicolons.  ``to``: tokens up to each cut's end."""
+        order = np.argsort(group * 2 + side, kind="stable")
+        ids, group, side = ids[order], group[order], side[order]
+        after = np.where(group[1:] != group[:-1], ";", np.where(side[1:] != side[:-1], "|", ",")).astype(object)
+        words = np.empty(2 * len(ids), object)
+        words[::2], words[1::2] = self.names[ids], np.concatenate([after, [""]])
+        text, stop = "".join(words.tolist()), np.cumsum(self.digits[ids] + 1)[to - 1]
+        return [text[i : j - 1] for i, j in zip([0, *stop[:-1].tolist()], stop.tolist(), strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -171,42 +180,45 @@ def aligner(a_path: str, b_path: str) -> Aligner:
 
 
 class _Chunk:
-    """Documents of one chunk: their counts, their cuts by number, and the links of each different cut."""
+    """Documents of one chunk; each different cut is aligned once."""
 
     def __init__(self, tool: Aligner):
         self.tool, self.size = tool, 0
         self.number: dict[str, int] = {}
-        self.of: list[Cut] = []
-        self.columns: dict[str, list] = {c: [] for c in ("doc_id", "n_a", "n_b", "n_groups", "digest")}
+        self.ids: list = []
         self.cuts: list[np.ndarray] = []
 
     def add(self, ids: list, texts: list[str]) -> None:
-        split = [self.tool.cuts(t) if t else [] for t in texts]
-        new = dict.fromkeys(c for cuts in split for c in cuts if c not in self.number)
-        for c, cut in self.tool.aligned(list(new)).items():
-            self.number[c] = len(self.of)
-            self.of.append(cut)
-        for doc_id, text, cuts in zip(ids, texts, split, strict=True):
-            found = [self.number[c] for c in cuts]
-            parts = [self.of[k] for k in found]
-            if not all(p.sound for p in parts):
-                found, parts = [], []
+        number = self.number
+        for doc_id, text in zip(ids, texts, strict=True):
+            cuts = self.tool.cuts(text) if text else []
             self.size += len(text)
-            row = (doc_id, sum(p.n_a for p in parts), sum(p.n_b for p in parts), sum(p.n_groups for p in parts), hashlib.sha256(";".join([p.said for p in parts]).encode()).hexdigest() if parts else "")
-            for c, v in zip(self.columns.values(), row, strict=True):
-                c.append(v)
-            self.cuts.append(np.array(found, np.int32))
+            self.ids.append(doc_id)
+            self.cuts.append(np.array([number.setdefault(c, len(number)) for c in cuts], np.int32))
 
     def batch(self, chunk: int) -> pa.RecordBatch:
+        found = self.tool.align(list(self.number))
+        if not found.sound.all():
+            self.cuts = [c if found.sound[c].all() else c[:0] for c in self.cuts]
+        start = _starts([len(c) for c in self.cuts])
         cuts = np.concatenate([*self.cuts, np.zeros(0, np.int32)])
-        used = np.bincount(cuts, minlength=len(self.of))
-        links = [np.frombuffer(c.pairs, np.int64) for c in self.of]
-        n = np.array([len(x) for x in links], np.int64)
-        pairs, place = np.unique(np.concatenate([*links, np.zeros(0, np.int64)]), return_inverse=True)
-        times = np.bincount(place, np.repeat(used, n), len(pairs)).astype(np.int64)
-        kept = {"cuts": cuts, "cuts_from": _starts([len(c) for c in self.cuts]), "links": place.astype(np.int32), "links_from": _starts(n)}
-        row = {"chunk": chunk, "pairs": pairs.tolist(), "times": times.tolist()} | self.columns | {k: v.tobytes() for k, v in kept.items()}
-        return pa.RecordBatch.from_pylist([row], schema=_schema(CHUNK))
+        counts = {c: np.diff(_starts(getattr(found, c)[cuts])[start]) for c in ("n_a", "n_b", "n_groups")}
+        said = found.said
+        digests = [hashlib.sha256(";".join([said[k] for k in c.tolist()]).encode()).hexdigest() if len(c) else "" for c in self.cuts]
+        # each cut has as many links as groups
+        pairs, place = np.unique(found.pairs, return_inverse=True)
+        times = np.bincount(place, np.repeat(np.bincount(cuts, minlength=len(said)), found.n_groups), len(pairs)).astype(np.int64)
+        row = {"chunk": chunk, "pairs": pairs.tolist(), "times": times.tolist(), "doc_id": self.ids, "digest": digests} | {c: v.tolist() for c, v in counts.items()}
+        kept = {"cuts": cuts, "cuts_from": start, "links": place.astype(np.int32), "links_from": _starts(found.n_groups)}
+        return pa.RecordBatch.from_pylist([row | {k: _packed(v) for k, v in kept.items()}], schema=_schema(CHUNK))
+
+
+def _packed(values: np.ndarray) -> bytes:
+    return zstandard.compress(values.tobytes(), 1)
+
+
+def _unpacked(data: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), kind)
 
 
 def _starts(sizes) -> np.ndarray:
@@ -250,7 +262,7 @@ def _answered(key, chunks, replies):
     for row in chunks.to_batches():
         for k in range(row.num_rows):
             one = {c: row.column(c)[k] for c in row.schema.names}
-            array = lambda c, kind: np.frombuffer(one[c].as_py(), kind)  # noqa: B023, E731
+            array = lambda c, kind: _unpacked(one[c].as_py(), kind)  # noqa: B023, E731
             cuts, cuts_from, links, links_from = array("cuts", np.int32), array("cuts_from", np.int64), array("links", np.int32), array("links_from", np.int64)
             total = lambda values: np.diff(_starts(values)[links_from])  # noqa: B023, E731  # of each cut
             per_cut = {"n_links": np.diff(links_from), "n_best": total(best[links]), "count_sum": total(count[links])}
@@ -302,10 +314,9 @@ def overlaps(docs: DataFrame, vocabulary: str | None = None, model: str | None =
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch.column("text")), strict=True):
             if not text:
                 continue
-            (a,), (b,) = tool.encode([f" {text}"])
+            a, b = tool.encode(f" {text}")
             if not b"".join(tool.a_bytes[i] for i in a) == f" {text}".encode("utf-8", "replace") == b"".join(tool.b_bytes[i] for i in b):
                 continue
-            a, b = np.array(a), np.array(b)
             a_end, b_end = np.cumsum(tool.a_size[a]), np.cumsum(tool.b_size[b])
             a_start, b_start = a_end - tool.a_size[a], b_end - tool.b_size[b]
             order, group = coalesce(np.concatenate([a_start, b_start]), np.concatenate([a_end, b_end]), np.repeat([0, 1], [len(a), len(b)]))

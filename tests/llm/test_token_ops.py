@@ -131,9 +131,10 @@ def test_cuts_do_not_change_tokens():
     for _ in range(3000):
         text = " ".join(rng.choices(words, k=rng.randrange(1, 12)))
         cuts = tool.cuts(text)
-        (whole_a,), (whole_b,) = tool.encode([f" {text}"])
-        a, b = tool.encode(cuts)
-        assert "".join(cuts) == f" {text}" and [i for x in a for i in x] == whole_a and [i for x in b for i in x] == whole_b, text
+        whole, parts = tool.encode(f" {text}"), [tool.encode(c) for c in cuts]
+        assert "".join(cuts) == f" {text}" and all([i for p in parts for i in p[side].tolist()] == whole[side].tolist() for side in (0, 1)), text
+        together, alone = tool.align(cuts), [tool.align([c]) for c in cuts]
+        assert together.said == [c.said[0] for c in alone] and together.pairs.tolist() == [i for c in alone for i in c.pairs.tolist()]
 
 
 def test_overlaps(spark):
