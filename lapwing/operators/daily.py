@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cleaning as C
-from ..sources.scratch import written
+from .clusters import density_clusters
 from .intervals import first_by
 
 
@@ -36,50 +36,6 @@ def roster(files: DataFrame) -> DataFrame:
     return files.groupBy("pid").agg(*flags, F.min("platform").alias("platform"), F.min("day").alias("first_day"), F.max("day").alias("last_day"), (F.max("day") - F.min("day") + 1).alias("study_days"))
 
 
-def neighbours(points: DataFrame, eps_m: float) -> DataFrame:
-    """(pid, a, b) of points within ``eps_m``, both ways and with themselves.  Points meet through a grid whose
-    cells are as wide as ``eps_m``; duplicate positions are one point with a weight, so a cell holds no copies."""
-    step = eps_m / 111_194.9
-    width = F.greatest(F.cos(F.radians("lat")), F.lit(0.01))
-    cells = points.select("pid", "a", "lat", "lon", F.floor(F.col("lat") / step).alias("x"), F.floor(F.col("lon") * F.round(width, 1) / step).alias("y"))
-    # a row of cells may scale longitude differently from the next: look two cells to either side
-    around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-2, -1, 0, 1, 2))))
-    spread = cells.withColumn("o", around).select("pid", F.col("a").alias("b"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), (F.col("x") + F.col("o.i")).alias("x"), (F.col("y") + F.col("o.j")).alias("y"))
-    near = C.haversine_m(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")) <= eps_m
-    return cells.join(spread, ["pid", "x", "y"]).where(near).select("pid", "a", "b").distinct()
-
-
-def density_clusters(points: DataFrame, eps_m: float = 150.0, least: int = 4, rounds: int = 40) -> DataFrame:
-    """(pid, a, cluster) of density-based clusters; points: pid, a (number), lat, lon, weight.
-
-    A point with ``least`` points within ``eps_m`` (itself included, copies counted) is a core; cores near
-    each other are one cluster, named after its least core; other points near a core join the least such
-    cluster; the rest are noise and not returned.  Labels spread by least-label steps over the pairs, each
-    written down, and halve the way that is left; they raise if that does not settle.
-    """
-    pairs = written(neighbours(points, eps_m), "pairs")
-    weights = points.select("pid", F.col("a").alias("b"), "weight")
-    cores = pairs.join(weights, ["pid", "b"]).groupBy("pid", "a").agg(F.sum("weight").alias("n")).where(F.col("n") >= least).select("pid", "a")
-    cores = written(cores, "cores")
-    links = pairs.join(cores, ["pid", "a"], "left_semi").join(cores.select("pid", F.col("a").alias("b")), ["pid", "b"], "left_semi")
-    links = written(links, "core-pairs")
-    labels = cores.select("pid", "a", F.col("a").alias("cluster"))
-    before = None
-    for _ in range(rounds):
-        spread = links.join(labels.select("pid", F.col("a").alias("b"), "cluster"), ["pid", "b"]).groupBy("pid", "a").agg(F.min("cluster").alias("cluster"))
-        # and to the label of that label
-        jump = spread.join(spread.select("pid", F.col("a").alias("cluster"), F.col("cluster").alias("further")), ["pid", "cluster"])
-        labels = written(jump.select("pid", "a", F.least("cluster", "further").alias("cluster")), "clusters")
-        state = labels.agg(F.sum("cluster"), F.count("*")).first()
-        if state == before:
-            break
-        before = state
-    else:
-        raise RuntimeError(f"clusters have not settled in {rounds} rounds")
-    border = pairs.join(labels.select("pid", F.col("a").alias("b"), "cluster"), ["pid", "b"]).join(cores, ["pid", "a"], "left_anti").groupBy("pid", "a").agg(F.min("cluster").alias("cluster"))
-    return labels.unionByName(border)
-
-
 def homes(fixes: DataFrame, eps_m: float = 150.0, least: int = 4) -> DataFrame:
     """Home of each participant from night fixes: centre, mean radius, fixes and clusters of the largest cluster
     (of equal ones the first); fixes: pid, fix_id, lat, lon."""
