@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .plans import base
 
-MODULES = ("cleaning", "hourly", "daily", "pit", "scoring", "retrieval", "learning", "live", "files", "sensors")
+MODULES = ("cleaning", "hourly", "daily", "pit", "scoring", "retrieval", "learning", "live", "files", "sensors", "tools")
 for _name in MODULES:
     import_module(f"lapwing.plans.{_name}")
 
