@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,23 +33,37 @@ def words(text: Column) -> Column:
 
 
 def count_in(token_array: Column, lexicon: list[str]) -> Column:
-    listed = F.array(*map(F.lit, lexicon))
-    return F.size(F.filter(token_array, lambda w: F.array_contains(listed, w)))
+    return F.size(F.filter(token_array, lambda w: w.isin(*lexicon)))
 
 
-def count_prefixed(text: Column, prefixes: str) -> Column:
-    """Words between white space that begin with one of the space-separated ``prefixes``; text in lower case."""
-    return F.regexp_count(text, F.lit(rf"(?<!\S)(?:{'|'.join(prefixes.split())})"))
+def prefix_tree(words: list[str]) -> str:
+    """A regular expression for the longest of ``words`` at a place: branches by letter, so that each letter is read once."""
+    heads: dict[str, list[str]] = {}
+    for w in sorted(set(words)):
+        if w:
+            heads.setdefault(w[0], []).append(w[1:])
+    branches = "|".join(re.escape(head) + prefix_tree(rest) for head, rest in heads.items())
+    if not branches:
+        return ""
+    return f"(?:{branches})?" if "" in words else f"(?:{branches})"
 
 
 def lexicon_profile(rows: DataFrame, text: str = "text") -> DataFrame:
-    """``rows`` without ``text``, with word_count, a count and a share for each category, and the tone ratio:
-    counts first, so that shares do not count again."""
+    """``rows`` without ``text``, with word_count, a count and a share for each category, and the tone ratio.
+
+    One walk over a text finds each word's longest prefix of any category; a category counts the found ones that begin
+    with one of its own."""
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
     total = F.greatest(F.regexp_count(low, F.lit(r"\S+")), F.lit(1))
-    counts = {name: count_prefixed(low, prefixes) for name, prefixes in CATEGORIES.items()}
+    prefixes = {name: tuple(p.split()) for name, p in CATEGORIES.items()}
+    every = [p for ps in prefixes.values() for p in ps]
+    found = F.regexp_extract_all(low, F.lit(rf"(?<!\S){prefix_tree(every)}"), F.lit(0))
     kept = [c for c in rows.columns if c != text]
-    counted = rows.select(*kept, total.cast("long").alias("word_count"), *(n.cast("long").alias(f"{name}_count") for name, n in counts.items()))
+    walked = rows.select(*kept, total.cast("long").alias("word_count"), found.alias("_found"))
+    # the few that were found, sorted into categories by their names
+    mine = {name: [p for p in set(every) if p.startswith(ps)] for name, ps in prefixes.items()}
+    counts = [count_in(F.col("_found"), names).cast("long").alias(f"{name}_count") for name, names in mine.items()]
+    counted = walked.select(*kept, "word_count", *counts)
     shares = [(F.col(f"{name}_count") / F.col("word_count")).alias(f"{name}_prop") for name in CATEGORIES]
     return counted.select("*", *shares, ((F.col("posemo_count") + 1) / (F.col("negemo_count") + 1)).alias("pos_neg_ratio"))
 
@@ -62,6 +78,45 @@ def embedded_json(text: Column, schema: str) -> Column:
     return F.coalesce(*(F.when(raw.rlike(r"(?s)^\s*\{.*\}\s*$"), read(raw)) for raw in (F.coalesce(inner, text), fence, brace)))
 
 
+def first_object(text: Column) -> Column:
+    """The text from its first opening brace to the brace that closes it; null if none does.  A fold over runs of plain
+    characters, quotes, braces and escaped characters: braces inside strings do not count."""
+    parts = F.regexp_extract_all(F.regexp_extract(text, r"(?s)\{.*", 0), F.lit(r'(?s)\\.|["{}\\]|[^"{}\\]+'), F.lit(0))
+    state = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(0).alias("at"), F.lit(0).alias("end"))
+
+    def step(s: Column, part: Column) -> Column:
+        inside, at = s["quoted"], s["at"] + F.length(part)
+        depth = s["depth"] + F.when(inside, 0).when(part == "{", 1).when(part == "}", -1).otherwise(0)
+        closes = (s["end"] == 0) & ~inside & (part == "}") & (depth == 0)
+        return F.struct(depth.alias("depth"), F.when(part == '"', ~inside).otherwise(inside).alias("quoted"), at.alias("at"), F.when(closes, at).otherwise(s["end"]).alias("end"))
+
+    end = F.aggregate(parts, state, step)["end"]
+    return F.when(end > 0, F.substring(F.regexp_extract(text, r"(?s)\{.*", 0), F.lit(1), end))
+
+
+def strict_json(text: Column) -> Column:
+    """The VARIANT of a text that is JSON from its first sign to its last, else null (the parser by itself reads the first
+    value and leaves the rest, so the text is read as the one entry of a list, and of an object)."""
+    listed = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
+    held = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    return F.when((F.size(listed) == 1) & held.isNotNull(), listed[0])
+
+
+def json_of(text: Column) -> Column:
+    """JSON in a text, as VARIANT: the whole text if it is JSON, else what the first code fence holds, else the first
+    balanced object; null if none of them is JSON."""
+    fence = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)\s*```", 1)
+    return F.coalesce(*(strict_json(c) for c in (text, fence, first_object(text))))
+
+
+def answer_of(text: Column) -> Column:
+    """``json_of`` with a wrapper taken off: an object under ``result``, or the JSON in a text under ``result``."""
+    whole = json_of(text)
+    inner = F.try_variant_get(whole, "$.result", "string")
+    nested = F.coalesce(F.when(F.schema_of_variant(F.try_variant_get(whole, "$.result", "variant")).startswith("OBJECT"), F.try_variant_get(whole, "$.result", "variant")), json_of(inner))
+    return F.when(F.schema_of_variant(whole).startswith("OBJECT"), F.coalesce(nested, whole)).otherwise(whole)
+
+
 def duration_text(minutes: Column) -> Column:
     """'1h 05m', '12m', or '0m'; null without minutes."""
     whole = F.floor(minutes).cast("long")

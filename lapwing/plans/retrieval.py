@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import texts as X
 from ..functions import times as T
+from ..operators import logs as L
 from ..operators import pit as P
 from ..operators import similar as S
 from ..sources import bindings as B
@@ -86,6 +87,70 @@ def conversation_log(spark, sf_dir):
     return asked.join(answers.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answered")), ["conv_id", "turn"], "left").join(last, "conv_id", "left")
 
 
+#: who a user's turn answers: the call after it, or the one before it
+_ID = "CASE WHEN turn % 4 = 0 THEN turn + 1 ELSE turn - 1 END"
+
+
+def log_lines(spark, sf_dir):
+    """(log_id, line_no, line) made from conversations: assistants speak and call, users bring results by id, some before the call
+    and some for none, system turns are no JSON, a third of the logs end with a result."""
+    rows = B.read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("log_id"), (F.col("turn") * 2).alias("line_no"), "turn", "role", "text", F.length("text").alias("n"))
+    line = lambda sql: F.to_json(F.expr(sql))
+    call = "named_struct('type', 'tool_use', 'id', concat('c', turn), 'name', concat('tool_', turn % 3), 'input', named_struct('n', n, 'none', cast(null as string)))"
+    # blocks of several shapes in one list: their JSON is put in as it is
+    spoken = F.concat(F.lit('{"type": "assistant", "message": {"content": ["stray", '), line("named_struct('type', 'text', 'text', text)"), F.lit(", "), line(call), F.lit("]}}"))
+    brought = F.concat(F.lit('{"type": "user", "message": {"content": [{"type": "tool_result", "tool_use_id": "c'), F.expr(_ID).cast("string"), F.lit('", "content": [{"type": "image"}, '), line("named_struct('type', 'text', 'text', text)"), F.lit(', {"type": "text", "text": "end"}]}]}}'))
+    ended = F.concat(F.lit('{"type": "result", "num_turns": '), F.col("turn") + 1, F.lit(', "total_cost_usd": 0.5, "usage": {"input_tokens": '), F.col("n"), F.lit(', "cache_read_input_tokens": 7}, "result": '), F.to_json(F.array("text")), F.lit("}"))
+    ended = F.regexp_replace(ended, r'(?s)"result": \[(.*)\]\}$', '"result": $1}')
+    lines = rows.select("log_id", "line_no", F.when(F.col("role") == "assistant", spoken).when(F.col("role") == "user", brought).otherwise(F.concat(F.lit("note: "), F.col("text"))).alias("line"))
+    return lines.unionByName(rows.where("role = 'assistant' and turn = 1 and log_id % 3 = 0").select("log_id", (F.col("line_no") + 1).alias("line_no"), ended.alias("line")))
+
+
+@query(
+    "x10_tool_calls",
+    f"""WITH r AS (SELECT conv_id, {_ID} AS id, arg_max(left(text || ' end', 2000), turn) AS said FROM conversations WHERE role = 'user' GROUP BY ALL), a AS (SELECT * FROM conversations WHERE role = 'assistant')
+    SELECT a.conv_id AS log_id, row_number() OVER (PARTITION BY a.conv_id ORDER BY turn) AS call_no, 'c' || turn AS id, 'tool_' || (turn % 3) AS name, length(text) AS n, coalesce(said, '') AS result FROM a LEFT JOIN r ON r.conv_id = a.conv_id AND r.id = a.turn""",
+)
+def tool_calls(spark, sf_dir):
+    """Calls of JSON lines joined with their results by id."""
+    calls = L.tool_calls(L.parsed(log_lines(spark, sf_dir)))
+    return rounded(calls.withColumn("n", F.get_json_object("input", "$.n").cast("long")).drop("input"))
+
+
+@query(
+    "x10_log_totals",
+    """WITH a AS (SELECT conv_id, arg_max(text, turn) AS last, count(*) AS n FROM conversations WHERE role = 'assistant' GROUP BY ALL), e AS (SELECT * FROM conversations WHERE role = 'assistant' AND turn = 1 AND conv_id % 3 = 0), c AS (SELECT conv_id, count(*) FILTER (role <> 'system') AS n, string_agg('note: ' || text, chr(10) ORDER BY turn) FILTER (role = 'system') AS raw FROM conversations GROUP BY ALL)
+    SELECT c.conv_id AS log_id, c.n + CASE WHEN e.conv_id IS NULL THEN 0 ELSE 1 END AS n_events, coalesce(a.n, 0) AS n_calls, length(e.text) + 7 AS input_tokens, CASE WHEN e.conv_id IS NOT NULL THEN 0 END AS output_tokens, CASE WHEN e.conv_id IS NOT NULL THEN 0 END AS cache_creation_tokens, CASE WHEN e.conv_id IS NOT NULL THEN 7 END AS cache_read_tokens,
+      CASE WHEN e.conv_id IS NOT NULL THEN 0.5 END AS cost_usd, coalesce(e.turn + 1, 1) AS num_turns, coalesce(nullif(e.text, ''), nullif(a.last, ''), CASE WHEN c.n = 0 THEN raw END, '') AS answer FROM c LEFT JOIN a USING (conv_id) LEFT JOIN e USING (conv_id)""",
+)
+def log_totals(spark, sf_dir):
+    """Tokens, cost, turns and last answers of JSON lines."""
+    lines = log_lines(spark, sf_dir)
+    return rounded(L.totals(lines, L.parsed(lines)))
+
+
+@query(
+    "x05_balanced_objects",
+    """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN text WHEN 1 THEN '{' || text || '} "' WHEN 2 THEN 'second' WHEN 3 THEN text ELSE text || '}' END AS said, doc_id AS n FROM documents WHERE doc_id % 7 <> 0""",
+)
+def balanced_objects(spark, sf_dir):
+    """Objects in texts with other braces around: whole, in prose before another object, fenced, under ``result`` as text or object;
+    texts without an object are left out."""
+    docs = B.read(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", r"[{}`]", " ").alias("plain"), "text")
+    object_ = lambda text: F.to_json(F.struct(text.alias("said"), F.col("doc_id").alias("n")))
+    kind = F.col("doc_id") % 5
+    raw = (
+        F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("no object } here "), F.col("plain")))
+        .when(kind == 0, object_(F.col("text")))
+        .when(kind == 1, F.concat(F.lit("He said: "), object_(F.concat(F.lit("{"), F.col("text"), F.lit('} "'))), F.lit(' and then {"said": "other"} } {')))
+        .when(kind == 2, F.concat(F.col("plain"), F.lit('{"bad": } ```json\n'), object_(F.lit("second")), F.lit("\n``` and more")))
+        .when(kind == 3, F.to_json(F.struct(F.concat(F.lit("so "), object_(F.col("text")), F.lit(" }")).alias("result"))))
+        .otherwise(F.concat(F.lit('{"result": '), object_(F.concat(F.col("text"), F.lit("}"))), F.lit(', "is_error": false}')))
+    )
+    found = docs.select("doc_id", X.answer_of(raw).alias("v"))
+    return found.select("doc_id", F.try_variant_get("v", "$.said", "string").alias("said"), F.try_variant_get("v", "$.n", "bigint").alias("n")).where("n is not null")
+
+
 def _peers(spark, sf_dir, k: int, **terms):
     rows = B.diary(spark, sf_dir).where("lang = 'en'").select("doc_id", "user", "text")
     weights = S.term_weights(rows, "doc_id", "text", **terms)
