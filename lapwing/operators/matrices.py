@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import pit as P
 from .daily import align_days
+from .ranks import medians_of_others
 
 
 #: fixed values: the twenty columns of the daily matrix, by the daily table that has them
@@ -73,8 +74,8 @@ def standardised(long: DataFrame, folds: int = 5) -> DataFrame:
 
 def imputed(rows: DataFrame, columns: list[str], folds: int = 5) -> DataFrame:
     """Rows of each test fold with nulls replaced by the exact medians of the other folds."""
-    spread = rows.withColumn("test_fold", F.explode(F.sequence(F.lit(1), F.lit(folds)))).where("fold <> test_fold")
-    medians = spread.groupBy("test_fold").agg(*(F.percentile(c, F.lit(0.5)).alias(f"_{c}") for c in columns))
+    medians = medians_of_others(rows, columns, "fold", folds)
+    medians = medians.select("test_fold", *(F.col(c).alias(f"_{c}") for c in columns))
     met = rows.withColumn("test_fold", F.col("fold").cast("int")).join(F.broadcast(medians), "test_fold")  # one row a fold
     return met.select(*(F.coalesce(c, f"_{c}").alias(c) if c in columns else F.col(c) for c in rows.columns))
 

@@ -7,6 +7,9 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+from .ranks import at_places, ranked
+
 
 def regression(rows: DataFrame, keys: list[str], truth: str = "y", guess: str = "p", least: int = 2) -> DataFrame:
     """n, mae, means and population deviations over pairs without a null."""
@@ -33,18 +36,17 @@ def classification(rows: DataFrame, keys: list[str], truth: str = "y", guess: st
 
 
 def average_ranks(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """``rank``: ranks from 1 within keys, ties sharing their mean.  Ranks come from counts of distinct values,
-    so a tie of any size is one row in the window."""
+    """``rank``: ranks from 1 within keys, ties sharing their mean."""
     counts = rows.groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*keys).orderBy(value)
-    counts = counts.withColumn("rank", F.sum("_c").over(w) - (F.col("_c") - 1) / 2)
-    return rows.join(counts.drop("_c"), [*keys, value])
+    return rows.join(ranked(counts, keys, value, "_c").drop("_c"), [*keys, value])
 
 
 def auc(rows: DataFrame, keys: list[str], truth: str, score: str) -> DataFrame:
-    """Area under the ROC curve from rank sums; keys with one class are left out."""
-    ranked = average_ranks(rows.where(F.col(truth).isNotNull() & F.col(score).isNotNull()), keys, score)
-    out = ranked.groupBy(*keys).agg(F.count_if(F.col(truth)).alias("n1"), F.count_if(~F.col(truth)).alias("n0"), F.sum(F.when(F.col(truth), F.col("rank"))).alias("r"))
+    """Area under the ROC curve from rank sums; keys with one class are left out.  Scores are counted, so ranks are
+    those of distinct scores and no row is ranked by itself."""
+    kept = rows.where(F.col(truth).isNotNull() & F.col(score).isNotNull())
+    counts = kept.groupBy(*keys, score).agg(F.count("*").alias("_c"), F.count_if(F.col(truth)).alias("_yes"))
+    out = ranked(counts, keys, score, "_c").groupBy(*keys).agg(F.sum("_yes").alias("n1"), F.sum(F.col("_c") - F.col("_yes")).alias("n0"), F.sum(F.col("rank") * F.col("_yes")).alias("r"))
     return out.where("n1 > 0 and n0 > 0").select(*keys, ((F.col("r") - F.col("n1") * (F.col("n1") + 1) / 2) / (F.col("n1") * F.col("n0"))).alias("auc"))
 
 
@@ -72,29 +74,63 @@ def rankings(rows: DataFrame, metric: str = "metric", value: str = "value", mode
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(metric).orderBy(order, model)))
 
 
+def _beside(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Both frames' columns for the keys of both, null ones included."""
+    named = right.withColumnsRenamed({k: f"_other_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_other_{k}")) for k in keys]
+    return left.join(named, same).drop(*(f"_other_{k}" for k in keys))
+
+
 def exclusive_quartiles(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """n, mean, median, deviation, range and quartiles by the exclusive method (positions k (n + 1) / 4).
-    Distinct values are counted first, so equal values are one row in the window."""
+    """n, mean, deviation (of a sample), range, share of zeros and quartiles by the exclusive method (positions
+    k (n + 1) / 4).  Distinct values are counted first."""
     counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*keys)
-    counts = counts.withColumn("_hi", F.sum("_c").over(w.orderBy(value))).withColumn("_n", F.sum("_c").over(w)).withColumn("_lo", F.col("_hi") - F.col("_c") + 1)
-    x = F.col(value)
-
-    def at(position: Column) -> Column:
-        """Value at a whole position from 1."""
-        return F.max(F.when(position.between(F.col("_lo"), F.col("_hi")), x))
-
-    def quartile(k: int) -> Column:
-        place = F.least(F.greatest(F.floor(k * (F.col("_n") + 1) / 4), F.lit(1)), F.greatest(F.col("_n") - 1, F.lit(1)))
-        low, high = at(place), at(F.least(place + 1, F.col("_n")))
-        return low + (high - low) * (F.max(k * (F.col("_n") + 1) / 4) - F.max(place))
-
-    mean = F.sum(x * F.col("_c")) / F.sum("_c")
-    out = counts.groupBy(*keys).agg(
-        F.max("_n").alias("n"), mean.alias("mean"), quartile(1).alias("q1"), quartile(2).alias("median"), quartile(3).alias("q3"), F.min(x).alias("least"), F.max(x).alias("most"),
-        (F.sum(F.when(x == 0, F.col("_c")).otherwise(0)) / F.sum("_c")).alias("zero_share"),
+    counts = written(counts, "value-counts")
+    n, x, c = F.col("n"), F.col(value), F.col("_c")
+    names = {"q1": 1, "median": 2, "q3": 3}
+    # the two values whose line a quartile lies on: from 1, and not beyond the last two
+    first = {q: F.greatest(F.least(F.floor(k * (n + 1) / 4), n - 1), F.lit(1)) for q, k in names.items()}
+    ends = {f"{q}_low": first[q] - 1 for q in names} | {f"{q}_high": F.least(first[q], n - 1) for q in names}
+    found = at_places(counts, keys, value, ends, "_c")
+    lines = {q: F.col(f"{q}_low") + (F.col(f"{q}_high") - F.col(f"{q}_low")) * (k * (n + 1) / 4 - first[q]) for q, k in names.items()}
+    found = found.select(*keys, "n", *(line.alias(q) for q, line in lines.items()))
+    mean = F.sum(x * c) / F.sum("_c")
+    other = counts.groupBy(*keys).agg(
+        mean.alias("mean"), F.sqrt(F.greatest(F.sum(x * x * c) - F.sum(x * c) * mean, F.lit(0.0)) / F.nullif(F.sum("_c") - 1, F.lit(0))).alias("sd"), F.min(x).alias("least"), F.max(x).alias("most"),
+        (F.sum(F.when(x == 0, c).otherwise(0)) / F.sum("_c")).alias("zero_share"),
     )
-    return out
+    return _beside(found, other, keys).select(*keys, "n", "mean", "sd", "q1", "median", "q3", "least", "most", "zero_share")
+
+
+def usage_by_key(rows: DataFrame, keys: list[str], user: str, value: str) -> DataFrame:
+    """exclusive_quartiles of ``value`` with a histogram (value:rows joined by commas, in order), and the users and the mean of their
+    means; the histogram is as long as there are different values."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    bars = F.array_sort(F.collect_list(F.struct(F.col(value).alias("v"), F.col("_c").alias("c"))))
+    histogram = counts.groupBy(*keys).agg(F.array_join(F.transform(bars, lambda b: F.concat_ws(":", b["v"].cast("string"), b["c"].cast("string"))), ",").alias("histogram"))
+    means = rows.groupBy(*keys, user).agg(F.avg(value).alias("_m")).groupBy(*keys).agg(F.count("*").alias("n_users"), F.avg("_m").alias("user_mean"))
+    return _beside(_beside(exclusive_quartiles(rows, keys, value), histogram, keys), means, keys)
+
+
+#: fixed values: what a trace says when its tools did not answer
+UNAVAILABLE = (
+    "tools are not available", "not available in this session", "not available in this environment", "aren't available", "don't appear", "tools unavailable",
+    "tools not available", "no behavioral", "without sensing", "aren’t available", "don’t appear",
+)
+
+
+def availability(text: Column, patterns: tuple[str, ...] = UNAVAILABLE, stopped: str = "error_max_turns") -> Column:
+    """max_turns_hit if the text holds ``stopped``, tools_unavailable if it holds a pattern in any case, else
+    tools_attempted_or_single_turn; of a null text the last."""
+    low = F.lower(text)
+    none = F.coalesce(*[F.when(low.contains(p), True) for p in patterns], F.lit(False))
+    return F.when(text.contains(stopped), "max_turns_hit").when(none, "tools_unavailable").otherwise("tools_attempted_or_single_turn")
+
+
+def mentions(rows: DataFrame, text: str, names: tuple[str, ...]) -> DataFrame:
+    """(name, n): texts that hold each name; names that none holds have 0."""
+    counts = rows.agg(*(F.count_if(F.col(text).contains(n)).alias(n) for n in names))
+    return counts.select(F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(f"`{n}`").alias("n")) for n in names))).alias("x")).select("x.*")
 
 
 def mann_whitney(rows: DataFrame, group: str, value: str) -> DataFrame:

@@ -120,7 +120,39 @@ QUART = "CASE WHEN n = 1 THEN v[1] ELSE v[CAST(least(greatest(floor({k} * (n + 1
 def usage_statistics(ev):
     """Quartiles by the exclusive method."""
     calls = ev.groupBy("event_type", "user_id").agg(F.count("*").alias("calls"))
-    return rounded(M.exclusive_quartiles(calls, ["event_type"], "calls"))
+    return rounded(M.exclusive_quartiles(calls, ["event_type"], "calls").drop("sd"))
+
+
+@query(
+    "a30_usage_histogram",
+    f"""WITH {B.EV}, c AS (SELECT event_type, user_id % 7 AS person, count(*) FILTER (k < 40) AS calls FROM ev GROUP BY event_type, user_id), h AS (SELECT event_type, string_agg(CAST(calls AS VARCHAR) || ':' || CAST(n AS VARCHAR), ',' ORDER BY calls) AS histogram FROM (SELECT event_type, calls, count(*) AS n FROM c GROUP BY ALL) GROUP BY event_type),
+    u AS (SELECT event_type, count(*) AS n_users, avg(m) AS user_mean FROM (SELECT event_type, person, avg(calls) AS m FROM c GROUP BY ALL) GROUP BY event_type), g AS (SELECT event_type, count(*) AS n, list(CAST(calls AS DOUBLE) ORDER BY calls) AS v, avg(calls) AS mean, stddev_samp(calls) AS sd, min(calls) AS least, max(calls) AS most, avg(CASE WHEN calls = 0 THEN 1 ELSE 0 END) AS zero_share FROM c GROUP BY event_type)
+    SELECT event_type, n, round(mean, 4) AS mean, round(sd, 4) AS sd, {', '.join(f"round({QUART.format(k=k)}, 4) AS {name}" for k, name in ((1, 'q1'), (2, 'median'), (3, 'q3')))}, least, most, round(zero_share, 4) AS zero_share, histogram, n_users, round(user_mean, 4) AS user_mean FROM g JOIN h USING (event_type) JOIN u USING (event_type)""",
+)
+@events_of
+def usage_histogram(ev):
+    """Quartiles, deviation, share of zeros, histogram and means by person."""
+    calls = ev.groupBy("event_type", "user_id").agg(F.count_if(F.col("k") < 40).alias("calls")).withColumn("person", F.col("user_id") % 7)
+    return rounded(M.usage_by_key(calls, ["event_type"], "person", "calls"))
+
+
+SAYINGS = ("license", "copyright", "password")
+
+
+@query(
+    "a30_availability_classes",
+    """SELECT source, CASE WHEN contains(text, 'token') THEN 'max_turns_hit' WHEN regexp_matches(lower(text), 'license|copyright|password') THEN 'tools_unavailable' ELSE 'tools_attempted_or_single_turn' END AS class, count(*) AS n FROM documents GROUP BY ALL""",
+)
+def availability_classes(spark, sf_dir):
+    """Classes of texts by what they say (other sayings than the traces', which the given texts do not hold)."""
+    docs = B.read(spark, sf_dir, "documents")
+    return docs.groupBy("source", M.availability(F.col("text"), SAYINGS, "token").alias("class")).agg(F.count("*").alias("n"))
+
+
+@query("a30_mentions", "SELECT name, count(*) FILTER (contains(text, name)) AS n FROM documents, (SELECT unnest(['license', 'Copyright', 'password', 'no such saying']) AS name) GROUP BY name")
+def named_in_texts(spark, sf_dir):
+    """Texts that hold each name, those of none included."""
+    return M.mentions(B.read(spark, sf_dir, "documents"), "text", ("license", "Copyright", "password", "no such saying"))
 
 
 @query(
