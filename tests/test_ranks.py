@@ -70,7 +70,7 @@ def test_exclusive_quartiles(rows):
         assert [got[key].q1, got[key]["median"], got[key].q3] == pytest.approx(statistics.quantiles(values, n=4)) and got[key].sd == pytest.approx(statistics.stdev(values))
         assert got[key].zero_share == pytest.approx(values.count(0) / len(values))
     # two values: the method goes on along their line; one has no deviation
-    assert [got[None].q1, got[None].q3] == statistics.quantiles([1.0, 2.0], n=4) and (got["d"].q1, got["d"].sd) == (5.0, None)
+    assert [got[None].q1, got[None].q3] == statistics.quantiles([1.0, 2.0], n=4)[::2] and (got["d"].q1, got["d"].sd) == (5.0, None)
 
 
 def test_medians_of_the_other_folds(rows, spark):
