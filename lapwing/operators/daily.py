@@ -23,6 +23,40 @@ def motion_days(hours: DataFrame, least: float = 0.5) -> DataFrame:
     return days.withColumn("primary_activity", C.argmax_name({n: F.col(f"{n}_min") for n in names}))
 
 
+MOST_MIN = 1440
+
+
+def screen_days(hours: DataFrame, keys: list[str]) -> DataFrame:
+    """Screen minutes of a day, at most those of a day, and sessions; sums of nulls alone are 0."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return hours.groupBy(*keys).agg(F.least(total("screen_on_min"), F.lit(float(MOST_MIN))).alias("screen_total_min"), total("screen_n_sessions").alias("screen_n_sessions"))
+
+
+def app_days(hours: DataFrame, keys: list[str], parts: tuple[str, ...] = ("app_social_min", "app_comm_min", "app_entertainment_min")) -> DataFrame:
+    """App minutes of a day: a total over a day's minutes becomes these, and its parts shrink with it, to one digit; and the mean
+    number of apps in hours with any.  Windows that overlap make such totals."""
+    sums = hours.groupBy(*keys).agg(*(F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("app_total_min", *parts)), F.avg(F.when(F.col("app_n_apps") > 0, F.col("app_n_apps"))).alias("app_n_apps_mean"))
+    over = F.col("app_total_min") > MOST_MIN
+    scaled = [F.when(over, F.round(F.col(c) * MOST_MIN / F.col("app_total_min"), 1)).otherwise(F.col(c)).alias(c) for c in parts]
+    return sums.select(*keys, F.least("app_total_min", F.lit(float(MOST_MIN))).alias("app_total_min"), *scaled, "app_n_apps_mean")
+
+
+def keyboard_days(hours: DataFrame, keys: list[str]) -> DataFrame:
+    """Sessions and characters of the hours with a session; days without such an hour have no row."""
+    return hours.where("key_n_sessions > 0").groupBy(*keys).agg(F.sum("key_n_sessions").alias("keyboard_n_sessions"), F.coalesce(F.sum("key_chars_typed"), F.lit(0)).alias("keyboard_total_chars"))
+
+
+def light_days(hours: DataFrame, keys: list[str]) -> DataFrame:
+    """Mean of a day's hourly light and its category; days without light have no row."""
+    days = hours.where("light_mean_lux is not null").groupBy(*keys).agg(F.avg("light_mean_lux").alias("light_mean_lux_raw"))
+    return days.withColumn("light_category", C.light_class(F.col("light_mean_lux_raw")))
+
+
+def music_days(hours: DataFrame, keys: list[str]) -> DataFrame:
+    """Tracks of the hours of listening; days without such an hour have no row."""
+    return hours.where("mus_is_listening").groupBy(*keys).agg(F.lit(True).alias("music_listening"), F.coalesce(F.sum("mus_n_tracks"), F.lit(0)).alias("music_n_tracks"))
+
+
 def rollup(rows: DataFrame, keys: list[str], sums: tuple[str, ...] = (), means: tuple[str, ...] = (), flags: tuple[str, ...] = ()) -> DataFrame:
     """One row for each key: listed columns summed, averaged, or true if any is."""
     return rows.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in sums), *(F.avg(c).alias(c) for c in means), *(F.bool_or(c).alias(c) for c in flags))

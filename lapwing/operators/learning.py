@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import product
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, Transformer
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.evaluation import BinaryClassificationEvaluator, Evaluator
 from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, SQLTransformer, StandardScaler, UnivariateFeatureSelector, VarianceThresholdSelector, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
@@ -41,11 +43,28 @@ def sensor_stages(columns: list[str]) -> list:
     return [VectorAssembler(inputCols=columns, outputCol="raw", handleInvalid="keep"), VarianceThresholdSelector(featuresCol="raw", outputCol="kept", varianceThreshold=0.0), StandardScaler(inputCol="kept", outputCol="x", withMean=True)]
 
 
-def text_stages(size: int = 500, idf: bool = True, out: str = "x", min_df: int = 2, pairs: bool = True) -> list:
-    """Counts of words and pairs, weighted by idf and normalised, or plain."""
+class Sublinear(Transformer):
+    """1 + ln of each count of the column "tf", as "damped"; a count of 0 stays 0.  Vectors are as long as the vocabulary's limit."""
+
+    def _transform(self, rows: DataFrame) -> DataFrame:
+        damped = F.transform(vector_to_array("tf"), lambda n: F.when(n > 0, 1 + F.log(n)).otherwise(0.0))
+        return rows.withColumn("damped", array_to_vector(damped))
+
+
+def text_stages(size: int = 500, idf: bool = True, out: str = "x", min_df: int = 2, pairs: bool = True, max_df: float = 1.0, sublinear: bool = False, norm: bool = True) -> list:
+    """Counts of words and pairs (in ``min_df`` texts or more, and in at most a share ``max_df`` of them), damped or not, weighted
+    by idf or not, normalised or not.  A null text is an empty one."""
     join = SQLTransformer(statement=f"SELECT *, {'concat(words, pairs)' if pairs else 'words'} AS terms FROM __THIS__")
-    stages = [RegexTokenizer(inputCol="text", outputCol="words", pattern=r"\W+"), NGram(n=2, inputCol="words", outputCol="pairs"), join, CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=size, minDF=min_df)]
-    return stages + ([IDF(inputCol="tf", outputCol="tfidf"), Normalizer(inputCol="tfidf", outputCol=out)] if idf else [Normalizer(inputCol="tf", outputCol=out)])
+    stages = [SQLTransformer(statement="SELECT *, coalesce(text, '') AS whole FROM __THIS__"), RegexTokenizer(inputCol="whole", outputCol="words", pattern=r"\W+"), NGram(n=2, inputCol="words", outputCol="pairs"), join]
+    # a bound of 1 or more would be a number of texts
+    bound = {"maxDF": max_df} if max_df < 1 else {}
+    stages.append(CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=size, minDF=min_df, **bound))
+    at = "tf"
+    if sublinear:
+        stages, at = [*stages, Sublinear()], "damped"
+    if idf:
+        stages, at = [*stages, IDF(inputCol=at, outputCol="tfidf")], "tfidf"
+    return [*stages, Normalizer(inputCol=at, outputCol=out) if norm else SQLTransformer(statement=f"SELECT *, {at} AS {out} FROM __THIS__")]
 
 
 def chosen(learner, columns: int) -> CrossValidator:
@@ -71,19 +90,37 @@ def cross_validate_continuous(rows: DataFrame, stages: list, model: str, folds:
     return reduce(DataFrame.unionByName, out)
 
 
-def text_grid(rows: DataFrame, min_df: tuple[int, ...] = (1, 2), pairs: tuple[bool, ...] = (False, True), c: tuple[float, ...] = (0.1, 1.0), l1: tuple[float, ...] = (0.0, 1.0), size: int = 500, folds: int = 5) -> list[tuple]:
-    """(min_df, pairs, reg, l1, score) of every combination of vectoriser and classifier: mean area under the ROC curve
-    over ``folds`` folds; rows: text, label.  Features are made once a vectoriser."""
-    out = []
-    for least in min_df:
-        for both in pairs:
-            steps = text_stages(size, min_df=least, pairs=both)
-            ready = Pipeline(stages=steps).fit(rows).transform(rows).select("x", "label").persist()
-            learner = LogisticRegression(featuresCol="x", labelCol="label", maxIter=20)
-            grid = ParamGridBuilder().addGrid(learner.regParam, list(c)).addGrid(learner.elasticNetParam, list(l1)).build()
-            scores = CrossValidator(estimator=learner, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(labelCol="label"), numFolds=folds, parallelism=4, seed=7).fit(ready).avgMetrics
-            out += [(least, both, m[learner.regParam], m[learner.elasticNetParam], float(s)) for m, s in zip(grid, scores)]
-            ready.unpersist()
+class BalancedAccuracy(Evaluator):
+    """Mean share of rows that are predicted right among those of each label there is."""
+
+    def _evaluate(self, rows: DataFrame) -> float:
+        right = rows.groupBy("label").agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("r"))
+        return right.agg(F.avg("r")).first()[0] or 0.0
+
+    def isLargerBetter(self) -> bool:
+        return True
+
+
+#: vectorisers of the grid: (least number of texts, pairs, largest share of texts, idf, norm)
+VECTORISERS = ((1, False, 1.0, True, True), (1, True, 0.9, True, True), (2, True, 1.0, True, False), (2, True, 0.9, False, True))
+
+
+def text_grid(rows: DataFrame, min_df: tuple[int, ...] = (), pairs: tuple[bool, ...] = (False, True), c: tuple[float, ...] = (0.1, 1.0), l1: tuple[float, ...] = (0.0, 1.0), size: int = 500, folds: int = 5,
+              max_df: tuple[float, ...] = (1.0,), idf: tuple[bool, ...] = (True,), norm: tuple[bool, ...] = (True,), balance: tuple[bool, ...] = (False, True)) -> list[tuple]:
+    """(min_df, pairs, reg, l1, score, max_df, idf, norm, balanced) of every combination of vectoriser and classifier: ``score`` is the mean
+    balanced accuracy over ``folds`` folds; rows: text, label.  Without ``min_df`` the vectorisers are VECTORISERS.  Features are
+    made once a vectoriser; balanced classifiers weigh the labels against their frequency."""
+    out, vectorisers = [], list(product(min_df, pairs, max_df, idf, norm)) if min_df else VECTORISERS
+    rows, measure = weighted(rows).withColumn("one", F.lit(1.0)), BalancedAccuracy()
+    weights = {"weight" if b else "one": b for b in balance}
+    for least, both, most, by_idf, normed in vectorisers:
+        steps = text_stages(size, min_df=least, pairs=both, max_df=most, idf=by_idf, norm=normed)
+        ready = Pipeline(stages=steps).fit(rows).transform(rows).select("x", "label", "weight", "one").persist()
+        learner = LogisticRegression(featuresCol="x", labelCol="label", maxIter=20)
+        grid = ParamGridBuilder().addGrid(learner.regParam, list(c)).addGrid(learner.elasticNetParam, list(l1)).addGrid(learner.weightCol, list(weights)).build()
+        scores = CrossValidator(estimator=learner, estimatorParamMaps=grid, evaluator=measure, numFolds=folds, parallelism=8, seed=7).fit(ready).avgMetrics
+        out += [(least, both, m[learner.regParam], m[learner.elasticNetParam], float(s), most, by_idf, normed, weights[m[learner.weightCol]]) for m, s in zip(grid, scores)]
+        ready.unpersist()
     return out
 
 

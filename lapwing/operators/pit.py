@@ -105,6 +105,43 @@ def profile(prompts: DataFrame) -> DataFrame:
     )
 
 
+def profile_details(prompts: DataFrame) -> DataFrame:
+    """For each prompt, from the user's earlier prompts: n, the split of those without an intervention taken (no_desire of them, and
+    unavailable), receptive share and number in each slot of the day (from three), and the first two diaries when receptive and when
+    not (from five diaries and two of the kind).  prompts: prompt_id, user_id, ms, desire, available, diary; a null desire is none.
+    """
+    w = Window.partitionBy("user_id").orderBy("ms", "prompt_id").rowsBetween(Window.unboundedPreceding, -1)
+    wish = F.coalesce(F.col("desire") >= 5, F.lit(False))
+    taken = wish & F.coalesce(F.lower(F.trim("available")) == "yes", F.lit(False))
+    rows = prompts.select("*", wish.alias("_wish"), taken.alias("_taken"), T.prompt_slot(T.clock_hour(F.col("ms"))).alias("_slot"))
+    not_taken = F.count_if(~F.col("_taken")).over(w)
+    no_wish = F.when(not_taken > 0, F.count_if(~F.col("_wish")).over(w) / not_taken)
+    out = [F.count("*").over(w).alias("n"), no_wish.alias("no_desire"), (1 - no_wish).alias("unavailable")]
+    for slot in ("morning", "afternoon", "evening"):
+        mine = F.col("_slot") == slot
+        n = F.count_if(mine).over(w)
+        out += [n.alias(f"{slot}_n"), F.when(n >= 3, F.avg(F.when(mine, F.col("_taken").cast("double"))).over(w)).alias(f"{slot}_rate")]
+    for name, kind in (("receptive", F.col("_taken")), ("other", ~F.col("_taken"))):
+        told = F.when(kind, F.col("diary"))
+        enough = (F.count("diary").over(w) >= 5) & (F.count(told).over(w) >= 2)
+        out += [F.when(enough, F.nth_value(told, k, True).over(w)).alias(f"{name}_diary_{k}") for k in (1, 2)]
+    return rows.select("prompt_id", *out)
+
+
+def replayed(context: DataFrame, scorer, adds: str, outcomes: DataFrame) -> DataFrame:
+    """``context`` (prompt_id, user_id, ms, what is known by then) scored, and only afterwards joined with ``outcomes`` (prompt_id, ...).
+
+    ``scorer`` takes and yields pandas frames (an iterator, as mapInPandas) with the columns of ``adds`` (DDL) beside the given ones; a
+    row holds nothing later than its prompt, and the outcome is not among its columns.  ``turn`` numbers a user's prompts in time.
+    """
+    clash = set(context.columns) & (set(outcomes.columns) - {"prompt_id"})
+    if clash:
+        raise ValueError(f"outcomes among what is known: {sorted(clash)}")
+    turns = context.withColumn("turn", F.row_number().over(Window.partitionBy("user_id").orderBy("ms", "prompt_id")))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in turns.schema) + f", {adds}"
+    return turns.mapInPandas(scorer, schema).join(outcomes, "prompt_id", "left")
+
+
 def running_personal(prompts: DataFrame, folds: int = 5) -> DataFrame:
     """Deviation from the user's own past (three rows at least, else from all rows of the other folds, which are
     the training rows where this fold is the test), and rates of the last ten."""

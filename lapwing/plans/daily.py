@@ -51,6 +51,41 @@ def signal_days(ev):
     return rounded(D.rollup(rows, ["user_id", "day", "modality"], ("n", "total"), ("mean",), ("busy",)), 3)
 
 
+_HOURS = """hd AS (SELECT user_id, ms // 3600000 // 24 AS day, sum(value) FILTER (event_type = 'click') * 3 AS screen_on_min, count(*) FILTER (event_type = 'click' AND k % 3 > 0) AS screen_n_sessions, sum(value) FILTER (event_type <> 'click') * 6 AS app_total_min, sum(value) FILTER (event_type = 'view') * 3 AS app_social_min,
+      sum(value) FILTER (event_type = 'error') AS app_comm_min, sum(value) FILTER (k % 2 = 0) AS app_entertainment_min, count(DISTINCT k % 5) FILTER (k % 4 > 0) AS app_n_apps, count(*) FILTER (event_type = 'error' AND k % 2 = 0) AS key_n_sessions, sum(k) FILTER (event_type = 'error') AS key_chars_typed,
+      avg(value) FILTER (event_type = 'signup') * 3 AS light_mean_lux, bool_or(k % 10 = 0) AS mus_is_listening, count(*) FILTER (k % 3 = 0) AS mus_n_tracks FROM ev GROUP BY user_id, ms // 3600000)"""
+
+
+def hourly_rows(ev):
+    """One row a user and hour with the columns that the daily rollups take."""
+    v, k = F.col("value"), F.col("k")
+    of = lambda *kinds: F.col("event_type").isin(*kinds)
+    sum_, count = lambda c, x: F.sum(F.when(c, x)), lambda c: F.count_if(c)
+    hours = ev.withColumn("hour", T.hour_of(F.col("ms"))).groupBy("user_id", "hour").agg(
+        (sum_(of("click"), v) * 3).alias("screen_on_min"), count(of("click") & (k % 3 > 0)).alias("screen_n_sessions"), (sum_(~of("click"), v) * 6).alias("app_total_min"), (sum_(of("view"), v) * 3).alias("app_social_min"),
+        sum_(of("error"), v).alias("app_comm_min"), sum_(k % 2 == 0, v).alias("app_entertainment_min"), F.count_distinct(F.when(k % 4 > 0, k % 5)).alias("app_n_apps"), count(of("error") & (k % 2 == 0)).alias("key_n_sessions"),
+        sum_(of("error"), k).alias("key_chars_typed"), (F.avg(F.when(of("signup"), v)) * 3).alias("light_mean_lux"), F.bool_or(k % 10 == 0).alias("mus_is_listening"), count(k % 3 == 0).alias("mus_n_tracks"),
+    )
+    return hours.withColumn("day", F.floor(F.col("hour") / 24).cast("long"))
+
+
+def _day_query(name: str, work, sql: str) -> None:
+    run = events_of(lambda ev: rounded(work(hourly_rows(ev), ["user_id", "day"]), 3))
+    run.__doc__ = f"A12: {work.__name__}."
+    query(name, f"WITH {B.EV}, {_HOURS} {sql}")(run)
+
+
+_day_query("a12_screen_days", D.screen_days, "SELECT user_id, day, round(least(coalesce(sum(screen_on_min), 0), 1440), 3) AS screen_total_min, CAST(sum(screen_n_sessions) AS BIGINT) AS screen_n_sessions FROM hd GROUP BY ALL")
+_day_query(
+    "a12_app_days", D.app_days,
+    """, s AS (SELECT user_id, day, coalesce(sum(app_total_min), 0) AS t, coalesce(sum(app_social_min), 0) AS a, coalesce(sum(app_comm_min), 0) AS b, coalesce(sum(app_entertainment_min), 0) AS c, avg(CASE WHEN app_n_apps > 0 THEN app_n_apps END) AS m FROM hd GROUP BY ALL)
+    SELECT user_id, day, round(least(t, 1440), 3) AS app_total_min, """ + ", ".join(f"round(CASE WHEN t > 1440 THEN round({x} * 1440 / t, 1) ELSE {x} END, 3) AS app_{n}_min" for x, n in zip("abc", ("social", "comm", "entertainment"))) + ", round(m, 3) AS app_n_apps_mean FROM s",
+)
+_day_query("a12_keyboard_days", D.keyboard_days, "SELECT user_id, day, CAST(sum(key_n_sessions) AS BIGINT) AS keyboard_n_sessions, CAST(coalesce(sum(key_chars_typed), 0) AS BIGINT) AS keyboard_total_chars FROM hd WHERE key_n_sessions > 0 GROUP BY ALL")
+_day_query("a12_light_days", D.light_days, "SELECT user_id, day, round(avg(light_mean_lux), 3) AS light_mean_lux_raw, CASE WHEN avg(light_mean_lux) < 10 THEN 'dark' WHEN avg(light_mean_lux) < 500 THEN 'indoor' ELSE 'outdoor' END AS light_category FROM hd WHERE light_mean_lux IS NOT NULL GROUP BY ALL")
+_day_query("a12_music_days", D.music_days, "SELECT user_id, day, true AS music_listening, CAST(sum(mus_n_tracks) AS BIGINT) AS music_n_tracks FROM hd WHERE mus_is_listening GROUP BY ALL")
+
+
 KINDS = ("click", "view", "purchase", "error", "signup")
 
 

@@ -17,7 +17,7 @@ from ..operators import pit as P
 from ..sources import bindings as B
 from ..sources.scratch import written
 from .base import events_of, query, rounded
-from .pit import BASE, clicks
+from .pit import BASE, BASELINE, TOD, YES, clicks
 
 HOURS, SWEEP = 24, 6
 FEATURES = ["n", "total"]
@@ -122,15 +122,32 @@ def lookback_sweep(ev):
     return rounded(rows.groupBy("lookback").agg(F.count_distinct("prompt_id").alias("n"), F.count("n").alias("hours_seen"), F.sum("total").alias("total")), 2)
 
 
-@query("m13_replay")
+_ASKED = "SELECT p.prompt_id, count(b.n) AS hours_seen, sum(b.total) AS total FROM pr p LEFT JOIN bi b ON b.user_id = p.user_id AND b.hour BETWEEN p.ms // 3600000 - 24 AND p.ms // 3600000 - 1 GROUP BY ALL"
+_PAST = f"SELECT a.prompt_id, count(b.yes) AS n, avg(b.yes) AS rate, avg(b.yes) FILTER (b.tod = a.tod) AS rate_tod FROM t a LEFT JOIN t b ON b.user_id = a.user_id AND b.ms BETWEEN a.ms - 14 * 86400000 AND a.ms - 1 GROUP BY a.prompt_id"
+
+
+@query(
+    "m13_replay",
+    f"""{BASE}, {BASELINE}, t AS (SELECT *, {TOD.format('(ms // 3600000)')} AS tod, {YES} AS yes FROM pr), s AS ({_ASKED}), h AS ({_PAST})
+    SELECT prompt_id, hours_seen, round(total, 4) AS total, CASE WHEN sd > 0.001 THEN round(z, 4) ELSE CASE WHEN z > 1 THEN 2.0 WHEN z IS NOT NULL THEN 0.0 END END AS z, h.n, round(rate, 4) AS rate, round(rate_tod, 4) AS rate_tod, coalesce(rate, 0) >= 0.5 OR coalesce(z, 0) > 1 AS guess, state AS outcome FROM s JOIN bl USING (prompt_id) JOIN h USING (prompt_id) JOIN pr USING (prompt_id)""",
+)
 @events_of
 def replay(ev):
-    """Every prompt's context, baseline and receptivity in one plan, with its outcome joined afterwards."""
+    """Every prompt's context, baseline and receptivity in one plan, scored, with its outcome joined afterwards."""
     prompts, bins = B.prompts(ev), clicks(ev)
     seen = P.lookback(prompts.select("prompt_id", "user_id", "ms"), bins).groupBy("prompt_id").agg(F.count("n").alias("hours_seen"), F.sum("total").alias("total"))
-    context = seen.join(P.personal_baseline(prompts, bins, "total").select("prompt_id", "z"), "prompt_id").join(P.history(prompts), "prompt_id")
-    guess = (F.coalesce(F.col("rate"), F.lit(0.0)) >= 0.5) | (F.coalesce(F.col("z"), F.lit(0.0)) > 1)
-    return rounded(context.withColumn("guess", guess).join(prompts.select("prompt_id", F.col("state").alias("outcome")), "prompt_id"))
+    baseline = P.personal_baseline(prompts, bins, "total")
+    # against a deviation of nothing only the side counts
+    baseline = baseline.withColumn("z", F.when(F.col("sd") > 0.001, F.col("z")).when(F.col("z") > 1, 2.0).when(F.col("z").isNotNull(), 0.0))
+    context = seen.join(baseline.select("prompt_id", "z"), "prompt_id").join(P.history(prompts), "prompt_id")
+    scored = P.replayed(context.join(prompts.select("prompt_id", "user_id", "ms"), "prompt_id"), _guess, "guess boolean", prompts.select("prompt_id", F.col("state").alias("outcome")))
+    return rounded(scored.drop("user_id", "ms", "turn"))
+
+
+def _guess(batches):
+    """Receptive as often as not so far, or clearly over the own baseline."""
+    for x in batches:
+        yield x.assign(guess=(x["rate"].fillna(0.0) >= 0.5) | (x["z"].fillna(0.0) > 1))
 
 
 def _sensor_rows(ev) -> DataFrame:
@@ -178,31 +195,33 @@ def subset_scores(ev):
 
 @query("m12_text_grid")
 def text_grid(spark, sf_dir):
-    """Vectoriser by classifier, every combination with its mean score."""
-    rows = B.diary(spark, sf_dir).where("quality is not null").select(F.coalesce("text", F.lit("")).alias("text"), F.col("quality").cast("double").alias("label"))
-    return spark.createDataFrame(L.text_grid(written(rows, "grid-rows")), "min_df long, pairs boolean, reg double, l1 double, score double")
+    """Vectoriser by classifier, every combination with its mean balanced accuracy."""
+    rows = B.diary(spark, sf_dir).where("quality is not null").select("text", F.col("quality").cast("double").alias("label"))
+    found = L.text_grid(written(rows, "grid-rows"))
+    return spark.createDataFrame(found, "min_df long, pairs boolean, reg double, l1 double, score double, max_df double, idf boolean, norm boolean, balanced boolean")
 
 
 @query("m05_text_models")
 def text_models(spark, sf_dir):
-    """Tf-idf and plain counts of diary texts."""
-    rows = B.diary(spark, sf_dir).where("quality is not null").select(F.col("doc_id").alias("id"), "fold", "text", F.col("quality").cast("double").alias("label")).persist()
-    tfidf = L.cross_validate(rows, L.text_stages(500), "logistic", FOLDS)
+    """Tf-idf of damped counts, and plain counts, of diary texts."""
+    rows = written(B.diary(spark, sf_dir).where("quality is not null").select(F.col("doc_id").alias("id"), "fold", "text", F.col("quality").cast("double").alias("label")), "text-rows")
+    tfidf = L.cross_validate(rows, L.text_stages(500, sublinear=True), "logistic", FOLDS)
     counts = L.cross_validate(rows, L.text_stages(300, idf=False), "ridge", FOLDS)
     return _scores([tfidf, counts])
 
 
 @query("m06_fused_models")
 def fused_models(spark, sf_dir):
-    """Sensor-like numbers and text vectors, scaled apart."""
-    rows = B.diary(spark, sf_dir).where("quality is not null").select(F.col("doc_id").alias("id"), "fold", F.coalesce("text", F.lit("")).alias("text"), F.col("quality").cast("double").alias("label"), F.col("n_chars").cast("double").alias("size")).persist()
-    numbers = [VectorAssembler(inputCols=["size"], outputCol="raw"), StandardScaler(inputCol="raw", outputCol="sensed", withMean=True)]
-    stages = numbers + L.text_stages(200, out="said") + [VectorAssembler(inputCols=["sensed", "said"], outputCol="x")]
+    """A prompt's sensing and its diary, scaled apart; a prompt has the text of its number, or none (a block of zeros)."""
+    sensed = _sensor_rows(B.events(spark, sf_dir))
+    rows = written(sensed.join(B.diary(spark, sf_dir).select(F.col("doc_id").alias("id"), "text"), "id", "left"), "fused-rows")
+    blocks = [VectorAssembler(inputCols=SENSED, outputCol="raw", handleInvalid="keep"), StandardScaler(inputCol="raw", outputCol="sensed", withMean=True), *L.text_stages(200, out="said", sublinear=True)]
+    stages = [*blocks, StandardScaler(inputCol="said", outputCol="told"), VectorAssembler(inputCols=["sensed", "told"], outputCol="x")]
     return _scores([L.cross_validate(rows, stages, "logistic", FOLDS)])
 
 
 @query("m07_vector_models")
 def vector_models(spark, sf_dir):
     """Precomputed vectors."""
-    rows = B.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), (F.col("vec_id") % 5 + 1).alias("fold"), (F.col("label") < 5).cast("double").alias("label"), array_to_vector(F.col("embedding").cast("array<double>")).alias("x"))
-    return _scores([L.cross_validate(rows.persist(), [], "logistic", FOLDS)])
+    rows = B.read(spark, sf_dir, "embeddings").where("embedding is not null").select(F.col("vec_id").alias("id"), (F.col("vec_id") % 5 + 1).alias("fold"), (F.col("label") < 5).cast("double").alias("label"), array_to_vector(F.col("embedding").cast("array<double>")).alias("x"))
+    return _scores([L.cross_validate(rows, [], "logistic", FOLDS)])

@@ -108,6 +108,26 @@ def profiles(ev):
     return rounded(P.profile(B.prompts(ev)))
 
 
+_TAKEN = "(desire >= 5 AND available = 'yes')"
+_SLOT = "CASE WHEN (ms // 3600000) % 24 < 12 THEN 'morning' WHEN (ms // 3600000) % 24 < 17 THEN 'afternoon' ELSE 'evening' END"
+_DIARY = "CASE WHEN prompt_id % 3 > 0 THEN 'diary ' || prompt_id END"
+
+
+@query(
+    "a21_profile_details",
+    f"""WITH {B.EV}, {B.PROMPTS}, t AS (SELECT *, {_TAKEN} AS taken, {_SLOT} AS slot, {_DIARY} AS diary FROM pr)
+    SELECT prompt_id, count(*) OVER w AS n, round(CASE WHEN count(*) FILTER (NOT taken) OVER w > 0 THEN count(*) FILTER (desire < 5) OVER w / count(*) FILTER (NOT taken) OVER w END, 4) AS no_desire, round(CASE WHEN count(*) FILTER (NOT taken) OVER w > 0 THEN 1 - count(*) FILTER (desire < 5) OVER w / count(*) FILTER (NOT taken) OVER w END, 4) AS unavailable,
+      {', '.join(f"count(*) FILTER (slot = '{x}') OVER w AS {x}_n, round(CASE WHEN count(*) FILTER (slot = '{x}') OVER w >= 3 THEN avg(CAST(taken AS INT)) FILTER (slot = '{x}') OVER w END, 4) AS {x}_rate" for x in ('morning', 'afternoon', 'evening'))},
+      {', '.join(f"CASE WHEN count(diary) OVER w >= 5 AND count(CASE WHEN {c} THEN diary END) OVER w >= 2 THEN (list_filter(list(CASE WHEN {c} THEN diary END) OVER w, lambda d: d IS NOT NULL))[{i}] END AS {x}_diary_{i}" for x, c in (('receptive', 'taken'), ('other', 'NOT taken')) for i in (1, 2))}
+    FROM t WINDOW w AS (PARTITION BY user_id ORDER BY ms, prompt_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
+)
+@events_of
+def profile_details(ev):
+    """Why not, when, and in whose words, from earlier prompts only."""
+    diary = F.when(F.col("prompt_id") % 3 > 0, F.concat(F.lit("diary "), F.col("prompt_id")))
+    return rounded(P.profile_details(B.prompts(ev).withColumn("diary", diary)))
+
+
 @query(
     "w10_running_features",
     f"""WITH {B.EV}, {B.PROMPTS}, g AS (SELECT t.f AS fold, avg(value) AS m, stddev_pop(value) AS s FROM pr JOIN (SELECT unnest(range(1, 6)) AS f) t ON pr.fold <> t.f GROUP BY t.f), r AS (SELECT *, count(*) OVER p AS n, avg(value) OVER p AS pm, stddev_pop(value) OVER p AS ps, coalesce(avg(CAST(desire >= 5 AS INT)) OVER t, 0) AS d10, coalesce(avg(CAST(available = 'yes' AS INT)) OVER t, 0) AS a10, coalesce(avg({YES}) OVER t, 0) AS j10

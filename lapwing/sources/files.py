@@ -6,9 +6,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import cleaning as C
 from ..operators.intervals import first_by
+from .scratch import written
 
 PROMPT = "Study_ID int, timestamp_local timestamp_ntz, date_local date, emotion_driver string, PANAS_Pos double, PANAS_Neg double, ER_desire double, INT_availability string"
 GPS = "epoch_gpscapture double, val_lat double, val_lon double, val_horizontal_accuracy double, timezone string"
@@ -116,6 +118,59 @@ def read_hourly(spark: SparkSession, path: str, modality: str) -> DataFrame:
     return spark.read.parquet(path).where(F.col("modality") == modality)
 
 
+STORE_PARTS = 64
+
+
+def _part(user: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(user), F.lit(parts)).cast("int")
+
+
+def _marks(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """A mark of each participant's rows of a modality, whatever their order: their number and two sums of hashes."""
+    whole = [F.xxhash64(F.lit(seed), *columns) for seed in (1, 2)]
+    return rows.groupBy("modality", "user_id").agg(F.struct(F.count("*").alias("n"), *(F.sum(h.cast("decimal(38,0)")).alias(f"h{i}") for i, h in enumerate(whole))).alias("mark"))
+
+
+def update_hourly(rows: DataFrame, path: str, parts: int = STORE_PARTS) -> int:
+    """Put the participants of ``rows`` (user_id, modality, hour, ...) into the store, each in place of what it had in that modality.
+    Returns how many (participant, modality) were new or different; nothing else is written, so the same update again writes nothing.
+
+    The store is partitioned by modality and a part of the participants (as many parts as it was begun with); only partitions with a
+    change are read and written anew, by dynamic overwrite: files take their place when the job commits, and a job that dies halfway
+    can be run again.  Rows without a participant or modality, and modalities that ``rows`` lacks, are left as they are.
+    """
+    spark = rows.sparkSession
+    columns = sorted(rows.columns)
+    new = written(rows.where("user_id is not null and modality is not null").select(*columns).withColumn("part", _part(F.col("user_id"), parts)), "store-rows")
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        old = spark.read.schema(new.schema).option("basePath", path).parquet(path)
+        touched = F.broadcast(new.select("modality", "part").distinct())  # modalities times parts
+        was = _marks(old.join(touched, ["modality", "part"], "left_semi"), columns).withColumnRenamed("mark", "was")
+        changed = written(_marks(new, columns).join(was, ["modality", "user_id"], "left").where(~F.col("mark").eqNullSafe(F.col("was"))).select("modality", "user_id", _part(F.col("user_id"), parts).alias("part")), "store-changes")
+        affected = F.broadcast(changed.select("modality", "part").distinct())
+        kept = old.join(affected, ["modality", "part"], "left_semi").join(changed.select("modality", "user_id"), ["modality", "user_id"], "left_anti")
+        out = kept.select(*new.columns).unionByName(new.join(changed.select("modality", "user_id"), ["modality", "user_id"], "left_semi").select(*new.columns))
+        # what is read cannot be written over in one job
+        out = written(out, "store-partitions")
+        n = changed.count()
+    else:
+        out, n = new, new.select("modality", "user_id").distinct().count()
+    if n:
+        out.repartition("modality", "part").sortWithinPartitions("modality", "part", "user_id", "hour").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("modality", "part").parquet(path)
+    return n
+
+
+def stored_hours(spark: SparkSession, path: str, modality: str, users: list | None = None, parts: int = STORE_PARTS) -> DataFrame:
+    """One modality of an updated store, of all or of some participants; only their parts are listed and read."""
+    rows = spark.read.option("basePath", path).parquet(path).where(F.col("modality") == modality)
+    if users is not None:
+        asked = spark.createDataFrame([(u,) for u in users], T.StructType([rows.schema["user_id"]]))
+        wanted = [r[0] for r in asked.select(_part(F.col("user_id"), parts)).distinct().collect()]
+        rows = rows.where(F.col("part").isin(wanted) & F.col("user_id").isin(users))
+    return rows.drop("part")
+
+
 def flattened(rows: DataFrame, structs: list[str]) -> DataFrame:
     """Struct fields as prefixed columns; fields that begin with an underscore are dropped."""
     plain = [F.col(c) for c in rows.columns if c not in structs and not c.startswith("_")]

@@ -55,3 +55,54 @@ def test_grid_has_every_combination(spark):
     rows = spark.createDataFrame(texts, "text string, label double")
     out = Q.L.text_grid(rows, (1, 2), (False, True), (0.1,), (0.0, 1.0), folds=2)
     assert len({r[:4] for r in out}) == 8 and max(r[4] for r in out) > 0.9 and all(0 <= r[4] <= 1 for r in out)
+
+
+def test_null_texts_and_damped_counts(spark):
+    rows = spark.createDataFrame([("a a a b", 1.0), (None, 0.0), ("b c", 1.0), ("", 0.0)], "text string, label double")
+    from pyspark.ml import Pipeline
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.sql import functions as F
+
+    stages = Q.L.text_stages(10, idf=False, min_df=1, pairs=False, sublinear=True, norm=False)
+    model = Pipeline(stages=stages).fit(rows)
+    words = next(s for s in model.stages if hasattr(s, "vocabulary")).vocabulary
+    out = [dict(zip(words, r.x)) for r in model.transform(rows).select(vector_to_array("x").alias("x")).collect()]
+    import math
+
+    assert out[0]["a"] == pytest.approx(1 + math.log(3)) and out[0]["b"] == 1 and out[2] == {"a": 0, "b": 1, "c": 1} and set(out[1].values()) == set(out[3].values()) == {0}
+    # words of more than half of the texts are left out
+    few = Pipeline(stages=Q.L.text_stages(10, idf=False, min_df=1, pairs=False, max_df=0.49)).fit(rows)
+    assert set(next(s for s in few.stages if hasattr(s, "vocabulary")).vocabulary) == {"a", "c"}
+    assert model.transform(rows).count() == 4
+
+
+def test_grid_scores_are_balanced_accuracies(spark):
+    """Nine of ten texts have one label: a model that always says so has a balanced accuracy of a half."""
+    rows = spark.createDataFrame([("same words here", 1.0)] * 90 + [("same words here", 0.0)] * 10, "text string, label double")
+    out = Q.L.text_grid(rows, (1,), (False,), (0.1,), (0.0,), folds=2)
+    assert len(out) == 2 and all(r[4] == 0.5 for r in out) and {r[8] for r in out} == {True, False}
+
+
+def test_scorers_see_nothing_later(spark):
+    """A scorer that tells all it is given: no outcome, and what is known does not change with later rows."""
+    from pyspark.sql import functions as F
+
+    from lapwing.operators import pit as P
+
+    made = lambda n: spark.createDataFrame([(k, 1, k * 86_400_000 + 9 * 3_600_000, float(k), 7 if k % 2 else 2, "yes", k % 3 == 0) for k in range(n)], "prompt_id long, user_id int, ms long, value double, desire int, available string, state boolean")
+    bins = lambda n: spark.createDataFrame([(1, k * 24 + 8, float(k)) for k in range(n)], "user_id int, hour long, total double")
+
+    def tell(batches):
+        for x in batches:
+            yield x.assign(told=x.drop(columns=["turn"]).astype(str).agg("|".join, axis=1), given=",".join(sorted(x.columns)))
+
+    def run(n):
+        prompts = made(n)
+        context = P.personal_baseline(prompts, bins(n), "total").drop("user_id").join(P.history(prompts).select("prompt_id", "rate"), "prompt_id").join(prompts.select("prompt_id", "user_id", "ms"), "prompt_id")
+        return {r.prompt_id: r for r in P.replayed(context, tell, "told string, given string", prompts.select("prompt_id", F.col("state").alias("outcome"))).collect()}
+
+    short, long = run(6), run(12)
+    assert all(short[k].told == long[k].told and short[k].turn == k + 1 for k in range(6)) and [short[k].outcome for k in range(6)] == [k % 3 == 0 for k in range(6)]
+    assert "outcome" not in short[0].given and "state" not in short[0].given
+    with pytest.raises(ValueError):
+        P.replayed(made(2), tell, "told string", made(2).select("prompt_id", "state"))

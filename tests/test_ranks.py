@@ -89,4 +89,4 @@ def test_medians_of_the_other_folds(rows, spark):
 def test_classes_and_mentions(spark):
     df = spark.createDataFrame([("The tools aren't available",), ("The tools don’t APPEAR",), ("error_max_turns, tools unavailable",), ("fine",), (None,)], "t string")
     assert [r[0] for r in df.select(M.availability(F.col("t"))).collect()] == ["tools_unavailable", "tools_unavailable", "max_turns_hit"] + ["tools_attempted_or_single_turn"] * 2
-    assert {r.name: r.n for r in M.mentions(df, "t", ("tools", "x.y", "fine")).collect()} == {"tools": 1, "x.y": 0, "fine": 1}
+    assert {r.name: r.n for r in M.mentions(df, "t", ("tools", "x.y", "fine")).collect()} == {"tools": 3, "x.y": 0, "fine": 1}

@@ -82,3 +82,36 @@ def test_scratch_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
     with pytest.raises(RuntimeError, match="checkpoint"):
         scratch.shared_path(Cluster(), "x")
     assert scratch.written(spark.range(3), "three").count() == 3
+
+
+def _files(path):
+    return {str(p.relative_to(path)): p.stat().st_mtime_ns for p in path.rglob("*.parquet")}
+
+
+def test_incremental_store_touches_changed_partitions_only(spark, tmp_path):
+    store = tmp_path / "store"
+    made = lambda users, modality, total=1.0: spark.createDataFrame([(u, h, modality, total) for u in users for h in range(3)], "user_id long, hour long, modality string, total double")
+    assert S.update_hourly(made(range(40), "view").unionByName(made(range(10), "click")), str(store), parts=8) == 50
+    first = _files(store)
+    assert len({f.rsplit("/", 1)[0] for f in first if "view" in f}) == 8
+    # the same again, in another order: nothing is written
+    assert S.update_hourly(made(range(39, -1, -1), "view").repartition(3), str(store), parts=8) == 0 and _files(store) == first
+    # one participant changes: one partition is another
+    again = made(range(40), "view").where("user_id <> 5").unionByName(made([5], "view", 2.0))
+    assert S.update_hourly(again, str(store), parts=8) == 1
+    second = _files(store)
+    changed = {f.rsplit("/", 1)[0] for f, _ in set(second.items()) ^ set(first.items())}
+    assert len(changed) == 1 and changed.pop().startswith("modality=view")
+    rows = S.stored_hours(spark, str(store), "view", parts=8)
+    assert rows.count() == 120 and rows.agg({"total": "sum"}).first()[0] == 123.0
+    assert S.stored_hours(spark, str(store), "view", [5, 99], parts=8).select("total").distinct().collect()[0].total == 2.0
+    assert S.stored_hours(spark, str(store), "click", parts=8).count() == 30
+    # a new participant, a new modality, rows without an owner, no rows at all
+    assert S.update_hourly(made([77], "light").unionByName(made([None], "light")).unionByName(made([3], None)), str(store), parts=8) == 1
+    assert S.update_hourly(made([], "view"), str(store), parts=8) == 0
+    assert spark.read.parquet(str(store)).count() == 153
+
+
+def test_begin_an_empty_store(spark, tmp_path):
+    rows = spark.createDataFrame([], "user_id long, hour long, modality string")
+    assert S.update_hourly(rows, str(tmp_path / "none")) == 0 and not (tmp_path / "none").exists()
