@@ -11,7 +11,7 @@ no links) are undecided.  The second pass gives each undecided block the label o
 neighbours; between a good and a bad one as near, it is good.
 
 Where the page marks its article, that is one more feature: blocks outside it are bad and do not vote,
-and inside it a block of link text that reads like a sentence is left to its neighbours, while a heading
+and inside it a heading, or a block of link text that reads like a sentence, is left to its neighbours, while a heading
 or paragraph without links is not judged by link lists next to it.  A block with no
 decided neighbour at all is good inside a marked article, or as a heading or paragraph without links.
 """
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -40,14 +41,17 @@ BLOCK = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: fixed values: words of a class, id or role that mark what surrounds an article
 OUTSIDE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|masthead|footer|sidebar|aside|complementary|contentinfo|"
-    r"cookies?|consent|gdpr|notices?|alert|popup|modal|newsletter|subscri\w*|signup|login|comments?|disqus|respon(?:d|ses)|replies|pagination|pager|hidden)(?:$|[\s_-])",
+    r"(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|masthead|footer|sidebar|aside|complementary|contentinfo|"
+    r"cookies?|consent|gdpr|notices?|alert|popup|modal|newsletter|subscri\w*|signup|login|comments?|disqus|respon(?:d|ses)|replies|pagination|pager|hidden)",
     re.I,
 )
 #: fixed values: words that mark it outside an article only
-OUTSIDE_WEAK = re.compile(r"(?:^|[\s_-])(?:header|search|form|share|sharing|social|related|recommended|toolbar|widget)(?:$|[\s_-])", re.I)
+OUTSIDE_WEAK = re.compile(r"(?:header|search|form|share|sharing|social|related|recommended|toolbar|widget)", re.I)
+PARTS = re.compile(r"[\s_-]+")
 MARK = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+OPEN = re.compile(r"</?[a-zA-Z]|<!--|<[!?]")
+NAME = re.compile(r"[^\s/>]*")
+STOPS = re.compile(r"[>\"']")
 #: fixed values: frequent function words of the four languages of the corpus
 STOP = frozenset(
     "the of and to in a is that it for was on are as with his they at be this from have or by had not but what all were when we there can an your which their said if do will each about "
@@ -63,6 +67,65 @@ WORD = re.compile(r"\w+")
 SENTENCE = re.compile(r"[.!?:;\u2026]['\")\]\u00bb\u201c\u201d\u2019]*$")
 #: fixed values: elements that hold running text
 RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+
+class Tags:
+    """Tags and comments of a page, in order, in time linear in the page.
+
+    A tag ends at the first ``>`` outside quotes; a ``<`` without such an end is text.  Places from which no end is found are kept, so
+    that no later ``<`` looks on from there again.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {c: page.rfind(c) for c in "\"'>"}
+        self.no_end: set[int] = set()
+        self.looked = self.found = -1  # no stop lies between these places
+
+    def _stop(self, at: int) -> int:
+        """Place of the first ``>`` or quote from ``at``; -1 if there is none."""
+        if self.looked < 0 or not self.looked <= at <= self.found:
+            if at > max(self.last.values()):
+                return -1
+            self.looked, self.found = at, STOPS.search(self.page, at).start()
+        return self.found
+
+    def _end(self, at: int) -> int:
+        """Place of the tag's ``>``; -1 if it has none."""
+        passed = []
+        while (stop := self._stop(at)) >= 0:
+            sign = self.page[stop]
+            if sign == ">":
+                return stop
+            if stop in self.no_end:
+                break
+            passed.append(stop)
+            if stop >= self.last[sign]:
+                break
+            at = self.page.find(sign, stop + 1) + 1
+        self.no_end.update(passed)
+        return -1
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """(start, end, whether it closes, name in lower case, what follows the name) of the next one; comments have no name."""
+        page = self.page
+        while m := OPEN.search(page, at):
+            start = m.start()
+            if m[0] == "<!--":
+                end = page.find("-->", start + 4)
+                return start, len(page) if end < 0 else end + 3, False, "", ""
+            if m[0][1] in "!?":
+                end = page.find(">", start) if start < self.last[">"] else -1
+                if end >= 0:
+                    return start, end + 1, False, "", ""
+            else:
+                name = NAME.match(page, m.end() - 1)
+                end = self._end(name.end())
+                if end >= 0:
+                    return start, end + 1, m[0][1] == "/", name[0].lower(), page[name.end() : end]
+            at = start + 1
+        return None
 
 
 class Block(NamedTuple):
@@ -70,6 +133,7 @@ class Block(NamedTuple):
     links: float  # share of its characters in links
     inside: bool  # inside the marked article
     running: bool  # in an element of running text
+    heading: bool = False
 
 
 def blocks_of(page: str) -> tuple[list[Block], bool]:
@@ -86,7 +150,8 @@ def blocks_of(page: str) -> tuple[list[Block], bool]:
         if pieces:
             text = " ".join("".join(pieces).split())
             if text and not skip:
-                out.append(Block(text, min(linked / len(text), 1.0), inside, bool(stack) and stack[-1][0] in RUNNING))
+                element = stack[-1][0] if stack else ""
+                out.append(Block(text, min(linked / len(text), 1.0), inside, element in RUNNING, element in HEADINGS))
             pieces.clear()
         linked = 0
 
@@ -98,32 +163,38 @@ def blocks_of(page: str) -> tuple[list[Block], bool]:
             if depth_a:
                 linked += len(" ".join(text.split()))
 
+    def pop(k: int) -> None:
+        """Close the elements from the k-th on."""
+        nonlocal skip, inside
+        for element, *_ in stack[k:]:
+            open_[element] -= 1
+        del stack[k:]
+        skip, inside = stack[-1][1:] if stack else (False, False)
+
+    tags, open_ = Tags(page), Counter()
     while True:
-        m = TOKEN.search(page, at)
-        if m is None:
+        tag = tags.next(at)
+        if tag is None:
             say(page[at:])
             break
-        say(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        start, end, closes, name, rest = tag
+        say(page[at:start])
+        at = end
+        if not name:
             continue
-        name = m[2].lower()
-        if m[1]:
+        if closes:
             if name == "a":
                 depth_a = max(depth_a - 1, 0)
             elif name in BLOCK:
                 close_block()
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
-                        skip, inside = stack[-1][1:] if stack else (False, False)
-                        depth_a = 0
-                        break
+                if open_[name]:
+                    pop(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name))
+                    depth_a = 0
             continue
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            if not m[3].rstrip().endswith("/"):
-                at = end.end() if end else len(page)
+            if not rest.rstrip().endswith("/"):
+                over = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+                at = over.end() if over else len(page)
             continue
         if name == "br":
             pieces.append(" ")
@@ -135,14 +206,15 @@ def blocks_of(page: str) -> tuple[list[Block], bool]:
             if name in VOID:
                 continue
             if name in ("p", "li", "dt", "dd", "tr", "td", "th") and stack and stack[-1][0] == name:
-                stack.pop()
-                skip, inside = stack[-1][1:] if stack else (False, False)
-            article = name in ("article", "main") or bool(re.search(r"role\s*=\s*[\"']?main\b", m[3], re.I))
-            words = " ".join(x for g in MARK.findall(m[3]) for x in g if x) if "=" in m[3] else ""
-            barred = name in ASIDE and not (name == "header" and inside) or name not in ("html", "body", "article", "main") and bool(words and (OUTSIDE.search(words) or not inside and OUTSIDE_WEAK.search(words)))
+                pop(len(stack) - 1)
+            article = name in ("article", "main") or bool(re.search(r"role\s*=\s*[\"']?main\b", rest, re.I))
+            words = {w for g in MARK.findall(rest) for x in g for w in PARTS.split(x)} if "=" in rest else ()
+            marks = any(OUTSIDE.fullmatch(w) or not inside and OUTSIDE_WEAK.fullmatch(w) for w in words)
+            barred = name in ASIDE and not (name == "header" and inside) or name not in ("html", "body", "article", "main") and marks
             marked |= article and not skip and not barred
             skip, inside = skip or barred, inside or article
             stack.append((name, skip, inside))
+            open_[name] += 1
     close_block()
     return out, marked
 
@@ -154,7 +226,7 @@ def first_label(block: Block, marked: bool) -> int:
     words = WORD.findall(block.text.lower())
     density = sum(w in STOP for w in words) / max(len(words), 1)
     if block.links > LINKS_MAX:
-        reads = block.inside and (density >= STOP_LOW or bool(SENTENCE.search(block.text)))
+        reads = block.inside and (block.heading or density >= STOP_LOW or bool(SENTENCE.search(block.text)))
         return 0 if reads else -1
     if len(block.text) < SHORT:
         return 0

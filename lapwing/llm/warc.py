@@ -19,9 +19,12 @@ import base64
 import gzip
 import hashlib
 import io
+import re
 import uuid
 from collections.abc import Iterator
+from datetime import UTC, datetime
 from typing import BinaryIO
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +34,7 @@ from . import frames
 
 RECORD_END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-DATE = "2024-01-01T00:00:00Z"
+PRINTABLE = re.compile(r"[\x00-\x1f\x7f]")
 FILE_RECORDS = 2000
 
 HEAD = "record_id string, record_type string, page_id long, url string, payload_digest string, payload_bytes long, refers_to_id string, refers_to_url string, refers_to long"
@@ -46,19 +49,27 @@ def digest(payload: bytes) -> str:
 
 
 def _line(name: str, value) -> str:
-    return "" if value is None else f"{name}: {' '.join(str(value).split())}\r\n"
+    return "" if value is None else f"{name}: {value}\r\n"
 
 
-def render(row: dict) -> str:
+def _address(name: str, value: str | None) -> str:
+    """A line for a url; one with white space or control characters is given once without and once escaped, which the reader takes."""
+    if value is None:
+        return ""
+    plain = " ".join(PRINTABLE.sub(" ", value).split())
+    return _line(name, plain) + (_line(f"X-Escaped-{name}", quote(value, safe="")) if plain != value else "")
+
+
+def render(row: dict, date: str) -> str:
     """A WARC/1.1 record without its closing line ends; a revisit has the HTTP head only."""
     payload = row["payload"] if row["record_type"] == "response" else ""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {row['payload_bytes']}\r\n\r\n"
     size = len(http) + len(payload.encode())
     return (
-        "WARC/1.1\r\n" + _line("WARC-Type", row["record_type"]) + _line("WARC-Record-ID", f"<urn:uuid:{row['record_id']}>") + _line("WARC-Date", DATE)
-        + _line("WARC-Target-URI", row["url"]) + _line("WARC-Payload-Digest", f"sha1:{row['payload_digest']}") + _line("X-Page-Number", row["page_id"])
-        + (_line("WARC-Profile", PROFILE) + _line("WARC-Refers-To", f"<urn:uuid:{row['refers_to_id']}>") + _line("WARC-Refers-To-Target-URI", row["refers_to_url"])
-           + _line("WARC-Refers-To-Date", DATE) + _line("X-Refers-To-Page-Number", row["refers_to"]) if row["record_type"] == "revisit" else "")
+        "WARC/1.1\r\n" + _line("WARC-Type", row["record_type"]) + _line("WARC-Record-ID", f"<urn:uuid:{row['record_id']}>") + _line("WARC-Date", date)
+        + _address("WARC-Target-URI", row["url"]) + _line("WARC-Payload-Digest", f"sha1:{row['payload_digest']}") + _line("X-Page-Number", row["page_id"])
+        + (_line("WARC-Profile", PROFILE) + _line("WARC-Refers-To", f"<urn:uuid:{row['refers_to_id']}>") + _address("WARC-Refers-To-Target-URI", row["refers_to_url"])
+           + _line("WARC-Refers-To-Date", date) + _line("X-Refers-To-Page-Number", row["refers_to"]) if row["record_type"] == "revisit" else "")
         + f"Content-Type: application/http; msgtype=response\r\nContent-Length: {size}\r\n\r\n{http}{payload}"
     )
 
@@ -84,13 +95,14 @@ def parse(archive: BinaryIO, with_payload: bool = True) -> Iterator[tuple[dict,
         at += 1
 
 
-def _render(batch: pa.RecordBatch):
-    yield pa.RecordBatch.from_pydict({"value": [render(r) for r in batch.to_pylist()]})
+def write_archives(records: DataFrame, path: str, date: str | None = None) -> None:
+    """Write records (columns of HEAD, and payload as a string) as gzip-compressed archives, dated ``date`` (WARC's form; now, if not given)."""
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
+    def rendered(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_pydict({"value": [render(r, date) for r in batch.to_pylist()]})
 
-def write_archives(records: DataFrame, path: str) -> None:
-    """Write records (columns of HEAD, and payload as a string) as gzip-compressed archives."""
-    lines = records.mapInArrow(frames.per_step(_render, "payload"), "value string")
+    lines = records.mapInArrow(frames.per_step(rendered, "payload"), "value string")
     lines.write.option("lineSep", RECORD_END).option("compression", "gzip").option("zlib.compress.level", "THREE").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
@@ -105,6 +117,7 @@ def _read(with_payload: bool, verify: bool):
                 stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(raw.as_py())), 1 << 17)
                 for fields, length, payload in parse(stream, with_payload or verify):
                     row = dict.fromkeys(names) | {_FIELDS[k]: v for k, v in fields.items() if k in _FIELDS}
+                    row |= {_FIELDS[k.removeprefix("X-Escaped-")]: unquote(v) for k, v in fields.items() if k.startswith("X-Escaped-")}
                     for k in ("record_id", "refers_to_id"):
                         row[k] = row[k] and row[k].removeprefix("<urn:uuid:").removesuffix(">")
                     row["payload_digest"] = row["payload_digest"].removeprefix("sha1:")
@@ -176,7 +189,7 @@ def archive_pages(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Write ``pages`` as archives, deduplicate those, read the result back: one row per page with
     page_id, url, payload_bytes, payload_digest, record_type, refers_to.
 
-    A null html is an empty payload.  Repeated rows are one response and revisits of it.  Other columns
+    A null html is an empty payload; urls come back as they were, white space and nulls included.  Repeated rows are one response and revisits of it.  Other columns
     are ignored; an empty table gives an empty result.
     """
     spark = pages.sparkSession

@@ -128,3 +128,51 @@ def test_a_changed_payload_is_noticed(spark, tmp_path):
     assert warc.read_archives(spark, str(tmp_path / "a"), verify=False).first().payload == "text"
     with pytest.raises(Exception, match="does not match its digest"):
         warc.read_archives(spark, str(tmp_path / "a")).collect()
+
+
+def test_broken_pages_take_linear_time():
+    import time
+
+    for page in ("<a " * 300_000, "<div></p>" * 100_000, "<a \"" * 100_000, "<a '\"" * 100_000 + ">", "<svg/>" * 100_000, "<!x" * 200_000, "<a " * 200_000 + "\"", "<p class='" + "_nav" * 50_000 + "!'>x", "<div>" * 50_000 + "x" + "</p></div>" * 50_000, "</b" * 200_000):
+        began = time.time()
+        html_extract.main_text(page)
+        assert time.time() - began < 8, page[:20]
+
+
+def test_tags_as_a_slow_reader_finds_them():
+    """Against a pattern that tries every < by itself."""
+    slow = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>", re.S)
+    rng = random.Random(12)
+    for _ in range(3000):
+        page = "".join(rng.choices(["<", "<a", "</p", ">", '"', "'", " ", "x=", "<!--", "-->", "<!d", "é", "/"], k=rng.randrange(1, 40)))
+        tags, at, got, want = html_extract.Tags(page), 0, [], []
+        while tag := tags.next(at):
+            got.append(tag)
+            at = tag[1]
+        for m in slow.finditer(page):
+            if not (m[0].startswith("<!--") and m[2] is None and not m[0].endswith("-->") and m.end() < len(page)):
+                want.append((m.start(), m.end(), bool(m[1]), (m[2] or "").lower(), m[3] or ""))
+        assert got == want, page
+
+
+def test_linked_headings_of_an_article_stay():
+    page = f"<article><h2><a href='x'>Linked heading</a></h2><p>{PROSE}</p><h3><a>Another</a></h3><p>{PROSE}</p></article><h2><a>Outside</a></h2>"
+    assert main_text(page) == f"Linked heading\n{PROSE}\nAnother\n{PROSE}"
+
+
+def test_urls_come_back_as_they_were(spark):
+    urls = ["http://a/x  y", " http://b ", "http://c\td", "e\r\nWARC-Type: revisit", "", None, "http://f/%20%41", "http://g/é\u2028\u00a0x", " ", "\x00\x7f", ": x", "h:  "]
+    pages = spark.createDataFrame([(k, u, "same") for k, u in enumerate(urls)], "page_id long, url string, html string")
+    assert {r.page_id: r.url for r in warc.archive_pages(pages).collect()} == dict(enumerate(urls))
+
+
+def test_dates_are_given_or_now(spark, tmp_path):
+    import gzip
+
+    records = warc.responses(spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string")).persist()
+    said = {}
+    for name, date in (("given", "2020-02-02T02:02:02Z"), ("now", None)):
+        warc.write_archives(records, str(tmp_path / name), date)
+        text = b"".join(gzip.decompress(f.read_bytes()) for f in (tmp_path / name).glob("part-*")).decode()
+        said[name] = re.search(r"WARC-Date: (\S+)", text)[1]
+    assert said["given"] == "2020-02-02T02:02:02Z" and said["now"] > "2024" and said["now"] != said["given"]
