@@ -152,7 +152,7 @@ def balanced_objects(spark, sf_dir):
 
 
 def _peers(spark, sf_dir, k: int, **terms):
-    rows = B.diary(spark, sf_dir).where("lang = 'en'").select("doc_id", "user", "text")
+    rows = B.diary(spark, sf_dir).select("doc_id", "user", "text")
     weights = S.term_weights(rows, "doc_id", "text", **terms)
     queries = rows.where("doc_id % 20 = 0").select("doc_id")
     return rounded(S.nearest_texts(weights, rows.select("doc_id", F.col("user").alias("owner")), "doc_id", queries, k), 6)
@@ -162,7 +162,7 @@ def _peers(spark, sf_dir, k: int, **terms):
 def similar_texts(spark, sf_dir):
     """The ten nearest diary texts of other users, for texts whose number divides by 20 (terms in two
     texts or more, the limit of terms and the number of neighbours are the operator's).  The stop words are
-    English, so the texts are."""
+    English; texts of other languages keep theirs."""
     return _peers(spark, sf_dir, 10)
 
 
