@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as entry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SOME = ["p01_p04_local_times", "w01_p26_consecutive_fixes", "a05_screen_hours", "j04_today_and_yesterday", "a20_receptivity_history", "a25_classification", "r04_similar_days", "m02_flat_matrix", "t03_sessions"]
+SOME = ["p01_p04_local_times", "w01_p26_consecutive_fixes", "a05_screen_hours", "j04_today_and_yesterday", "a20_receptivity_history", "a25_classification", "r04_similar_days", "m02_flat_matrix", "t03_sessions", "a16_motion", "tool_daily_summary", "tool_compare_to_baseline", "x10_log_totals", "a30_usage_histogram", "m13_replay"]
 
 
 @pytest.mark.parametrize("name", SOME)
