@@ -17,6 +17,7 @@ parts the benchmark comes.  Texts are never shuffled.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import reduce
 
@@ -84,13 +85,27 @@ class Index:
         self.vocabulary, self.item, self.weight = vocabulary, item, weight
         self.start = np.searchsorted(term, np.arange(len(vocabulary) + 1))
         self.greatest = np.maximum.reduceat(weight, self.start[:-1]) if len(weight) else np.zeros(0)
+        # lists in blocks of BLOCK postings: of each block the last item and the greatest weight
+        blocks = -(-df // BLOCK)
+        self.block = np.concatenate([[0], np.cumsum(blocks)])
+        head = np.repeat(self.start[:-1], blocks) + (np.arange(blocks.sum()) - np.repeat(self.block[:-1], blocks)) * BLOCK
+        self.block_end = np.append(head[1:], len(weight)) if len(weight) else np.zeros(0, np.int64)
+        self.block_last = item[self.block_end - 1]
+        self.block_most = np.maximum.reduceat(weight, head) if len(weight) else np.zeros(0)
+        self.read = 0
         own = np.bincount(item, weight, len(items))
         self.threshold = retrieve * own
         has = own > 0
         self.lowest = float(self.threshold[has].min()) if has.any() else np.inf
-        # what short lists must give an item at least: its threshold without all that long lists can add
-        self.short = df <= max(2, len(items) // 50)
-        self.needed = np.where(has, self.threshold - np.bincount(item, np.where(self.short[term], 0, weight), len(items)), np.inf)
+        # what short lists must give an item at least: its threshold without all that long lists can add; an item for
+        # which that is nothing has all its postings among those gone through
+        short = df <= max(2, len(items) // 50)
+        needed = self.threshold - np.bincount(item, np.where(short[term], 0, weight), len(items))
+        loose = needed <= 1e-5
+        self.needed = np.where(has, np.where(loose, self.threshold, needed), np.inf)
+        sifted = short[term] | loose[item]
+        self.sieve_item, self.sieve_weight = item[sifted], weight[sifted]
+        self.sieve_start = np.searchsorted(term[sifted], np.arange(len(vocabulary) + 1))
         self.span = 2 * max(64, longest)
         halves = [split_item(t) for _, t in items]
         asked, told = Words([h[0] for h in halves], table=PLAIN), Words([h[1] for h in halves], table=PLAIN)
@@ -110,20 +125,19 @@ class Index:
         """Numbers of the passages in which some item may reach its threshold.  A word in piece b of its text is
         in passages b - 1 and b, as far as there are any; base and count: first passage and number of each text."""
         items = len(self.ids)
-        always = bool((self.needed <= 1e-9).any())
-        if always or not items:  # an item of frequent words only: no passage can be ruled out
-            return np.arange(int(count.sum())) if items else np.zeros(0, np.int64)
-        at = np.flatnonzero((term >= 0) & self.short[np.maximum(term, 0)])
-        size = self.start[term[at] + 1] - self.start[term[at]]
-        entry = np.repeat(self.start[term[at]], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        at = np.flatnonzero(term >= 0)
+        size = self.sieve_start[term[at] + 1] - self.sieve_start[term[at]]
+        entry = np.repeat(self.sieve_start[term[at]], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
         word = np.repeat(at, size)
         keys, weights = [], []
         for back in (0, 1):
             passage = piece[word] - back
             inside = (passage >= 0) & (passage < count[row[word]])
-            keys.append((base[row[word]] + passage)[inside] * items + self.item[entry][inside])
-            weights.append(self.weight[entry][inside])
+            keys.append((base[row[word]] + passage)[inside] * items + self.sieve_item[entry][inside])
+            weights.append(self.sieve_weight[entry][inside])
         key, weight = np.concatenate(keys), np.concatenate(weights)
+        if not len(key):
+            return key
         if int(count.sum()) * items <= 1 << 24:
             total = np.bincount(key, weight, int(count.sum()) * items)
             key = np.flatnonzero(total)
@@ -134,50 +148,57 @@ class Index:
         return np.unique(key[total >= self.needed[key % items] - 1e-6] // items)
 
     def wand(self, terms: list[int]) -> list[tuple[int, float]]:
-        """Items whose score for the distinct ``terms`` reaches their threshold."""
-        n_items, low = len(self.ids), self.lowest - 1e-9
-        lists = []
-        for t in terms:
-            a, b = int(self.start[t]), int(self.start[t + 1])
-            weight = self.weight[a:b]
-            lists.append([self.item[a:b].tolist(), weight.tolist(), [float(weight[k : k + BLOCK].max()) for k in range(0, b - a, BLOCK)], float(self.greatest[t]), 0])
+        """Items whose score for the distinct ``terms`` reaches their threshold.  ``read`` counts the postings looked at."""
+        low = self.lowest - 1e-9
+        # of each list: item it stands at, position, block, block behind its last, greatest weight
+        lists = [[int(self.item[self.start[t]]), int(self.start[t]), int(self.block[t]), int(self.block[t + 1]), float(self.greatest[t])] for t in terms]
+        self.read += len(lists)
         out = []
         while True:
-            lists = [x for x in lists if x[4] < len(x[0])]
-            lists.sort(key=lambda x: x[0][x[4]])
+            lists.sort()
             total, pivot = 0.0, END_MARK
             for k, x in enumerate(lists):
-                total += x[3]
+                total += x[4]
                 if total >= low:
                     pivot = k
                     break
             if pivot == END_MARK:
                 return out
-            item = lists[pivot][0][lists[pivot][4]]
-            while pivot + 1 < len(lists) and lists[pivot + 1][0][lists[pivot + 1][4]] == item:
+            item = lists[pivot][0]
+            while pivot + 1 < len(lists) and lists[pivot + 1][0] == item:
                 pivot += 1
             ahead = lists[: pivot + 1]
-            # block maxima of the blocks in which the pivot item would be
-            bound, reach = 0.0, n_items
+            # block maxima of the blocks in which the pivot item would be; no posting is read for them
+            bound, reach = 0.0, lists[pivot + 1][0] if pivot + 1 < len(lists) else len(self.ids)
             for x in ahead:
-                k = x[4]
-                while (k // BLOCK + 1) * BLOCK <= len(x[0]) - 1 and x[0][min((k // BLOCK + 1) * BLOCK, len(x[0])) - 1] < item:
-                    k = (k // BLOCK + 1) * BLOCK
-                last = x[0][min((k // BLOCK + 1) * BLOCK, len(x[0])) - 1]
-                if last >= item:
-                    bound += x[2][k // BLOCK]
-                    reach = min(reach, last + 1)
-            if pivot + 1 < len(lists):
-                reach = min(reach, lists[pivot + 1][0][lists[pivot + 1][4]])
-            target = item if bound >= low else max(reach, item + 1)
-            if bound >= low and ahead[0][0][ahead[0][4]] == item:
-                score = sum(x[1][x[4]] for x in ahead)
+                x[2] = bisect_left(self.block_last, item, x[2], x[3])
+                if x[2] < x[3]:
+                    bound += float(self.block_most[x[2]])
+                    reach = min(reach, int(self.block_last[x[2]]) + 1)
+            if bound < low:
+                target = max(reach, item + 1)
+            elif bound < self.threshold[item] - 1e-9:
+                target = item + 1
+            elif ahead[0][0] < item:
+                target = item
+            else:
+                score = float(sum(self.weight[x[1]] for x in ahead))
                 if score >= self.threshold[item] - 1e-9:
                     out.append((item, score))
                 target = item + 1
             for x in ahead:
-                while x[4] < len(x[0]) and x[0][x[4]] < target:
-                    x[4] += 1
+                if x[0] < target:
+                    self._seek(x, target)
+            lists = [x for x in lists if x[2] < x[3]]
+
+    def _seek(self, x: list, target: int) -> None:
+        """Set a list to its first posting of an item not before ``target``: over blocks by their last items, then inside one."""
+        x[2] = bisect_left(self.block_last, target, x[2], x[3])
+        if x[2] < x[3]:
+            end = int(self.block_end[x[2]])
+            x[1] = bisect_left(self.item, target, max(x[1], end - BLOCK), end)
+            x[0] = int(self.item[x[1]])
+            self.read += 1
 
     def verify(self, item: int, passage: np.ndarray) -> tuple[float, float]:
         """Shares of the item's question and answer that the passage (word hashes) holds."""

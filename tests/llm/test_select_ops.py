@@ -3,11 +3,13 @@
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lapwing.llm import decontamination, packing, secret_scan
 from lapwing.llm.decontamination import Index
+from lapwing.llm.kernels import PLAIN, Words
 
 SF = "/root/testdata/sf0.01"
 
@@ -58,6 +60,36 @@ def test_wand_returns_all_above_threshold():
         assert {i for i, _ in index.wand(terms)} == want
 
 
+def _items_of_common_and_rare_words(n=10_000):
+    rng = random.Random(6)
+    return [(i, " ".join([f"common{rng.randrange(40)}" for _ in range(10)] + [f"rare{i}x{k}" for k in range(6)])) for i in range(n)]
+
+
+def test_wand_skips_by_blocks():
+    items = _items_of_common_and_rare_words()
+    index = Index(items, 0.6)
+    term = {h: k for k, h in enumerate(index.vocabulary.tolist())}
+    for i in (0, 4321, 9999):
+        terms = sorted({term[h] for h in Words([items[i][1]], table=PLAIN).hash.tolist()})
+        length = sum(int(index.start[t + 1] - index.start[t]) for t in terms)
+        index.read = 0
+        assert [x for x, _ in index.wand(terms)] == [i]
+        assert index.read * 100 < length, (index.read, length)
+
+
+def test_an_item_of_frequent_words_opens_its_own_passages_only():
+    items = _items_of_common_and_rare_words(2000)
+    loose = (5000, "common1 common2 common3 common4")
+    texts = [items[7][1], loose[1] + " and more", "common1 of a kind " + "of no item at all " * 30, "nothing of it"]
+    plain, mixed = Index(items, 0.6), Index([*items, loose], 0.6)
+    hits = lambda index: {(r, index.ids[i]) for r, i in decontamination._hits(index, 0.7, texts)}
+    assert hits(plain) == {(0, 7)} and hits(mixed) == {(0, 7), (1, 5000)}
+    words = Words(texts, table=PLAIN)
+    n = len(texts)
+    opened = mixed.open_passages(mixed.look_up(words.hash), words.doc, np.zeros(words.n, np.int64), np.arange(n), np.ones(n, np.int64))
+    assert opened.tolist() == [0, 1]
+
+
 def test_leak_edges(spark):
     item = "Which of the seven hills did the old king climb first? He climbed the western hill at dawn."
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "x " * 5000 + item.upper() + " y" * 5000), (3, "x " * 5000 + item.upper() + " y" * 5000), (None, item), (4, item[:40])], "doc_id long, text string").withColumn("item_id", F.lit(0)).withColumn("score", F.lit(0))
