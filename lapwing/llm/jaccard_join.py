@@ -11,10 +11,11 @@ A linked pair shares at least l tokens, so a set may leave out stars that stand
 in all, if every set leaves them out in the same order; the largest stars go first.  Passages that very
 many documents hold leave the join here.
 
-What is left goes to *signature trees*, one per star (stars over CELL sets or CELL_BYTES of tokens in
-blocks).  A leaf is a set's bitmap of hashed tokens; a node holds the OR of its members' bitmaps, their
-range of sizes and how many tokens bitmaps hide.  A dual traversal drops pairs of nodes whose greatest
-possible overlap is too small, whose sizes are too far apart, or that lie in one component already.
+What is left goes to *signature trees*, each over many stars (stars over CELL sets or CELL_BYTES of tokens
+in blocks).  A leaf is a set's bitmap of hashed tokens in one star; a node holds the OR of its members' bitmaps,
+their ranges of sizes and stars and how many tokens bitmaps hide.  A dual traversal drops pairs of nodes that
+have no star in common, whose greatest possible overlap is too small, whose sizes are too far apart, or that lie
+in one component already.
 The pairs of sets that remain are compared exactly at once, on the tokens that came along, and only a
 link between two components of the cell goes out: at most members - 1 rows a cell.  Links inside
 blocks come first; stars of several blocks that still hold several components after them then meet
@@ -48,8 +49,6 @@ BUCKET_BYTES = 4_000_000
 #: Sets, and bytes of their tokens, that one block of a star takes at most.
 CELL, CELL_BYTES = 4000, 8_000_000
 LEAF = 8
-#: Cells of at most so many sets are one node: their leaves are compared without a tree.
-SMALL_CELL = 32
 #: Bytes of cells that one group takes together.
 GROUP_BYTES = 2_000_000
 #: A set of n tokens has l = 1 + n // SHARED of them to share in prefixes.
@@ -261,13 +260,15 @@ def bags_of(keyed: DataFrame, shown: DataFrame, nodes: DataFrame, width: int) ->
 
 
 class Tree:
-    """Signature tree of some sets: levels from the leaves' items up, each node over LEAF of the level below."""
+    """Signature tree of some sets, each in one of several cells: levels from the leaves' items up, each node over LEAF
+    of the level below.  Cells are told in the order of their smallest sets, so that nodes over many cells have sets of like sizes."""
 
-    def __init__(self, bits: np.ndarray, size: np.ndarray, comp: np.ndarray):
-        order = np.lexsort((comp, size))
+    def __init__(self, bits: np.ndarray, size: np.ndarray, comp: np.ndarray, cell: np.ndarray | None = None):
+        cell = np.zeros(len(size), np.int64) if cell is None else cell
+        order = np.lexsort((comp, size, cell))
         hidden = size - np.bitwise_count(bits).sum(1).astype(np.int64)
         self.item = order
-        level = {"bits": bits[order], "lo": size[order], "hi": size[order], "hidden": hidden[order], "comp": comp[order], "one": np.ones(len(order), bool)}
+        level = {"bits": bits[order], "lo": size[order], "hi": size[order], "hidden": hidden[order], "comp": comp[order], "one": np.ones(len(order), bool), "from": cell[order], "to": cell[order]}
         self.levels = [level]
         while len(level["lo"]) > 1:
             heads = np.arange(0, len(level["lo"]), LEAF)
@@ -275,13 +276,14 @@ class Tree:
             level = {
                 "bits": np.bitwise_or.reduceat(level["bits"], heads, 0), "lo": np.minimum.reduceat(level["lo"], heads), "hi": np.maximum.reduceat(level["hi"], heads),
                 "hidden": np.maximum.reduceat(level["hidden"], heads), "comp": level["comp"][heads], "one": same & np.logical_and.reduceat(level["one"], heads),
+                "from": np.minimum.reduceat(level["from"], heads), "to": np.maximum.reduceat(level["to"], heads),
             }
             self.levels.append(level)
 
 
 def _possible(p: dict, q: dict, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
     """Which pairs of nodes may hold a link between components."""
-    open_ = ~(p["one"][i] & q["one"][j] & (p["comp"][i] == q["comp"][j]))
+    open_ = (p["from"][i] <= q["to"][j]) & (q["from"][j] <= p["to"][i]) & ~(p["one"][i] & q["one"][j] & (p["comp"][i] == q["comp"][j]))
     lo = np.maximum(p["lo"][i], q["lo"][j])
     open_ &= (100 * np.minimum(p["hi"][i], q["hi"][j]) >= percent * lo) & (p["hi"][i] > 0) & (q["hi"][j] > 0)
     i, j = i[open_], j[open_]
@@ -292,8 +294,9 @@ def _possible(p: dict, q: dict, i: np.ndarray, j: np.ndarray, percent: int) -> n
     return open_
 
 
-def dual_traversal(p: Tree, q: Tree, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Items (i of p, j of q) that no bound rules out; for one tree with itself, i before j."""
+def dual_traversal(p: Tree, q: Tree, percent: int, tally: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Items (i of p, j of q) that no bound rules out; for one tree with itself, i before j.
+    ``tally`` gets (level, pairs of nodes looked at, pairs dropped)."""
     deep = max(len(p.levels), len(q.levels)) - 1
     at = lambda t, k: t.levels[min(k, len(t.levels) - 1)]
     i, j = np.zeros(1, np.int64), np.zeros(1, np.int64)
@@ -302,6 +305,8 @@ def dual_traversal(p: Tree, q: Tree, percent: int) -> tuple[np.ndarray, np.ndarr
         for s in range(0, len(i), 1 << 16):
             part = slice(s, s + (1 << 16))
             keep[part] = _possible(at(p, k), at(q, k), i[part], j[part], percent)
+        if tally is not None:
+            tally.append((k, len(keep), int((~keep).sum())))
         i, j = i[keep], j[keep]
         if k:
             for side, tree in ((0, p), (1, q)):
@@ -321,15 +326,32 @@ def dual_traversal(p: Tree, q: Tree, percent: int) -> tuple[np.ndarray, np.ndarr
     return p.item[i], q.item[j]
 
 
-def bitmaps(bags: list[np.ndarray]) -> np.ndarray:
-    """Bitmaps of sets of tokens by their lowest bits, as wide as the smallest set asks for."""
-    size = min(_bitmap_words(len(x)) for x in bags) * 64
+def bitmaps(bags: list[np.ndarray], words: int | None = None) -> np.ndarray:
+    """Bitmaps of sets of tokens by their lowest bits, of so many 64-bit words, or as wide as the smallest set asks for."""
+    size = (words or min(_bitmap_words(len(x)) for x in bags)) * 64
     bits = np.zeros((len(bags), size), bool)
     for row, tokens in zip(bits, bags):
         row[(tokens & np.uint64(size - 1)).astype(np.int64)] = True
     return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
 
 
+def forest_pairs(bags: list[np.ndarray], comp: np.ndarray, cell: np.ndarray, percent: int, tally: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of sets (i, j) of one cell that no bound rules out; ``bags`` in the order of ``cell`` (whole numbers from 0).
+    One tree takes all cells whose smallest sets ask for bitmaps of the same width."""
+    size = np.array([len(x) for x in bags])
+    least = np.minimum.reduceat(size, np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])))
+    rank = np.empty(len(least), np.int64)
+    rank[np.argsort(least, kind="stable")] = np.arange(len(least))
+    width = np.array([_bitmap_words(int(n)) for n in least])[cell]
+    found = [(np.zeros(0, np.int64),) * 2]
+    for words in np.unique(width).tolist():
+        mine = np.flatnonzero(width == words)
+        tree = Tree(bitmaps([bags[k] for k in mine.tolist()], words), size[mine], comp[mine], rank[cell[mine]])
+        i, j = dual_traversal(tree, tree, percent, tally)
+        found.append((mine[i], mine[j]))
+    return tuple(np.concatenate([f[k] for f in found]) for k in (0, 1))
+
+
 def cell_links(bags: list[np.ndarray], comp: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Links among the pairs (i, j) of sets that join two components, each found by exact comparison; a pair
     whose ends are joined by then is passed over."""
@@ -368,16 +390,11 @@ def _links(percent: int):
         here, there = at(True, i), at(True, j)
         return [(here, here), (here, at(False, i))] if i == j else [(here, there), (here, at(False, j)), (there, at(False, i))]
 
-    def pairs(bags: list, column: dict, at: slice) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of a cell's rows that no bound rules out."""
+    def block_pairs(bags: list, column: dict, at: slice) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a cell between two blocks, or with sets of the next range of sizes, that no bound rules out."""
         size, comp, home, block = (column[k][at] for k in ("n", "comp", "home", "block"))
-        i, j = int(column["i"][at.start]), int(column["j"][at.start])
-        if len(size) <= SMALL_CELL and i == j:
-            x, y = np.triu_indices(len(size), 1)
-            keep = (home[x] | home[y]) & (comp[x] != comp[y]) & (100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y]))
-            return x[keep], y[keep]
         bits, found = bitmaps(bags), []
-        for left, right in meetings(home, block, i, j):
+        for left, right in meetings(home, block, int(column["i"][at.start]), int(column["j"][at.start])):
             if len(left) and len(right):
                 p = Tree(bits[left], size[left], comp[left])
                 q = p if left is right else Tree(bits[right], size[right], comp[right])
@@ -392,15 +409,35 @@ def _links(percent: int):
         column = {k: cells.column(k).to_numpy() for k in (*names, "home", "block", "n", "comp", "cid")}
         fresh = np.ones(cells.num_rows, bool)
         fresh[1:] = np.logical_or.reduce([column[k][1:] != column[k][:-1] for k in names])
-        heads = np.flatnonzero(fresh).tolist()
+        heads, cell = np.flatnonzero(fresh), np.cumsum(fresh) - 1
+        stop = np.append(heads[1:], cells.num_rows)
+        whole = np.logical_and.reduceat(column["home"] & (column["i"] == column["j"]), heads)
         a, b = [], []
-        for at in map(slice, heads, [*heads[1:], cells.num_rows]):
+
+        def compare(bags: list, rows: np.ndarray, i: np.ndarray, j: np.ndarray):
+            for x, y in cell_links(bags, column["comp"][rows], i, j, percent) if len(i) else ():
+                a.append(column["cid"][rows[x]])
+                b.append(column["cid"][rows[y]])
+
+        # cells that are a star or a block of one, many in a tree
+        rows = np.flatnonzero((whole & (stop - heads > 1))[cell])
+        if len(rows):
+            bags = [_from48(x.as_py()) for x in cells.column("tokens").take(rows)]
+            mine = np.unique(cell[rows], return_inverse=True)[1]
+            i, j = forest_pairs(bags, column["comp"][rows], mine, percent)
+            order = np.argsort(mine[i], kind="stable")
+            i, j = i[order], j[order]
+            cuts = np.flatnonzero(np.diff(mine[i])) + 1
+            first = np.searchsorted(mine, np.arange(mine[-1] + 2))
+            for x, y in zip(np.split(i, cuts), np.split(j, cuts)):
+                if len(x):
+                    lo, hi = first[mine[x[0]]], first[mine[x[0]] + 1]
+                    compare(bags[lo:hi], rows[lo:hi], x - lo, y - lo)
+        # and cells that are two blocks, or two ranges of sizes
+        for at in map(slice, heads[~whole].tolist(), stop[~whole].tolist()):
             if at.stop - at.start > 1:
                 bags = [_from48(x.as_py()) for x in cells.column("tokens")[at]]
-                i, j = pairs(bags, column, at)
-                for x, y in cell_links(bags, column["comp"][at], i, j, percent) if len(i) else ():
-                    a.append(column["cid"][at.start + x])
-                    b.append(column["cid"][at.start + y])
+                compare(bags, np.arange(at.start, at.stop), *block_pairs(bags, column, at))
         return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return work

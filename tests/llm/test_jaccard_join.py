@@ -98,6 +98,49 @@ def test_trees_find_what_all_pairs_find():
     assert len(half) == 75
 
 
+def cells_equal_all_pairs(bags, cell):
+    """The pairs that trees leave hold all links inside cells, and no pair of two cells; (in-cell pairs, pairs left, the tally)."""
+    tally = []
+    i, j = jj.forest_pairs(bags, np.arange(len(bags)), cell, 75, tally)
+    left = {tuple(sorted(x)) for x in zip(i.tolist(), j.tolist())}
+    assert len(left) == len(i) and all(cell[a] == cell[b] for a, b in left)
+    inside = [(a, b) for a in range(len(bags)) for b in range(a + 1, len(bags)) if cell[a] == cell[b]]
+    for a, b in inside:
+        both = len(np.intersect1d(bags[a], bags[b]))
+        assert (a, b) in left or 100 * both < 75 * (len(bags[a]) + len(bags[b]) - both)
+    return len(inside), len(left), tally
+
+
+def test_one_tree_prunes_across_many_small_cells():
+    rng = random.Random(9)
+    bags, cell = [], []
+    for c in range(200):
+        n = rng.choice((30, 60, 120, 400))
+        for t in near_misses(rng, n, rng.choice((2, 3, 5, 12)), rng.choice((0.01, 0.1))):
+            bags.append(jj.token_sets([t], 5)[1])
+            cell.append(c)
+    inside, left, tally = cells_equal_all_pairs(bags, np.array(cell))
+    # pairs are dropped at inner nodes too, and what is looked at stays far below all pairs of the sets
+    assert left < inside / 2 and sum(d for k, _, d in tally if k) > 0
+    assert sum(n for _, n, _ in tally) < len(bags) * 40
+
+
+def test_trees_work_on_the_given_documents(spark, sf_dir, monkeypatch):
+    seen, found = [], jj._found
+
+    def kept(cells, bags, percent):
+        rows = cells.join(bags.dropDuplicates(["cid"]), "cid").orderBy("star", "i", "cid").collect()
+        seen.append(([jj._from48(bytes(r.tokens)) for r in rows], np.unique([f"{r.star} {r.i}" for r in rows], return_inverse=True)[1]))
+        return found(cells, bags, percent)
+
+    monkeypatch.setattr(jj, "_found", kept)
+    jj.linked_sets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    bags, cell = seen[0]
+    order = np.argsort(cell, kind="stable")
+    _, left, tally = cells_equal_all_pairs([bags[k] for k in order.tolist()], cell[order])
+    assert left and sum(d for k, _, d in tally if k) > 0
+
+
 def near_misses(rng, n, copies, share):
     """Copies of one text in which each word is its own with a given share, so that many pairs are just too far apart."""
     base = [f"b{i}" for i in range(n)]
