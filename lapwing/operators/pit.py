@@ -93,38 +93,65 @@ def history(prompts: DataFrame, days: int = 14) -> DataFrame:
     return rows.select("prompt_id", "n", "rate", at.alias("rate_tod"))
 
 
+def earlier_sums(rows: DataFrame, key: str, order: list[str], piece: Column, sums: dict[str, Column]) -> DataFrame:
+    """``rows`` and, by name, each of ``sums`` over the key's rows strictly before each row in ``order``: 0 where there are none.
+
+    ``piece`` cuts a key's past into pieces and rises with the order.  Sums before a row are those of earlier pieces, from one row a
+    piece, and those inside its own; so a key with very many rows is as many tasks' work as it has pieces.
+    """
+    spread = rows.select("*", piece.alias("_piece"), *(F.coalesce(c.cast("double"), F.lit(0.0)).alias(f"_of_{name}") for name, c in sums.items())).repartition(key, "_piece")
+    pieces = spread.groupBy(key, "_piece").agg(*(F.sum(f"_of_{name}").alias(f"_to_{name}") for name in sums))
+    past = Window.partitionBy(key).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.select(F.col(key).alias("_key"), F.col("_piece").alias("_at"), *(F.sum(f"_to_{name}").over(past).alias(f"_to_{name}") for name in sums))
+    own = Window.partitionBy(key, "_piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    within = spread.select("*", *(F.sum(f"_of_{name}").over(own).alias(f"_in_{name}") for name in sums))
+    met = within.join(pieces, F.col(key).eqNullSafe(F.col("_key")) & F.col("_piece").eqNullSafe(F.col("_at")))
+    zero = F.lit(0.0)
+    return met.select(*rows.columns, *((F.coalesce(f"_to_{name}", zero) + F.coalesce(f"_in_{name}", zero)).alias(name) for name in sums))
+
+
 def profile(prompts: DataFrame) -> DataFrame:
-    """For each prompt, the user's shares and base rate over all earlier prompts (the rate needs three)."""
-    w = Window.partitionBy("user_id").orderBy("ms", "prompt_id").rowsBetween(Window.unboundedPreceding, -1)
-    share = lambda c: F.avg(c.cast("double")).over(w)
-    n = F.count("*").over(w)
-    return prompts.select(
-        "prompt_id", n.alias("n"), share((F.col("desire") >= 5) & (F.col("available") == "yes")).alias("receptive"), share(F.col("desire") >= 5).alias("desire_share"),
-        share(F.col("available") == "yes").alias("available_share"), F.when(n >= 3, share(F.col("state"))).alias("state_rate"),
-        F.when(n >= 3, F.avg(F.when(F.floor(F.pmod(F.floor(F.col("ms") / T.HOUR_MS), F.lit(24))) < 12, F.col("state").cast("double"))).over(w)).alias("morning_rate"),
-    )
+    """For each prompt, the user's shares and base rate over all earlier prompts (the rate needs three).  A user's past
+    is cut by days."""
+    wish, ready = F.col("desire") >= 5, F.col("available") == "yes"
+    morning = F.when(F.floor(F.pmod(F.floor(F.col("ms") / T.HOUR_MS), F.lit(24))) < 12, F.col("state"))
+    sums = {"n": F.lit(1)}
+    for name, c in (("receptive", wish & ready), ("desire_share", wish), ("available_share", ready), ("state_rate", F.col("state")), ("morning_rate", morning)):
+        sums |= {f"_yes_{name}": c, f"_all_{name}": c.isNotNull()}
+    rows = earlier_sums(prompts.select("prompt_id", "user_id", "ms", "desire", "available", "state"), "user_id", ["ms", "prompt_id"], T.day_of(F.col("ms")), sums)
+    share = lambda name: F.when(F.col(f"_all_{name}") > 0, F.col(f"_yes_{name}") / F.col(f"_all_{name}"))
+    rate = lambda name: F.when(F.col("n") >= 3, share(name)).alias(name)
+    return rows.select("prompt_id", F.col("n").cast("long").alias("n"), *(share(x).alias(x) for x in ("receptive", "desire_share", "available_share")), rate("state_rate"), rate("morning_rate"))
 
 
 def profile_details(prompts: DataFrame) -> DataFrame:
     """For each prompt, from the user's earlier prompts: n, the split of those without an intervention taken (no_desire of them, and
     unavailable), receptive share and number in each slot of the day (from three), and the first two diaries when receptive and when
     not (from five diaries and two of the kind).  prompts: prompt_id, user_id, ms, desire, available, diary; a null desire is none.
+    A user's past is cut by days.
     """
-    w = Window.partitionBy("user_id").orderBy("ms", "prompt_id").rowsBetween(Window.unboundedPreceding, -1)
+    slots, kinds = ("morning", "afternoon", "evening"), ("receptive", "other")
     wish = F.coalesce(F.col("desire") >= 5, F.lit(False))
     taken = wish & F.coalesce(F.lower(F.trim("available")) == "yes", F.lit(False))
-    rows = prompts.select("*", wish.alias("_wish"), taken.alias("_taken"), T.prompt_slot(T.clock_hour(F.col("ms"))).alias("_slot"))
-    not_taken = F.count_if(~F.col("_taken")).over(w)
-    no_wish = F.when(not_taken > 0, F.count_if(~F.col("_wish")).over(w) / not_taken)
-    out = [F.count("*").over(w).alias("n"), no_wish.alias("no_desire"), (1 - no_wish).alias("unavailable")]
-    for slot in ("morning", "afternoon", "evening"):
-        mine = F.col("_slot") == slot
-        n = F.count_if(mine).over(w)
-        out += [n.alias(f"{slot}_n"), F.when(n >= 3, F.avg(F.when(mine, F.col("_taken").cast("double"))).over(w)).alias(f"{slot}_rate")]
-    for name, kind in (("receptive", F.col("_taken")), ("other", ~F.col("_taken"))):
-        told = F.when(kind, F.col("diary"))
-        enough = (F.count("diary").over(w) >= 5) & (F.count(told).over(w) >= 2)
-        out += [F.when(enough, F.nth_value(told, k, True).over(w)).alias(f"{name}_diary_{k}") for k in (1, 2)]
+    slot = T.prompt_slot(T.clock_hour(F.col("ms")))
+    told = {"receptive": F.when(taken, F.col("diary")), "other": F.when(~taken, F.col("diary"))}
+    sums = {"n": F.lit(1), "_not_taken": ~taken, "_no_wish": ~wish, "_diaries": F.col("diary").isNotNull()} | {f"_{k}": told[k].isNotNull() for k in kinds}
+    for s in slots:
+        sums |= {f"_{s}": slot == s, f"_{s}_taken": (slot == s) & taken}
+    kept = prompts.select("prompt_id", "user_id", "ms", "desire", "available", "diary")
+    rows = earlier_sums(kept, "user_id", ["ms", "prompt_id"], T.day_of(F.col("ms")), sums)
+    # a diary with none, or one, of its kind before it is the user's first, or second
+    first = {f"{k}_diary_{i + 1}": F.max(F.when(F.col(f"_{k}") == i, told[k])) for k in kinds for i in (0, 1)}
+    opening = rows.where("diary is not null and (_receptive < 2 or _other < 2)").groupBy(F.col("user_id").alias("_user")).agg(*(c.alias(f"_{name}") for name, c in first.items()))
+    rows = rows.join(opening, F.col("user_id").eqNullSafe(F.col("_user")), "left")
+    no_wish = F.when(F.col("_not_taken") > 0, F.col("_no_wish") / F.col("_not_taken"))
+    out = [F.col("n").cast("long").alias("n"), no_wish.alias("no_desire"), (1 - no_wish).alias("unavailable")]
+    for s in slots:
+        n = F.col(f"_{s}")
+        out += [n.cast("long").alias(f"{s}_n"), F.when(n >= 3, F.col(f"_{s}_taken") / n).alias(f"{s}_rate")]
+    for k in kinds:
+        enough = (F.col("_diaries") >= 5) & (F.col(f"_{k}") >= 2)
+        out += [F.when(enough, F.col(f"_{k}_diary_{i}")).alias(f"{k}_diary_{i}") for i in (1, 2)]
     return rows.select("prompt_id", *out)
 
 

@@ -177,3 +177,25 @@ def test_narratives(spark):
     told = [(1, 1, day + 5, 0, "own"), (1, 1, None, 1, "daily"), (1, 1, None, 0, "first"), (2, 1, None, 0, " "), (1, 1, day + 7, 0, ""), (1, 1, day + 7, 1, "late")]
     narratives = spark.createDataFrame(told, "user_id int, day long, ms long, tie int, narrative string")
     assert rows(P.narratives_for(prompts, narratives), "prompt_id") == [(1, "own"), (2, "first"), (3, None), (4, None), (5, None)]
+
+
+def test_a_busy_user_s_past_is_many_tasks(spark):
+    made = [(i, None if i % 50 == 49 else i % 3 // 2, None if i % 97 == 5 else i * 1_700_000, i % 8, ("yes", "no", None)[i % 3], i % 5 == 0, f"d{i}" if i % 4 else None) for i in range(1500)]
+    prompts = spark.createDataFrame(made, "prompt_id long, user_id long, ms long, desire int, available string, state boolean, diary string").repartition(5)
+    past, got, want = {}, {r.prompt_id: r for r in P.profile(prompts).collect()}, {}
+    details = {r.prompt_id: r for r in P.profile_details(prompts).collect()}
+    assert len(got) == len(details) == len(made)
+    for row in sorted(made, key=lambda r: (r[2] is not None, r[2] or 0, r[0])):
+        seen = past.setdefault(row[1], [])
+        yes = [x[3] >= 5 and x[4] == "yes" for x in seen if x[3] < 5 or x[4] is not None]
+        states = [x[5] for x in seen]
+        assert got[row[0]].n == details[row[0]].n == len(seen)
+        assert got[row[0]].receptive == (sum(yes) / len(yes) if yes else None)
+        assert got[row[0]].state_rate == (sum(states) / len(states) if len(seen) >= 3 else None)
+        other = [x[6] for x in seen if x[6] and not (x[3] >= 5 and x[4] == "yes")]
+        enough = sum(x[6] is not None for x in seen) >= 5 and len(other) >= 2
+        assert (details[row[0]].other_diary_1, details[row[0]].other_diary_2) == (tuple(other[:2]) if enough else (None, None))
+        seen.append(row)
+    plan = P.profile(prompts)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(user_id#" in plan and "_piece#" in plan
+    assert P.profile(prompts.limit(0)).count() == 0 and P.profile_details(prompts.limit(0)).count() == 0
