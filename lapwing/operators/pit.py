@@ -46,27 +46,75 @@ def before_and_yesterday(prompts: DataFrame, bins: DataFrame, sums: list[str]) -
     return prompts.select("prompt_id", "user_id").join(sums_, "prompt_id", "left")
 
 
-def personal_baseline(prompts: DataFrame, bins: DataFrame, value: str, floor: float = 1e-6) -> DataFrame:
+def _moments(x: Column, of=lambda a: a) -> dict[str, Column]:
+    """Number, mean, sum of squared deviations, least and greatest of ``x``; ``of`` says over what."""
+    n = of(F.count(x))
+    return {"n": n, "mean": of(F.avg(x)), "m2": of(F.var_pop(x)) * n, "lo": of(F.min(x)), "hi": of(F.max(x))}
+
+
+def _earlier_moments(pieces: DataFrame, keys: list[str]) -> DataFrame:
+    """``pieces`` (keys, _piece, of_<moment>) with to_<moment>, those of all earlier pieces of the key together.
+
+    Means are held against the mean of the key's pieces, so that little is lost where they are far from zero."""
+    key = Window.partitionBy(*keys)
+    past = key.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    rows = pieces.withColumn("_mid", F.avg("of_mean").over(key))
+    off = F.col("of_mean") - F.col("_mid")
+    n, first, second = (F.coalesce(F.sum(c).over(past), F.lit(0)) for c in (F.col("of_n"), F.col("of_n") * off, F.col("of_m2") + F.col("of_n") * off * off))
+    rows = rows.select("*", n.alias("to_n"), first.alias("_first"), second.alias("_second"), F.min("of_lo").over(past).alias("to_lo"), F.max("of_hi").over(past).alias("to_hi"))
+    share = F.when(F.col("to_n") > 0, F.col("_first") / F.col("to_n"))
+    return rows.select("*", (F.col("_mid") + share).alias("to_mean"), F.greatest(F.col("_second") - F.col("_first") * share, F.lit(0.0)).alias("to_m2")).drop("_mid", "_first", "_second")
+
+
+def _merged(a: str, b: str) -> dict[str, Column]:
+    """Moments ``a``_* and ``b``_* together; equal values deviate by nothing."""
+    at = lambda side, name: F.col(f"{side}_{name}")
+    na, nb = F.coalesce(at(a, "n"), F.lit(0)), F.coalesce(at(b, "n"), F.lit(0))
+    n, apart = na + nb, at(b, "mean") - at(a, "mean")
+    lo, hi = F.least(at(a, "lo"), at(b, "lo")), F.greatest(at(a, "hi"), at(b, "hi"))
+    mean = F.when(na == 0, at(b, "mean")).when(nb == 0, at(a, "mean")).otherwise(at(a, "mean") + apart * nb / n)
+    m2 = F.when(na == 0, at(b, "m2")).when(nb == 0, at(a, "m2")).otherwise(at(a, "m2") + at(b, "m2") + apart * apart * na * nb / n)
+    return {"n": n, "mean": F.when(lo == hi, lo).otherwise(mean), "m2": F.when(lo == hi, 0.0).otherwise(m2)}
+
+
+WEEK = 7 * 86400
+
+
+def personal_baseline(prompts: DataFrame, bins: DataFrame, value: str, floor: float = 1e-6, piece_days: int = 32) -> DataFrame:
     """For each prompt: n, mean and sample deviation (0 of one) of the user's bins at the same time of day
     that have ended, the z of the prompt's own ``value``, and the mean of the week before the newest bin seen.
 
-    Bins and prompts go through one window in the order of time; prompts carry no value, so that the
-    aggregates skip them.  No pair of prompt and bin is ever made.
+    Bins and prompts go through windows in the order of time, so that no pair of prompt and bin is made.  A user's past is
+    cut into pieces of ``piece_days`` days (seven at least): a window holds one piece and the week before it, and what is known
+    of earlier pieces is one row of moments a piece, so a user with very many bins is many tasks' work.
     """
-    tod = T.time_of_day
-    rows = bins.select("user_id", tod(F.pmod("hour", F.lit(24))).alias("tod"), (F.col("hour") * 3600).alias("s"), F.col(value).alias("x"), F.lit(None).cast("long").alias("prompt_id"), F.lit(None).cast("double").alias("now"))
-    asks = prompts.select("user_id", tod(T.clock_hour(F.col("ms"))).alias("tod"), F.floor(F.col("ms") / 1000).cast("long").alias("s"), F.lit(None).cast("double").alias("x"), "prompt_id", F.col("value").alias("now"))
-    w = Window.partitionBy("user_id", "tod").orderBy("s")
-    past = w.rangeBetween(Window.unboundedPreceding, -3600)
-    both = rows.unionByName(asks)
-    seen = F.max(F.when(F.col("x").isNotNull(), F.col("s"))).over(past)
-    both = both.withColumn("n", F.count("x").over(past)).withColumn("mean", F.avg("x").over(past)).withColumn("sd", F.coalesce(F.stddev_samp("x").over(past), F.lit(0.0))).withColumn("seen", seen)
-    # the week ends at the newest bin that a prompt sees: a bin's own week is computed at the bin and fetched from there
-    week = F.avg("x").over(w.rangeBetween(-7 * 86400 + 1, 0))
-    both = both.withColumn("week", F.when(F.col("x").isNotNull(), week))
-    both = both.withColumn("week", F.last("week", True).over(past)).where("prompt_id is not null")
-    z = F.when(F.col("n") > 0, (F.col("now") - F.col("mean")) / F.greatest("sd", F.lit(floor)))
-    return both.select("prompt_id", "user_id", "n", "mean", F.when(F.col("n") > 0, F.col("sd")).alias("sd"), z.alias("z"), F.col("week").alias("week_mean"))
+    if piece_days < 7:
+        raise ValueError("a piece has seven days at least")
+    tod, span = T.time_of_day, piece_days * 86400
+    at = F.col("hour") * 3600
+    piece = lambda t: F.floor(t / span).cast("long")
+    rows = bins.select("user_id", tod(F.pmod("hour", F.lit(24))).alias("tod"), at.alias("t"), F.col(value).cast("double").alias("x"), F.lit(None).cast("long").alias("prompt_id"), F.lit(None).cast("double").alias("now"), F.explode(F.sequence(piece(at), piece(at + WEEK - 1))).alias("_piece"))
+    # a prompt sees the bins that began an hour before it or earlier
+    asked = F.floor(F.col("ms") / 1000).cast("long") - 3600
+    asks = prompts.select("user_id", tod(T.clock_hour(F.col("ms"))).alias("tod"), asked.alias("t"), F.lit(None).cast("double").alias("x"), "prompt_id", F.col("value").alias("now"), piece(asked).alias("_piece"))
+    keys = ["user_id", "tod"]
+    spread = rows.unionByName(asks).repartition(*keys, "_piece")
+    own = F.when(piece(F.col("t")) == F.col("_piece"), F.col("x"))  # not what is there for the week alone
+    w = Window.partitionBy(*keys, "_piece").orderBy("t")
+    spread = spread.withColumn("week", F.when(own.isNotNull(), F.avg("x").over(w.rangeBetween(-WEEK + 1, 0)))).withColumn("x", own)
+    newest = F.when(F.col("x").isNotNull(), F.col("t"))
+    pieces = spread.groupBy(*keys, "_piece").agg(*(c.alias(f"of_{k}") for k, c in _moments(F.col("x")).items()), F.max_by("week", newest).alias("of_week"))
+    past = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = _earlier_moments(pieces, keys).withColumn("to_week", F.last("of_week", True).over(past))
+    pieces = pieces.select(F.col("user_id").alias("_user"), F.col("tod").alias("_tod"), F.col("_piece").alias("_at"), *(f"to_{k}" for k in ("n", "mean", "m2", "lo", "hi", "week")))
+    so_far = w.rangeBetween(Window.unboundedPreceding, 0)
+    within = spread.select("*", *(c.alias(f"in_{k}") for k, c in _moments(F.col("x"), lambda a: a.over(so_far)).items()), F.last("week", True).over(so_far).alias("in_week")).where("prompt_id is not null")
+    both = within.join(pieces, F.col("user_id").eqNullSafe(F.col("_user")) & F.col("tod").eqNullSafe(F.col("_tod")) & F.col("_piece").eqNullSafe(F.col("_at")))
+    m = _merged("to", "in")
+    both = both.select("prompt_id", "user_id", "now", m["n"].alias("n"), m["mean"].alias("mean"), m["m2"].alias("m2"), F.coalesce("in_week", "to_week").alias("week_mean"))
+    sd = F.when(F.col("n") > 1, F.sqrt(F.col("m2") / (F.col("n") - 1))).otherwise(0.0)
+    z = F.when(F.col("n") > 0, (F.col("now") - F.col("mean")) / F.greatest(sd, F.lit(floor)))
+    return both.select("prompt_id", "user_id", "n", "mean", F.when(F.col("n") > 0, sd).alias("sd"), z.alias("z"), "week_mean")
 
 
 def daily_baseline(days: DataFrame, value: str, span: int = 30, least: int = 3) -> DataFrame:
@@ -171,20 +219,38 @@ def replayed(context: DataFrame, scorer, adds: str, outcomes: DataFrame) -> Data
 
 def running_personal(prompts: DataFrame, folds: int = 5) -> DataFrame:
     """Deviation from the user's own past (three rows at least, else from all rows of the other folds, which are
-    the training rows where this fold is the test), and rates of the last ten."""
-    order = Window.partitionBy("user_id").orderBy("ms", "prompt_id")
-    past, ten = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(-10, -1)
-    x = F.col("value")
+    the training rows where this fold is the test), and rates of the last ten.
+
+    A user's past is cut by days: windows hold one user's day, earlier days are a row of moments and the last ten rows each.
+    """
     train = prompts.select("fold", "value").withColumn("_test", F.explode(F.sequence(F.lit(1), F.lit(folds)))).where(F.col("fold") != F.col("_test"))
     people = train.groupBy("_test").agg(F.avg("value").alias("_mean"), F.stddev_pop("value").alias("_sd"))
-    rows = prompts.join(F.broadcast(people), F.col("fold") == F.col("_test"), "left")  # one row a fold
-    n = F.count("*").over(past)
-    z = F.when(n >= 3, (x - F.avg(x).over(past)) / (F.stddev_pop(x).over(past) + 1e-8)).otherwise((x - F.col("_mean")) / (F.col("_sd") + 1e-8))
-    rate = lambda c: F.coalesce(F.avg(c.cast("double")).over(ten), F.lit(0.0))
-    return rows.select(
-        "prompt_id", z.alias("deviation"), F.least(n / 20, F.lit(1.0)).alias("volume"), rate(F.col("desire") >= 5).alias("desire_rate"), rate(F.col("available") == "yes").alias("available_rate"),
-        rate((F.col("desire") >= 5) & (F.col("available") == "yes")).alias("joint_rate"),
-    )
+    wish, ready = F.col("desire") >= 5, F.col("available") == "yes"
+    said = F.struct(*(c.cast("double").alias(k) for k, c in (("desire", wish), ("available", ready), ("joint", wish & ready))))
+    rows = prompts.select("prompt_id", "user_id", "ms", "fold", F.col("value").cast("double").alias("value"), said.alias("said"), T.day_of(F.col("ms")).alias("_piece")).repartition("user_id", "_piece")
+    order = Window.partitionBy("user_id", "_piece").orderBy("ms", "prompt_id")
+    rows = rows.withColumn("ten", F.collect_list("said").over(order.rowsBetween(-10, -1)))
+    upto = F.concat("ten", F.array("said"))
+    pieces = rows.groupBy("user_id", "_piece").agg(*(c.alias(f"of_{k}") for k, c in _moments(F.col("value")).items()), F.count("*").alias("of_rows"), F.max_by(upto, F.struct("ms", "prompt_id")).alias("of_ten"))
+    by_day = Window.partitionBy("user_id").orderBy("_piece")
+    past = by_day.rowsBetween(Window.unboundedPreceding, -1)
+    # a day has a row at least, so ten days hold the last ten
+    pieces = _earlier_moments(pieces, ["user_id"]).withColumn("to_rows", F.coalesce(F.sum("of_rows").over(past), F.lit(0))).withColumn("to_ten", F.flatten(F.collect_list("of_ten").over(by_day.rowsBetween(-10, -1))))
+    pieces = pieces.select(F.col("user_id").alias("_user"), F.col("_piece").alias("_at"), *(f"to_{k}" for k in ("n", "mean", "m2", "lo", "hi", "rows", "ten")))
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    within = rows.select("*", *(c.alias(f"in_{k}") for k, c in _moments(F.col("value"), lambda a: a.over(before)).items()), F.count("*").over(before).alias("in_rows"))
+    met = within.join(pieces, F.col("user_id").eqNullSafe(F.col("_user")) & F.col("_piece").eqNullSafe(F.col("_at")))
+    met = met.join(F.broadcast(people), F.col("fold") == F.col("_test"), "left")  # one row a fold
+    m, all_ten = _merged("to", "in"), F.concat("to_ten", "ten")
+    x, n = F.col("value"), F.col("in_rows") + F.col("to_rows")
+    met = met.select("prompt_id", "value", "_mean", "_sd", n.alias("rows"), m["mean"].alias("own"), F.sqrt(m["m2"] / m["n"]).alias("own_sd"), F.slice(all_ten, F.greatest(F.size(all_ten) - 9, F.lit(1)), F.lit(10)).alias("ten"))
+    z = F.when(F.col("rows") >= 3, (x - F.col("own")) / (F.col("own_sd") + 1e-8)).otherwise((x - F.col("_mean")) / (F.col("_sd") + 1e-8))
+
+    def rate(name: str) -> Column:
+        known = F.filter(F.transform("ten", lambda s: s[name]), lambda v: v.isNotNull())
+        return F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda a, v: a + v) / F.size(known)).otherwise(0.0).alias(f"{name}_rate")
+
+    return met.select("prompt_id", z.alias("deviation"), F.least(F.col("rows") / 20, F.lit(1.0)).alias("volume"), rate("desire"), rate("available"), rate("joint"))
 
 
 def last_of_day(prompts: DataFrame, columns: list[str]) -> DataFrame:
