@@ -1,7 +1,8 @@
 """Secret scans: regular expressions find candidates, a random forest removes false positives.
 
 All of it is DataFrame and SQL functions.  A candidate is a token after a key name and an assignment, a
-long token with digits, or a private key from its BEGIN to its END line.  Its features are its length,
+long token with digits, or a private key from its BEGIN to its END line; values of fewer than eight characters are
+no candidates, whatever stands before them.  Its features are its length,
 counts and changes of character classes, how likely its letters follow one another, its coverage by
 dictionary words, words of the path it was found in, and the words before and after it.  Dictionary and
 letter transitions are counted over all documents (``learn_lexicon``).  The forest is MLlib's, trained on
@@ -95,6 +96,11 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def _folded(values: list[str], kind: str = "array<string>") -> Column:
+    """An array that the optimizer makes one constant of, in place of a literal for each element."""
+    return F.split(F.lit("|".join(values)), r"\|").cast(kind)
+
+
 def _listed(xs: Column, start: dict[str, Column], none: Column, step: Callable[[Column, Column], Column]) -> Column:
     """Array that ``step`` appends to, going through ``xs``: a step gets and returns struct<fields of start, out>.  A list
     that grows is copied at every step, so it grows in parts of RUN steps that are put together at the end."""
@@ -138,11 +144,35 @@ def candidates(text: Column) -> Column:
     """array<struct<token, at, byte, before, after>> of a text's candidates, one for each place; ``at`` counts characters
     from 1, and ``byte`` bytes."""
 
-    def both(assigned: Column) -> Column:
-        new = lambda c: ~F.exists(assigned, lambda a: (a["at"] == c["at"]) & (a["token"] == c["token"]))
-        return F.concat(assigned, F.filter(_matches(text, LONG, lambda m: m), new))
+    def placed(found: Column, kind: int) -> Column:
+        return F.transform(found, lambda c: F.struct(c["at"].alias("at"), c["token"].alias("token"), F.lit(kind).alias("kind"), c.alias("c")))
+
+    def once(found: Column) -> Column:  # in order of place; of the same token at the same place the first, which is the assigned one
+        same = lambda x, y: (x["at"] == y["at"]) & (x["token"] == y["token"])
+        return F.transform(F.filter(found, lambda x, i: (i == 0) | ~same(x, F.get(found, i - 1))), lambda x: x["c"])
 
-    return _let(_matches(text, ASSIGNED, lambda m: F.regexp_extract(m, ASSIGNED, 1)), both)
+    assigned, long = _matches(text, ASSIGNED, lambda m: F.regexp_extract(m, ASSIGNED, 1)), _matches(text, LONG, lambda m: m)
+    return _let(F.sort_array(F.concat(placed(assigned, 0), placed(long, 1))), once)
+
+
+def candidate_table(docs: DataFrame, path: str = "source") -> DataFrame:
+    """(doc_id, path, words, found): each row's candidates and, where a text is longer than 60 characters, a few of its first
+    words, written to the shared folder: one pass over the texts for ``labelled_findings`` and ``scan``."""
+    text, where = F.coalesce(F.col("text"), F.lit("")), F.col(path).cast("string") if path in docs.columns else F.lit(None).cast("string")
+    # words for decoys: the first few of documents, which is all that is kept of them
+    first = F.filter(F.transform(F.slice(F.split(F.substring("text", 1, 400), " "), 2, 6), lambda w: F.lower(F.regexp_replace(w, "[^A-Za-z]", ""))), lambda w: w != "")
+    return frames.materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), where.alias("path"), F.when(F.length("text") > 60, first).alias("words"), candidates(text).alias("found")), "candidates")
+
+
+def _by_token(found: Column) -> Column:
+    """array<struct<token, places>>: candidates put together by token, places in order; candidates have token and at as first fields."""
+
+    def runs(c: Column) -> Column:
+        n = F.size(c)
+        starts = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: (i < n) & ((i == 0) | (F.get(c, i)["token"] != F.get(c, F.greatest(i - 1, F.lit(0)))["token"])))
+        return _let(starts, lambda s: F.transform(s, lambda at, k: F.struct(F.get(c, at)["token"].alias("token"), F.slice(c, at + 1, F.coalesce(F.get(s, k + 1), n) - at).alias("places"))))
+
+    return _let(F.sort_array(found), runs)
 
 
 def features(c: Column, path: Column, lexicon: Lexicon) -> Column:
@@ -152,9 +182,11 @@ def features(c: Column, path: Column, lexicon: Lexicon) -> Column:
     classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(token, "[0-9]+", "0"), "[A-Z]+", "A"), "[a-z]+", "a"), "[^0Aa]+", "_")
     # words: runs of letters, parted where small letters meet a capital
     runs = F.split(F.lower(F.regexp_replace(token, "([a-z])([A-Z])", "$1 $2")), "[^a-z]+")
-    listed = F.lit(sorted({*lexicon.words, *WORDS}))
-    covered = F.aggregate(F.filter(runs, lambda w: (F.length(w) > 2) & F.array_contains(listed, w)), F.lit(0), lambda n, w: n + F.length(w))
-    likely = F.lit(list(lexicon.pairs))
+    words = sorted({*lexicon.words, *WORDS})
+    listed = _folded([" ".join(["", *(w for w in words if w[0] == a), ""]) for a in "abcdefghijklmnopqrstuvwxyz"])  # by first letter, between spaces
+    known = lambda w: F.contains(F.get(listed, F.ascii(w) - 97), F.concat(F.lit(" "), w, F.lit(" ")))
+    covered = F.aggregate(F.filter(runs, lambda w: (F.length(w) > 2) & known(w)), F.lit(0), lambda n, w: n + F.length(w))
+    likely = _folded(list(map(repr, lexicon.pairs)), "array<double>")
     unknown = -math.log10(26 * 26)
 
     def transition(letters: Column) -> Column:
@@ -229,18 +261,18 @@ def planted(heads: DataFrame) -> DataFrame:
 def labelled_findings(docs: DataFrame, path: str = "source", max_findings: int = 4000) -> DataFrame:
     """(c, path, label, turn): labelled candidates for training, see the module's head; turn is a hash of the document,
     by which findings can be held out.  An empty table gives none."""
+    return _findings_of(candidate_table(docs, path), max_findings)
+
+
+def _findings_of(table: DataFrame, max_findings: int = 4000) -> DataFrame:
     turn = F.xxhash64("doc_id", F.lit(11))
-    where = F.col(path).cast("string") if path in docs.columns else F.lit(None).cast("string")
-    rows = docs.select("doc_id", where.alias("path"), F.explode(candidates(F.col("text"))).alias("c"))
+    rows = table.select("doc_id", "path", F.explode("found").alias("c"))
     token = F.col("c.token")
     plain = token.rlike("^[0-9]+$") | _check_digit(token)
     known = frames.materialise(rows.withColumn("label", F.when(token.rlike(KNOWN), 1.0).when(plain, 0.0)).where("label is not null").withColumn("turn", turn), "known-findings")
     by = F.xxhash64("doc_id", "c.token", "c.at", F.lit(5))
     real = [_drawn(known.where(F.col("label") == k), by, max_findings // 2, "doc_id", "c.at").select("c", "path", "label", "turn") for k in (0.0, 1.0)]
-    # words for decoys: the first few of documents, which is all that is sorted of them
-    first = F.filter(F.transform(F.slice(F.split(F.substring("text", 1, 400), " "), 2, 6), lambda w: F.lower(F.regexp_replace(w, "[^A-Za-z]", ""))), lambda w: w != "")
-    heads = docs.where(F.length("text") > 60).select(F.col("doc_id").cast("long").alias("doc_id"), first.alias("words"))
-    heads = frames.materialise(_drawn(heads, F.xxhash64("doc_id", F.lit(9)), max_findings // 4, "doc_id"), "heads")
+    heads = frames.materialise(_drawn(table.where("words is not null").select("doc_id", "words"), F.xxhash64("doc_id", F.lit(9)), max_findings // 4, "doc_id"), "heads")
     return real[0].unionByName(real[1]).unionByName(planted(heads))
 
 
@@ -262,19 +294,27 @@ def fit(docs: DataFrame, path: str = "source", **limits: int) -> Scanner | None:
     return train(labelled_findings(docs, path, **limits), learn_lexicon(docs))
 
 
+def fit_and_scan(docs: DataFrame, path: str = "source", threshold: float = THRESHOLD, **limits: int) -> DataFrame:
+    """``scan`` of ``docs`` by a scanner fitted to them; the texts are searched once for both."""
+    table = candidate_table(docs, path)
+    return _reported(table, train(_findings_of(table, **limits), learn_lexicon(docs)), threshold)
+
+
 _NODE = re.compile(r"^\s*(If|Else) \(feature (\d+) (<=|>) ([-0-9.Ee]+)\)$|^\s*Predict: ([0-9.]+)$")
 
 
 def vote(forest: RandomForestClassificationModel, f: Column) -> Column:
     """Share of the trees that call the candidate with features ``f`` a secret, as nested conditions."""
 
+    value = [f[name] for name in FEATURES]
+
     def read(lines: list[str], at: int) -> tuple[Column, int]:
         m = _NODE.match(lines[at])
         if m[5] is not None:
             return F.lit(float(m[5])), at + 1
         yes, next_ = read(lines, at + 1)
         no, end = read(lines, next_ + 1)  # skips the Else line
-        return F.when(f[FEATURES[int(m[2])]] <= float(m[4]), yes).otherwise(no), end
+        return F.when(value[int(m[2])] <= float(m[4]), yes).otherwise(no), end
 
     total = None
     for tree in forest.trees:
@@ -284,9 +324,8 @@ def vote(forest: RandomForestClassificationModel, f: Column) -> Column:
     return total / len(forest.trees)
 
 
-def _scored(docs: DataFrame, model: Scanner | None, path: str) -> Column:
-    """array<struct<token, at, byte, score, named>> of all candidates of ``text``, each judged where it stands."""
-    where = F.col(path).cast("string") if path in docs.columns else F.lit(None).cast("string")
+def _scored(found: Column, model: Scanner | None, where: Column) -> Column:
+    """array<struct<token, at, byte, score, named>> of the candidates ``found``, each judged where it stands."""
     lexicon = model.lexicon if model else Lexicon()
 
     def scored(c: Column) -> Column:
@@ -295,7 +334,7 @@ def _scored(docs: DataFrame, model: Scanner | None, path: str) -> Column:
         # a private key is one by its format
         return F.when(c["token"].rlike("^-----BEGIN"), said(F.lit(1.0), F.lit(0.0))).otherwise(judged)
 
-    return F.transform(candidates(F.coalesce(F.col("text"), F.lit(""))), scored)
+    return F.transform(found, scored)
 
 
 def scan(docs: DataFrame, model: Scanner | None, path: str = "source", threshold: float = THRESHOLD) -> DataFrame:
@@ -308,12 +347,12 @@ def scan(docs: DataFrame, model: Scanner | None, path: str = "source", threshold
     each; without a path column the path says nothing; other columns are ignored; an empty table gives
     an empty result.
     """
+    where = F.col(path).cast("string") if path in docs.columns else F.lit(None).cast("string")
+    return _reported(docs.select(F.col("doc_id").cast("long").alias("doc_id"), where.alias("path"), candidates(F.coalesce("text", F.lit(""))).alias("found")), model, threshold)
 
-    def by_token(found: Column) -> Column:
-        tokens = F.array_distinct(F.transform(found, lambda c: c["token"]))
-        return F.transform(tokens, lambda t: F.struct(t.alias("token"), F.array_sort(F.transform(F.filter(found, lambda c: c["token"] == t), lambda c: F.struct(c["at"].alias("at"), c["score"].alias("score"), c["named"].alias("named")))).alias("places")))
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(_let(_scored(docs, model, path), by_token)).alias("c"))
+def _reported(table: DataFrame, model: Scanner | None, threshold: float) -> DataFrame:
+    rows = table.select("doc_id", F.explode(_by_token(_scored(F.col("found"), model, F.col("path")))).alias("c"))
     token, places = F.col("c.token"), F.col("c.places")
     best = F.array_max(F.transform(places, lambda p: F.struct(p["score"].alias("score"), p["named"].alias("named"))))
     rule = F.when(token.rlike("^-----BEGIN"), "private key").when(token.rlike(KNOWN), "known format").when(best["named"] == 1, "assigned to a key name").otherwise("long token")
@@ -328,11 +367,15 @@ def redact(docs: DataFrame, model: Scanner | None, path: str = "source", thresho
     one mark together; after them, what is left of the text is searched for the same characters."""
     text = F.col("text")
 
+    where = F.col(path).cast("string") if path in docs.columns else F.lit(None).cast("string")
+
     def masked(found: Column) -> Column:
-        return _let(F.array_distinct(F.transform(F.filter(found, lambda c: c["score"] >= threshold), lambda c: c["token"])), lambda tokens: F.when(F.size(tokens) == 0, text).otherwise(_without(found, tokens)))
+        secret = F.filter(_by_token(found), lambda g: F.exists(g["places"], lambda c: c["score"] >= threshold))
+        return _let(secret, lambda groups: F.when(F.size(groups) == 0, text).otherwise(_without(groups)))
 
-    def _without(found: Column, tokens: Column) -> Column:
-        spans = F.array_sort(F.transform(F.filter(found, lambda c: F.array_contains(tokens, c["token"])), lambda c: F.struct(c["byte"].alias("at"), (c["byte"] + F.octet_length(c["token"])).alias("end"))))
+    def _without(groups: Column) -> Column:
+        tokens, found = F.transform(groups, lambda g: g["token"]), F.flatten(F.transform(groups, lambda g: g["places"]))
+        spans = F.sort_array(F.transform(found, lambda c: F.struct(c["byte"].alias("at"), (c["byte"] + F.octet_length(c["token"])).alias("end"))))
         def cut(raw: Column) -> Column:  # pieces by byte, as a character is found by walking to it
             piece = lambda a, n: F.decode(F.substring(raw, a, n), "UTF-8")
 
@@ -347,4 +390,4 @@ def redact(docs: DataFrame, model: Scanner | None, path: str = "source", thresho
         longest_first = F.array_sort(tokens, lambda a, b: F.length(b) - F.length(a))
         return F.aggregate(longest_first, _let(F.encode(text, "UTF-8"), cut), lambda t, s: F.replace(t, s, F.lit(mark)))
 
-    return docs.withColumn("text", F.when(text.isNotNull(), _let(_scored(docs, model, path), masked)))
+    return docs.withColumn("text", F.when(text.isNotNull(), _let(_scored(candidates(F.coalesce(text, F.lit(""))), model, where), masked)))
