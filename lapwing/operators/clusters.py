@@ -103,16 +103,20 @@ def linked_cells(points: DataFrame, pairs: DataFrame, grid: Grid, key: str = "pi
 def components(nodes: DataFrame, links: DataFrame, key: list[str], rounds: int) -> DataFrame:
     """``nodes`` (key, label: distinct a participant) with the least label that links (both ways) reach, as ``cluster``.
 
-    Labels spread by least-label steps over the links, each written down, and halve the way that is left; raises if that
-    does not settle.  links: key, label, other (labels of both ends).
+    A round tells each node the clusters of its neighbours, and its cluster's own node as well, so that a whole cluster joins
+    the least one beside it and not only its rim; then the way that is left is halved.  Rounds grow with the logarithm of the
+    nodes, whatever the order of the labels; each is written down.  Raises if that does not settle.  links: key, label, other
+    (labels of both ends).
     """
     labels, before = nodes.withColumn("cluster", F.col("label")), None
     for _ in range(rounds):
-        told = links.join(labels.select(*key, F.col("label").alias("other"), F.col("cluster").alias("heard")), [*key, "other"]).select(*key, "label", "heard")
+        told = links.join(labels.select(*key, F.col("label").alias("other"), F.col("cluster").alias("heard")), [*key, "other"])
+        told = told.groupBy(*key, "label").agg(F.min("heard").alias("heard")).join(labels, [*key, "label"]).where("heard < cluster")
+        told = told.select(*key, F.explode(F.array("label", "cluster")).alias("label"), "heard")
         least = labels.select(*key, "label", F.col("cluster").alias("heard")).unionByName(told).groupBy(*key, "label").agg(F.min("heard").alias("cluster"))
         jump = least.join(least.select(*key, F.col("label").alias("cluster"), F.col("cluster").alias("further")), [*key, "cluster"])
         labels = written(jump.select(*key, "label", F.least("cluster", "further").alias("cluster")), "clusters")
-        state = labels.agg(F.sum("cluster"), F.count("*")).first()
+        state = labels.agg(F.sum(F.col("cluster").cast("decimal(38,0)")), F.count("*")).first()
         if state == before:
             return labels
         before = state

@@ -93,3 +93,12 @@ def test_odd_rows(spark):
     got = {(r.pid, r.a, r.cluster) for r in K.density_clusters(spark.createDataFrame(made, SCHEMA).withColumn("y", F.lit("x"))).collect()}
     assert got == {(1, 3, 3), (2, 5, 5), (2, 6, 5)}
     assert K.density_clusters(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_components_of_chains_in_any_order(spark):
+    """A long chain whose least label stands beside its greatest is one component, within few rounds."""
+    orders = {1: [0, *range(300, 0, -1)], 2: list(range(301)), 3: random.Random(3).sample(range(301), 301)}
+    nodes = spark.createDataFrame([(pid, x) for pid, chain in orders.items() for x in chain], "pid long, label long")
+    links = [(pid, *pair) for pid, chain in orders.items() for a, b in zip(chain, chain[1:]) for pair in ((a, b), (b, a))]
+    found = K.components(nodes, spark.createDataFrame(links, "pid long, label long, other long"), ["pid"], rounds=16)
+    assert found.where("cluster = 0").count() == found.count() == 903
