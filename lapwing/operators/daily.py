@@ -23,6 +23,17 @@ def motion_days(hours: DataFrame, least: float = 0.5) -> DataFrame:
     return days.withColumn("primary_activity", C.argmax_name({n: F.col(f"{n}_min") for n in names}))
 
 
+def sums_in_order(rows: DataFrame, keys: list[str], sums: dict[str, Column], order: str) -> DataFrame:
+    """One row a key: each of ``sums`` added up row after row in the order of the column ``order``; null without a value.
+
+    The last bit of a sum of doubles depends on the order, and a bound or a whole number may lie there, so the order must not
+    be that in which rows happen to be dealt.  The rows of a key (a user's day or hour) go through one window.
+    """
+    so_far = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = rows.select(*keys, F.col(order).alias("_order"), F.struct(*(F.sum(c).over(so_far).alias(n) for n, c in sums.items())).alias("_sums"))
+    return running.groupBy(*keys).agg(F.max_by("_sums", "_order").alias("_sums")).select(*keys, "_sums.*")
+
+
 MOST_MIN = 1440
 
 

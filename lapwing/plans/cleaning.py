@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import cleaning as C
 from ..functions import texts as X
 from ..functions import times as T
+from ..operators import daily as D
 from ..operators import intervals as I
 from ..sources import bindings as B
 from .base import events_of, query, rounded
@@ -176,8 +177,8 @@ def ghost_rows(ev):
 @events_of
 def daily_rendering(ev):
     """Modalities of a day and its line of text."""
-    part = lambda kind: F.sum(F.when(F.col("event_type") == kind, F.col("value")))
-    rows = ev.groupBy("user_id", T.day_of(F.col("ms")).alias("day")).agg(part("click").alias("a"), part("view").alias("b"))
+    part = lambda kind: F.when(F.col("event_type") == kind, F.col("value"))
+    rows = D.sums_in_order(ev.withColumn("day", T.day_of(F.col("ms"))), ["user_id", "day"], {"a": part("click"), "b": part("view")}, "event_id")
     whole = lambda c: F.floor(c).cast("long")
     line = X.rendered({"a": ("screen %d min", whole(F.col("a"))), "b": ("motion %d min", whole(F.col("b")))})
     return rows.select("user_id", "day", C.present({"screen": F.col("a"), "motion": F.col("b")}).alias("modalities"), line.alias("line"), X.duration_text(F.col("a")).alias("duration"))

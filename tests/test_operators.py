@@ -199,3 +199,41 @@ def test_a_busy_user_s_past_is_many_tasks(spark):
     plan = P.profile(prompts)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(user_id#" in plan and "_piece#" in plan
     assert P.profile(prompts.limit(0)).count() == 0 and P.profile_details(prompts.limit(0)).count() == 0
+
+
+def test_sums_in_order(spark):
+    """Sums of doubles are those of the rows one after another, bit by bit, however rows are dealt."""
+    import random
+
+    rng = random.Random(5)
+    rows = [(i, i % 3, round(rng.expovariate(0.02), 2) if i % 7 else None) for i in range(3000)] + [(3000, 9, None)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, value double").repartition(13, "value")
+    want = {}
+    for _, user, value in rows:
+        want[user] = value if want.get(user) is None else want[user] if value is None else want[user] + value
+    found = D.sums_in_order(df, ["user_id"], {"a": F.col("value")}, "event_id")
+    assert {r["user_id"]: r["a"] for r in found.collect()} == want
+
+
+def test_daily_rendering_does_not_depend_on_files(spark, tmp_path):
+    """A day whose minutes are whole but for the last bit: the line is that of its events in order."""
+    import random
+    from datetime import datetime, timedelta
+
+    import __spark_entry__ as entry
+
+    def total(values):
+        out = 0.0
+        for v in values:
+            out += v
+        return out
+
+    rng, values = random.Random(1), [0.1]
+    while math.floor(total(values)) == math.floor(total(values[::-1])):
+        values = [rng.randrange(1, 20_000) / 100 for _ in range(39)]
+        values.append(round(1 - round(total(values), 2) % 1, 2))
+    at = datetime(2024, 1, 2)
+    rows = [(i, at + timedelta(minutes=i), 1, "click", v, '{"k": 1}') for i, v in enumerate(values)]
+    spark.createDataFrame(rows[::-1], "event_id long, ts timestamp, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    line = entry.queries()["p30_p31_daily_rendering"](spark, str(tmp_path)).first()["line"]
+    assert line == f"screen {math.floor(total(values))} min"
