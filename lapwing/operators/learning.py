@@ -15,6 +15,8 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 MODELS = {
     "logistic": lambda: LogisticRegression(featuresCol="x", labelCol="label", weightCol="weight", maxIter=20),
     "forest": lambda: RandomForestClassifier(featuresCol="x", labelCol="label", weightCol="weight", numTrees=20, maxDepth=4, seed=7),
@@ -51,11 +53,15 @@ class Sublinear(Transformer):
         return rows.withColumn("damped", array_to_vector(damped))
 
 
-def text_stages(size: int = 500, idf: bool = True, out: str = "x", min_df: int = 2, pairs: bool = True, max_df: float = 1.0, sublinear: bool = False, norm: bool = True) -> list:
+#: from a text to its words and pairs of words; a null text is an empty one
+SPLIT = (SQLTransformer(statement="SELECT *, coalesce(text, '') AS whole FROM __THIS__"), RegexTokenizer(inputCol="whole", outputCol="words", pattern=r"\W+"), NGram(n=2, inputCol="words", outputCol="pairs"))
+
+
+def text_stages(size: int = 500, idf: bool = True, out: str = "x", min_df: int = 2, pairs: bool = True, max_df: float = 1.0, sublinear: bool = False, norm: bool = True, split: bool = True) -> list:
     """Counts of words and pairs (in ``min_df`` texts or more, and in at most a share ``max_df`` of them), damped or not, weighted
-    by idf or not, normalised or not.  A null text is an empty one."""
+    by idf or not, normalised or not.  A null text is an empty one.  Without ``split`` rows have ``words`` and ``pairs`` (``split_once``)."""
     join = SQLTransformer(statement=f"SELECT *, {'concat(words, pairs)' if pairs else 'words'} AS terms FROM __THIS__")
-    stages = [SQLTransformer(statement="SELECT *, coalesce(text, '') AS whole FROM __THIS__"), RegexTokenizer(inputCol="whole", outputCol="words", pattern=r"\W+"), NGram(n=2, inputCol="words", outputCol="pairs"), join]
+    stages = [*SPLIT, join] if split else [join]
     # a bound of 1 or more would be a number of texts
     bound = {"maxDF": max_df} if max_df < 1 else {}
     stages.append(CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=size, minDF=min_df, **bound))
@@ -67,6 +73,33 @@ def text_stages(size: int = 500, idf: bool = True, out: str = "x", min_df: int =
     return [*stages, Normalizer(inputCol=at, outputCol=out) if norm else SQLTransformer(statement=f"SELECT *, {at} AS {out} FROM __THIS__")]
 
 
+def split_once(rows: DataFrame, kinds: list[tuple[int, int, bool, float]], folds: list[int] | None = None) -> DataFrame:
+    """``rows`` with ``words`` and ``pairs`` in place of ``text``, written down: only those that some vocabulary may hold.
+
+    ``kinds``: (size, min_df, pairs, max_df) of each vocabulary, which is drawn from all rows, or with ``folds`` from all rows but
+    those of one fold, for each fold.  Terms are counted once for all of them; a term that is as frequent as the last of a
+    vocabulary stays, so what CountVectorizer finds in the rest is what it finds in whole texts.
+    """
+    whole = reduce(lambda df, stage: stage.transform(df), SPLIT, rows)
+    others = {f: F.col("fold") != f for f in folds} if folds else {0: F.lit(True)}
+    once = lambda c, total, texts: F.transform(c, lambda t: F.struct(t.alias("term"), F.lit(total).alias("total"), F.lit(texts).alias("texts")))
+    terms = whole.withColumn("terms", F.concat("words", "pairs")).select(*(c.alias(f"in{f}") for f, c in others.items()), F.explode(F.concat(once(F.col("terms"), 1, 0), once(F.array_distinct("terms"), 0, 1))).alias("t"))
+    counts = terms.groupBy("t.term").agg(*(F.sum(F.when(F.col(f"in{f}"), F.col(f"t.{n}"))).alias(f"{n}{f}") for f in others for n in ("total", "texts")))
+    counts = written(counts, "terms-counted")
+    n = rows.agg(*(F.count_if(c).alias(f"n{f}") for f, c in others.items())).first()
+    held = []
+    for f in others:
+        for size, min_df, pairs, max_df in kinds:
+            may = counts.where((F.col(f"texts{f}") >= min_df) & (F.col(f"texts{f}") <= (max_df * n[f"n{f}"] if max_df < 1 else n[f"n{f}"])))
+            may = may if pairs else may.where(~F.contains("term", F.lit(" ")))
+            last = may.orderBy(F.col(f"total{f}").desc()).limit(size).agg(F.min(f"total{f}")).first()[0]
+            held.append(may.where(F.col(f"total{f}") >= (last or 0)).select("term"))
+    # some vocabularies of a set size, and what is as frequent as the last of each
+    held = [r.term for r in reduce(DataFrame.unionByName, held).distinct().collect()]
+    kept = lambda c: F.filter(c, lambda t: t.isin(*held))
+    return written(whole.withColumn("words", kept("words")).withColumn("pairs", kept("pairs")).drop("text", "whole"), "split-texts")
+
+
 def chosen(learner, columns: int) -> CrossValidator:
     """The learner on the best half of ``columns`` features ("x") or on all, by threefold inner validation; for a
     logistic one its regularisation as well."""
@@ -113,8 +146,9 @@ def text_grid(rows: DataFrame, min_df: tuple[int, ...] = (), pairs: tuple[bool,
     out, vectorisers = [], list(product(min_df, pairs, max_df, idf, norm)) if min_df else VECTORISERS
     rows, measure = weighted(rows).withColumn("one", F.lit(1.0)), BalancedAccuracy()
     weights = {"weight" if b else "one": b for b in balance}
+    rows = split_once(rows, [(size, least, both, most) for least, both, most, *_ in vectorisers])
     for least, both, most, by_idf, normed in vectorisers:
-        steps = text_stages(size, min_df=least, pairs=both, max_df=most, idf=by_idf, norm=normed)
+        steps = text_stages(size, min_df=least, pairs=both, max_df=most, idf=by_idf, norm=normed, split=False)
         ready = Pipeline(stages=steps).fit(rows).transform(rows).select("x", "label", "weight", "one").persist()
         learner = LogisticRegression(featuresCol="x", labelCol="label", maxIter=20)
         grid = ParamGridBuilder().addGrid(learner.regParam, list(c)).addGrid(learner.elasticNetParam, list(l1)).addGrid(learner.weightCol, list(weights)).build()

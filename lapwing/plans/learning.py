@@ -204,9 +204,10 @@ def text_grid(spark, sf_dir):
 @query("m05_text_models")
 def text_models(spark, sf_dir):
     """Tf-idf of damped counts, and plain counts, of diary texts."""
-    rows = written(B.diary(spark, sf_dir).where("quality is not null").select(F.col("doc_id").alias("id"), "fold", "text", F.col("quality").cast("double").alias("label")), "text-rows")
-    tfidf = L.cross_validate(rows, L.text_stages(500, sublinear=True), "logistic", FOLDS)
-    counts = L.cross_validate(rows, L.text_stages(300, idf=False), "ridge", FOLDS)
+    rows = B.diary(spark, sf_dir).where("quality is not null").select(F.col("doc_id").alias("id"), "fold", "text", F.col("quality").cast("double").alias("label"))
+    rows = L.split_once(rows, [(500, 2, True, 1.0), (300, 2, True, 1.0)], FOLDS)
+    tfidf = L.cross_validate(rows, L.text_stages(500, sublinear=True, split=False), "logistic", FOLDS)
+    counts = L.cross_validate(rows, L.text_stages(300, idf=False, split=False), "ridge", FOLDS)
     return _scores([tfidf, counts])
 
 
@@ -215,7 +216,8 @@ def fused_models(spark, sf_dir):
     """A prompt's sensing and its diary, scaled apart; a prompt has the text of its number, or none (a block of zeros)."""
     sensed = _sensor_rows(B.events(spark, sf_dir))
     rows = written(sensed.join(B.diary(spark, sf_dir).select(F.col("doc_id").alias("id"), "text"), "id", "left"), "fused-rows")
-    blocks = [VectorAssembler(inputCols=SENSED, outputCol="raw", handleInvalid="keep"), StandardScaler(inputCol="raw", outputCol="sensed", withMean=True), *L.text_stages(200, out="said", sublinear=True)]
+    rows = L.split_once(rows, [(200, 2, True, 1.0)], FOLDS)
+    blocks = [VectorAssembler(inputCols=SENSED, outputCol="raw", handleInvalid="keep"), StandardScaler(inputCol="raw", outputCol="sensed", withMean=True), *L.text_stages(200, out="said", sublinear=True, split=False)]
     stages = [*blocks, StandardScaler(inputCol="said", outputCol="told"), VectorAssembler(inputCols=["sensed", "told"], outputCol="x")]
     return _scores([L.cross_validate(rows, stages, "logistic", FOLDS)])
 

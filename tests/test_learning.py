@@ -106,3 +106,32 @@ def test_scorers_see_nothing_later(spark):
     assert "outcome" not in short[0].given and "state" not in short[0].given
     with pytest.raises(ValueError):
         P.replayed(made(2), tell, "told string", made(2).select("prompt_id", "state"))
+
+
+def test_texts_split_once_give_the_same_vocabularies(spark):
+    """What is left of the texts holds every fold's vocabulary, with its counts; of pairs and words, or of words alone."""
+    import random
+
+    from pyspark.ml import Pipeline
+
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, i % 5 + 1, None if i == 7 else " ".join(rng.choices(words, [1 / (j + 1) for j in range(60)], k=30))) for i in range(80)]
+    texts = spark.createDataFrame(rows, "id long, fold int, text string")
+    split = Q.L.split_once(texts, [(20, 2, True, 1.0), (10, 2, False, 0.8)], [1, 2, 3, 4, 5])
+    assert split.count() == 80 and "text" not in split.columns
+    for fold in (1, 4):
+        for size, pairs, most in ((20, True, 1.0), (10, False, 0.8)):
+            found = []
+            for df, whole in ((texts, True), (split, False)):
+                train = df.where(f"fold <> {fold}")
+                model = Pipeline(stages=Q.L.text_stages(size, pairs=pairs, max_df=most, idf=False, norm=False, split=whole)).fit(train)
+                names = next(s for s in model.stages if hasattr(s, "vocabulary")).vocabulary
+                # of terms as frequent as the last any may be taken
+                sums = {}
+                for r in model.transform(train).select("tf").collect():
+                    for i, n in zip(r.tf.indices, r.tf.values):
+                        sums[names[i]] = sums.get(names[i], 0) + n
+                least = min(sums.values())
+                found.append(({t: n for t, n in sums.items() if n > least}, least, len(sums)))
+            assert found[0] == found[1]
