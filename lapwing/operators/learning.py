@@ -53,15 +53,16 @@ class Sublinear(Transformer):
         return rows.withColumn("damped", array_to_vector(damped))
 
 
-#: from a text to its words and pairs of words; a null text is an empty one
-SPLIT = (SQLTransformer(statement="SELECT *, coalesce(text, '') AS whole FROM __THIS__"), RegexTokenizer(inputCol="whole", outputCol="words", pattern=r"\W+"), NGram(n=2, inputCol="words", outputCol="pairs"))
+def _split() -> list:
+    """From a text to its words and pairs of words; a null text is an empty one."""
+    return [SQLTransformer(statement="SELECT *, coalesce(text, '') AS whole FROM __THIS__"), RegexTokenizer(inputCol="whole", outputCol="words", pattern=r"\W+"), NGram(n=2, inputCol="words", outputCol="pairs")]
 
 
 def text_stages(size: int = 500, idf: bool = True, out: str = "x", min_df: int = 2, pairs: bool = True, max_df: float = 1.0, sublinear: bool = False, norm: bool = True, split: bool = True) -> list:
     """Counts of words and pairs (in ``min_df`` texts or more, and in at most a share ``max_df`` of them), damped or not, weighted
     by idf or not, normalised or not.  A null text is an empty one.  Without ``split`` rows have ``words`` and ``pairs`` (``split_once``)."""
     join = SQLTransformer(statement=f"SELECT *, {'concat(words, pairs)' if pairs else 'words'} AS terms FROM __THIS__")
-    stages = [*SPLIT, join] if split else [join]
+    stages = [*_split(), join] if split else [join]
     # a bound of 1 or more would be a number of texts
     bound = {"maxDF": max_df} if max_df < 1 else {}
     stages.append(CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=size, minDF=min_df, **bound))
@@ -80,7 +81,7 @@ def split_once(rows: DataFrame, kinds: list[tuple[int, int, bool, float]], folds
     those of one fold, for each fold.  Terms are counted once for all of them; a term that is as frequent as the last of a
     vocabulary stays, so what CountVectorizer finds in the rest is what it finds in whole texts.
     """
-    whole = reduce(lambda df, stage: stage.transform(df), SPLIT, rows)
+    whole = reduce(lambda df, stage: stage.transform(df), _split(), rows)
     others = {f: F.col("fold") != f for f in folds} if folds else {0: F.lit(True)}
     once = lambda c, total, texts: F.transform(c, lambda t: F.struct(t.alias("term"), F.lit(total).alias("total"), F.lit(texts).alias("texts")))
     terms = whole.withColumn("terms", F.concat("words", "pairs")).select(*(c.alias(f"in{f}") for f, c in others.items()), F.explode(F.concat(once(F.col("terms"), 1, 0), once(F.array_distinct("terms"), 0, 1))).alias("t"))
