@@ -166,7 +166,7 @@ def _details(have: list[str]) -> dict[str, Column]:
         "motion": _or(F.array_join(F.transform(active, lambda x: F.concat(x["n"], F.lit(" "), _fixed(x["m"]), F.lit("min"))), ", "), "no activity data"),
         "gps": _or(
             _said(", ", F.when(c("gps_distance_km") > 0, F.concat(F.lit("traveled "), _fixed(c("gps_distance_km"), 2), F.lit(" km"))), F.concat(F.lit("home "), _fixed(c("gps_at_home_min")), F.lit("min")), F.concat(_fixed(c("gps_n_captures")), F.lit(" GPS fixes"))),
-            "GPS data present",
+            UNTOLD_FIXES,
         ),
         "screen": _or(_said(", ", F.concat(F.lit("screen on "), _fixed(c("screen_on_min")), F.lit("min")), F.concat(_fixed(c("screen_n_sessions")), F.lit(" sessions"))), "screen data present"),
         "keyboard": _or(
@@ -186,6 +186,10 @@ def _by_modality(parts: dict[str, Column]) -> Column:
     return out
 
 
+#: fixed values: said of fixes with neither a way, nor time at home, nor a number
+UNTOLD_FIXES = "GPS data present"
+
+
 def query_sensing(requests: DataFrame, world: World) -> DataFrame:
     """(request_id, hour, detail, coverage): a row for each hour of the window (hour null for one line a day); detail is null
     without data; coverage is good, partial or off."""

@@ -79,6 +79,22 @@ def test_sensing_lines(spark, world):
     assert rows[6, None] == ("stationary 210min, walking 30min, automotive 15min", "partial")
 
 
+def test_fixes_of_no_way_are_told_as_the_sql_tells_them(spark, tmp_path):
+    """An hour whose only fix has a way of 0: the operator names the data, the query's detail is empty like its SQL's."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    at = dt.datetime(2024, 1, 2, 9, 30)
+    rows = [(0, at - dt.timedelta(hours=1), 7, "error", 0.0, '{"k": 5}'), (1, at + dt.timedelta(minutes=1), 7, "purchase", 3.0, '{"k": 1}')]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    found = [tuple(r) for r in entry.queries()["tool_query_sensing"](spark, str(tmp_path)).select("request_id", "hour", "detail", "coverage").collect()]
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW events AS SELECT event_id, ts AT TIME ZONE 'UTC' AS ts, user_id, event_type, value, props FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+        want = con.execute(f"SELECT request_id, hour, detail, coverage FROM ({entry.oracle_sql()['tool_query_sensing']})").fetchall()
+    assert sorted(found, key=str) == sorted(want, key=str) and any(r[2] == "" for r in found)
+
+
 def test_baseline_names_and_days(spark, world):
     calls = [("compare_to_baseline", {"modality": "screen", "feature": f, "current_value": 5}) for f in ("screen_on_min", "on_min", "none")]
     rows = {r.request_id: r for r in O.compare_to_baseline(ask(spark, *calls).withColumn("ms", F.lit(AT + 11 * HOUR)), world).collect()}
