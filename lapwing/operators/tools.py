@@ -120,7 +120,9 @@ def problems(requests: DataFrame) -> DataFrame:
 
 def _asked(requests: DataFrame, tool: str) -> DataFrame:
     values, wrong = _arguments(tool)
-    return requests.where((F.col("tool") == tool) & wrong.isNull()).select("request_id", "user_id", "ms", *(v.alias(n) for n, v in values.items()))
+    read = requests.where(F.col("tool") == tool).select("request_id", "user_id", "ms", F.struct(wrong.alias("wrong"), *(v.alias(n) for n, v in values.items())).alias("read"))
+    # an explode of one: filters on arguments stay above it and do not read the JSON once more for each of their terms
+    return read.select("request_id", "user_id", "ms", F.explode(F.array("read")).alias("read")).where("read.wrong is null").select("request_id", "user_id", "ms", *(f"read.{n}" for n in values))
 
 
 def _fixed(x: Column, digits: int = 0) -> Column:
@@ -400,14 +402,19 @@ def similar_days(requests: DataFrame, world: World) -> DataFrame:
     return met.withColumn("place", F.row_number().over(w)).where("place <= n").select("request_id", "place", F.col("past").alias("day"), "similarity", "desire", "available")
 
 
+#: hours of a piece of time in which requests meet events: a window of a week touches 15 pieces, and what is met outside it lies within a piece of it
+PIECE_HOURS = 12
+
+
 def raw_events(requests: DataFrame, world: World) -> DataFrame:
     """(request_id, turn, ms, event_id, label, more): the first events of the stream in the window, and how many more there are."""
+    piece = lambda ms: F.floor(ms / (PIECE_HOURS * T.HOUR_MS)).cast("long")
     asked = _asked(requests, "query_raw_events")
     begin, stop = F.col("ms") - F.col("hours_before_ema") * T.HOUR_MS, F.least(F.col("ms"), F.col("ms") - (F.col("hours_before_ema") - F.col("hours_duration")) * T.HOUR_MS)
     slots = asked.select("request_id", "user_id", "max_events", F.col("modality").alias("stream"), begin.alias("begin"), stop.alias("stop"))
-    slots = slots.withColumn("hour", F.explode(F.sequence(T.hour_of(F.col("begin")), T.hour_of(F.col("stop")))))
-    events = world.events.select("user_id", "stream", T.hour_of(F.col("ms")).alias("hour"), "ms", "event_id", "label")
-    met = slots.join(events, ["user_id", "stream", "hour"]).where("ms >= begin and ms < stop")
+    slots = slots.withColumn("piece", F.explode(F.sequence(piece(F.col("begin")), piece(F.col("stop")))))
+    events = world.events.select("user_id", "stream", piece(F.col("ms")).alias("piece"), "ms", "event_id", "label")
+    met = slots.join(events, ["user_id", "stream", "piece"]).where("ms >= begin and ms < stop")
     w = Window.partitionBy("request_id")
     met = met.withColumn("turn", F.row_number().over(w.orderBy("ms", "event_id"))).withColumn("more", F.greatest(F.count("*").over(w) - F.col("max_events"), F.lit(0)))
     return met.where("turn <= max_events").select("request_id", "turn", "ms", "event_id", "label", "more")

@@ -95,6 +95,27 @@ def test_fixes_of_no_way_are_told_as_the_sql_tells_them(spark, tmp_path):
     assert sorted(found, key=str) == sorted(want, key=str) and any(r[2] == "" for r in found)
 
 
+def test_windows_of_events_meet_whole_pieces(spark):
+    """Events against brute force over windows of all lengths; arguments are read once, and a window is few pieces."""
+    import random
+
+    rng = random.Random(3)
+    events = [(rng.randrange(3), AT + rng.randrange(-9 * 24 * HOUR, 2 * 24 * HOUR), k, rng.choice(("app", "music")), f"e{k}") for k in range(1500)]
+    calls = [(k, rng.randrange(3), AT + rng.randrange(24 * HOUR), rng.choice(("app", "music")), rng.choice((1, 3, 12, 24, 100, 168)), rng.choice((1, 2, 11, 13, 48, 168)), rng.choice((1, 3, 100))) for k in range(60)]
+    asked = spark.createDataFrame([(k, u, ms, "query_raw_events", json.dumps({"modality": m, "hours_before_ema": b, "hours_duration": d, "max_events": n})) for k, u, ms, m, b, d, n in calls], "request_id long, user_id int, ms long, tool string, args string")
+    world = O.World(None, None, spark.createDataFrame(events, "user_id int, ms long, event_id long, stream string, label string"))
+    want = set()
+    for k, u, ms, m, b, d, n in calls:
+        begin = ms - b * HOUR
+        inside = sorted((e[1], e[2]) for e in events if e[0] == u and e[3] == m and begin <= e[1] < min(ms, begin + d * HOUR))
+        want |= {(k, i + 1, *e, max(len(inside) - n, 0)) for i, e in enumerate(inside[:n])}
+    found = O.raw_events(asked, world)
+    assert {(r.request_id, r.turn, r.ms, r.event_id, r.more) for r in found.collect()} == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # all in one projection, none in a filter above or below it
+    assert sum("get_json_object" in line for line in plan.splitlines()) == 1
+
+
 def test_baseline_names_and_days(spark, world):
     calls = [("compare_to_baseline", {"modality": "screen", "feature": f, "current_value": 5}) for f in ("screen_on_min", "on_min", "none")]
     rows = {r.request_id: r for r in O.compare_to_baseline(ask(spark, *calls).withColumn("ms", F.lit(AT + 11 * HOUR)), world).collect()}
