@@ -26,6 +26,23 @@ def lookback(prompts: DataFrame, bins: DataFrame, hours: int = 24) -> DataFrame:
     return lookback_slots(prompts, hours).join(bins, ["user_id", "hour"], "left")
 
 
+def recent(prompts: DataFrame, bins: DataFrame, features: list[str], hours: int = 24) -> DataFrame:
+    """Prompts with ``seen``: an array of (h, features) of the user's bins in the ``hours`` slots before each prompt's own hour, in
+    the order of slots, empty without any.
+
+    A bin goes to the days whose prompts may look back to it (two for a day's lookback), where they are one row a user and day, and
+    each prompt meets its day's row: prompts are never copied, nor put together again.
+    """
+    own = T.hour_of(F.col("ms"))
+    days = F.sequence(F.floor((F.col("hour") + 1) / 24).cast("long"), F.floor((F.col("hour") + hours) / 24).cast("long"))
+    dealt = bins.select("user_id", F.explode(days).alias("_day"), F.struct("hour", *features).alias("_bin"))
+    dealt = dealt.groupBy("user_id", "_day").agg(F.array_sort(F.collect_list("_bin")).alias("_bins"))
+    met = prompts.withColumn("_own", own).withColumn("_day", F.floor(F.col("_own") / 24).cast("long")).join(dealt, ["user_id", "_day"], "left")
+    inside = F.filter("_bins", lambda b: (b["hour"] >= F.col("_own") - hours) & (b["hour"] < F.col("_own")))
+    seen = F.transform(inside, lambda b: F.struct((b["hour"] - F.col("_own") + hours).cast("int").alias("h"), *(b[f].alias(f) for f in features)))
+    return met.select(*prompts.columns, F.coalesce(seen, F.array()).alias("seen"))
+
+
 def offset_window(prompts: DataFrame, bins: DataFrame, before: int, duration: int, keep: list[str]) -> DataFrame:
     """Bins of [t - before, min(t - before + duration, t)) hours, the start floored to an hour, that have ended by t."""
     start = T.hour_of(F.col("ms") - before * T.HOUR_MS)

@@ -152,7 +152,8 @@ def _guess(batches):
 
 def _sensor_rows(ev) -> DataFrame:
     prompts = B.prompts(ev)
-    seen = P.lookback(prompts.select("prompt_id", "user_id", "ms"), clicks(ev)).groupBy("prompt_id").agg(F.count("n").alias("hours"), F.coalesce(F.sum("total"), F.lit(0.0)).alias("total"))
+    met = P.recent(prompts.select("prompt_id", "user_id", "ms"), clicks(ev), ["n", "total"])
+    seen = met.select("prompt_id", F.size(F.filter("seen", lambda b: b["n"].isNotNull())).cast("long").alias("hours"), F.aggregate("seen", F.lit(0.0), lambda s, b: s + F.coalesce(b["total"], F.lit(0.0))).alias("total"))
     personal = P.running_personal(prompts).select("prompt_id", "volume", "desire_rate", "joint_rate")
     return seen.join(personal, "prompt_id").join(prompts.select("prompt_id", "fold", F.col("state").cast("double").alias("label")), "prompt_id").withColumnRenamed("prompt_id", "id")
 

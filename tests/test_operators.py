@@ -10,6 +10,7 @@ from lapwing.functions import texts as X
 from lapwing.operators import daily as D
 from lapwing.operators import hourly as H
 from lapwing.operators import intervals as I
+from lapwing.operators import matrices
 from lapwing.operators import metrics as M
 from lapwing.operators import pit as P
 
@@ -201,6 +202,22 @@ def test_a_busy_user_s_past_is_many_tasks(spark):
     assert P.profile(prompts.limit(0)).count() == 0 and P.profile_details(prompts.limit(0)).count() == 0
 
 
+def test_recent_bins_of_prompts(spark):
+    """Bins of the slots before each prompt, also across days and for other lookbacks; prompts are not copied for slots."""
+    import random
+
+    rng, hour = random.Random(4), 3_600_000
+    bins = [(rng.randrange(4), rng.randrange(-30, 200), rng.choice((None, 1.5, 2.0)), k) for k in range(300)]
+    prompts = [(k, rng.randrange(5), rng.randrange(-20 * hour, 210 * hour)) for k in range(80)]
+    p, b = spark.createDataFrame(prompts, "prompt_id long, user_id long, ms long"), spark.createDataFrame(bins, "user_id long, hour long, x double, n long")
+    for hours in (1, 6, 24, 50):
+        found = {r.prompt_id: sorted(map(str, map(tuple, r.seen))) for r in P.recent(p, b, ["x", "n"], hours).collect()}
+        assert found == {k: sorted(str((h - ms // hour + hours, x, n)) for v, h, x, n in bins if v == u and ms // hour - hours <= h < ms // hour) for k, u, ms in prompts}
+    flat = {r.prompt_id: r for r in matrices.flat(p, b, ["n"], 24).collect()}
+    assert all(flat[k][f"h{s}_n"] == max((n for v, h, _, n in bins if v == u and h == ms // hour - 24 + s), default=None) for k, u, ms in prompts for s in range(24))
+    assert "explode(sequence((FLOOR((cast(ms" not in matrices.flat(p, b, ["n"], 24)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_sums_in_order(spark):
     """Sums of doubles are those of the rows one after another, bit by bit, however rows are dealt."""
     import random
