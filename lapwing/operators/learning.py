@@ -112,14 +112,20 @@ def chosen(learner, columns: int) -> CrossValidator:
     return CrossValidator(estimator=whole, estimatorParamMaps=grid.build(), evaluator=BinaryClassificationEvaluator(labelCol="label"), numFolds=3, parallelism=4, seed=7)
 
 
-def cross_validate_continuous(rows: DataFrame, stages: list, model: str, folds: list[int], least_train: int = 10, least_test: int = 5) -> DataFrame:
-    """Out-of-fold predictions of a continuous label: id, fold, y, p, model.  A fold is skipped with few rows."""
-    out = [rows.select("id", F.col("fold").cast("int").alias("fold"), F.col("label").alias("y"), F.col("label").alias("p"), F.lit(model).alias("model")).limit(0)]
+def cross_validate_continuous(rows: DataFrame, stages: list, models: str | list[str], folds: list[int], least_train: int = 10, least_test: int = 5) -> DataFrame:
+    """Out-of-fold predictions of a continuous label: id, fold, y, p, model.  A fold is skipped with few rows; its features are made
+    once for all models."""
+    models = [models] if isinstance(models, str) else models
+    out = [rows.select("id", F.col("fold").cast("int").alias("fold"), F.col("label").alias("y"), F.col("label").alias("p"), F.lit("").alias("model")).limit(0)]
     for fold in folds:
         train, test = rows.where(F.col("fold") != fold).persist(), rows.where(F.col("fold") == fold)
         if train.count() >= least_train and test.count() >= least_test:
-            fitted = Pipeline(stages=[*stages, REGRESSORS[model]()]).fit(train)
-            out.append(fitted.transform(test).select("id", F.lit(fold).alias("fold"), F.col("label").alias("y"), F.col("prediction").alias("p"), F.lit(model).alias("model")))
+            features = Pipeline(stages=stages).fit(train)
+            ready = features.transform(train).select("x", "label").persist()
+            for model in models:
+                fitted = REGRESSORS[model]().fit(ready)
+                out.append(fitted.transform(features.transform(test)).select("id", F.lit(fold).alias("fold"), F.col("label").alias("y"), F.col("prediction").alias("p"), F.lit(model).alias("model")))
+            ready.unpersist()
         train.unpersist()
     return reduce(DataFrame.unionByName, out)
 

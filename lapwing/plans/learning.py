@@ -179,8 +179,8 @@ def sensor_regressions(ev):
     """A continuous target (the wish at the prompt) by four regressions, one fold held out at a time."""
     rows = _sensor_rows(ev).drop("label").join(B.prompts(ev).select(F.col("prompt_id").alias("id"), F.col("desire").cast("double").alias("label")), "id")
     rows = written(rows, "sensor-rows")
-    found = [L.cross_validate_continuous(rows, L.sensor_stages(SENSED), m, FOLDS) for m in L.REGRESSORS]
-    return rounded(M.regression(reduce(DataFrame.unionByName, found), ["model", "fold"]))
+    found = L.cross_validate_continuous(rows, L.sensor_stages(SENSED), list(L.REGRESSORS), FOLDS)
+    return rounded(M.regression(found, ["model", "fold"]))
 
 
 @query("m08_subset_scores")

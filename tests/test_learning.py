@@ -135,3 +135,21 @@ def test_texts_split_once_give_the_same_vocabularies(spark):
                 least = min(sums.values())
                 found.append(({t: n for t, n in sums.items() if n > least}, least, len(sums)))
             assert found[0] == found[1]
+
+
+def test_features_of_a_fold_are_made_once_for_all_regressions(spark):
+    from pyspark.ml.feature import StandardScaler
+
+    fits = []
+
+    class Counted(StandardScaler):
+        def _fit(self, rows):
+            fits.append(1)
+            return super()._fit(rows)
+
+    points = spark.range(60).selectExpr("id", "cast(id % 2 + 1 as int) as fold", "cast(id % 7 as double) as a", "cast(id % 7 * 2 + id % 3 as double) as label")
+    stages = lambda: [Q.L.VectorAssembler(inputCols=["a"], outputCol="raw"), Counted(inputCol="raw", outputCol="x")]
+    both = Q.L.cross_validate_continuous(points, stages(), ["ridge", "huber"], [1, 2]).collect()
+    assert len(fits) == 2
+    apart = [r for m in ("ridge", "huber") for r in Q.L.cross_validate_continuous(points, stages(), m, [1, 2]).collect()]
+    assert sorted(map(tuple, both)) == sorted(map(tuple, apart)) and len(both) == 120
