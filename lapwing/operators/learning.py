@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from functools import reduce
 from itertools import product
+from multiprocessing.pool import ThreadPool
 
+import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, Transformer
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, Evaluator
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, SQLTransformer, StandardScaler, UnivariateFeatureSelector, VarianceThresholdSelector, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -58,13 +63,14 @@ def _split() -> list:
     return [SQLTransformer(statement="SELECT *, coalesce(text, '') AS whole FROM __THIS__"), RegexTokenizer(inputCol="whole", outputCol="words", pattern=r"\W+"), NGram(n=2, inputCol="words", outputCol="pairs")]
 
 
-def text_stages(size: int = 500, idf: bool = True, out: str = "x", min_df: int = 2, pairs: bool = True, max_df: float = 1.0, sublinear: bool = False, norm: bool = True, split: bool = True) -> list:
+def text_stages(size: int = 500, idf: bool = True, out: str = "x", min_df: int = 2, pairs: bool = True, max_df: float = 1.0, sublinear: bool = False, norm: bool = True, split: bool = True, n: int = 0) -> list:
     """Counts of words and pairs (in ``min_df`` texts or more, and in at most a share ``max_df`` of them), damped or not, weighted
-    by idf or not, normalised or not.  A null text is an empty one.  Without ``split`` rows have ``words`` and ``pairs`` (``split_once``)."""
+    by idf or not, normalised or not.  A null text is an empty one.  Without ``split`` rows have ``words`` and ``pairs`` (``split_once``).
+    With the number ``n`` of texts they are not counted for ``max_df``."""
     join = SQLTransformer(statement=f"SELECT *, {'concat(words, pairs)' if pairs else 'words'} AS terms FROM __THIS__")
     stages = [*_split(), join] if split else [join]
-    # a bound of 1 or more would be a number of texts
-    bound = {"maxDF": max_df} if max_df < 1 else {}
+    # a bound of 1 or more is a number of texts
+    bound = {"maxDF": max_df * n if max_df * n >= 1 else max_df} if max_df < 1 else {}
     stages.append(CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=size, minDF=min_df, **bound))
     at = "tf"
     if sublinear:
@@ -74,6 +80,31 @@ def text_stages(size: int = 500, idf: bool = True, out: str = "x", min_df: int =
     return [*stages, Normalizer(inputCol=at, outputCol=out) if norm else SQLTransformer(statement=f"SELECT *, {at} AS {out} FROM __THIS__")]
 
 
+def term_counts(rows: DataFrame, held: int = 200_000) -> DataFrame:
+    """(term, fold, total, texts) of the words and pairs of words of lower-case texts, added up in tasks; a term has a row for each
+    task and fold, or more where a task met over ``held`` terms.  rows: fold, text."""
+
+    def count(batches):
+        word, met = re.compile(r"\w+", re.ASCII).findall, {}
+        for batch in batches:
+            for fold, text in zip(batch["fold"].to_pylist(), batch["text"].to_pylist()):
+                totals, texts = met.setdefault(fold, (Counter(), Counter()))
+                words = word(text)
+                terms = words + list(map(" ".join, zip(words, words[1:])))
+                totals.update(terms)
+                texts.update(set(terms))
+                if len(totals) > held:
+                    yield from told({fold: met.pop(fold)})
+        yield from told(met)
+
+    def told(met):
+        for fold, (totals, texts) in met.items():
+            terms = list(totals)
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([fold] * len(terms), pa.int32()), pa.array([totals[t] for t in terms], pa.int64()), pa.array([texts[t] for t in terms], pa.int64())], names=["term", "fold", "total", "texts"])
+
+    return rows.select("fold", "text").mapInArrow(count, "term string, fold int, total long, texts long")
+
+
 def split_once(rows: DataFrame, kinds: list[tuple[int, int, bool, float]], folds: list[int] | None = None) -> DataFrame:
     """``rows`` with ``words`` and ``pairs`` in place of ``text``, written down: only those that some vocabulary may hold.
 
@@ -83,9 +114,8 @@ def split_once(rows: DataFrame, kinds: list[tuple[int, int, bool, float]], folds
     """
     whole = reduce(lambda df, stage: stage.transform(df), _split(), rows)
     others = {f: F.col("fold") != f for f in folds} if folds else {0: F.lit(True)}
-    once = lambda c, total, texts: F.transform(c, lambda t: F.struct(t.alias("term"), F.lit(total).alias("total"), F.lit(texts).alias("texts")))
-    terms = whole.withColumn("terms", F.concat("words", "pairs")).select(*(c.alias(f"in{f}") for f, c in others.items()), F.explode(F.concat(once(F.col("terms"), 1, 0), once(F.array_distinct("terms"), 0, 1))).alias("t"))
-    counts = terms.groupBy("t.term").agg(*(F.sum(F.when(F.col(f"in{f}"), F.col(f"t.{n}"))).alias(f"{n}{f}") for f in others for n in ("total", "texts")))
+    counts = term_counts(rows.select(F.col("fold").cast("int").alias("fold") if folds else F.lit(0).alias("fold"), F.lower("text").alias("text")).where("text is not null"))
+    counts = counts.groupBy("term").agg(*(F.coalesce(F.sum(F.when(c, F.col(n))), F.lit(0)).alias(f"{n}{f}") for f, c in others.items() for n in ("total", "texts")))
     counts = written(counts, "terms-counted")
     n = rows.agg(*(F.count_if(c).alias(f"n{f}") for f, c in others.items())).first()
     held = []
@@ -130,15 +160,10 @@ def cross_validate_continuous(rows: DataFrame, stages: list, models: str | list[
     return reduce(DataFrame.unionByName, out)
 
 
-class BalancedAccuracy(Evaluator):
-    """Mean share of rows that are predicted right among those of each label there is."""
-
-    def _evaluate(self, rows: DataFrame) -> float:
-        right = rows.groupBy("label").agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("r"))
-        return right.agg(F.avg("r")).first()[0] or 0.0
-
-    def isLargerBetter(self) -> bool:
-        return True
+def balanced_accuracies(rows: DataFrame, predictions: list[str]) -> list[float]:
+    """Of each column of predictions the mean share of rows that are right among those of each label there is."""
+    right = rows.groupBy("label").agg(*(F.avg((F.col(p) == F.col("label")).cast("double")).alias(p) for p in predictions)).collect()
+    return [sum(r[p] for r in right) / len(right) if right else 0.0 for p in predictions]
 
 
 #: vectorisers of the grid: (least number of texts, pairs, largest share of texts, idf, norm)
@@ -151,16 +176,27 @@ def text_grid(rows: DataFrame, min_df: tuple[int, ...] = (), pairs: tuple[bool,
     balanced accuracy over ``folds`` folds; rows: text, label.  Without ``min_df`` the vectorisers are VECTORISERS.  Features are
     made once a vectoriser; balanced classifiers weigh the labels against their frequency."""
     out, vectorisers = [], list(product(min_df, pairs, max_df, idf, norm)) if min_df else VECTORISERS
-    rows, measure = weighted(rows).withColumn("one", F.lit(1.0)), BalancedAccuracy()
+    rows = weighted(rows).withColumn("one", F.lit(1.0))
     weights = {"weight" if b else "one": b for b in balance}
     rows = split_once(rows, [(size, least, both, most) for least, both, most, *_ in vectorisers])
+    n = rows.count()
+    learner = LogisticRegression(featuresCol="x", labelCol="label", maxIter=20)
+    grid = ParamGridBuilder().addGrid(learner.regParam, list(c)).addGrid(learner.elasticNetParam, list(l1)).addGrid(learner.weightCol, list(weights)).build()
     for least, both, most, by_idf, normed in vectorisers:
-        steps = text_stages(size, min_df=least, pairs=both, max_df=most, idf=by_idf, norm=normed, split=False)
-        ready = Pipeline(stages=steps).fit(rows).transform(rows).select("x", "label", "weight", "one").persist()
-        learner = LogisticRegression(featuresCol="x", labelCol="label", maxIter=20)
-        grid = ParamGridBuilder().addGrid(learner.regParam, list(c)).addGrid(learner.elasticNetParam, list(l1)).addGrid(learner.weightCol, list(weights)).build()
-        scores = CrossValidator(estimator=learner, estimatorParamMaps=grid, evaluator=measure, numFolds=folds, parallelism=8, seed=7).fit(ready).avgMetrics
-        out += [(least, both, m[learner.regParam], m[learner.elasticNetParam], float(s), most, by_idf, normed, weights[m[learner.weightCol]]) for m, s in zip(grid, scores)]
+        steps = text_stages(size, min_df=least, pairs=both, max_df=most, idf=by_idf, norm=normed, split=False, n=n)
+        ready = Pipeline(stages=steps).fit(rows).transform(rows).select("x", "label", "weight", "one", F.floor(F.rand(7) * folds).alias("part")).persist()
+        scores = [0.0] * len(grid)
+        for part in range(folds):
+            train, test = ready.where(F.col("part") != part).persist(), ready.where(F.col("part") == part)
+            train.count()
+            with ThreadPool(8) as pool:
+                models = pool.map(inheritable_thread_target(ready.sparkSession)(lambda p: learner.fit(train, p)), grid)
+            # a test row meets all models at once
+            for i, m in enumerate(models):
+                test = m.setProbabilityCol("").setRawPredictionCol(f"raw{i}").setPredictionCol(f"p{i}").transform(test).drop(f"raw{i}")
+            scores = [s + found / folds for s, found in zip(scores, balanced_accuracies(test, [f"p{i}" for i in range(len(grid))]))]
+            train.unpersist()
+        out += [(least, both, m[learner.regParam], m[learner.elasticNetParam], s, most, by_idf, normed, weights[m[learner.weightCol]]) for m, s in zip(grid, scores)]
         ready.unpersist()
     return out
 

@@ -153,3 +153,43 @@ def test_features_of_a_fold_are_made_once_for_all_regressions(spark):
     assert len(fits) == 2
     apart = [r for m in ("ridge", "huber") for r in Q.L.cross_validate_continuous(points, stages(), m, [1, 2]).collect()]
     assert sorted(map(tuple, both)) == sorted(map(tuple, apart)) and len(both) == 120
+
+
+def test_terms_are_counted_as_the_tokeniser_splits(spark):
+    """Words and pairs with their number and their number of texts by fold, also where a task lets go of what it holds."""
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    texts = [(1, "A b, a B! İst K Ärger x_1"), (1, ""), (2, "  b a\n\nb a b"), (2, "é - Σ"), (3, "one")]
+    rows = spark.createDataFrame(texts, "fold int, text string").coalesce(1)
+    split = Q.reduce(lambda df, stage: stage.transform(df), Q.L._split(), rows).collect()
+    totals, within = Counter(), Counter()
+    for r in split:
+        terms = [*r.words, *r.pairs]
+        totals.update((t, r.fold) for t in terms)
+        within.update((t, r.fold) for t in set(terms))
+    for held in (200_000, 2):
+        found = Q.L.term_counts(rows.select("fold", F.lower("text").alias("text")), held).groupBy("term", "fold").agg(F.sum("total").alias("total"), F.sum("texts").alias("texts")).collect()
+        assert {(r.term, r.fold): r.total for r in found} == dict(totals) and {(r.term, r.fold): r.texts for r in found} == dict(within)
+
+
+def test_grid_fits_each_classifier_once_a_fold(spark, monkeypatch):
+    """No fit beside those that are scored, and texts are not held to be counted for their largest share."""
+    fits, bounds = [], []
+
+    class Counted(Q.L.LogisticRegression):
+        def _fit(self, rows):
+            fits.append(1)
+            return super()._fit(rows)
+
+    class Bounded(CountVectorizer):
+        def _fit(self, rows):
+            bounds.append(self.getMaxDF())
+            return super()._fit(rows)
+
+    monkeypatch.setattr(Q.L, "LogisticRegression", Counted)
+    monkeypatch.setattr(Q.L, "CountVectorizer", Bounded)
+    rows = spark.createDataFrame([("the sun is warm", 1.0), ("rain and cold", 0.0)] * 20, "text string, label double")
+    out = Q.L.text_grid(rows, (1,), (False,), (0.1,), (0.0, 1.0), folds=2, max_df=(0.9,))
+    assert len(out) == 4 and len(fits) == 8 and bounds == [36.0]
