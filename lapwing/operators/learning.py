@@ -10,14 +10,14 @@ from multiprocessing.pool import ThreadPool
 
 import pyarrow as pa
 from pyspark import inheritable_thread_target
-from pyspark.ml import Pipeline, Transformer
+from pyspark.ml import Model, Pipeline, Transformer
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, SQLTransformer, StandardScaler, UnivariateFeatureSelector, VarianceThresholdSelector, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.ml.tuning import ParamGridBuilder
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.scratch import written
@@ -55,7 +55,8 @@ class Sublinear(Transformer):
 
     def _transform(self, rows: DataFrame) -> DataFrame:
         damped = F.transform(vector_to_array("tf"), lambda n: F.when(n > 0, 1 + F.log(n)).otherwise(0.0))
-        return rows.withColumn("damped", array_to_vector(damped))
+        # what has no terms stays a vector of zeros without entries
+        return rows.withColumn("damped", F.when(F.size("terms") == 0, F.col("tf")).otherwise(array_to_vector(damped)))
 
 
 def _split() -> list:
@@ -131,15 +132,33 @@ def split_once(rows: DataFrame, kinds: list[tuple[int, int, bool, float]], folds
     return written(whole.withColumn("words", kept("words")).withColumn("pairs", kept("pairs")).drop("text", "whole"), "split-texts")
 
 
-def chosen(learner, columns: int) -> CrossValidator:
-    """The learner on the best half of ``columns`` features ("x") or on all, by threefold inner validation; for a
-    logistic one its regularisation as well."""
-    best = UnivariateFeatureSelector(featuresCol="x", outputCol="best", labelCol="label", selectionMode="numTopFeatures").setFeatureType("continuous").setLabelType("categorical")
-    grid = ParamGridBuilder().addGrid(best.selectionThreshold, [max(columns // 2, 1), columns])
-    if isinstance(learner, LogisticRegression):
-        grid = grid.addGrid(learner.regParam, [0.01, 0.1])
-    whole = Pipeline(stages=[best, learner.setFeaturesCol("best")])
-    return CrossValidator(estimator=whole, estimatorParamMaps=grid.build(), evaluator=BinaryClassificationEvaluator(labelCol="label"), numFolds=3, parallelism=4, seed=7)
+def _together(work, items) -> list:
+    """``work`` of every item, its jobs side by side."""
+    items = list(items)
+    with ThreadPool(max(min(len(items), 8), 1)) as pool:
+        return pool.map(inheritable_thread_target(SparkSession.active())(work), items, chunksize=1)
+
+
+def chosen(train: DataFrame, learner, columns: int) -> Model:
+    """The learner fitted on the best half of ``columns`` features ("x") or on all, by threefold inner validation; for a
+    logistic one its regularisation as well.  Features are ranked once an inner fold, for every candidate on its best half."""
+    best = UnivariateFeatureSelector(featuresCol="x", outputCol="best", labelCol="label", selectionMode="numTopFeatures").setFeatureType("continuous").setLabelType("categorical").setSelectionThreshold(max(columns // 2, 1))
+    grid = [{learner.featuresCol: c} | ({learner.regParam: r} if r else {}) for c in ("best", "x") for r in ((0.01, 0.1) if isinstance(learner, LogisticRegression) else (None,))]
+    measure, parts = BinaryClassificationEvaluator(labelCol="label"), train.withColumn("part", F.floor(F.rand(7) * 3))
+    scores = [0.0] * len(grid)
+    for part in range(3):
+        inner = parts.where(F.col("part") != part).persist()
+        ranked = best.fit(inner)
+        seen, kept = ranked.transform(inner).persist(), ranked.transform(parts.where(F.col("part") == part)).persist()
+        seen.count()
+        found = _together(lambda p: measure.evaluate(learner.fit(seen, p).transform(kept)), grid)
+        scores = [s + f / 3 for s, f in zip(scores, found)]
+        for df in (inner, seen, kept):
+            df.unpersist()
+    won = grid[scores.index(max(scores))]
+    if won[learner.featuresCol] == "x":
+        return learner.fit(train, won)
+    return Pipeline(stages=[best, learner.copy(won)]).fit(train)
 
 
 def cross_validate_continuous(rows: DataFrame, stages: list, models: str | list[str], folds: list[int], least_train: int = 10, least_test: int = 5) -> DataFrame:
@@ -189,8 +208,7 @@ def text_grid(rows: DataFrame, min_df: tuple[int, ...] = (), pairs: tuple[bool,
         for part in range(folds):
             train, test = ready.where(F.col("part") != part).persist(), ready.where(F.col("part") == part)
             train.count()
-            with ThreadPool(8) as pool:
-                models = pool.map(inheritable_thread_target(ready.sparkSession)(lambda p: learner.fit(train, p)), grid)
+            models = _together(lambda p: learner.fit(train, p), grid)
             # a test row meets all models at once
             for i, m in enumerate(models):
                 test = m.setProbabilityCol("").setRawPredictionCol(f"raw{i}").setPredictionCol(f"p{i}").transform(test).drop(f"raw{i}")
@@ -201,19 +219,41 @@ def text_grid(rows: DataFrame, min_df: tuple[int, ...] = (), pairs: tuple[bool,
     return out
 
 
-def cross_validate(rows: DataFrame, stages: list, model: str, folds: list[int], least_train: int = 10, least_test: int = 5, grid: int = 0) -> DataFrame:
-    """Out-of-fold predictions: id, fold, y, p, model.  A fold is skipped with few rows or one label.  ``grid``: number of
-    features, to choose among them (``chosen``)."""
-    out = []
-    for fold in folds:
-        train, test = weighted(rows.where(F.col("fold") != fold)).persist(), rows.where(F.col("fold") == fold).withColumn("weight", F.lit(1.0))
-        seen = train.agg(F.count("*").alias("n"), F.count_distinct("label").alias("k")).first()
-        if seen["n"] >= least_train and seen["k"] == 2 and test.count() >= least_test:
-            learner = MODELS[model]()
-            fitted = Pipeline(stages=[*stages, chosen(learner, grid) if grid else learner]).fit(train)
-            guess = F.col("prediction") > 0.5
-            out.append(fitted.transform(test).select("id", F.lit(fold).alias("fold"), (F.col("label") == 1).alias("y"), guess.alias("p"), F.lit(model).alias("model")))
+def fold_features(rows: DataFrame, stages: list, folds: list[int], least_train: int = 10, least_test: int = 5) -> dict[int, tuple[DataFrame, DataFrame]]:
+    """For each fold the weighted features of the others (held in memory or on disk until ``unpersist``) and those of its own rows.
+    A fold is skipped with few rows or one label."""
+
+    def made(fold: int):
+        train, test = rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold).withColumn("weight", F.lit(1.0))
+        seen = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count("*").alias("n")).collect()}
+        if sum(seen.values()) < least_train or len(seen.keys() - {None}) != 2 or test.count() < least_test:
+            return None
+        train = weighted(train).persist()
+        features = Pipeline(stages=stages).fit(train)
+        ready = features.transform(train).select("x", "label", "weight").persist()
+        ready.count()
         train.unpersist()
+        return ready, features.transform(test)
+
+    return {f: m for f, m in zip(folds, _together(made, folds)) if m}
+
+
+def cross_validate(rows: DataFrame, stages: list, model: str, folds: list[int], least_train: int = 10, least_test: int = 5, grid: int = 0, made: dict | None = None) -> DataFrame:
+    """Out-of-fold predictions: id, fold, y, p, model.  A fold is skipped with few rows or one label.  ``grid``: number of
+    features, to choose among them (``chosen``).  ``made``: ``fold_features`` that several models share."""
+    ready = fold_features(rows, stages, folds, least_train, least_test) if made is None else {f: made[f] for f in folds if f in made}
+
+    def told(fold: int) -> DataFrame:
+        train, test = ready[fold]
+        learner = MODELS[model]()
+        fitted = chosen(train, learner, grid) if grid else learner.fit(train)
+        guess = F.col("prediction") > 0.5
+        return fitted.transform(test).select("id", F.lit(fold).alias("fold"), (F.col("label") == 1).alias("y"), guess.alias("p"), F.lit(model).alias("model"))
+
+    out = _together(told, ready)
+    if made is None:
+        for train, _ in ready.values():
+            train.unpersist()
     if not out:
         return rows.select("id", F.lit(0).alias("fold"), (F.col("label") == 1).alias("y"), (F.col("label") == 1).alias("p"), F.lit(model).alias("model")).limit(0)
     return reduce(DataFrame.unionByName, out)

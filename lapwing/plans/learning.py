@@ -170,7 +170,11 @@ def sensor_models(ev):
     features, chosen with its regularisation in an inner validation."""
     rows = written(_sensor_rows(ev), "sensor-rows")
     stages = L.sensor_stages(SENSED)
-    return _scores([L.cross_validate(rows, stages, m, FOLDS, grid=len(SENSED) if m == "logistic" else 0) for m in L.MODELS])
+    made = L.fold_features(rows, stages, FOLDS)
+    found = [L.cross_validate(rows, stages, m, FOLDS, grid=len(SENSED) if m == "logistic" else 0, made=made) for m in L.MODELS]
+    for train, _ in made.values():
+        train.unpersist()
+    return _scores(found)
 
 
 @query("m04_sensor_regressions")

@@ -193,3 +193,30 @@ def test_grid_fits_each_classifier_once_a_fold(spark, monkeypatch):
     rows = spark.createDataFrame([("the sun is warm", 1.0), ("rain and cold", 0.0)] * 20, "text string, label double")
     out = Q.L.text_grid(rows, (1,), (False,), (0.1,), (0.0, 1.0), folds=2, max_df=(0.9,))
     assert len(out) == 4 and len(fits) == 8 and bounds == [36.0]
+
+
+def test_features_of_a_fold_are_made_once_for_all_models(spark, monkeypatch):
+    """Five models share the features of a fold, and the best features are ranked once an inner fold."""
+    from pyspark.ml.feature import StandardScaler
+
+    fits, ranked = [], []
+
+    class Counted(StandardScaler):
+        def _fit(self, rows):
+            fits.append(1)
+            return super()._fit(rows)
+
+    class Ranked(Q.L.UnivariateFeatureSelector):
+        def _fit(self, rows):
+            ranked.append(1)
+            return super()._fit(rows)
+
+    monkeypatch.setattr(Q.L, "StandardScaler", Counted)
+    monkeypatch.setattr(Q.L, "UnivariateFeatureSelector", Ranked)
+    rows = spark.range(120).selectExpr("id", "cast(id % 2 + 1 as int) as fold", *(f"cast(id % {m} as double) as {c}" for c, m in zip(Q.SENSED, (3, 5, 7, 11, 13))), "double(id % 7 > 3) as label")
+    monkeypatch.setattr(Q, "_sensor_rows", lambda ev: rows)
+    monkeypatch.setattr(Q, "FOLDS", [1, 2])
+    monkeypatch.setattr(Q, "_scores", lambda found: Q.reduce(Q.DataFrame.unionByName, found))
+    out = Q.sensor_models(spark, "/root/testdata/sf0.001")
+    assert {(r.model, r.n) for r in out.groupBy("model").count().withColumnRenamed("count", "n").collect()} == {(m, 120) for m in Q.L.MODELS}
+    assert len(fits) == 2 and 6 <= len(ranked) <= 8
