@@ -86,3 +86,11 @@ def test_profile_counts_by_brute_force(spark):
         words = (t or "").lower().split()
         for name, ps in X.CATEGORIES.items():
             assert got[k][f"{name}_count"] == sum(any(w.startswith(p) for p in ps.split()) for w in words)
+
+
+def test_answers_are_worked_out_once(spark):
+    """What is parsed or searched is named once in the plan for a text and once for a text under ``result``, also by the condition on it."""
+    from lapwing.plans.retrieval import balanced_objects
+
+    plan = balanced_objects(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 2 and plan.count("no object } here") == 1 and plan.count("aggregate(") == 2
