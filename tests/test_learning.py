@@ -220,3 +220,11 @@ def test_features_of_a_fold_are_made_once_for_all_models(spark, monkeypatch):
     out = Q.sensor_models(spark, "/root/testdata/sf0.001")
     assert {(r.model, r.n) for r in out.groupBy("model").count().withColumnRenamed("count", "n").collect()} == {(m, 120) for m in Q.L.MODELS}
     assert len(fits) == 2 and 6 <= len(ranked) <= 8
+
+
+def test_texts_without_terms_stay_without_entries(spark):
+    from pyspark.ml.linalg import SparseVector, Vectors
+
+    rows = spark.createDataFrame([(["a"], Vectors.sparse(3, [0], [2.0])), ([], Vectors.sparse(3, [], []))], ["terms", "tf"])
+    some, none = (r.damped for r in Q.L.Sublinear().transform(rows).collect())
+    assert isinstance(none, SparseVector) and none.size == 3 and not none.indices.size and some[0] > 1 and some[1] == some[2] == 0
