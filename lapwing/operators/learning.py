@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from functools import reduce
@@ -10,12 +11,14 @@ from multiprocessing.pool import ThreadPool
 
 import pyarrow as pa
 from pyspark import inheritable_thread_target
-from pyspark.ml import Model, Pipeline, Transformer
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, SQLTransformer, StandardScaler, UnivariateFeatureSelector, VarianceThresholdSelector, VectorAssembler
+from pyspark.ml.feature import IDF, CountVectorizer, CountVectorizerModel, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, SQLTransformer, StandardScaler, UnivariateFeatureSelector, VarianceThresholdSelector, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,11 +42,12 @@ REGRESSORS = {
 }
 
 
-def weighted(rows: DataFrame) -> DataFrame:
-    """Weights that balance the two labels."""
-    n = rows.agg(F.count("*").alias("n"), F.sum("label").alias("p")).first()
-    p = n["p"] or 0.0
-    return rows.withColumn("weight", F.when(F.col("label") == 1, n["n"] / (2 * max(p, 1.0))).otherwise(n["n"] / (2 * max(n["n"] - p, 1.0))))
+def weighted(rows: DataFrame, seen: dict | None = None) -> DataFrame:
+    """Weights that balance the two labels.  ``seen``: the number of rows of each label, where it is known."""
+    if seen is None:
+        seen = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    n, p = sum(seen.values()), sum(label * k for label, k in seen.items() if label is not None)
+    return rows.withColumn("weight", F.when(F.col("label") == 1, n / (2 * max(p, 1.0))).otherwise(n / (2 * max(n - p, 1.0))))
 
 
 def sensor_stages(columns: list[str]) -> list:
@@ -81,55 +85,124 @@ def text_stages(size: int = 500, idf: bool = True, out: str = "x", min_df: int =
     return [*stages, Normalizer(inputCol=at, outputCol=out) if norm else SQLTransformer(statement=f"SELECT *, {at} AS {out} FROM __THIS__")]
 
 
-def term_counts(rows: DataFrame, held: int = 200_000) -> DataFrame:
-    """(term, fold, total, texts) of the words and pairs of words of lower-case texts, added up in tasks; a term has a row for each
-    task and fold, or more where a task met over ``held`` terms.  rows: fold, text."""
+def _terms_of(known: set[str] | None = None):
+    """From the words of a text to its terms: words and pairs of words, or with ``known`` the pairs of words that are both known."""
+    if known is None:
+        return lambda words: words + list(map(" ".join, zip(words, words[1:])))
+    return lambda words: [f"{a} {b}" for a, b in zip(words, words[1:]) if a in known and b in known]
+
+
+def term_counts(rows: DataFrame, held: int = 200_000, terms=None) -> DataFrame:
+    """(term, fold, total, texts) of the terms of lower-case texts, added up in tasks; a term has a row for each task and fold, or
+    more where a task met over ``held`` terms.  ``terms`` makes them of the words of a text: words and pairs of words, if not given.
+    rows: fold, text."""
+    terms = terms or _terms_of()
 
     def count(batches):
         word, met = re.compile(r"\w+", re.ASCII).findall, {}
         for batch in batches:
             for fold, text in zip(batch["fold"].to_pylist(), batch["text"].to_pylist()):
                 totals, texts = met.setdefault(fold, (Counter(), Counter()))
-                words = word(text)
-                terms = words + list(map(" ".join, zip(words, words[1:])))
-                totals.update(terms)
-                texts.update(set(terms))
+                found = terms(word(text))
+                totals.update(found)
+                texts.update(set(found))
                 if len(totals) > held:
                     yield from told({fold: met.pop(fold)})
         yield from told(met)
 
     def told(met):
         for fold, (totals, texts) in met.items():
-            terms = list(totals)
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([fold] * len(terms), pa.int32()), pa.array([totals[t] for t in terms], pa.int64()), pa.array([texts[t] for t in terms], pa.int64())], names=["term", "fold", "total", "texts"])
+            names = list(totals)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([fold] * len(names), pa.int32()), pa.array([totals[t] for t in names], pa.int64()), pa.array([texts[t] for t in names], pa.int64())], names=["term", "fold", "total", "texts"])
 
     return rows.select("fold", "text").mapInArrow(count, "term string, fold int, total long, texts long")
 
 
+def _held(terms: list[str]):
+    """From lower-case texts to structs of their ``words`` and ``pairs`` among ``terms``, in the order of the text."""
+    words, after = {t: t for t in terms if " " not in t}, {}
+    for t in terms:
+        if " " in t:
+            first, second = t.split(" ")
+            after.setdefault(first, {})[second] = t
+
+    def kept(texts: pa.Array) -> pa.Array:
+        word, none, found, pairs = re.compile(r"\w+", re.ASCII).findall, {}, [], []
+        for text in texts.to_pylist():
+            every = word(text or "")
+            found.append([words[w] for w in every if w in words])
+            pairs.append([after[a][b] for a, b in zip(every, every[1:]) if b in after.get(a, none)])
+        kind = pa.list_(pa.string())
+        return pa.StructArray.from_arrays([pa.array(found, kind), pa.array(pairs, kind)], names=["words", "pairs"])
+
+    return F.arrow_udf(kept, "struct<words: array<string>, pairs: array<string>>")
+
+
 def split_once(rows: DataFrame, kinds: list[tuple[int, int, bool, float]], folds: list[int] | None = None) -> DataFrame:
-    """``rows`` with ``words`` and ``pairs`` in place of ``text``, written down: only those that some vocabulary may hold.
+    """``rows`` with ``words`` and ``pairs`` in place of ``text``, written down: only those that a vocabulary holds.
 
     ``kinds``: (size, min_df, pairs, max_df) of each vocabulary, which is drawn from all rows, or with ``folds`` from all rows but
-    those of one fold, for each fold.  Terms are counted once for all of them; a term that is as frequent as the last of a
-    vocabulary stays, so what CountVectorizer finds in the rest is what it finds in whole texts.
+    those of one fold, for each fold.  Terms are counted once for all of them, and of terms as frequent as a vocabulary's last those
+    stay that come first, so what CountVectorizer finds in the rest is what it finds in whole texts.
+
+    A pair is no more frequent than its words: where ``size`` words are, only pairs of words that are more frequent than the last of
+    them can be in a vocabulary.  So words are counted first, and then pairs of some hundreds of words instead of all that there are.
     """
-    whole = reduce(lambda df, stage: stage.transform(df), _split(), rows)
     others = {f: F.col("fold") != f for f in folds} if folds else {0: F.lit(True)}
-    counts = term_counts(rows.select(F.col("fold").cast("int").alias("fold") if folds else F.lit(0).alias("fold"), F.lower("text").alias("text")).where("text is not null"))
-    counts = counts.groupBy("term").agg(*(F.coalesce(F.sum(F.when(c, F.col(n))), F.lit(0)).alias(f"{n}{f}") for f, c in others.items() for n in ("total", "texts")))
-    counts = written(counts, "terms-counted")
+    texts = rows.select(F.col("fold").cast("int").alias("fold") if folds else F.lit(0).alias("fold"), F.lower("text").alias("text")).where("text is not null")
     n = rows.agg(*(F.count_if(c).alias(f"n{f}") for f, c in others.items())).first()
-    held = []
-    for f in others:
-        for size, min_df, pairs, max_df in kinds:
-            may = counts.where((F.col(f"texts{f}") >= min_df) & (F.col(f"texts{f}") <= (max_df * n[f"n{f}"] if max_df < 1 else n[f"n{f}"])))
-            may = may if pairs else may.where(~F.contains("term", F.lit(" ")))
-            last = may.orderBy(F.col(f"total{f}").desc()).limit(size).agg(F.min(f"total{f}")).first()[0]
-            held.append(may.where(F.col(f"total{f}") >= (last or 0)).select("term"))
-    # some vocabularies of a set size, and what is as frequent as the last of each
-    held = [r.term for r in reduce(DataFrame.unionByName, held).distinct().collect()]
-    kept = lambda c: F.filter(c, lambda t: t.isin(*held))
-    return written(whole.withColumn("words", kept("words")).withColumn("pairs", kept("pairs")).drop("text", "whole"), "split-texts")
+
+    def counted(terms, name: str) -> DataFrame:
+        counts = term_counts(texts, terms=terms).groupBy("term").agg(*(F.coalesce(F.sum(F.when(c, F.col(k))), F.lit(0)).alias(f"{k}{f}") for f, c in others.items() for k in ("total", "texts")))
+        return written(counts, name)
+
+    def firsts(counts: DataFrame, f: int, size: int, min_df: int, pairs: bool, max_df: float) -> DataFrame:
+        """The terms of a vocabulary, with their totals."""
+        may = counts.where((F.col(f"texts{f}") >= min_df) & (F.col(f"texts{f}") <= (max_df * n[f"n{f}"] if max_df < 1 else n[f"n{f}"])))
+        may = may if pairs else may.where(~F.contains("term", F.lit(" ")))
+        return may.orderBy(F.col(f"total{f}").desc(), "term").limit(size).select("term", F.col(f"total{f}").alias("total"))
+
+    # terms are counted by hashes of words, the words themselves are some hundreds a vocabulary
+    counts = counted(lambda words: words, "words-counted")
+    kinds_of = [(f, *kind) for f in others for kind in kinds]
+    with_pairs = [k for k in kinds_of if k[3]]
+    if with_pairs:
+        last = [firsts(counts, *k).agg(F.lit(i).alias("i"), F.when(F.count("*") == k[1], F.min("total")).otherwise(0).alias("last")) for i, k in enumerate(with_pairs)]
+        last = {r.i: r["last"] for r in reduce(DataFrame.unionByName, last).collect()}
+        may_pair = reduce(lambda a, b: a | b, ((F.col(f"total{f}") > last[i]) & (F.col(f"texts{f}") >= min_df) for i, (f, _, min_df, *_) in enumerate(with_pairs)))
+        known = {r.term for r in counts.where(may_pair).select("term").collect()}
+        counts = counts.unionByName(counted(_terms_of(known), "pairs-counted"))
+    held = [r.term for r in reduce(DataFrame.unionByName, [firsts(counts, *k).select("term") for k in kinds_of]).distinct().collect()]
+    split = rows.withColumn("_split", _held(held)(F.lower("text")))
+    return written(split.select(*(c for c in rows.columns if c != "text"), "_split.words", "_split.pairs"), "split-texts")
+
+
+def counted_once(rows: DataFrame) -> DataFrame:
+    """Rows of ``split_once`` with "tf", the counts of all terms that they hold, and "damped" (``Sublinear``) in place of ``words``
+    and ``pairs``, written down: vocabularies of folds are parts of them (``FoldTerms``)."""
+    terms = rows.withColumn("terms", F.concat("words", "pairs"))
+    names = sorted(r.term for r in terms.select(F.explode("terms").alias("term")).distinct().collect())  # some vocabularies
+    model = CountVectorizerModel.from_vocabulary(names or [""], "terms", "tf")
+    return written(Sublinear().transform(model.transform(terms)).drop("words", "pairs", "terms"), "counted-texts")
+
+
+class FoldTerms(Estimator):
+    """What CountVectorizer, Sublinear, IDF and Normalizer make of texts, from the "tf" and "damped" of ``counted_once`` after one pass
+    over the rows of a fit: the ``size`` most frequent terms in ``min_df`` texts or more (of terms as frequent those that come first),
+    weighted by idf and normalised.  Without any term it is a block of one zero."""
+
+    def __init__(self, size: int, out: str, min_df: int = 2):
+        super().__init__()
+        self.size, self.out, self.min_df = size, out, min_df
+
+    def _fit(self, rows: DataFrame) -> Model:
+        m = rows.select(Summarizer.metrics("count", "sum", "numNonZeros").summary(F.col("tf")).alias("m")).select("m.*").first()
+        # sums are made of means: whole numbers again, so that terms as frequent are so
+        totals, texts = m["sum"].toArray().round(), m["numNonZeros"].toArray()
+        most = sorted((i for i in range(len(totals)) if texts[i] >= self.min_df), key=lambda i: (-totals[i], i))
+        held = most[: self.size]
+        idf = [math.log((m["count"] + 1) / (texts[i] + 1)) for i in held]
+        return PipelineModel([VectorSlicer(inputCol="damped", outputCol="held", indices=held or [0]), ElementwiseProduct(inputCol="held", outputCol="tfidf", scalingVec=Vectors.dense(idf or [0.0])), Normalizer(inputCol="tfidf", outputCol=self.out)])
 
 
 def _together(work, items) -> list:
@@ -223,16 +296,20 @@ def fold_features(rows: DataFrame, stages: list, folds: list[int], least_train:
     """For each fold the weighted features of the others (held in memory or on disk until ``unpersist``) and those of its own rows.
     A fold is skipped with few rows or one label."""
 
+    labels = rows.where("fold is not null").groupBy("fold", "label").agg(F.count("*").alias("n")).collect() if folds else []
+
     def made(fold: int):
         train, test = rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold).withColumn("weight", F.lit(1.0))
-        seen = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count("*").alias("n")).collect()}
-        if sum(seen.values()) < least_train or len(seen.keys() - {None}) != 2 or test.count() < least_test:
+        seen = Counter()
+        for r in labels:
+            seen[r["label"]] += r["n"] * (r["fold"] != fold)
+        seen = +seen
+        if sum(seen.values()) < least_train or len(seen.keys() - {None}) != 2 or sum(r["n"] for r in labels if r["fold"] == fold) < least_test:
             return None
-        train = weighted(train).persist()
+        train = weighted(train, seen)
         features = Pipeline(stages=stages).fit(train)
         ready = features.transform(train).select("x", "label", "weight").persist()
         ready.count()
-        train.unpersist()
         return ready, features.transform(test)
 
     return {f: m for f, m in zip(folds, _together(made, folds)) if m}

@@ -221,9 +221,10 @@ def fused_models(spark, sf_dir):
     """A prompt's sensing and its diary, scaled apart; a prompt has the text of its number, or none (a block of zeros)."""
     sensed = _sensor_rows(B.events(spark, sf_dir))
     rows = written(sensed.join(B.diary(spark, sf_dir).select(F.col("doc_id").alias("id"), "text"), "id", "left"), "fused-rows")
-    rows = L.split_once(rows, [(200, 2, True, 1.0)], FOLDS)
-    blocks = [VectorAssembler(inputCols=SENSED, outputCol="raw", handleInvalid="keep"), StandardScaler(inputCol="raw", outputCol="sensed", withMean=True), *L.text_stages(200, out="said", sublinear=True, split=False)]
-    stages = [*blocks, StandardScaler(inputCol="said", outputCol="told"), VectorAssembler(inputCols=["sensed", "told"], outputCol="x")]
+    rows = L.counted_once(L.split_once(rows, [(200, 2, True, 1.0)], FOLDS))
+    sensed = [VectorAssembler(inputCols=SENSED, outputCol="raw", handleInvalid="keep"), StandardScaler(inputCol="raw", outputCol="sensed", withMean=True)]
+    told = [L.FoldTerms(200, "said"), StandardScaler(inputCol="said", outputCol="told")]
+    stages = [*sensed, *told, VectorAssembler(inputCols=["sensed", "told"], outputCol="x")]
     return _scores([L.cross_validate(rows, stages, "logistic", FOLDS)])
 
 

@@ -228,3 +228,55 @@ def test_texts_without_terms_stay_without_entries(spark):
     rows = spark.createDataFrame([(["a"], Vectors.sparse(3, [0], [2.0])), ([], Vectors.sparse(3, [], []))], ["terms", "tf"])
     some, none = (r.damped for r in Q.L.Sublinear().transform(rows).collect())
     assert isinstance(none, SparseVector) and none.size == 3 and not none.indices.size and some[0] > 1 and some[1] == some[2] == 0
+
+
+def test_only_pairs_of_frequent_words_are_counted(spark, monkeypatch):
+    """What is counted in pairs is bounded by the vocabularies, however many pairs the texts have; equal words in a row are a pair too."""
+    counted, whole = [], Q.L.written
+
+    def seen(df, name):
+        out = whole(df, name)
+        if name.endswith("-counted"):
+            counted.append(out)
+        return out
+
+    monkeypatch.setattr(Q.L, "written", seen)
+    rows = [(i, i % 5 + 1, " ".join(f"often{(i + j) % 7} rare{i * 40 + j} also also" for j in range(40))) for i in range(40)]
+    split = Q.L.split_once(spark.createDataFrame(rows, "id long, fold int, text string"), [(6, 2, True, 1.0)], [1, 2, 3, 4, 5])
+    pairs = {r.term for df in counted for r in df.where("contains(term, ' ')").select("term").collect()}
+    assert "also also" in pairs and len(pairs) <= 49 and not any("rare" in p for p in pairs)
+    first = split.where("id = 0").first()
+    assert first.pairs.count("also also") == 40 and first.words.count("also") == 80 and not any("rare" in w for w in first.words)
+
+
+def test_terms_of_a_fold_are_those_of_its_rows(spark):
+    """The same vectors as from the whole texts, and of terms as frequent those that come first."""
+    import random
+
+    from pyspark.ml import Pipeline
+    from pyspark.ml.functions import vector_to_array
+
+    rng = random.Random(5)
+    # so unevenly frequent that few terms are as frequent as another
+    rows = [(i, i % 5 + 1, None if i % 9 == 0 else " ".join(rng.choices([f"w{j}" for j in range(12)], [0.6**j for j in range(12)], k=200))) for i in range(90)]
+    texts = spark.createDataFrame(rows, "id long, fold int, text string")
+    counts = Q.L.counted_once(Q.L.split_once(texts, [(8, 2, True, 1.0)], Q.FOLDS))
+    assert "damped" in counts.columns and "words" not in counts.columns and counts.count() == 90
+    for fold in (1, 3):
+        found = []
+        for df, stages in ((texts, Q.L.text_stages(8, out="said", sublinear=True)), (counts, [Q.L.FoldTerms(8, "said")])):
+            model = Pipeline(stages=stages).fit(df.where(f"fold <> {fold}"))
+            found.append({r.id: list(r.said) for r in model.transform(df).select("id", vector_to_array("said").alias("said")).collect()})
+        assert all(found[0][i] == pytest.approx(found[1][i], abs=1e-12) for i in range(90))
+    same = spark.createDataFrame([(1, 1, "c b a"), (2, 1, "a b c")] * 3, "id long, fold int, text string")
+    counts = Q.L.counted_once(Q.L.split_once(same, [(9, 2, True, 1.0)], [1, 2]))
+    assert Q.L.FoldTerms(2, "said").fit(counts).stages[0].getIndices() == [0, 2]  # a, "a b", b, ...: pairs have half their number
+
+
+def test_without_any_text_there_is_a_block_of_zeros(spark):
+    from pyspark.ml.functions import vector_to_array
+
+    rows = spark.createDataFrame([(i, i % 2 + 1, None if i else "") for i in range(6)], "id long, fold int, text string")
+    counts = Q.L.counted_once(Q.L.split_once(rows, [(8, 2, True, 1.0)], [1, 2]))
+    out = Q.L.FoldTerms(8, "said").fit(counts).transform(counts).select(vector_to_array("said").alias("said")).collect()
+    assert [list(r.said) for r in out] == [[0.0]] * 6
