@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cleaning as C
 from ..functions import times as T
+from ..sources.scratch import written
 from . import similar as S
 from .pit import visible
 
@@ -423,17 +424,22 @@ def raw_events(requests: DataFrame, world: World) -> DataFrame:
 # -- other people --------------------------------------------------------------------------------------------------
 
 
+#: days that have a number beside their user's
+DAY_NUMBERS = 1 << 20
+
+
 def peer_days(requests: DataFrame, world: World) -> DataFrame:
     """(request_id, place, peer, day, similarity, desire, available): days of other users most like the request's day so far, features
-    standardised over all days; ties by user and day.  request_id is a whole number here.  The requests are a query set: they
-    meet all days block by block."""
+    standardised over all days; ties by user and day.  request_id and user_id are whole numbers here.  The requests are a query
+    set: they meet all days part by part."""
     have = [c for c in FINGERPRINT if c in world.hours.columns]
     asked = _asked(requests, "find_peer_cases").where("search_mode = 'sensing'")
-    days = _past_days(world).withColumn("case_id", F.xxhash64("user_id", "day"))
+    # numbered in the order of user and day, so that ties at the last place go by them
+    days = written(_past_days(world).withColumn("case_id", F.col("user_id").cast("long") * DAY_NUMBERS + F.col("day") + DAY_NUMBERS // 2), "peer-days")
     stats = days.agg(*(f(c).alias(f"{n}_{c}") for c in have for n, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
     z = F.array(*((F.col(c) - F.lit(stats[f"m_{c}"] or 0.0)) / F.lit(stats[f"s_{c}"] or 1.0) for c in have))
     rows = days.select(F.col("case_id").alias("id"), z.alias("v"), "user_id")
-    asks = _today(asked, world.hours).select(F.col("request_id").cast("long").alias("id"), z.alias("v"), "user_id")
+    asks = written(_today(asked, world.hours).select(F.col("request_id").cast("long").alias("id"), z.alias("v"), "user_id"), "peer-asks")
     near = S.nearest_vectors(rows, asks, "id", "v", "user_id", 10)
     told = days.select(F.col("case_id").alias("found"), F.col("user_id").alias("peer"), "day", "desire", "available")
     met = near.select("query", "found", "similarity").join(told, "found").join(asked.select(F.col("request_id").cast("long").alias("query"), "top_k"), "query")

@@ -127,6 +127,30 @@ def test_baseline_names_and_days(spark, world):
     assert {r.peer for r in peers} <= {72}
 
 
+def test_peers_of_every_request(spark, sf_dir):
+    """The query asks for every request, as its SQL does, not for every twentieth."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{sf_dir}/events.parquet')")
+    found = entry.queries()["tool_peer_cases"](spark, sf_dir)
+    rows = [tuple(r) for r in found.collect()]
+    want = con.execute(f"SELECT {', '.join(found.columns)} FROM ({entry.oracle_sql()['tool_peer_cases']})").fetchall()
+    assert sorted(rows) == sorted(want) and any(r[0] % 20 for r in rows)
+
+
+def test_peers_with_equal_days_go_by_user_and_day(spark):
+    """Twenty users with the same day: the first ten by user, also where only ten are asked for."""
+    days = [(u, DAY * 24 - 24 * 3 + 9, 10.0 + (u >= 50), 5.0 + (u >= 50)) for u in range(1, 21)] + [(60, DAY * 24 - 24 * 3 + 9, 1.0, 90.0), (99, DAY * 24 + 1, 30.0, 2.0)]
+    hours = spark.createDataFrame(days, "user_id int, hour long, screen_on_min double, motion_walking_min double")
+    prompts = spark.createDataFrame([(u, u, (DAY - 3) * 24 * HOUR + 20 * HOUR, 5, "yes") for u, *_ in days], "prompt_id long, user_id int, ms long, desire int, available string")
+    asked = spark.createDataFrame([(7, 99, AT + 2 * HOUR, "find_peer_cases", '{"search_mode": "sensing", "top_k": 10}')], "request_id long, user_id int, ms long, tool string, args string")
+    rows = O.peer_days(asked, O.World(hours, prompts, None)).orderBy("place").collect()
+    assert [r.peer for r in rows] == list(range(1, 11))
+
+
 def test_peer_texts_by_brute_force(spark, world):
     calls = [("find_peer_cases", {"query_text": t, "top_k": 2}) for t in ("calm by the lake", "deadline", "nothing known", " ")]
     rows = [(r.request_id, r.place, r.case_id, r.peer) for r in O.peer_texts(ask(spark, *calls), world).orderBy("request_id", "place").collect()]
