@@ -454,9 +454,9 @@ def peer_texts(requests: DataFrame, world: World) -> DataFrame:
     # requests take the numbers below 0
     asks = asked.select((-1 - F.col("request_id").cast("long")).alias("number"), F.col("query_text").alias("text"), "user_id", F.lit(False).alias("known"))
     cases = world.diaries.select(F.col("case_id").cast("long").alias("number"), F.coalesce("text", F.lit("")).alias("text"), "user_id", F.lit(True).alias("known"))
-    weights = S.term_weights(cases.unionByName(asks), "number", "text", min_df=1, max_terms=None, fit="known")
+    weights = S.term_weights(cases.unionByName(asks), "number", "text", min_df=1, max_terms=None, fit="known", asks=~F.col("known"))
     owned = lambda df: weights.join(df.select("number", F.col("user_id").alias("owner")), "number")
-    found = S.nearest_to(owned(cases), owned(asks), "number", ["terms", "w"], "owner", 10)
+    found = S.nearest_to(owned(cases), owned(asks), "number", "owner", 10)
     met = found.select((-1 - F.col("query")).alias("request_id"), F.col("found").alias("case_id"), "similarity", "place").join(asked.select(F.col("request_id").cast("long").alias("request_id"), "top_k"), "request_id")
     return met.where("place <= top_k").join(world.diaries.select("case_id", F.col("user_id").alias("peer")), "case_id").select("request_id", "place", "peer", "case_id", "similarity")
 
